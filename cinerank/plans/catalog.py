@@ -1,6 +1,6 @@
 """Imports every query module so that the registry is complete."""
 
-from cinerank.plans import q_profiles  # noqa: F401
+from cinerank.plans import q_profiles, q_samples  # noqa: F401
 from cinerank.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
