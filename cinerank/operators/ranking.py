@@ -16,7 +16,8 @@ SORT_KEYS = {"rating": "averageRating", "releaseYear": "releaseYear"}
 def top_k(df: DataFrame, group_cols: list, order: list[Column], k: int, rank_col: str = "rank") -> DataFrame:
     """Keep the first k rows of each group under `order`; adds a 1-based rank."""
     w = Window.partitionBy(*group_cols).orderBy(*order) if group_cols else Window.orderBy(*order)
-    return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
+    ranked = df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
+    return ranked.withColumn(rank_col, F.col(rank_col).cast("long"))
 
 
 def item_order(sort_by: str) -> list[Column]:

@@ -30,14 +30,14 @@ def items_sql(body: str) -> str:
 
 
 @register("genre_shelves", items_sql("""
-SELECT genre, rank, movieId, title, releaseYear, ratingNumber, round(averageRating, 6) AS averageRating
+SELECT genre, rank, movieId, title, releaseYear, ratingNumber, averageRating AS averageRating
 FROM (SELECT g.genre, i.*, row_number() OVER (PARTITION BY g.genre ORDER BY i.averageRating DESC, i.movieId) AS rank
       FROM items i, unnest(string_split(i.genres, '|')) AS g(genre))
 WHERE rank <= 8"""))
 def q_genre_shelves(spark, d):
     """Every genre's shelf of 8 best-rated items (home-page rows)."""
     shelf = R.top_items_by_genre(items(spark, d), size=8, sort_by="rating")
-    return shelf.select("genre", "rank", "movieId", "title", "releaseYear", "ratingNumber", r6("averageRating"))
+    return shelf.select("genre", "rank", "movieId", "title", "releaseYear", "ratingNumber", "averageRating")
 
 
 @register("genre_page_by_year", items_sql("""
@@ -52,30 +52,30 @@ def q_genre_page_by_year(spark, d):
 
 
 @register("top_items_by_rating", items_sql("""
-SELECT row_number() OVER (ORDER BY averageRating DESC, movieId) AS rank, movieId, round(averageRating, 6) AS averageRating
+SELECT row_number() OVER (ORDER BY averageRating DESC, movieId) AS rank, movieId, averageRating AS averageRating
 FROM items ORDER BY averageRating DESC, movieId LIMIT 100"""))
 def q_top_items(spark, d):
     """The 100 best-rated items of the catalogue."""
-    return R.top_items(items(spark, d), 100, "rating").select("rank", "movieId", r6("averageRating"))
+    return R.top_items(items(spark, d), 100, "rating").select("rank", "movieId", "averageRating")
 
 
 @register("item_profiles", items_sql("""
-SELECT movieId, title, releaseYear, imdbId, tmdbId, genres, ratingNumber, round(averageRating, 6) AS averageRating
+SELECT movieId, title, releaseYear, imdbId, tmdbId, genres, ratingNumber, averageRating AS averageRating
 FROM items"""))
 def q_item_profiles(spark, d):
     """A4 + J3 + PF3/PF4: item profiles."""
     return items(spark, d).select("movieId", "title", "releaseYear", "imdbId", "tmdbId", "genres",
-                                  "ratingNumber", r6("averageRating"))
+                                  "ratingNumber", "averageRating")
 
 
 @register("user_profiles", with_ctes("""
-SELECT userId, round(avg(rating), 6) AS averageRating, greatest(0.0, max(rating)) AS highestRating,
+SELECT userId, avg(rating) AS averageRating, greatest(0.0, max(rating)) AS highestRating,
        least(5.0, min(rating)) AS lowestRating, count(*) AS ratingCount
 FROM ratings GROUP BY userId""", "ratings"))
 def q_user_profiles(spark, d):
     """A5: user profiles."""
     u = P.user_profiles(T.ratings(spark, d))
-    return u.select("userId", r6("averageRating"), "highestRating", "lowestRating", "ratingCount")
+    return u.select("userId", "averageRating", "highestRating", "lowestRating", "ratingCount")
 
 
 @register("top_ratings", with_ctes(f"""
@@ -90,20 +90,20 @@ def q_top_ratings(spark, d):
 
 
 @register("rating_distribution", with_ctes("""
-SELECT rating, count(*) AS count, round(count(*) / (SELECT count(*) FROM ratings), 6) AS percentage
+SELECT rating, count(*) AS count, count(*) / (SELECT count(*) FROM ratings) AS percentage
 FROM ratings GROUP BY rating""", "ratings"))
 def q_rating_distribution(spark, d):
     """A1: rating histogram with shares."""
-    return P.rating_distribution(T.ratings(spark, d)).select("rating", "count", r6("percentage"))
+    return P.rating_distribution(T.ratings(spark, d)).select("rating", "count", "percentage")
 
 
 @register("rating_stats", with_ctes("""
-SELECT movieId, count(*) AS ratingCount, round(avg(rating), 6) AS avgRating, round(var_samp(rating), 6) AS ratingVar
+SELECT movieId, count(*) AS ratingCount, avg(rating) AS avgRating, round(var_samp(rating), 6) AS ratingVar
 FROM ratings GROUP BY movieId""", "ratings"))
 def q_rating_stats(spark, d):
     """A3: per-item count, mean, sample variance."""
     s = P.rating_stats(T.ratings(spark, d))
-    return s.select("movieId", "ratingCount", r6("avgRating"), r6("ratingVar"))
+    return s.select("movieId", "ratingCount", "avgRating", r6("ratingVar"))
 
 
 @register("load_counts", with_ctes("""
@@ -119,7 +119,7 @@ def q_load_counts(spark, d):
 
 @register("item_page", items_sql(f"""
 SELECT i.movieId, i.title, i.releaseYear, i.imdbId, i.tmdbId, i.genres, i.ratingNumber,
-       round(i.averageRating, 6) AS averageRating,
+       i.averageRating AS averageRating,
        t.topRatings
 FROM items i LEFT JOIN (
   SELECT movieId, string_agg(CAST(userId AS VARCHAR) || ':' || CAST(rating AS VARCHAR), ',' ORDER BY rank DESC) AS topRatings
@@ -136,13 +136,13 @@ def q_item_page(spark, d):
         F.concat(F.col("userId").cast("string"), F.lit(":"), F.col("rating").cast("string")).alias("t")))).alias("l"))
     lists = lists.select("movieId", F.array_join(F.transform("l", lambda s: s["t"]), ",").alias("topRatings"))
     return it.join(lists, "movieId", "left").select(
-        "movieId", "title", "releaseYear", "imdbId", "tmdbId", "genres", "ratingNumber", r6("averageRating"),
+        "movieId", "title", "releaseYear", "imdbId", "tmdbId", "genres", "ratingNumber", "averageRating",
         "topRatings")
 
 
 @register("user_page", items_sql("""
 SELECT r.userId, r.movieId, r.rating, r."timestamp", r.l_orderkey, r.l_linenumber, i.title, i.releaseYear,
-       round(u.averageRating, 6) AS userAverageRating, u.ratingCount AS userRatingCount
+       u.averageRating AS userAverageRating, u.ratingCount AS userRatingCount
 FROM ratings r JOIN items i USING (movieId)
 JOIN (SELECT userId, avg(rating) AS averageRating, count(*) AS ratingCount FROM ratings GROUP BY userId) u USING (userId)"""))
 def q_user_page(spark, d):
@@ -154,7 +154,7 @@ def q_user_page(spark, d):
     it = items(spark, d).select("movieId", "title", "releaseYear")
     return (r.join(it, "movieId").join(u, "userId")
             .select("userId", "movieId", "rating", "timestamp", "l_orderkey", "l_linenumber", "title",
-                    "releaseYear", r6("userAverageRating"), "userRatingCount"))
+                    "releaseYear", "userAverageRating", "userRatingCount"))
 
 
 @register("shelf_display")
