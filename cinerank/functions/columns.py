@@ -122,14 +122,27 @@ def blend_score(genre_sim, avg_rating, sim_weight: float = 0.7, rating_weight: f
     return _c(genre_sim) * F.lit(sim_weight) + F.lit(rating_weight) * (_c(avg_rating) / F.lit(5.0))
 
 
-def rank_genres(genre_texts, n: int | None = None) -> Column:
-    """List of "A|B" texts -> distinct genres by count desc, genre asc."""
-    flat = F.flatten(F.transform(_c(genre_texts), lambda g: F.split(g, "\\|")))
-    counted = F.transform(
-        F.array_distinct(flat),
-        lambda x: F.struct((-F.size(F.filter(flat, lambda y: y == x))).alias("neg"), x.alias("genre")))
-    ranked = F.transform(F.array_sort(counted), lambda s: s["genre"])
-    return F.slice(ranked, 1, n) if n else ranked
+def add_ranked_genres(df, list_col: str, out_col: str, n: int | None = None):
+    """List of "A|B" texts in `list_col` -> `out_col`: distinct genres by
+    count desc, genre asc (first `n`).
+
+    Steps are separate projections so that no lambda re-evaluates a list
+    expression: one split of the joined texts, a native sort, one pass for
+    the starts of equal runs; a genre's count is the gap to the next start."""
+    lst = F.col(list_col)
+    empty_s = F.array().cast("array<string>")
+    flat = F.when(F.size(lst) == 0, empty_s).otherwise(F.split(F.concat_ws("|", lst), "\\|"))
+    df = df.withColumn("_gsrt", F.sort_array(flat))
+    srt = F.col("_gsrt")
+    total = F.size(srt)
+    idx = F.when(total > 0, F.sequence(F.lit(0), total - 1)).otherwise(F.array().cast("array<int>"))
+    df = df.withColumn("_gst", F.filter(idx, lambda i: (i == 0) | (F.get(srt, i) != F.get(srt, i - 1))))
+    st = F.col("_gst")
+    nxt = F.concat(F.slice(st, 2, F.greatest(F.size(st) - 1, F.lit(0))), F.array(total))
+    entries = F.zip_with(st, nxt, lambda a, b: F.struct((a - b).alias("neg"), F.get(srt, a).alias("genre")))
+    ranked = F.transform(F.sort_array(entries), lambda e: e["genre"])
+    ranked = F.when(total == 0, empty_s).otherwise(F.slice(ranked, 1, n) if n else ranked)
+    return df.withColumn(out_col, ranked).drop("_gsrt", "_gst")
 
 
 def multi_hot_array(indexes, size) -> Column:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinerank.functions.columns import rank_genres, release_year, round_text, slot, uniform01
+from cinerank.functions.columns import add_ranked_genres, release_year, round_text, slot, uniform01
 from cinerank.operators.profiles import add_label
 from cinerank.operators.sequences import DEFAULT_CHUNK_ROWS, positions, with_preceding_halo
 
@@ -66,8 +66,9 @@ def add_user_features(samples: DataFrame, order_cols: list[str], window: int = 1
         F.stddev_samp("releaseYear").over(w).alias("_ystd"),
         F.avg("rating").over(w).alias("_ravg"),
         F.stddev_samp("rating").over(w).alias("_rstd"),
-        rank_genres(liked_genres, n_slots).alias("_genres"),
+        liked_genres.alias("_lg"),
     ).filter(~F.col("_halo"))
+    f = add_ranked_genres(f, "_lg", "_genres", n_slots)
     zero = F.lit(0.0)
     f = f.select(
         *[c for c in samples.columns if c != "genres"],
