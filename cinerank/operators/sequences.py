@@ -9,7 +9,8 @@ large share of all rows.
   chunks of bounded length and copy the `k` rows a frame needs from the
   neighbouring chunk, so a `rowsBetween(-k, -1)` (or lead) window runs per
   (key, chunk) with bounded groups and the same result as over the whole key.
-* `global_offsets` is a distributed exclusive prefix sum over a total order.
+* `running_sum` is the same idea for sums: a distributed prefix sum per key
+  (or over the whole table) in a total order.
 """
 
 from __future__ import annotations
@@ -68,22 +69,26 @@ def with_following_halo(df: DataFrame, pos_col: str, following: int,
     return base.unionByName(halo)
 
 
-def global_offsets(df: DataFrame, key: str, value: str, out_col: str = "offset",
-                   block: int = 1 << 16) -> DataFrame:
-    """Exclusive prefix sum of `value` over ascending unique integer `key`,
-    in two levels: per-block sums (a table of one row per key block) get
-    their offsets, then each block sums within itself (at most `block`
-    keys per block)."""
-    b = F.floor(F.col(key) / F.lit(block)).cast("long")
-    with_b = df.withColumn("_blk", b)
-    sums = with_b.groupBy("_blk").agg(F.sum(value).alias("_bs"))
-    before_blk = Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("_blk", F.coalesce(F.sum("_bs").over(before_blk), F.lit(0)).alias("_boff"))
-    inner = Window.partitionBy("_blk").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    local = with_b.withColumn("_loc", F.coalesce(F.sum(value).over(inner), F.lit(0)))
-    return (local.join(sums, "_blk")
-            .withColumn(out_col, (F.col("_boff") + F.col("_loc")).cast("long"))
-            .drop("_blk", "_boff", "_loc"))
+def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, out_col: str,
+                inclusive: bool = False, num_partitions: int | None = None) -> DataFrame:
+    """Running sum of `value` within each key under `order` (exclusive by
+    default), exact and skew-safe: range-partition on (key, order), sum
+    within each partition's run of a key, then add the totals of the same
+    key's runs in earlier partitions. With no keys it is a global prefix sum
+    that never gathers the table into one task."""
+    cols = [F.col(c) for c in keys + order]
+    ranged = (df.repartitionByRange(_parts(df, num_partitions), *cols)
+              .withColumn("_pid", F.spark_partition_id()))
+    ranged = ranged.checkpoint(eager=True)  # pin the partition of every row
+    frame_end = Window.currentRow if inclusive else -1
+    wloc = Window.partitionBy("_pid", *keys).orderBy(*cols).rowsBetween(Window.unboundedPreceding, frame_end)
+    local = ranged.withColumn("_loc", F.coalesce(F.sum(value).over(wloc), F.lit(0)))
+    runs = ranged.groupBy("_pid", *keys).agg(F.sum(value).alias("_n"))
+    before = (Window.partitionBy(*keys) if keys else Window).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select("_pid", *keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return (local.join(runs, ["_pid", *keys])
+            .withColumn(out_col, (F.col("_off") + F.col("_loc")).cast("long"))
+            .drop("_pid", "_loc", "_off"))
 
 
 def order_columns(order: list) -> list[Column]:

@@ -70,7 +70,8 @@ def uniform_u32_sql(*parts: str) -> str:
     return f"CAST(('0x' || substr(md5({key}), 1, 8)) AS BIGINT)"
 
 
-def with_ctes(body: str, *names: str, extra: list[str] | None = None) -> str:
+def with_ctes(body: str, *names: str, extra: list[str] | None = None, recursive: bool = False) -> str:
     """Prefix a query with the adapter CTEs it names (plus extra CTEs)."""
     parts = [CTES[n] for n in names] + list(extra or [])
-    return ("WITH " + ",\n".join(parts) + "\n" + body) if parts else body
+    head = "WITH RECURSIVE " if recursive else "WITH "
+    return (head + ",\n".join(parts) + "\n" + body) if parts else body

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cinerank.operators import samples as S
-from cinerank.operators.sequences import global_offsets, positions, with_preceding_halo
+from cinerank.operators.sequences import positions, running_sum, with_preceding_halo
 from cinerank.sources import tables as T
 
 from conftest import SF
@@ -43,12 +43,17 @@ def test_training_samples_independent_of_chunking(spark):
     assert a.exceptAll(b).count() == 0
 
 
-def test_global_offsets(spark):
-    df = spark.range(0, 1000).select(F.col("id").alias("key"), (F.col("id") % 5).alias("v"))
-    got = global_offsets(df, "key", "v", block=64)
+def test_running_sum_global_and_keyed(spark):
+    df = spark.range(0, 1000).select(F.col("id").alias("key"), (F.col("id") % 5).alias("v"),
+                                     F.when(F.col("id") < 900, F.lit(0)).otherwise(F.col("id") % 3).alias("g"))
+    got = running_sum(df, [], ["key"], "v", "offset", num_partitions=7)
     w = Window.orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
     ref = df.withColumn("offset", F.coalesce(F.sum("v").over(w), F.lit(0)))
     assert got.select("key", "offset").exceptAll(ref.select("key", "offset")).count() == 0
+    got2 = running_sum(df, ["g"], ["key"], "v", "cum", inclusive=True, num_partitions=7)
+    w2 = Window.partitionBy("g").orderBy("key")
+    ref2 = df.withColumn("cum", F.sum("v").over(w2))
+    assert got2.select("g", "key", "cum").exceptAll(ref2.select("g", "key", "cum")).count() == 0
 
 
 def test_one_rating_user_has_no_sample_and_text_stats(spark):
