@@ -1,6 +1,6 @@
 """Imports every query module so that the registry is complete."""
 
-from cinerank.plans import q_candidates, q_encoders, q_graph, q_profiles, q_samples, q_vectors  # noqa: F401
+from cinerank.plans import q_candidates, q_encoders, q_graph, q_io, q_profiles, q_samples, q_vectors  # noqa: F401
 from cinerank.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]

@@ -52,8 +52,9 @@ samples AS (
   FROM s4 WHERE userRatingCount > 1)"""
 
 
-def samples_sql(body: str) -> str:
-    return with_ctes(body, "ratings", "movies", extra=[_SAMPLES_CTE])
+def samples_sql(body: str, extra: list[str] | None = None) -> str:
+    """Adapters + the training-sample CTE chain (+ extra CTEs), then body."""
+    return with_ctes(body, "ratings", "movies", extra=[_SAMPLES_CTE, *(extra or [])])
 
 
 def samples(spark, d):
