@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cinerank.functions.columns import blend_score, cosine, genre_array, genre_similarity
 from cinerank.operators.ranking import item_order, top_items, top_items_by_genre, top_k
-from cinerank.operators.vectors import block_top_k
+from cinerank.operators.vectors import pool_top_k
 
 
 def bounded_ids(df: DataFrame, col: str, limit: int) -> list:
@@ -101,7 +101,7 @@ def candidates_by_embedding(seeds: DataFrame, items: DataFrame, vectors: DataFra
     pool_items = top_items(items, pool, "rating").select("movieId")
     pool_vecs = pool_items.join(vectors, "movieId", "left")
     q = vectors.join(seeds.select("movieId"), "movieId", "left_semi")
-    r = block_top_k(q, "movieId", "emb", pool_vecs, "movieId", "emb", size, "cosine")
+    r = pool_top_k(q, "movieId", "emb", pool_vecs, "movieId", "emb", size, "cosine", max_pool_rows=pool)
     return r.select(F.col("qid").alias("seedId"), F.col("cid").alias("candidateId"), "score", "rank")
 
 
@@ -117,7 +117,7 @@ def recommend_for_users(users: DataFrame, items: DataFrame, size: int = 32, mode
     if model == "emb":
         pv = pool_items.join(item_vectors, "movieId", "left")
         uv = u.join(user_vectors, "userId", "left")
-        r = block_top_k(uv, "userId", "emb", pv, "movieId", "emb", size, "cosine")
+        r = pool_top_k(uv, "userId", "emb", pv, "movieId", "emb", size, "cosine", max_pool_rows=pool)
         return r.select(F.col("qid").alias("userId"), F.col("cid").alias("movieId"), "score", "rank")
     if model == "scores":
         pool_ids = bounded_ids(pool_items, "movieId", pool)

@@ -51,7 +51,7 @@ def add_user_features(samples: DataFrame, order_cols: list[str], window: int = 1
     statistics); rows with at most `min_history` earlier ratings are dropped.
     History slots take the oldest liked items of the frame unless
     `recent_first`."""
-    pos = positions(samples, ["userId"], order_cols)
+    pos = samples if "pos" in samples.columns else positions(samples, ["userId"], order_cols)
     framed = with_preceding_halo(pos, "pos", window, chunk_rows)
     w = Window.partitionBy("userId", "_chunk").orderBy("pos").rowsBetween(-window, -1)
     liked = F.collect_list(F.when(F.col("label") == 1, F.col("movieId"))).over(w)
@@ -71,7 +71,7 @@ def add_user_features(samples: DataFrame, order_cols: list[str], window: int = 1
     f = add_ranked_genres(f, "_lg", "_genres", n_slots)
     zero = F.lit(0.0)
     f = f.select(
-        *[c for c in samples.columns if c != "genres"],
+        *[c for c in samples.columns if c not in ("genres", "pos")],
         *[slot("_hist", i).alias(f"userRatedMovie{i + 1}") for i in range(n_slots)],
         "userRatingCount",
         F.coalesce("userAvgReleaseYear", F.lit(0)).alias("userAvgReleaseYear"),
@@ -86,8 +86,10 @@ def add_user_features(samples: DataFrame, order_cols: list[str], window: int = 1
 def training_samples(ratings: DataFrame, movies: DataFrame, order_cols: list[str],
                      threshold: float = 3.5, **kw) -> DataFrame:
     """PF1 -> J1 -> PF3-PF6 -> A2 -> J2 -> user windows: one labelled row per
-    rating with item and user features."""
-    s = add_item_features(add_label(ratings, threshold), movies)
+    rating with item and user features. Positions are taken on the narrow
+    labelled ratings, before the item columns are attached."""
+    labelled = positions(add_label(ratings, threshold), ["userId"], order_cols)
+    s = add_item_features(labelled, movies)
     return add_user_features(s, order_cols, **kw)
 
 

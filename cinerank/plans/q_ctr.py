@@ -11,7 +11,7 @@ from cinerank.operators import ctr as M
 from cinerank.operators import samples as S
 from cinerank.operators.candidates import recommend_for_users
 from cinerank.operators.ranking import top_items
-from cinerank.operators.vectors import block_top_k
+from cinerank.operators.vectors import pool_top_k
 from cinerank.plans.q_profiles import items
 from cinerank.plans.q_samples import samples, samples_sql
 from cinerank.plans.registry import register
@@ -259,7 +259,7 @@ def q_recommend_model(spark, d):
     r = T.ratings(spark, d)
     pool = top_items(items(spark, d), 800, "rating").select("movieId")
     ut, it, w0 = M.fm_pair_tables(m, r.select("userId"), pool, N_USERS, N_ITEMS)
-    top = block_top_k(ut, "userId", "vec", it, "movieId", "vec", 32, "dot")
+    top = pool_top_k(ut, "userId", "vec", it, "movieId", "vec", 32, "dot", max_pool_rows=800)
     return top.select(F.col("qid").alias("userId"), F.col("cid").alias("movieId"),
                       F.round(1 / (1 + F.exp(-(F.col("score") + F.lit(w0)))), 6).alias("score"), "rank")
 
