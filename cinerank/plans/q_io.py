@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cinerank.operators import samples as S
 from cinerank.operators.profiles import top_ratings, user_profiles
-from cinerank.plans.q_profiles import items
+from cinerank.plans.q_profiles import ITEMS_SQL, items
 from cinerank.plans.q_samples import samples, samples_sql
 from cinerank.plans.registry import register
 from cinerank.plans.sql_adapters import RATING_ORDER_SQL, with_ctes
@@ -180,3 +180,32 @@ def q_list_json(spark, d):
     it = items(spark, d)
     ranked = C.similar_items(it.select("movieId"), it, size=16)
     return J.list_json(ranked, "seedId", ["candidateId", "score"])
+
+
+@register("items_with_features", samples_sql(f"""
+SELECT i.movieId, i.title, li.movieAvgRating, li.movieRatingCount
+FROM items i LEFT JOIN (
+  SELECT movieId, movieAvgRating, CAST(movieRatingCount AS VARCHAR) AS movieRatingCount FROM samples
+  QUALIFY row_number() OVER (PARTITION BY movieId ORDER BY {_DESC}) = 1) li USING (movieId)""",
+                                            extra=[ITEMS_SQL]))
+def q_items_with_features(spark, d):
+    """J6 + IO8: catalogue items joined to their stored `mf:` features."""
+    r = T.ratings(spark, d)
+    expires, now = _store_expiry(r)
+    store = ST.FeatureStore(spark, _fresh(spark, "store-j6"))
+    ST.put_item_features(store, S.latest_item_features(samples(spark, d), T.RATING_ORDER), S.ITEM_FEATURES, expires)
+    j = ST.attach_features(items(spark, d).select("movieId", "title"), store, "mf:", "movieId", now)
+    return j.select("movieId", "title", F.col("fields")["movieAvgRating"].alias("movieAvgRating"),
+                    F.col("fields")["movieRatingCount"].alias("movieRatingCount"))
+
+
+@register("rating_lists", with_ctes(f"""
+SELECT userId, row_number() OVER (PARTITION BY userId ORDER BY {RATING_ORDER_SQL}) - 1 AS pos,
+       movieId, rating, "timestamp"
+FROM ratings""", "ratings"))
+def q_rating_lists(spark, d):
+    """Every user's ratings in time order as (userId, pos) rows; the
+    list form is built from bounded pages (see user_json)."""
+    from cinerank.operators.sequences import positions
+    p = positions(T.ratings(spark, d), ["userId"], T.RATING_ORDER)
+    return p.select("userId", "pos", "movieId", "rating", "timestamp")

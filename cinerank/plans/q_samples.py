@@ -54,7 +54,7 @@ samples AS (
 
 def samples_sql(body: str, extra: list[str] | None = None) -> str:
     """Adapters + the training-sample CTE chain (+ extra CTEs), then body."""
-    return with_ctes(body, "ratings", "movies", extra=[_SAMPLES_CTE, *(extra or [])])
+    return with_ctes(body, "ratings", "movies", "links", extra=[_SAMPLES_CTE, *(extra or [])])
 
 
 def samples(spark, d):

@@ -91,3 +91,11 @@ def put_embeddings(store: FeatureStore, vectors: DataFrame, prefix: str, id_col:
                           F.create_map(F.lit("emb"), vector_text("emb")).alias("fields"),
                           expires_at.cast("timestamp").alias("expires_at"))
     return store.put(recs)
+
+
+def attach_features(items: DataFrame, store: FeatureStore, prefix: str, id_col: str = "movieId",
+                    now: Column | None = None) -> DataFrame:
+    """Items left-joined with their live feature record (`fields`, null
+    when the store has none) on the id parsed from the key."""
+    recs = store.get(prefix, now).select(F.col("id").cast("long").alias(id_col), "fields")
+    return items.join(recs, id_col, "left")
