@@ -12,7 +12,7 @@ from cinerank.operators import samples as S
 from cinerank.operators.candidates import recommend_for_users
 from cinerank.operators.ranking import top_items
 from cinerank.operators.vectors import pool_top_k
-from cinerank.plans.q_profiles import items
+from cinerank.plans.q_profiles import ITEMS_SQL, items
 from cinerank.plans.q_samples import samples, samples_sql
 from cinerank.plans.registry import register
 from cinerank.plans.sql_adapters import sum_list_sql, uniform_u32_sql
@@ -264,7 +264,15 @@ def q_recommend_model(spark, d):
                       F.round(1 / (1 + F.exp(-(F.col("score") + F.lit(w0)))), 6).alias("score"), "rank")
 
 
-@register("recommend_scores")
+@register("recommend_scores", samples_sql(f"""
+SELECT userId, movieId, score, rank FROM (
+  SELECT sc.*, row_number() OVER (PARTITION BY userId ORDER BY score DESC, movieId) AS rank
+  FROM (SELECT userId, movieId, avg(rating) AS score
+        FROM (SELECT *, {_SPLIT_U} / 4294967296.0 AS u FROM samples) WHERE u < 0.1 AND u >= 0.1 * 0.8
+        GROUP BY userId, movieId) sc
+  WHERE movieId IN (SELECT movieId FROM items ORDER BY averageRating DESC, movieId LIMIT 800)
+    AND userId IN (SELECT userId FROM ratings))
+WHERE rank <= 32""", extra=[ITEMS_SQL]))
 def q_recommend_scores(spark, d):
     """R5 with a given score table: rank the pool by each user's own item
     mean ratings of the held-out samples (a data-derived score table)."""
