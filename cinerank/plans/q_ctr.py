@@ -115,9 +115,10 @@ def q_interest_vector(spark, d):
 
 
 def _baseline(spark, d):
-    """Test part scored by a rating baseline: item mean rating / 5."""
+    """Test part scored by a rating baseline: item mean rating / 5
+    (materialised once: the metrics read it several times)."""
     t = _split(spark, d).filter(F.col("part") == "test")
-    return M.model_inputs(t).withColumn("score", F.col("movieAvgRating") / 5.0)
+    return M.model_inputs(t).withColumn("score", F.col("movieAvgRating") / 5.0).checkpoint(eager=True)
 
 
 _SPLIT_U = uniform_u32_sql(*["userId", "movieId", '"timestamp"'] + T.TIE_BREAK, "42")
@@ -167,7 +168,9 @@ def q_prediction_report(spark, d):
 
 
 def _train_test(spark, d):
-    sp = M.model_inputs(_split(spark, d))
+    """Model inputs of the 10% sample, materialised once: every estimator
+    stage (encoders, scalers, the model) passes over the training rows."""
+    sp = M.model_inputs(_split(spark, d)).checkpoint(eager=True)
     return sp.filter(F.col("part") == "train"), sp.filter(F.col("part") == "test")
 
 
