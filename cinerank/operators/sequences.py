@@ -69,26 +69,44 @@ def with_following_halo(df: DataFrame, pos_col: str, following: int,
     return base.unionByName(halo)
 
 
-def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, out_col: str,
+_AGG = {"sum": F.sum, "min": F.min, "max": F.max}
+
+
+def running_agg(df: DataFrame, keys: list[str], order: list[str], value: str, out_col: str, op: str = "sum",
                 inclusive: bool = False, num_partitions: int | None = None) -> DataFrame:
-    """Running sum of `value` within each key under `order` (exclusive by
-    default), exact and skew-safe: range-partition on (key, order), sum
-    within each partition's run of a key, then add the totals of the same
-    key's runs in earlier partitions. With no keys it is a global prefix sum
-    that never gathers the table into one task."""
+    """Running sum / min / max of `value` within each key under `order`
+    (exclusive by default; sum starts at 0, min/max at null), exact and
+    skew-safe: range-partition on (key, order), aggregate within each
+    partition's run of a key, then combine with the runs of the same key in
+    earlier partitions. With no keys it runs over the whole table without
+    gathering it into one task."""
+    agg = _AGG[op]
     cols = [F.col(c) for c in keys + order]
     ranged = (df.repartitionByRange(_parts(df, num_partitions), *cols)
               .withColumn("_pid", F.spark_partition_id()))
     ranged = ranged.checkpoint(eager=True)  # pin the partition of every row
     frame_end = Window.currentRow if inclusive else -1
     wloc = Window.partitionBy("_pid", *keys).orderBy(*cols).rowsBetween(Window.unboundedPreceding, frame_end)
-    local = ranged.withColumn("_loc", F.coalesce(F.sum(value).over(wloc), F.lit(0)))
-    runs = ranged.groupBy("_pid", *keys).agg(F.sum(value).alias("_n"))
+    local = ranged.withColumn("_loc", agg(value).over(wloc))
+    runs = ranged.groupBy("_pid", *keys).agg(agg(value).alias("_n"))
     before = (Window.partitionBy(*keys) if keys else Window).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select("_pid", *keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    return (local.join(runs, ["_pid", *keys])
-            .withColumn(out_col, (F.col("_off") + F.col("_loc")).cast("long"))
-            .drop("_pid", "_loc", "_off"))
+    runs = runs.select("_pid", *keys, agg("_n").over(before).alias("_off"))
+    if op == "sum":
+        combined = F.coalesce(F.col("_off"), F.lit(0)) + F.coalesce(F.col("_loc"), F.lit(0))
+    elif op == "min":
+        combined = F.least("_off", "_loc")
+    else:
+        combined = F.greatest("_off", "_loc")
+    out = local.join(runs, ["_pid", *keys]).withColumn(out_col, combined)
+    if op == "sum":
+        out = out.withColumn(out_col, F.col(out_col).cast("long"))
+    return out.drop("_pid", "_loc", "_off")
+
+
+def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, out_col: str,
+                inclusive: bool = False, num_partitions: int | None = None) -> DataFrame:
+    """Running sum of `value` within each key under `order` (see running_agg)."""
+    return running_agg(df, keys, order, value, out_col, "sum", inclusive, num_partitions)
 
 
 def order_columns(order: list) -> list[Column]:
