@@ -43,18 +43,21 @@ def positions(df: DataFrame, keys: list[str], order: list[str], pos_col: str = "
             .drop("_pid", "_rid", "_first", "_off"))
 
 
+def _with_halo(df: DataFrame, pos_col: str, chunk_rows: int, copy_to_next: Column, step: int) -> DataFrame:
+    chunk = F.floor(F.col(pos_col) / F.lit(chunk_rows)).cast("long")
+    targets = F.when(copy_to_next, F.array(chunk, chunk + step)).otherwise(F.array(chunk))
+    out = df.withColumn("_own", chunk).withColumn("_chunk", F.explode(targets))
+    return out.withColumn("_halo", F.col("_chunk") != F.col("_own")).drop("_own")
+
+
 def with_preceding_halo(df: DataFrame, pos_col: str, preceding: int,
                         chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """Add `_chunk` and `_halo`; rows in the last `preceding` slots of a chunk
-    are copied into the next chunk as halo rows. Window per (key, _chunk),
-    then drop halo rows."""
+    are also emitted into the next chunk as halo rows (one pass, no union).
+    Window per (key, _chunk), then drop halo rows."""
     if chunk_rows < preceding:
         raise ValueError("chunk_rows must be >= preceding")
-    chunk = F.floor(F.col(pos_col) / F.lit(chunk_rows)).cast("long")
-    base = df.withColumn("_chunk", chunk).withColumn("_halo", F.lit(False))
-    halo = (df.filter(F.col(pos_col) % chunk_rows >= chunk_rows - preceding)
-            .withColumn("_chunk", chunk + 1).withColumn("_halo", F.lit(True)))
-    return base.unionByName(halo)
+    return _with_halo(df, pos_col, chunk_rows, F.col(pos_col) % chunk_rows >= chunk_rows - preceding, 1)
 
 
 def with_following_halo(df: DataFrame, pos_col: str, following: int,
@@ -62,11 +65,8 @@ def with_following_halo(df: DataFrame, pos_col: str, following: int,
     """Mirror of `with_preceding_halo` for lead()-style frames."""
     if chunk_rows < following:
         raise ValueError("chunk_rows must be >= following")
-    chunk = F.floor(F.col(pos_col) / F.lit(chunk_rows)).cast("long")
-    base = df.withColumn("_chunk", chunk).withColumn("_halo", F.lit(False))
-    halo = (df.filter((F.col(pos_col) % chunk_rows < following) & (F.col(pos_col) >= chunk_rows))
-            .withColumn("_chunk", chunk - 1).withColumn("_halo", F.lit(True)))
-    return base.unionByName(halo)
+    first_rows = (F.col(pos_col) % chunk_rows < following) & (F.col(pos_col) >= chunk_rows)
+    return _with_halo(df, pos_col, chunk_rows, first_rows, -1)
 
 
 _AGG = {"sum": F.sum, "min": F.min, "max": F.max}
