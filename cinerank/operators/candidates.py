@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinerank.functions.columns import blend_score, cosine, genre_array, genre_similarity
-from cinerank.operators.ranking import item_order, top_items, top_items_by_genre, top_k
+from cinerank.operators.ranking import top_items, top_items_by_genre, top_k
 from cinerank.operators.vectors import pool_top_k
 
 

@@ -80,7 +80,7 @@ def indicator(df: DataFrame, cols: list[str]) -> DataFrame:
     return enc.fit(df).transform(df)
 
 
-def _genre_stage_cols(vocab: list[str]) -> list[str]:
+def _genre_stage_cols() -> list[str]:
     return [c + "Idx" for c in GENRE_COLS]
 
 
@@ -112,7 +112,7 @@ def _fit_mlp(d: DataFrame, feature_stages: list, hidden, max_iter: int, seed: in
 def mlp_model(train: DataFrame, vocab: list[str], hidden=(128, 128), max_iter: int = 20, seed: int = 42):
     """Numeric + genre indicators -> perceptron with `hidden` layers."""
     d = _with_genre_codes(train, vocab)
-    idx = _genre_stage_cols(vocab)
+    idx = _genre_stage_cols()
     onehot = OneHotEncoder(inputCols=idx, outputCols=[c + "Vec" for c in idx], dropLast=False, handleInvalid="keep")
     num = VectorAssembler(inputCols=NUMERIC_COLS, outputCol="numRaw", handleInvalid="keep")
     scale = MinMaxScaler(inputCol="numRaw", outputCol="numScaled")
@@ -200,7 +200,7 @@ def fm_model(train: DataFrame, vocab: list[str], n_users: int, n_items: int, fac
     """First-order indicators (item, user, genres) + scaled numerics,
     pairwise factor interactions (FM with a linear part)."""
     d = pair_inputs(_with_genre_codes(train, vocab), n_users, n_items)
-    idx = ["userIdIdx", "movieIdIdx"] + _genre_stage_cols(vocab)
+    idx = ["userIdIdx", "movieIdIdx"] + _genre_stage_cols()
     enc = OneHotEncoder(inputCols=idx, outputCols=[c + "Vec" for c in idx], dropLast=False, handleInvalid="keep")
     num = VectorAssembler(inputCols=NUMERIC_COLS, outputCol="numRaw", handleInvalid="keep")
     scale = MinMaxScaler(inputCol="numRaw", outputCol="numScaled")

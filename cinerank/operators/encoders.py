@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (Bucketizer, MinMaxScaler, OneHotEncoder, QuantileDiscretizer, StringIndexer,
                                 VectorAssembler)
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -110,6 +109,3 @@ def numeric_features(ratings: DataFrame, num_buckets: int = 100) -> DataFrame:
     scaled = min_max_scale(stats, "avgRatingVec", "scaleAvgRatingVec")
     return scaled.withColumn("scaleAvgRating", F.get(vector_to_array("scaleAvgRatingVec"), 0))
 
-
-def fit_pipeline(df: DataFrame, stages: list) -> PipelineModel:
-    return Pipeline(stages=stages).fit(df)

@@ -3,7 +3,6 @@ user gets a list (whole tables)."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from cinerank.operators import candidates as C
 from cinerank.plans.q_profiles import ITEMS_SQL, items

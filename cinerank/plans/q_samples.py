@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from cinerank.operators import samples as S
 from cinerank.plans.registry import register

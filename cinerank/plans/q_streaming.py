@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
 
 from cinerank.plans.registry import register
 from cinerank.plans.sql_adapters import with_ctes

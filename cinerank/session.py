@@ -42,11 +42,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     as is. Only when it is unset (local tests) a scratch folder is created.
     """
     sc = spark.sparkContext
+    current = sc._jsc.sc().getCheckpointDir()
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not d and not current.isEmpty():
+        return current.get()
     if not d:
-        d = tempfile.mkdtemp(prefix="cinerank-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        d = tempfile.mkdtemp(prefix="cinerank-ckpt-")  # local runs only: nothing configured
+        try:
+            spark.conf.set("spark.checkpoint.dir", d)
+        except Exception:  # some sessions refuse core settings at runtime
+            pass
+    if current.isEmpty():
         sc.setCheckpointDir(d)
     return d
 
