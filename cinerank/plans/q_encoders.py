@@ -60,7 +60,7 @@ mm AS (SELECT min(avgRating) AS lo, max(avgRating) AS hi FROM st)"""
 @register("numeric_features", with_ctes("""
 SELECT s.movieId, s.ratingCount, s.avgRating, round(s.ratingVar, 6) AS ratingVar,
        CAST((SELECT count(*) FROM cuts c WHERE c.cut <= s.ratingCount) AS DOUBLE) AS ratingCountBucket,
-       CASE WHEN mm.hi = mm.lo THEN 0.5 ELSE (s.avgRating - mm.lo) / (mm.hi - mm.lo) END AS scaleAvgRating
+       CASE WHEN mm.hi = mm.lo THEN 0.5 ELSE (s.avgRating - mm.lo) * (1.0 / (mm.hi - mm.lo)) + 0.0 END AS scaleAvgRating
 FROM st s, mm""", "ratings", extra=[NUMERIC_SQL]))
 def q_numeric_features(spark, d):
     """M5 (A3 + V7 + M3 + M4): rating-count quantile buckets (100) and
