@@ -19,6 +19,7 @@ from cinerank.sources import serialize as J
 from cinerank.sources import store as ST
 from cinerank.sources import tables as T
 from cinerank.operators import candidates as C
+from cinerank.plans.q_candidates import PAIRS100, SEEDG, _gtop
 
 
 def _fresh(spark, name: str) -> str:
@@ -158,14 +159,33 @@ def q_samples_csv(spark, d):
     return back.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@register("item_json")
+_RATING_JSON = "{'rating': {'movieId': movieId, 'userId': userId, 'score': CAST(rating AS FLOAT), 'timestamp': \"timestamp\"}}"
+
+
+@register("item_json", with_ctes(f"""
+SELECT i.movieId, to_json({{'movieId': i.movieId, 'title': i.title, 'releaseYear': i.releaseYear, 'imdbId': i.imdbId,
+                            'tmdbId': i.tmdbId, 'genres': string_split(i.genres, '|'), 'ratingNumber': i.ratingNumber,
+                            'averageRating': i.averageRating, 'topRatings': coalesce(t.l, [])}})::VARCHAR AS json
+FROM items i LEFT JOIN (
+  SELECT movieId, list({_RATING_JSON} ORDER BY rank DESC) AS l
+  FROM (SELECT r.*, row_number() OVER (PARTITION BY movieId ORDER BY rating DESC, {RATING_ORDER_SQL}) AS rank
+        FROM ratings r WHERE movieId IN (SELECT movieId FROM movies))
+  WHERE rank <= 10 GROUP BY movieId) t USING (movieId)""", "ratings", "movies", "links", extra=[ITEMS_SQL]))
 def q_item_json(spark, d):
     """IO12: item documents with their top-10 ratings."""
     top = top_ratings(T.ratings(spark, d), T.movies(spark, d), T.RATING_ORDER, 10)
     return J.item_json(items(spark, d), top)
 
 
-@register("user_json")
+@register("user_json", with_ctes(f"""
+SELECT p.userId, p.page, to_json({{'userId': p.userId, 'averageRating': u.averageRating, 'highestRating': u.highestRating,
+                                   'lowestRating': u.lowestRating, 'ratingCount': u.ratingCount, 'ratings': p.l}})::VARCHAR AS json
+FROM (SELECT userId, CAST(pos // 1000 AS BIGINT) AS page, list({_RATING_JSON} ORDER BY pos) AS l
+      FROM (SELECT r.*, row_number() OVER (PARTITION BY userId ORDER BY {RATING_ORDER_SQL}) - 1 AS pos FROM ratings r)
+      GROUP BY userId, pos // 1000) p
+JOIN (SELECT userId, avg(rating) AS averageRating, greatest(0.0, max(rating)) AS highestRating,
+             least(5.0, min(rating)) AS lowestRating, count(*) AS ratingCount FROM ratings GROUP BY userId) u
+  USING (userId)""", "ratings"))
 def q_user_json(spark, d):
     """IO13: user documents with ratings in time order, paged."""
     r = T.ratings(spark, d)
@@ -174,7 +194,14 @@ def q_user_json(spark, d):
     return J.user_json(user_profiles(r), rated)
 
 
-@register("list_json")
+@register("list_json", with_ctes("""
+SELECT seedId, to_json(list({'rank': rank, 'candidateId': candidateId, 'score': score} ORDER BY rank))::VARCHAR AS json
+FROM (SELECT seedId, candidateId, score, row_number() OVER (PARTITION BY seedId ORDER BY score DESC, candidateId) AS rank
+      FROM (SELECT seedId, candidateId,
+                   (len(list_filter(string_split(seedGenres, '|'), lambda x: list_contains(string_split(candGenres, '|'), x)))::DOUBLE
+                    / (len(string_split(seedGenres, '|')) + len(string_split(candGenres, '|')))::DOUBLE / 2.0) * 0.7
+                   + 0.3 * (candAvg / 5.0) AS score FROM pairs))
+WHERE rank <= 16 GROUP BY seedId""", "ratings", "movies", "links", extra=[ITEMS_SQL, _gtop(100), SEEDG, PAIRS100]))
 def q_list_json(spark, d):
     """IO14: each item's similar-items list as a JSON array."""
     it = items(spark, d)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from cinerank.functions.columns import genre_array
 
+JSON_OPTS = {"ignoreNullFields": "false"}  # nulls written out, as a default object mapper does
+
 def _rating_entry():
     """One rating as {"rating": {movieId, userId, score, timestamp}}."""
     s = F.struct("movieId", "userId", F.col("rating").cast("float").alias("score"), "timestamp")
@@ -23,7 +25,7 @@ def item_json(items: DataFrame, top: DataFrame) -> DataFrame:
     doc = F.struct("movieId", "title", "releaseYear", "imdbId", "tmdbId", genre_array("genres").alias("genres"),
                    "ratingNumber", "averageRating",
                    F.coalesce("topRatings", F.array().cast(lists.schema["topRatings"].dataType)).alias("topRatings"))
-    return j.select("movieId", F.to_json(doc).alias("json"))
+    return j.select("movieId", F.to_json(doc, JSON_OPTS).alias("json"))
 
 
 def user_json(users: DataFrame, rated: DataFrame, page_size: int = 1000) -> DataFrame:
@@ -36,10 +38,10 @@ def user_json(users: DataFrame, rated: DataFrame, page_size: int = 1000) -> Data
     pages = pages.select("userId", "page", F.transform("_l", lambda e: e["r"]).alias("ratings"))
     j = users.join(pages, "userId")
     doc = F.struct("userId", "averageRating", "highestRating", "lowestRating", "ratingCount", "ratings")
-    return j.select("userId", "page", F.to_json(doc).alias("json"))
+    return j.select("userId", "page", F.to_json(doc, JSON_OPTS).alias("json"))
 
 
 def list_json(ranked: DataFrame, query_col: str, item_cols: list[str]) -> DataFrame:
     """IO14: ranked list per query (bounded by its size) -> JSON array."""
     l = ranked.groupBy(query_col).agg(F.sort_array(F.collect_list(F.struct("rank", *item_cols))).alias("_l"))
-    return l.select(query_col, F.to_json("_l").alias("json"))
+    return l.select(query_col, F.to_json("_l", JSON_OPTS).alias("json"))
