@@ -157,7 +157,16 @@ def q_user_page(spark, d):
                     "releaseYear", "userAverageRating", "userRatingCount"))
 
 
-@register("shelf_display")
+_DISPLAY = ("CASE WHEN averageRating >= 1.0 "
+            "THEN printf('%.1f', round(CAST(CAST(averageRating AS VARCHAR) AS DECIMAL(38, 18)), 1)) "
+            "ELSE printf('%.2f', round(CAST(CAST(averageRating AS VARCHAR) AS DECIMAL(38, 18)), 2)) END")
+
+
+@register("shelf_display", items_sql(f"""
+SELECT genre, rank, movieId, {_DISPLAY} AS rating
+FROM (SELECT g.genre, i.*, row_number() OVER (PARTITION BY g.genre ORDER BY i.averageRating DESC, i.movieId) AS rank
+      FROM items i, unnest(string_split(i.genres, '|')) AS g(genre))
+WHERE rank <= 8"""))
 def q_shelf_display(spark, d):
     """PF12: shelf rows with the two-significant-digit rating text."""
     shelf = R.top_items_by_genre(items(spark, d), size=8, sort_by="rating")
