@@ -232,7 +232,15 @@ def q_model_metrics(spark, d):
     return M.binary_metrics(M.predict(m, M.pair_inputs(te, N_USERS, N_ITEMS)))
 
 
-@register("indicator_vectors")
+@register("indicator_vectors", samples_sql(f"""
+SELECT {', '.join(KEY)},
+       (SELECT CAST(max(CASE WHEN movieId >= 0 AND movieId < {N_ITEMS} THEN movieId ELSE {N_ITEMS} END) + 2 AS INTEGER)
+          FROM samples) AS movieIdIdxSize,
+       (SELECT CAST(max(CASE WHEN userId >= 0 AND userId < {N_USERS} THEN userId ELSE {N_USERS} END) + 2 AS INTEGER)
+          FROM samples) AS userIdIdxSize,
+       (SELECT CAST(max(greatest(coalesce(list_position(vocab.v, movieGenre1), 0) - 1, 0)) + 2 AS INTEGER)
+          FROM samples, vocab) AS movieGenre1IdxSize
+FROM samples""", extra=VOCAB_SQL))
 def q_indicator_vectors(spark, d):
     """C4: one-hot indicators of item, user and first genre slot."""
     s = M.encode_vocab(samples(spark, d), ["movieGenre1"], _vocab(spark, d))
