@@ -1,9 +1,18 @@
 """Keyed feature table (IO7-IO11): the batch stand-in for a key-value
 serving store. Rows are (key string, fields map<string,string>,
-expires_at timestamp), stored as parquet versions under one base folder in
-shared storage. A put writes a new version = previous rows whose key is not
-being replaced + the new rows (anti-join + union); the version being read is
-never overwritten, so a failed or repeated put leaves the store readable."""
+expires_at timestamp), stored as parquet under one base folder in shared
+storage:
+
+* `v=<n>/` full versions. `put` writes version n+1 = current rows whose key
+  is not being replaced + the new rows (anti-join + union).
+* `d=<n>/b=<k>/` deltas on top of version n. `append` writes only the given
+  records (cost grows with the update, not with the store), which is what a
+  streaming micro-batch does; readers take the newest record per key
+  (`max_by` over the delta number, partially aggregated), and `compact`
+  folds the deltas into a new full version.
+
+Nothing is ever written over a folder being read, so a failed or repeated
+write leaves the store readable."""
 
 from __future__ import annotations
 
@@ -33,34 +42,76 @@ class FeatureStore:
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base = spark, base
 
-    def _versions(self) -> list[int]:
+    def _fs_path(self, path: str):
         jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(self.base)
-        fs = path.getFileSystem(conf)
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def _complete(self, folder: str, prefix: str) -> list[int]:
+        """Numbers of finished `<prefix><n>` sub-folders (with _SUCCESS)."""
+        fs, path = self._fs_path(folder)
         if not fs.exists(path):
             return []
+        jvm = self.spark.sparkContext._jvm
         out = []
         for st in fs.listStatus(path):
             name = st.getPath().getName()
-            if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-                out.append(int(name[2:]))
+            if name.startswith(prefix) and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+                out.append(int(name[len(prefix):]))
         return sorted(out)
 
-    def current(self) -> DataFrame:
-        v = self._versions()
-        if not v:
+    def _version(self) -> int:
+        v = self._complete(self.base, "v=")
+        return v[-1] if v else 0
+
+    def _base(self, n: int) -> DataFrame:
+        if n == 0:
             return self.spark.createDataFrame([], STORE_SCHEMA)
-        return self.spark.read.parquet(os.path.join(self.base, f"v={v[-1]:06d}"))
+        return self.spark.read.parquet(os.path.join(self.base, f"v={n:06d}"))
+
+    def _delta_dir(self, n: int) -> str:
+        return os.path.join(self.base, f"d={n:06d}")
+
+    def current(self) -> DataFrame:
+        """Live view: the latest full version plus its deltas, newest record
+        per key."""
+        n = self._version()
+        base = self._base(n)
+        deltas = self._complete(self._delta_dir(n), "b=")
+        if not deltas:
+            return base
+        parts = [base.withColumn("_b", F.lit(-1))] + [
+            self.spark.read.parquet(os.path.join(self._delta_dir(n), f"b={k:06d}")).withColumn("_b", F.lit(k))
+            for k in deltas]
+        allr = parts[0]
+        for p in parts[1:]:
+            allr = allr.unionByName(p)
+        newest = F.max_by(F.struct("fields", "expires_at"), F.col("_b"))
+        return allr.groupBy("key").agg(newest.alias("_r")).select("key", "_r.fields", "_r.expires_at")
 
     def put(self, records: DataFrame) -> int:
-        """Upsert records (key, fields, expires_at); returns the new version."""
-        v = self._versions()
-        nxt = (v[-1] + 1) if v else 1
+        """Upsert records (key, fields, expires_at) into a new full version
+        (deltas included); returns the version number."""
+        nxt = self._version() + 1
         kept = self.current().join(records.select("key"), "key", "left_anti")
-        kept.unionByName(records).write.mode("errorifexists").parquet(os.path.join(self.base, f"v={nxt:06d}"))
+        kept.unionByName(records.select("key", "fields", "expires_at")) \
+            .write.mode("errorifexists").parquet(os.path.join(self.base, f"v={nxt:06d}"))
         return nxt
 
+    def append(self, records: DataFrame) -> int:
+        """Upsert by writing only `records` as the next delta; returns its
+        number."""
+        n = self._version()
+        done = self._complete(self._delta_dir(n), "b=")
+        k = (done[-1] + 1) if done else 0
+        records.select("key", "fields", "expires_at").write.mode("errorifexists") \
+            .parquet(os.path.join(self._delta_dir(n), f"b={k:06d}"))
+        return k
+
+    def compact(self) -> int:
+        """Fold the deltas into a new full version."""
+        return self.put(self.spark.createDataFrame([], STORE_SCHEMA))
+
     def get(self, prefix: str, now: Column | None = None) -> DataFrame:
         """IO10: records under a key prefix that have not expired, with the
         id after the ':' parsed out."""

@@ -55,3 +55,21 @@ def test_store_upsert_expiry_and_lookup(spark):
     assert allr["2"] == {"g": "c", "n": "21"}
     look = {r.userId: r.fields for r in st.lookup(spark.createDataFrame([(1,), (9,)], "userId long"), "uf:", "userId").collect()}
     assert look[9] is None and dict(look[1]) == {"g": "a", "n": "10"}
+
+
+def test_store_deltas_and_compaction(spark):
+    base = tempfile.mkdtemp(prefix="cinerank-store-")
+    st = ST.FeatureStore(spark, os.path.join(base, "s"))
+    exp = F.timestamp_seconds(F.lit(1000))
+    d1 = spark.createDataFrame([(1, "a"), (2, "b")], "userId long, g string")
+    assert st.append(ST.keyed(d1, "uf:", "userId", ["g"], exp)) == 0  # delta on an empty store
+    d2 = spark.createDataFrame([(2, "c"), (3, "d")], "userId long, g string")
+    assert st.append(ST.keyed(d2, "uf:", "userId", ["g"], exp)) == 1
+    view = {r.key: r.fields["g"] for r in st.current().collect()}
+    assert view == {"uf:1": "a", "uf:2": "c", "uf:3": "d"}  # newest delta wins
+    v = st.compact()
+    assert v == 1
+    assert {r.key: r.fields["g"] for r in st.current().collect()} == view
+    d3 = spark.createDataFrame([(1, "z")], "userId long, g string")
+    st.append(ST.keyed(d3, "uf:", "userId", ["g"], exp))  # delta on top of version 1
+    assert {r.key: r.fields["g"] for r in st.current().collect()}["uf:1"] == "z"
