@@ -56,6 +56,27 @@ def display_rating(x) -> Column:
     return F.when(v >= 1.0, F.format_string("%.1f", v)).otherwise(F.format_string("%.2f", v))
 
 
+# ---------------------------------------------------------------- moments
+def var_from_sums(n, s, ss) -> Column:
+    """Sample variance (n * sum(x^2) - sum(x)^2) / (n * (n - 1)); null for
+    n < 2. For discrete inputs (ratings in 0.5 steps, integer years) the
+    sums are exact in double, so this is the correctly rounded variance,
+    independent of summation order or engine."""
+    n = _c(n).cast("double")
+    s, ss = _c(s).cast("double"), _c(ss).cast("double")
+    return F.when(n > 1, (n * ss - s * s) / (n * (n - F.lit(1.0))))
+
+
+def sample_var(x) -> Column:
+    """Aggregate form of `var_from_sums` (exact for discrete inputs)."""
+    v = _c(x).cast("double")
+    return var_from_sums(F.count(v), F.sum(v), F.sum(v * v))
+
+
+def sample_stddev(x) -> Column:
+    return F.sqrt(sample_var(x))
+
+
 # ---------------------------------------------------------------- draws
 def uniform_u32(*parts) -> Column:
     """Reproducible 32-bit integer draw from md5 of the '|'-joined key."""

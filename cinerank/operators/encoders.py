@@ -16,7 +16,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinerank.functions.columns import multi_hot_array
+from cinerank.functions.columns import multi_hot_array, sample_var
 from cinerank.operators.sequences import positions
 
 VECTOR_STRUCT = "v struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
@@ -103,7 +103,7 @@ def numeric_features(ratings: DataFrame, num_buckets: int = 100) -> DataFrame:
     bucket (M3); mean -> 1-vector (V7) -> min-max scaled (M4)."""
     stats = ratings.groupBy("movieId").agg(
         F.count(F.lit(1)).alias("ratingCount"), F.avg("rating").alias("avgRating"),
-        F.variance("rating").alias("ratingVar"))
+        sample_var("rating").alias("ratingVar"))
     stats = dense_vector(stats, "avgRating", "avgRatingVec")
     stats = quantile_bucket(stats, "ratingCount", "ratingCountBucket", num_buckets)
     scaled = min_max_scale(stats, "avgRatingVec", "scaleAvgRatingVec")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinerank.functions.columns import clean_title, release_year
+from cinerank.functions.columns import clean_title, release_year, sample_var
 from cinerank.operators.ranking import top_k
 
 
@@ -36,7 +36,7 @@ def rating_stats(ratings: DataFrame) -> DataFrame:
     return ratings.groupBy("movieId").agg(
         F.count(F.lit(1)).alias("ratingCount"),
         F.avg("rating").alias("avgRating"),
-        F.var_samp("rating").alias("ratingVar"))
+        sample_var("rating").alias("ratingVar"))
 
 
 def items_with_links(movies: DataFrame, links: DataFrame) -> DataFrame:

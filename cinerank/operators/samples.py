@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinerank.functions.columns import add_ranked_genres, release_year, round_text, slot, uniform01
+from cinerank.functions.columns import (add_ranked_genres, release_year, round_text, sample_stddev, slot,
+                                        uniform01, var_from_sums)
 from cinerank.operators.profiles import add_label
 from cinerank.operators.sequences import DEFAULT_CHUNK_ROWS, positions, with_preceding_halo
 
@@ -26,11 +27,12 @@ ITEM_FEATURES = ["releaseYear", "movieGenre1", "movieGenre2", "movieGenre3", "mo
 
 def item_rating_features(samples: DataFrame) -> DataFrame:
     """A2: per item count, two-digit mean text and two-digit sample stddev
-    text (one rating -> "0.00")."""
+    text (one rating -> "0.00"). Moments come from exact sums (see
+    `var_from_sums`), so the two-digit text does not depend on the engine."""
     return samples.groupBy("movieId").agg(
         F.count(F.lit(1)).alias("movieRatingCount"),
         round_text(F.avg("rating"), 2).alias("movieAvgRating"),
-        round_text(F.coalesce(F.nanvl(F.stddev_samp("rating"), F.lit(0.0)), F.lit(0.0)), 2).alias("movieRatingStddev"))
+        round_text(F.coalesce(sample_stddev("rating"), F.lit(0.0)), 2).alias("movieRatingStddev"))
 
 
 def add_item_features(samples: DataFrame, movies: DataFrame, fallback_year: int = 1990) -> DataFrame:
@@ -63,9 +65,12 @@ def add_user_features(samples: DataFrame, order_cols: list[str], window: int = 1
         liked.alias("_hist"),
         F.count(F.lit(1)).over(w).alias("userRatingCount"),
         F.avg("releaseYear").over(w).cast("int").alias("userAvgReleaseYear"),
-        F.stddev_samp("releaseYear").over(w).alias("_ystd"),
+        F.sqrt(var_from_sums(F.count("releaseYear").over(w), F.sum(F.col("releaseYear").cast("double")).over(w),
+                             F.sum(F.col("releaseYear").cast("double") * F.col("releaseYear").cast("double")).over(w))
+               ).alias("_ystd"),
         F.avg("rating").over(w).alias("_ravg"),
-        F.stddev_samp("rating").over(w).alias("_rstd"),
+        F.sqrt(var_from_sums(F.count("rating").over(w), F.sum("rating").over(w),
+                             F.sum(F.col("rating") * F.col("rating")).over(w))).alias("_rstd"),
         liked_genres.alias("_lg"),
     ).filter(~F.col("_halo"))
     f = add_ranked_genres(f, "_lg", "_genres", n_slots)

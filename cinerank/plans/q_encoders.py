@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cinerank.operators import encoders as E
 from cinerank.plans.registry import register
-from cinerank.plans.sql_adapters import with_ctes
+from cinerank.plans.sql_adapters import var_sql, with_ctes
 from cinerank.sources import tables as T
 
 
@@ -45,8 +45,8 @@ def q_multi_hot(spark, d):
                     hot.alias("hot"))
 
 
-NUMERIC_SQL = """st AS (
-  SELECT movieId, count(*) AS ratingCount, avg(rating) AS avgRating, var_samp(rating) AS ratingVar
+NUMERIC_SQL = f"""st AS (
+  SELECT movieId, count(*) AS ratingCount, avg(rating) AS avgRating, {var_sql('rating')} AS ratingVar
   FROM ratings GROUP BY movieId),
 ranked AS (SELECT ratingCount, row_number() OVER (ORDER BY ratingCount) AS rk FROM st),
 nn AS (SELECT count(*) AS n FROM st),
@@ -58,7 +58,7 @@ mm AS (SELECT min(avgRating) AS lo, max(avgRating) AS hi FROM st)"""
 
 
 @register("numeric_features", with_ctes("""
-SELECT s.movieId, s.ratingCount, s.avgRating, round(s.ratingVar, 6) AS ratingVar,
+SELECT s.movieId, s.ratingCount, s.avgRating, s.ratingVar,
        CAST((SELECT count(*) FROM cuts c WHERE c.cut <= s.ratingCount) AS DOUBLE) AS ratingCountBucket,
        CASE WHEN mm.hi = mm.lo THEN 0.5 ELSE (s.avgRating - mm.lo) * (1.0 / (mm.hi - mm.lo)) + 0.0 END AS scaleAvgRating
 FROM st s, mm""", "ratings", extra=[NUMERIC_SQL]))
@@ -66,5 +66,5 @@ def q_numeric_features(spark, d):
     """M5 (A3 + V7 + M3 + M4): rating-count quantile buckets (100) and
     min-max scaled mean rating per item."""
     f = E.numeric_features(T.ratings(spark, d))
-    return f.select("movieId", "ratingCount", "avgRating", F.round("ratingVar", 6).alias("ratingVar"),
+    return f.select("movieId", "ratingCount", "avgRating", "ratingVar",
                     "ratingCountBucket", "scaleAvgRating")

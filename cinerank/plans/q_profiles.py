@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from cinerank.functions.columns import display_rating
 from cinerank.operators import profiles as P
 from cinerank.operators import ranking as R
-from cinerank.plans.registry import r6, register
-from cinerank.plans.sql_adapters import RATING_ORDER_SQL, clean_title_sql, with_ctes, year_sql
+from cinerank.plans.registry import register
+from cinerank.plans.sql_adapters import RATING_ORDER_SQL, clean_title_sql, var_sql, with_ctes, year_sql
 from cinerank.sources import tables as T
 
 
@@ -97,13 +97,13 @@ def q_rating_distribution(spark, d):
     return P.rating_distribution(T.ratings(spark, d)).select("rating", "count", "percentage")
 
 
-@register("rating_stats", with_ctes("""
-SELECT movieId, count(*) AS ratingCount, avg(rating) AS avgRating, round(var_samp(rating), 6) AS ratingVar
+@register("rating_stats", with_ctes(f"""
+SELECT movieId, count(*) AS ratingCount, avg(rating) AS avgRating, {var_sql('rating')} AS ratingVar
 FROM ratings GROUP BY movieId""", "ratings"))
 def q_rating_stats(spark, d):
     """A3: per-item count, mean, sample variance."""
     s = P.rating_stats(T.ratings(spark, d))
-    return s.select("movieId", "ratingCount", "avgRating", r6("ratingVar"))
+    return s.select("movieId", "ratingCount", "avgRating", "ratingVar")
 
 
 @register("load_counts", with_ctes("""

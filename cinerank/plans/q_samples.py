@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from cinerank.operators import samples as S
 from cinerank.plans.registry import register
-from cinerank.plans.sql_adapters import RATING_ORDER_SQL, uniform_u32_sql, with_ctes, year_sql
+from cinerank.plans.sql_adapters import RATING_ORDER_SQL, uniform_u32_sql, var_sql, with_ctes, year_sql
 from cinerank.sources import tables as T
 
 SAMPLE_COLS = (["userId", "movieId", "rating", "timestamp"] + T.TIE_BREAK[:2] + ["label"] + S.ITEM_FEATURES
@@ -20,14 +20,14 @@ _SAMPLES_CTE = f"""s1 AS (
   FROM ratings r LEFT JOIN movies m USING (movieId)),
 st AS (
   SELECT movieId, count(*) AS movieRatingCount, format('{{:,.2f}}', avg(rating)) AS movieAvgRating,
-         format('{{:,.2f}}', coalesce(stddev_samp(rating), 0.0)) AS movieRatingStddev
+         format('{{:,.2f}}', coalesce(sqrt({var_sql('rating')}), 0.0)) AS movieRatingStddev
   FROM s1 GROUP BY movieId),
 s3 AS (
   SELECT s1.*, st.movieRatingCount, st.movieAvgRating, st.movieRatingStddev,
          list_filter(list(CASE WHEN label = 1 THEN movieId END) OVER w, lambda x: x IS NOT NULL) AS hist,
          count(*) OVER w AS userRatingCount,
-         avg(releaseYear) OVER w AS ary, stddev_samp(releaseYear) OVER w AS sry,
-         avg(rating) OVER w AS ar, stddev_samp(rating) OVER w AS sr,
+         avg(releaseYear) OVER w AS ary, sqrt({var_sql('releaseYear', ' OVER w')}) AS sry,
+         avg(rating) OVER w AS ar, sqrt({var_sql('rating', ' OVER w')}) AS sr,
          flatten(list_transform(
             list_filter(list(CASE WHEN label = 1 THEN genres END) OVER w, lambda x: x IS NOT NULL),
             lambda g: string_split(g, '|'))) AS flat

@@ -75,3 +75,12 @@ def with_ctes(body: str, *names: str, extra: list[str] | None = None, recursive:
     parts = [CTES[n] for n in names] + list(extra or [])
     head = "WITH RECURSIVE " if recursive else "WITH "
     return (head + ",\n".join(parts) + "\n" + body) if parts else body
+
+
+def var_sql(x: str, over: str = "") -> str:
+    """Sample variance from exact sums, as functions.columns.var_from_sums
+    (`over` = " OVER w" for window frames)."""
+    n = f"count({x}){over}::DOUBLE"
+    sm = f"sum({x}::DOUBLE){over}"
+    ss = f"sum({x}::DOUBLE * {x}::DOUBLE){over}"
+    return f"(CASE WHEN {n} > 1 THEN ({n} * {ss} - {sm} * {sm}) / ({n} * ({n} - 1.0)) END)"
