@@ -22,8 +22,3 @@ def register(name: str, sql: str | None = None):
         return fn
     return deco
 
-
-def r6(col: str, alias: str | None = None):
-    """Doubles are compared rounded to 6 digits on both sides."""
-    from pyspark.sql import functions as F
-    return F.round(F.col(col), 6).alias(alias or col)
