@@ -12,6 +12,8 @@ features and genre indicators.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import FMClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -162,10 +164,11 @@ def fm_pair_tables(model: PipelineModel, users: DataFrame, items: DataFrame, n_u
         c = F.col(col)
         j = F.least(F.coalesce(F.when((c >= 0) & (c < n), c.cast("int")), F.lit(n)), F.lit(size))
         idx = ids_df.select(col).distinct().select(col, j.alias("_j"))
-        rows = []
-        for k in range(size + 1):
-            w = float(linear[offset + k])
-            rows.append((k, [float(x) for x in factors[offset + k]] + ([w, 1.0] if user_side else [1.0, w])))
+        f = factors[offset:offset + size + 1].astype(np.float32)
+        w = linear[offset:offset + size + 1].astype(np.float32)[:, None]
+        one = np.ones_like(w)
+        vec = np.hstack([f, w, one] if user_side else [f, one, w])
+        rows = pd.DataFrame({"_j": np.arange(size + 1, dtype=np.int32), "vec": list(vec)})
         params = spark.createDataFrame(rows, "_j int, vec array<float>")
         return idx.join(params, "_j").select(col, "vec")
 

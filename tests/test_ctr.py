@@ -45,3 +45,16 @@ def test_binary_metrics_perfect_ranking(spark):
     assert m.rocAuc == pytest.approx(1.0) and m.prAuc == pytest.approx(1.0) and m.accuracy == 1.0
     # positives contribute -ln(p), negatives -ln(1 - p)
     assert m.logLoss == pytest.approx(-(math.log(0.9) + math.log(0.8) + math.log(0.8) + math.log(0.9)) / 4)
+
+
+def test_fm_pair_tables_reproduce_model_scores(spark):
+    rows = [(u, i, 1 if (u + i) % 3 else 0) for u in range(12) for i in range(9)]
+    df = spark.createDataFrame(rows, "userId long, movieId long, label int")
+    m = M.pair_model(df, 20, 20, factor_size=3, max_iter=5)
+    pred = {(r.userId, r.movieId): r.score for r in M.predict(m, M.pair_inputs(df, 20, 20)).collect()}
+    ut, it, w0 = M.fm_pair_tables(m, df.select("userId"), df.select("movieId"), 20, 20)
+    u = {r.userId: r.vec for r in ut.collect()}
+    v = {r.movieId: r.vec for r in it.collect()}
+    for (a, b), p in list(pred.items())[:20]:
+        logit = w0 + sum(x * y for x, y in zip(u[a], v[b]))
+        assert 1 / (1 + math.exp(-logit)) == pytest.approx(p, rel=1e-5, abs=1e-6)
