@@ -13,7 +13,6 @@ features and genre indicators.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import FMClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -168,7 +167,7 @@ def fm_pair_tables(model: PipelineModel, users: DataFrame, items: DataFrame, n_u
         w = linear[offset:offset + size + 1].astype(np.float32)[:, None]
         one = np.ones_like(w)
         vec = np.hstack([f, w, one] if user_side else [f, one, w])
-        rows = pd.DataFrame({"_j": np.arange(size + 1, dtype=np.int32), "vec": list(vec)})
+        rows = list(zip(range(size + 1), vec.tolist()))  # plain Python values: works with or without Arrow
         params = spark.createDataFrame(rows, "_j int, vec array<float>")
         return idx.join(params, "_j").select(col, "vec")
 
