@@ -58,3 +58,16 @@ def test_fm_pair_tables_reproduce_model_scores(spark):
     for (a, b), p in list(pred.items())[:20]:
         logit = w0 + sum(x * y for x, y in zip(u[a], v[b]))
         assert 1 / (1 + math.exp(-logit)) == pytest.approx(p, rel=1e-5, abs=1e-6)
+
+
+def test_fm_pair_tables_without_arrow(spark):
+    rows = [(u, i, (u + i) % 2) for u in range(4) for i in range(3)]
+    df = spark.createDataFrame(rows, "userId long, movieId long, label int")
+    m = M.pair_model(df, 10, 10, factor_size=2, max_iter=2)
+    old = spark.conf.get("spark.sql.execution.arrow.pyspark.enabled")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "false")
+        ut, it, _ = M.fm_pair_tables(m, df.select("userId"), df.select("movieId"), 10, 10)
+        assert ut.count() == 4 and it.count() == 3
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", old)
