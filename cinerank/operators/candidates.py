@@ -47,13 +47,24 @@ def _seed_rows(seeds: DataFrame, items: DataFrame, vectors: DataFrame | None = N
 
 
 def candidates_by_genre(seeds: DataFrame, items: DataFrame, per_genre: int = 100,
-                        vectors: DataFrame | None = None) -> DataFrame:
+                        vectors: DataFrame | None = None, max_broadcast_rows: int = 1_000_000) -> DataFrame:
     """S1 + J8 + J10: union over the seed's genres of each genre's `per_genre`
     best-rated items, without the seed itself. One row per (seed, candidate)
-    pair matched by genre (duplicates when several genres match)."""
+    pair matched by genre (duplicates when several genres match).
+
+    The per-genre lists hold at most `per_genre` rows per genre. That bound
+    (genres are counted on the catalogue alone: the rating aggregate is
+    pruned from that count) is checked and, up to `max_broadcast_rows`, the
+    lists are broadcast so the seeds are never shuffled by genre (a genre
+    holding a third of all items costs no single task). Beyond it the join
+    shuffles and adaptive execution splits a hot genre."""
     s = _seed_rows(seeds, items, vectors)
     s = s.select("*", F.explode("seedGenres").alias("genre"))
-    c = s.join(_genre_lists(items, per_genre, vectors), "genre")
+    lists = _genre_lists(items, per_genre, vectors)
+    n_genres = items.select(F.explode(F.split("genres", "\\|")).alias("g")).distinct().count()
+    if n_genres * per_genre <= max_broadcast_rows:
+        lists = F.broadcast(lists)
+    c = s.join(lists, "genre")
     return c.filter(F.col("candidateId") != F.col("seedId")).drop("genre")
 
 
