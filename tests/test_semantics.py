@@ -94,3 +94,13 @@ def test_split_parts_disjoint_and_cover(spark):
     sampled = sp.count()
     assert sp.select(*key).distinct().count() == sampled
     assert 0.4 * r.count() < sampled < 0.6 * r.count()
+
+
+def test_genre_recall_same_with_and_without_broadcast(spark):
+    r, m, l = T.ratings(spark, SF), T.movies(spark, SF), T.links(spark, SF)
+    items = P.item_profiles(m, l, r)
+    seeds = items.select("movieId")
+    a = C.candidates_by_genre(seeds, items, 20).select("seedId", "candidateId")
+    b = C.candidates_by_genre(seeds, items, 20, max_broadcast_rows=0).select("seedId", "candidateId")
+    assert a.count() == b.count() > 0
+    assert a.exceptAll(b).count() == 0
