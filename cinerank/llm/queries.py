@@ -7,8 +7,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cinerank.llm import block_naming, token_count
+from cinerank.llm import (block_naming, bottomk_dedup, host_reputation, nbsvm, piece_lattice, projection_dedup, pseudonyms,
+                          retrieval_packing, template_removal, token_count)
 from cinerank.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +40,115 @@ def op7_heap_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register(op7_heap_token_count, "op7_heap_token_count")
+
+
+def op1_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return template_removal.main_text(pages.select("page_id", "url", "html"))
+
+
+register(op1_template_removal, "op1_template_removal")
+
+
+def public_vocabulary() -> retrieval_packing.Vocabulary:
+    return retrieval_packing.Vocabulary(public_tokenizers.path("byte_bpe_50k.json"),
+                                        public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def packed_digests(docs: DataFrame) -> DataFrame:
+    pieces = retrieval_packing.pack(docs, public_vocabulary())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op2_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_digests(documents(spark, sf_dir))
+
+
+register(op2_retrieval_packing, "op2_retrieval_packing")
+
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"),
+             ("block", "net/fr/")]
+
+
+def op4_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes: a page is bad if the label row of its number says low quality or toxic."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    outcomes = labels.select(F.col("doc_id").alias("page_id"),
+                             ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
+    return host_reputation.judge(pages, outcomes, URL_RULES)
+
+
+def _op4_sql() -> str:
+    fits = "(p.host = split_part(r.rule, '/', 1) OR ends_with(p.host, '.' || split_part(r.rule, '/', 1)))"
+    rules = ", ".join(f"('{v}', '{r}')" for v, r in URL_RULES)
+
+    def shrink(level: str, units: str, prior: str) -> str:
+        return f"""
+{level}0 AS (SELECT *, {prior} AS mu FROM {units}),
+{level}m AS (SELECT 1 / greatest({host_reputation.LEAST_RHO}, least({host_reputation.MOST_RHO}, coalesce(
+       CASE WHEN sum(n * (n - 1) * mu * (1 - mu)) > 0
+            THEN sum((k - n * mu) * (k - n * mu) - n * mu * (1 - mu)) / sum(n * (n - 1) * mu * (1 - mu)) END,
+       {host_reputation.LEAST_RHO}))) - 1 AS m FROM {level}0),
+{level} AS (SELECT {level}0.*, m, (k + m * mu) / (n + m) AS mean FROM {level}0, {level}m)"""
+    return rf"""
+WITH raw AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM raw),
+o AS (SELECT doc_id AS page_id, CAST(avg(b) >= 0.5 AS INT) AS bad
+      FROM (SELECT doc_id, CAST(quality = 0 OR toxic = 1 AS INT) AS b FROM labels) WHERE doc_id IS NOT NULL AND b IS NOT NULL GROUP BY 1),
+hosts AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS k,
+                 array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix
+          FROM p LEFT JOIN o USING (page_id) GROUP BY host),
+domains AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY 1, 2),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY 1),
+{shrink("s", "suffixes", "(SELECT (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2) FROM suffixes)")},
+{shrink("d", "domains", "(SELECT s.mean FROM s WHERE s.suffix = domains.suffix)")},
+{shrink("h", "hosts", "(SELECT d.mean FROM d WHERE d.domain = hosts.domain)")},
+r(v, rule) AS (VALUES {rules}),
+fit AS (SELECT p.host, p.path, r.rule, r.v, row_number() OVER (PARTITION BY p.host, p.path ORDER BY length(r.rule) DESC) AS i
+        FROM (SELECT DISTINCT host, path FROM p) p, r
+        WHERE {fits} AND starts_with(p.path, '/' || substr(r.rule, instr(r.rule, '/') + 1)))
+SELECT p.page_id, p.host, p.path, fit.rule,
+       coalesce(fit.v, CASE WHEN h.mean - {host_reputation.Z} * sqrt(h.mean * (1 - h.mean) / (h.n + h.m + 1)) > {host_reputation.WORST}
+                            THEN 'block' ELSE 'allow' END) AS verdict, h.n AS host_labelled, h.k AS host_bad
+FROM p JOIN h ON p.host = h.host LEFT JOIN fit ON fit.i = 1 AND fit.host = p.host AND fit.path = p.path"""
+
+
+register(op4_host_reputation, "op4_host_reputation", _op4_sql())
+
+
+def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymise(documents(spark, sf_dir))
+
+
+register(op5_feistel_pseudonyms, "op5_feistel_pseudonyms")
+
+
+def op6_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbsvm.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+register(op6_nbsvm_quality, "op6_nbsvm_quality")
+
+
+def op8_projection_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection_dedup.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+register(op8_projection_dedup, "op8_projection_dedup")
+
+
+def op9_suffix_array_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_lattice.coded_digests(documents(spark, sf_dir).select("doc_id", "text"),
+                                       public_tokenizers.path("piece_bpe_32k.model"))
+
+
+register(op9_suffix_array_pieces, "op9_suffix_array_pieces")
+
+
+def op10_bottomk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bottomk_dedup.near_groups(documents(spark, sf_dir))
+
+
+register(op10_bottomk_dedup, "op10_bottomk_dedup")
