@@ -107,3 +107,14 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", **op
     return (named.join(groups, ["_blocks", "_name"])
             .select(id_col, F.col("_first.b").alias("keep_id"), "group_size",
                     (F.col("_rid") == F.col("_first.c")).alias("kept"), F.col("_sha").alias("text_sha256")))
+
+
+def keep_first(df: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of `df`, whole, that stay: one per group of equal normalised
+    texts, the one with the least id."""
+    stay = exact_groups(df, id_col, text, **options).where("kept").select(
+        F.col(id_col).alias("_stay_id"), F.col("text_sha256").alias("_stay_sha"))
+    sha = F.sha2(F.encode(normalised(F.col(f"`{text}`")), "UTF-8"), 256)
+    rows = df.withColumn("_sha", sha).join(
+        stay, F.col(f"`{id_col}`").eqNullSafe(F.col("_stay_id")) & (F.col("_sha") == F.col("_stay_sha")), "left_semi")
+    return rows.dropDuplicates([id_col, "_sha"]).drop("_sha")

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORST, Z = 0.35, 1.645
+FIRST_RATE = 0.1  # the corpus rate's own prior, worth one page
 LEAST_RHO, MOST_RHO = 0.001, 0.5
 
 
@@ -85,7 +86,7 @@ def host_posteriors(outcomes: DataFrame) -> DataFrame:
              .withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", suffix(F.col("host"))))
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    corpus = suffixes.agg(((F.coalesce(F.sum("k"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("r")).scalar()
+    corpus = suffixes.agg(((F.coalesce(F.sum("k"), F.lit(0)) + FIRST_RATE) / (F.coalesce(F.sum("n"), F.lit(0)) + 1)).alias("r")).scalar()
     suffixes = _shrink(suffixes, F.lit(corpus), "s").select("suffix", "s_mean")
     domains = _shrink(domains.join(suffixes, "suffix"), F.col("s_mean"), "d").select("domain", "d_mean")
     post = _shrink(hosts.drop("suffix").join(domains, "domain"), F.col("d_mean"), "h")

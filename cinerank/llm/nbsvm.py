@@ -118,6 +118,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(picked), "_id")
     model = (rows.repartition(1).sortWithinPartitions("_h", "_id", "text").select("text", "label")
              .mapInPandas(_fit_partition(bits, max_features), "ratio binary, weight binary, bias double")).first()
+    if model is None:  # no usable label at all
+        return np.zeros(1 << bits, np.float32), np.zeros(1 << bits, np.float32), 0.0
     return np.frombuffer(model["ratio"], np.float32), np.frombuffer(model["weight"], np.float32), model["bias"]
 
 

@@ -102,7 +102,7 @@ hosts AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS k,
           FROM p LEFT JOIN o USING (page_id) GROUP BY host),
 domains AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY 1, 2),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY 1),
-{shrink("s", "suffixes", "(SELECT (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2) FROM suffixes)")},
+{shrink("s", "suffixes", f"(SELECT (coalesce(sum(k), 0) + {host_reputation.FIRST_RATE}) / (coalesce(sum(n), 0) + 1) FROM suffixes)")},
 {shrink("d", "domains", "(SELECT s.mean FROM s WHERE s.suffix = domains.suffix)")},
 {shrink("h", "hosts", "(SELECT d.mean FROM d WHERE d.domain = hosts.domain)")},
 r(v, rule) AS (VALUES {rules}),
