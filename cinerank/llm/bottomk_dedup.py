@@ -4,20 +4,28 @@ One hash function orders all shingles. A document's sketch is its `k` least
 shingle hashes; documents with the same set are one class from the start, and
 only class representatives are compared.
 
-* Inverted lists: `run` neighbouring retained values (in hash order) make one
-  list key, for the first `lead` values of the sketch. Two sets of similarity
-  0.85 share such a run: for small sets by the pigeonhole principle (7 or more
-  shingles in the union with at most 15 % not shared leave a gap of at least
-  three), for larger ones but for a chance of about 2e-9. A frequent passage
-  alone seldom makes three neighbours, so its lists stay short. Lists with the
+* Inverted lists: three neighbouring retained values (in hash order) make one
+  list key, for the first `lead` values of the sketch; sets of at most eight
+  shingles are also listed under two neighbours. Two sets of similarity 0.8 or
+  more share such a key: small sets by the pigeonhole principle (of the values
+  of the union, those that are not shared leave a gap of three, up to eight
+  values a gap of two), larger ones but for a chance of 1e-8 at the threshold
+  and far less above it, which sets `lead`. A frequent passage alone seldom
+  makes three neighbours, so its lists stay short. Lists with the
   same members are kept once. Lists are split into cells of bounded size, every
   pair of cells is looked at, so no candidate is dropped.
 * Union-sketch estimate: inside a cell all pairs are estimated on the least
-  values of the union. Sets that the sketch holds whole are decided exactly.
-* Exact Jaccard: pairs that the estimate (less five standard deviations) does
-  not exclude are compared on their full sets: first those that look like
-  links, then, of the rest, those that are not yet in one component.
-* Components: star contraction over the verified links.
+  values of the union, by one matrix product. Sets that the sketch holds whole
+  are decided exactly there.
+* Exact Jaccard: members of pairs that the estimate (less five standard
+  deviations) does not exclude meet again, in the cell of the pair's least common
+  key, with their full sets, and all of them are decided exactly. A cell emits a
+  spanning forest of its links, never its pairs, so a group of many near copies
+  costs rows in proportion to its members.
+* Components: star contraction over the links.
+
+The joins are merge joins at every size, so a small run shows what a large one
+does, and adaptive execution splits their hot keys.
 
 Cases: null and empty texts have no shingles, link with nothing and are their
 own component; texts shorter than `shingle` words are one shingle of all words;
@@ -36,10 +44,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinerank.llm.common import (Cache, add_columns, connected_components, key_groups, materialise, mix64,
-                                 release)
+from cinerank.llm.common import (Cache, add_columns, connected_components, key_groups, least_labels, materialise,
+                                 mix64, release)
 
-SHINGLE, K, LEAD, RUN, CELL = 3, 128, 40, 3, 512
+SHINGLE, K, CELL = 3, 128, 512
+MISS = 1e-8  # chance of sharing no list key at exactly the threshold
+FILTER_BITS = 26  # 8 MB; selective up to some ten million wanted documents
 SURE = 5.0  # standard deviations below the threshold at which the estimate excludes a pair
 
 _WORDS = Cache(xxhash.xxh3_64_intdigest)
@@ -74,178 +84,262 @@ def _sketches(size: int, k: int):
     return make
 
 
-def run_keys(sketch: np.ndarray, lead: int = LEAD) -> np.ndarray:
-    """List keys of a sketch: one per run of RUN neighbouring values."""
+def lead_for(percent: int, miss: float = MISS) -> int:
+    """Number of values after which independent draws that are shared with
+    chance percent / 100 have shown no three shared ones in a row with chance
+    below `miss`."""
+    p = percent / 100
+    state, n = [1.0, 0.0, 0.0], 0  # by the number of shared values at the end
+    while sum(state) > miss:
+        state, n = [sum(state) * (1 - p), state[0] * p, state[1] * p], n + 1
+    return n
+
+
+def run_keys(sketch: np.ndarray, size: int, lead: int) -> np.ndarray:
+    """List keys of a sketch: one per run of three neighbouring values, for sets
+    of at most eight also of two."""
     v = sketch[:lead]
-    if len(v) < 6:  # a different set of at most five shingles is never similar enough
+    if len(v) < 4:  # a different set of at most three shingles is never similar enough
         return np.empty(0, np.int64)
-    return mix64(mix64(v[:-2] + np.uint64(1)) ^ mix64(v[1:-1] + np.uint64(2)) ^ mix64(v[2:] + np.uint64(3))).view(np.int64)
-
-
-def _emit_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        keys = [run_keys(np.frombuffer(s, np.uint64)) for s in pdf["sketch"]]
-        yield pd.DataFrame({"key": np.concatenate(keys) if keys else np.empty(0, np.int64),
-                            "node": np.repeat(pdf["node"].to_numpy(np.int64), [len(x) for x in keys])})
-
-
-def cell_pairs(key: int, nodes: np.ndarray, sizes: np.ndarray, sketches: list[np.ndarray], k: int,
-               percent: int, left: np.ndarray, right: np.ndarray) -> tuple[list, list, list, list]:
-    """Pairs (left x right members) of one cell that are links or may be:
-    node a, node b, estimate, and 1 for a certain link or 0 for a check to come.
-    A pair is reported only in the list of its least common key."""
-    values, inv = np.unique(np.concatenate(sketches), return_inverse=True)
-    owner = np.repeat(np.arange(len(nodes)), [len(s) for s in sketches])
-    shared = np.bincount(inv, minlength=len(values)) > 1
-    pos = np.cumsum(shared) - 1
-    take = shared[inv]
-    owner_, col = owner[take], pos[inv[take]]
-    inter = np.zeros((len(left), len(right)), np.float32)
-    row_l, row_r = np.full(len(nodes), -1), np.full(len(nodes), -1)
-    row_l[left], row_r[right] = np.arange(len(left)), np.arange(len(right))
-    width = 4096
-    for lo in range(0, int(shared.sum()), width):
-        sel = (col >= lo) & (col < lo + width)
-        o, c = owner_[sel], col[sel] - lo
-        bl, br = np.zeros((len(left), width), np.float32), np.zeros((len(right), width), np.float32)
-        in_l, in_r = row_l[o] >= 0, row_r[o] >= 0
-        bl[row_l[o[in_l]], c[in_l]] = 1
-        br[row_r[o[in_r]], c[in_r]] = 1
-        inter += bl @ br.T
-    whole = sizes <= k
-    top = np.array([s[-1] if not w else np.uint64(2**64 - 1) for s, w in zip(sketches, whole)], np.uint64)
-    tau = np.minimum(top[left][:, None], top[right][None, :])
-    in_left = np.stack([np.searchsorted(sketches[i], tau[x], side="right") for x, i in enumerate(left)])
-    in_right = np.stack([np.searchsorted(sketches[j], tau[:, y], side="right") for y, j in enumerate(right)], axis=1)
-    union = in_left + in_right - inter
-    sure = whole[left][:, None] & whole[right][None, :]
-    p = percent / 100
-    slack = np.where(sure, 0.0, SURE * np.sqrt(p * (1 - p) / np.maximum(union, 1)))
-    est = inter / np.maximum(union, 1)
-    ratio = np.minimum(sizes[left][:, None], sizes[right][None, :]) * 100 >= percent * np.maximum(
-        sizes[left][:, None], sizes[right][None, :])
-    ok = np.where(sure, 100 * inter >= percent * union, est >= p - slack) & ratio
-    ok &= nodes[left][:, None] < nodes[right][None, :] if np.array_equal(left, right) else True
-    keys = {}
-    out = [], [], [], []
-    for x, y in zip(*np.nonzero(ok)):
-        i, j = left[x], right[y]
-        for z in (i, j):
-            if z not in keys:
-                keys[z] = np.unique(run_keys(sketches[z]))
-        common = np.intersect1d(keys[i], keys[j], assume_unique=True)
-        if common[0] == key:
-            a, b = sorted((int(nodes[i]), int(nodes[j])))
-            for o, v in zip(out, (a, b, float(est[x, y]), int(sure[x, y]))):
-                o.append(v)
+    two = mix64(v[:-1] + np.uint64(1)) ^ mix64(v[1:] + np.uint64(2))
+    three = mix64(two[:-1] ^ mix64(v[2:] + np.uint64(3)))
+    return np.unique(np.concatenate([mix64(two), three]) if size <= 8 else three).view(np.int64)
+
+
+def _emit_runs(lead: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keys = [run_keys(np.frombuffer(s, np.uint64), n, lead) for s, n in zip(pdf["sketch"], pdf["n"])]
+            yield pd.DataFrame({"key": np.concatenate(keys) if keys else np.empty(0, np.int64),
+                                "node": np.repeat(pdf["node"].to_numpy(np.int64), [len(x) for x in keys])})
+    return run
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all left with all right sets (sorted
+    distinct numbers), by matrix products over the values that both sides have."""
+    if len(left) == len(right) == 1:
+        return np.array([[float(len(np.intersect1d(left[0], right[0], assume_unique=True)))]])
+    lv, rv = np.concatenate(left), np.concatenate(right)
+    if left is right:  # a set with itself is of no interest
+        both, n = np.unique(lv, return_counts=True)
+        both = both[n > 1]
+    else:
+        both = np.intersect1d(lv, rv)
+    out = np.zeros((len(left), len(right)))
+
+    def placed(values: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        col = np.searchsorted(both, values)
+        hit = col < len(both)
+        hit[hit] = both[col[hit]] == values[hit]
+        return np.repeat(np.arange(len(sets)), [len(x) for x in sets])[hit], col[hit]
+
+    (lr, lc), (rr, rc) = placed(lv, left), placed(rv, right)
+    for lo in range(0, len(both), width):
+        n = min(width, len(both) - lo)
+        x, y = np.zeros((len(left), n), np.float32), np.zeros((len(right), n), np.float32)
+        sel = (lc >= lo) & (lc < lo + n)
+        x[lr[sel], lc[sel] - lo] = 1
+        sel = (rc >= lo) & (rc < lo + n)
+        y[rr[sel], rc[sel] - lo] = 1
+        out += x @ y.T
     return out
 
 
-def _compare_cells(k: int, percent: int):
+def estimates(left: list[np.ndarray], right: list[np.ndarray], n_left: np.ndarray, n_right: np.ndarray,
+              k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Union-sketch estimate of all pairs of sketches: values of the union's
+    sketch, shared ones among them, and whether both sets are there whole."""
+    shared = overlaps(left, right)
+    whole_l, whole_r = n_left <= k, n_right <= k
+    most = np.uint64(2**64 - 1)
+    end_l = np.array([most if w else s[-1] for s, w in zip(left, whole_l)], np.uint64)
+    end_r = np.array([most if w else s[-1] for s, w in zip(right, whole_r)], np.uint64)
+    upto = np.minimum(end_l[:, None], end_r[None, :])
+    union = -shared
+    union += np.stack([np.searchsorted(s, upto[i], side="right") for i, s in enumerate(left)])
+    union += np.stack([np.searchsorted(s, upto[:, j], side="right") for j, s in enumerate(right)], axis=1)
+    return union, shared, whole_l[:, None] & whole_r[None, :]
+
+
+def forest(n: int, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Component labels of n members under the links (x, y), and a tree edge
+    (member, label) for each member that is not its component's label."""
+    label = least_labels(n, x, y) if len(x) else np.arange(n)
+    child = np.flatnonzero(label != np.arange(n))
+    return label, child, label[child]
+
+
+def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
+    """Groups of one cell: rows, nodes, and places of its left and right members."""
+    for g in key_groups(batches, ["key", "ci", "cj"]):
+        cell = g["cell"].to_numpy()
+        left, right = np.flatnonzero(cell == g["ci"].iat[0]), np.flatnonzero(cell == g["cj"].iat[0])
+        if len(left) and len(right) and len(g) > 1:
+            yield g, g["node"].to_numpy(np.int64), left, right
+
+
+def _picked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> tuple[list, list]:
+    """The sets of both sides; one list if the sides are the same."""
+    ls = [sets[i] for i in left]
+    return ls, ls if np.array_equal(left, right) else [sets[i] for i in right]
+
+
+def _compare_cells(k: int, percent: int, lead: int):
+    """Rows (kind, a, b, key, ci, cj, cell): kind 0 is a certain link (a, b), kind
+    1 a member `a` of a cell whose full set is needed there."""
+    p = percent / 100
+    cols = ["kind", "a", "b", "key", "ci", "cj", "cell"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows: tuple[list, list, list, list] = [], [], [], []
-        for g in key_groups(batches, ["key", "ci", "cj"]):
-            nodes, sizes = g["node"].to_numpy(np.int64), g["n"].to_numpy(np.int64)
+        for g, nodes, left, right in _cells(batches):
+            sizes = g["n"].to_numpy(np.int64)
             sk = [np.frombuffer(s, np.uint64) for s in g["sketch"]]
-            cell = g["cell"].to_numpy()
-            ci, cj = int(g["ci"].iat[0]), int(g["cj"].iat[0])
-            left, right = np.flatnonzero(cell == ci), np.flatnonzero(cell == cj)
-            if len(left) and len(right):
-                for o, v in zip(rows, cell_pairs(int(g["key"].iat[0]), nodes, sizes, sk, k, percent, left, right)):
-                    o.extend(v)
-            if len(rows[0]) > 20_000:
-                yield pd.DataFrame(dict(zip(("a", "b", "est", "sure"), rows)))
-                rows = [], [], [], []
-        yield pd.DataFrame(dict(zip(("a", "b", "est", "sure"), rows))).astype(
-            {"a": "int64", "b": "int64", "est": "float64", "sure": "int64"})
+            ls, rs = _picked(sk, left, right)
+            union, shared, sure = estimates(ls, rs, sizes[left], sizes[right], k)
+            near = np.minimum(sizes[left][:, None], sizes[right][None, :]) * 100 >= percent * np.maximum(
+                sizes[left][:, None], sizes[right][None, :])
+            near &= left[:, None] != right[None, :]
+            x, y = np.nonzero(near & sure & (100 * shared >= percent * union))
+            label, child, parent = forest(len(nodes), left[x], right[y])
+            maybe = near & ~sure & (shared >= union * p - SURE * np.sqrt(union * p * (1 - p)))
+            maybe &= label[left][:, None] != label[right][None, :]
+            x, y = np.nonzero(maybe)
+            if len(x):  # only in the cell of the pair's least common key
+                key = int(g["key"].iat[0])
+                lower = [run_keys(s, n, lead) for s, n in zip(sk, sizes)]
+                lower = [v[v < key] for v in lower]
+                first = overlaps(*_picked(lower, left, right)) == 0
+                x, y = np.nonzero(maybe & first)
+            asked = np.unique(np.concatenate([left[x], right[y]]))
+            if len(child) or len(asked):
+                yield pd.DataFrame({
+                    "kind": np.repeat([0, 1], [len(child), len(asked)]), "a": np.concatenate([nodes[child], nodes[asked]]),
+                    "b": np.concatenate([nodes[parent], nodes[asked]]), "key": g["key"].iat[0], "ci": g["ci"].iat[0],
+                    "cj": g["cj"].iat[0], "cell": np.concatenate([np.zeros(len(child), np.int64), g["cell"].to_numpy()[asked]])})[cols]
     return run
 
 
-def _candidates(reps: DataFrame, k: int, percent: int, cell: int) -> DataFrame:
-    runs = reps.select("node", "sketch").mapInPandas(_emit_runs, "key long, node long")
+def _decide_cells(percent: int):
+    """A spanning forest of the exact links of each cell."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g, nodes, left, right in _cells(batches):
+            full = [np.frombuffer(s, np.uint64) for s in g["full"]]
+            sizes = np.array([len(f) for f in full])
+            shared = overlaps(*_picked(full, left, right)).astype(np.int64)
+            union = sizes[left][:, None] + sizes[right][None, :] - shared
+            x, y = np.nonzero((100 * shared >= percent * union) & (left[:, None] != right[None, :]))
+            _, child, parent = forest(len(nodes), left[x], right[y])
+            yield pd.DataFrame({"a": nodes[child], "b": nodes[parent]})
+    return run
+
+
+def _by_cell(df: DataFrame) -> DataFrame:
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, "key", "ci", "cj").sortWithinPartitions("key", "ci", "cj", "node")
+
+
+def _compared(reps: DataFrame, k: int, percent: int, cell: int) -> DataFrame:
+    lead = lead_for(percent)
+    runs = reps.select("node", "n", "sketch").mapInPandas(_emit_runs(lead), "key long, node long")
     lists = runs.groupBy("key").agg(
         F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("x"),
         F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("members > 1")
     lists = materialise(lists.groupBy("members", "x", "y").agg(F.min("key").alias("key"))
                         .select("key", F.ceil(F.col("members") / cell).cast("int").alias("cells")), "bk-lists")
-    member = materialise(runs.join(lists, "key"), "bk-members")
+    member = materialise(runs.join(lists.hint("merge"), "key"), "bk-members")
     release(reps.sparkSession, lists)
-    full = (member.join(reps.select("node", "n", "sketch"), "node")
+    full = (member.join(reps.select("node", "n", "sketch").hint("merge"), "node")
             .withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
             .select("key", F.least("cell", "other").alias("ci"), F.greatest("cell", "other").alias("cj"),
                     "cell", "node", "n", "sketch"))
-    parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = (full.repartition(parts, "key", "ci", "cj").sortWithinPartitions("key", "ci", "cj", "node")
-             .mapInPandas(_compare_cells(k, percent), "a long, b long, est double, sure long"))
-    out = materialise(pairs, "bk-pairs")
+    out = materialise(_by_cell(full).mapInPandas(
+        _compare_cells(k, percent, lead), "kind int, a long, b long, key long, ci int, cj int, cell int"), "bk-cells")
     release(reps.sparkSession, member)
     return out
 
 
-def _verify(percent: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ok = []
-            for x, y in zip(pdf["set_a"], pdf["set_b"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                i = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * i >= percent * (len(x) + len(y) - i))
-            yield pdf.loc[np.array(ok, bool), ["a", "b"]]
-    return run
+def id_filter(ids: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter of 2**bits bits over xxhash64 of an id column (three
+    places per id). However many ids there are, at most 2**bits / 64 words reach
+    the driver."""
+    col = F.col(ids.columns[0])
+    places = ids.select(F.explode(F.array(*[F.pmod(F.xxhash64(col, F.lit(s)), F.lit(1 << bits)) for s in range(3)])).alias("p"))
+    words = places.groupBy(F.shiftright("p", 6).alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).collect()
+    out = np.zeros((1 << bits) // 64, np.uint64)
+    for w in words:
+        out[w["w"]] = np.uint64(w["bits"] & (2**64 - 1))
+    return out
 
 
-def _exact_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    return (pairs.select("a", "b")
-            .join(sets.select(F.col("node").alias("b"), F.col("full").alias("set_b")), "b")
-            .join(sets.select(F.col("node").alias("a"), F.col("full").alias("set_a")), "a")
-            .select("a", "b", "set_a", "set_b").mapInPandas(_verify(percent), "a long, b long"))
+def _full_sets(docs: DataFrame, wanted: DataFrame, size: int, bits: int) -> DataFrame:
+    """(node, full) for wanted rows (rep, sid, node). Texts are not moved: a
+    filter over the wanted ids, of fixed size, is sent to the texts, and the sets
+    of the rows that pass it are then matched by the name of the set."""
+    word = id_filter(wanted.select("rep"), bits)
+    shared = docs.sparkSession.sparkContext.broadcast(word)
+
+    def make():
+        def run(texts, *places):
+            words = shared.value
+            out_sid, out_set = [], []
+            ok = np.ones(len(texts), bool)
+            for p in places:
+                p = np.array(p, np.uint64)
+                ok &= (words[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
+            for t, keep in zip(texts, ok):
+                s = shingle_hashes(t, size) if keep else None
+                out_sid.append(set_name(s) if keep else None)
+                out_set.append(s.tobytes() if keep else None)
+            return out_sid, out_set
+        return run
+
+    placed = docs.select("_text", *[F.pmod(F.xxhash64("_id", F.lit(s)), F.lit(1 << bits)).alias(f"_p{s}") for s in range(3)])
+    names = ["_p0", "_p1", "_p2"]
+    full = add_columns(placed, make, ["_text", *names], {"sid": "binary", "full": "binary"}, drop=("_text", *names))
+    return full.where("sid is not null").join(wanted.select("sid", "node").hint("merge"), "sid").groupBy("node").agg(F.min("full").alias("full"))
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 85,
-                size: int = SHINGLE, k: int = K, cell: int = CELL) -> DataFrame:
+                size: int = SHINGLE, k: int = K, cell: int = CELL, carry: tuple[str, ...] = (),
+                filter_bits: int = FILTER_BITS) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (least id reachable
-    over links of 100 * intersection >= percent * union), kept."""
+    over links of 100 * intersection >= percent * union), kept, and the (small)
+    columns named in `carry`. percent is at least 80, k at least lead_for(percent)."""
+    if percent < 80 or k < lead_for(percent):
+        raise ValueError("the list keys are complete from 80 percent on, and need a longer sketch below")
     spark = df.sparkSession
-    docs = df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
+    docs = df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text}`").alias("_text"), *carry)
     signed = materialise(add_columns(docs, _sketches(size, k), ["_text"],
                                      {"n": "long", "sid": "binary", "sketch": "binary"}, drop=("_text",)), "bk-docs")
     reps = materialise(signed.where("n > 0").groupBy("sid").agg(
         F.min("_id").alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
         .withColumn("node", F.monotonically_increasing_id()), "bk-reps")
-    pairs = _candidates(reps, k, percent, cell)
-
-    # full sets, made again for the representatives of undecided pairs only
-    asked = pairs.where("sure = 0")
-    nodes = asked.select(F.col("a").alias("node")).union(asked.select(F.col("b").alias("node"))).distinct()
-    wanted = nodes.join(reps.select("node", "rep", "sid"), "node")
-    held = docs.join(wanted.select("rep").distinct(), F.col("_id").eqNullSafe(F.col("rep")), "left_semi")
-
-    def make():
-        def run(texts):
-            sets = [shingle_hashes(t, size) for t in texts]
-            return [set_name(s) for s in sets], [s.tobytes() for s in sets]
-        return run
-
-    full = add_columns(held.select("_text"), make, ["_text"], {"sid": "binary", "full": "binary"}, drop=("_text",))
-    sets = materialise(full.join(wanted.select("sid", "node"), "sid").groupBy("node").agg(
-        F.min("full").alias("full")), "bk-sets")
-
-    first = materialise(pairs.where("sure = 1").select("a", "b").union(
-        _exact_links(asked.where(F.col("est") >= percent / 100), sets, percent)), "bk-links")
-    comp = materialise(connected_components(first, "bk-cc"), "bk-comp")
-    of = lambda c: comp.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
-    open_ = (asked.where(F.col("est") < percent / 100).join(of("a"), "a", "left").join(of("b"), "b", "left")
-             .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
-    second = materialise(_exact_links(open_, sets, percent), "bk-links2")
-    release(spark, sets, pairs)
-    comp = materialise(connected_components(
-        comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).where("a <> b").union(second), "bk-cc2"), "bk-comp2")
-
-    label = reps.select("node", "sid", "rep").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    cells = _compared(reps, k, percent, cell)
+    asked = cells.where("kind = 1").select("key", "ci", "cj", "cell", F.col("a").alias("node"))
+    wanted = materialise(asked.select("node").distinct().hint("merge").join(reps.select("node", "rep", "sid"), "node"), "bk-wanted")
+    sets = materialise(_full_sets(docs, wanted, size, filter_bits), "bk-sets")
+    links = cells.where("kind = 0").select("a", "b").union(
+        _by_cell(asked.join(sets.hint("merge"), "node")).mapInPandas(_decide_cells(percent), "a long, b long"))
+    comp = materialise(connected_components(links, "bk-cc"), "bk-comp")
+    release(spark, cells, wanted, sets)
+
+    label = reps.select("node", "sid", "rep").join(comp.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = label.groupBy("comp").agg(F.min("rep").alias("component_id"))
     of_set = label.join(least, "comp").select("sid", "component_id")
-    return (signed.select("_id", "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid")).join(of_set, "sid", "left")
-            .select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"),
+    return (signed.select("_id", "n", *carry, F.when(F.col("n") > 0, F.col("sid")).alias("sid")).join(of_set.hint("merge"), "sid", "left")
+            .select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), *carry,
                     F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"))
             .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id"))))
+
+
+def keep_first(df: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of `df`, whole, that stay: one per component, that of the least
+    id (of different rows with this id, the one with the least text hash)."""
+    hashed = df.withColumn("_h", F.xxhash64(F.col(f"`{text}`")))
+    stay = (near_groups(hashed, id_col, text, carry=("_h",), **options).where("kept")
+            .groupBy("component_id").agg(F.min("_h").alias("_stay_h")))
+    rows = hashed.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col("component_id")) & (F.col("_h") == F.col("_stay_h")), "left_semi")
+    return rows.dropDuplicates([id_col, "_h"]).drop("_h")
