@@ -2,9 +2,10 @@
 
 Documents are turned to token ids and an end id. Whole windows of a long
 document are sequences of their own; what is left (shorter than a window) is
-packed. The remainders are laid out by a lexical key (their heaviest terms), so
-that similar ones lie in one shard; a hash of the document breaks ties, so a
-crowded key is split over shards. Each shard, of bounded size, holds a BM25
+packed. The remainders are laid out by a lexical key (their two heaviest terms;
+a token's place in the vocabulary, where frequent merges come first, stands for
+its rarity), so that similar ones lie in one shard; a hash of the document
+breaks ties, so a crowded key is split over shards. Each shard, of bounded size, holds a BM25
 inverted index over token ids with corpus-wide document frequencies and lengths.
 The next unused remainder is a window's seed; its unused neighbours, best first,
 fill the window, the last one is cut and its rest stays in the index. What does
@@ -27,7 +28,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
@@ -60,26 +60,36 @@ def encoder(v: Vocabulary) -> Callable[[str], bytes]:
 
     The merge ranks give the ids; texts with special strings, or with very long
     stretches without a space (where merging by ranks is quadratic), go through
-    the tokenizers library.
+    the tokenizers library. Where no two white-space characters follow each
+    other, the split pattern needs no look-ahead, which makes it much faster.
     """
     if v not in _ENCODERS:
         slow = Tokenizer.from_file(v.json_path)
         special = [t.content for t in slow.get_added_tokens_decoder().values()]
         with open(v.ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        fast = tiktoken.Encoding("own", pat_str=v.pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        split = lambda name, pattern: tiktoken.Encoding(
+            name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        whole, plain = split("whole", v.pattern), split("plain", v.pattern.replace(r"|\s+(?!\S)", ""))
         kind = id_type(v)
 
         def run(text: str) -> bytes:
             odd = any(s in text for s in special) or any(
                 " " not in text[i:i + _STRETCH] or text[i:i + _STRETCH].isspace()
                 for i in range(0, len(text) - _STRETCH + 1, _STRETCH))
-            return np.array(slow.encode(text, add_special_tokens=False).ids if odd else fast(text), kind).tobytes()
+            if odd:
+                ids = slow.encode(text, add_special_tokens=False).ids
+            else:
+                runs = any(p in text for p in _PAIRS) or any(c in text for c in _OTHER)
+                ids = whole(text) if runs else plain(text)
+            return np.array(ids, kind).tobytes()
 
         _ENCODERS[v] = run
     return _ENCODERS[v]
 
 
+_PAIRS = ("  ", "\n\n", " \n", "\n ")
+_OTHER = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
 _STRETCH = 1000  # a stretch of twice this length has one of the aligned slices inside
 
 
@@ -88,16 +98,18 @@ def id_type(v: Vocabulary) -> str:
 
 
 def _tokenised(v: Vocabulary, size: int, window: int):
-    """Windows and remainders of documents, and one row of document frequencies
-    per task: (kind, doc_id, start, doc_tokens, ids, terms, counts)."""
-    names = ["kind", "doc_id", "start", "doc_tokens", "ids", "terms", "counts"]
-    types = [pa.int32(), None, pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+    """Windows and remainders of documents (these with their lexical key), and
+    one row of document frequencies per task."""
+    names = ["kind", "doc_id", "start", "doc_tokens", "ids", "t1", "t2", "terms", "counts"]
+    types = [pa.int32(), None, pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.int32()),
+             pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, kind = encoder(v), id_type(v)
         wide = np.dtype(kind).itemsize
         end = np.array([v.end_id], kind).tobytes()
         freq, n_docs, n_tokens, id_kind = np.zeros(size, np.int64), 0, 0, pa.int64()
+        rarity = np.log(np.arange(size) + 2.0)
 
         def table(rows: list[tuple]) -> pa.RecordBatch:
             cols = zip(*rows) if rows else [()] * len(names)
@@ -110,12 +122,16 @@ def _tokenised(v: Vocabulary, size: int, window: int):
                 data = encode(text or "") + end
                 ids = np.frombuffer(data, kind)
                 n = len(ids)
-                freq[np.unique(ids)] += 1
                 n_docs += 1
                 n_tokens += n
-                for s in range(0, n, window):
-                    full = s + window <= n
-                    rows.append((int(full), doc, s, n, data[s * wide:(s + window) * wide], None, None))
+                tail = n - n % window
+                t, tf = np.unique(ids[tail:], return_counts=True)
+                freq[t if not tail else np.unique(ids)] += 1
+                for s in range(0, tail, window):
+                    rows.append((1, doc, s, n, data[s * wide:(s + window) * wide], None, None, None, None))
+                if tail < n:
+                    top = np.argsort(-tf * rarity[t], kind="stable")
+                    rows.append((0, doc, tail, n, data[tail * wide:], int(t[top[0]]), int(t[top[:2][-1]]), None, None))
                 held += len(data)
                 if held > 8_000_000:
                     yield table(rows)
@@ -123,7 +139,7 @@ def _tokenised(v: Vocabulary, size: int, window: int):
             yield table(rows)
         if n_docs:
             t = np.flatnonzero(freq)
-            yield table([(2, None, n_docs, n_tokens, None, t.tolist(), freq[t].tolist())])
+            yield table([(2, None, n_docs, n_tokens, None, None, None, t.tolist(), freq[t].tolist())])
     return run
 
 
@@ -132,8 +148,12 @@ class Shard:
 
     def __init__(self, parts: list[np.ndarray], idf: np.ndarray, mean: float):
         n = np.array([len(p) for p in parts])
-        doc = np.repeat(np.arange(len(parts)), n)
-        pair, tf = np.unique(np.concatenate(parts).astype(np.int64) * len(parts) + doc, return_counts=True)
+        ids = np.concatenate(parts)
+        kind = np.int32 if (int(ids.max()) + 1) * len(parts) < 2**31 else np.int64  # small numbers sort faster
+        pair = np.sort(ids.astype(kind) * kind(len(parts)) + np.repeat(np.arange(len(parts), dtype=kind), n))
+        at = np.flatnonzero(np.diff(pair, prepend=-1))
+        tf = np.diff(np.append(at, len(pair)))
+        pair = pair[at].astype(np.int64)
         term, self.doc = np.divmod(pair, len(parts))
         self.terms, self.first = np.unique(term, return_index=True)  # postings of a term: first[t] .. first[t + 1]
         self.first = np.append(self.first, len(term))
@@ -244,20 +264,6 @@ def _powers(parts: list[tuple]) -> list[list[tuple]]:
     return out
 
 
-def _keyed(idf: np.ndarray, mean: float, kind: str):
-    """The two heaviest terms of each remainder, by tf * idf."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            first, second = [], []
-            for data in pdf["ids"]:
-                t, tf = np.unique(np.frombuffer(data, kind), return_counts=True)
-                top = np.argsort(-(idf[t] * tf / (tf + K1)), kind="stable")[:2]
-                first.append(int(t[top[0]]))
-                second.append(int(t[top[-1]]))
-            yield pdf.assign(t1=first, t2=second)
-    return run
-
-
 def pack(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text: str = "text", window: int = WINDOW,
          shard_parts: int = SHARD_PARTS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, ids (little-endian
@@ -269,7 +275,8 @@ def pack(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text: st
     id_sql = src.schema["doc_id"].dataType.simpleString()
     made = materialise(src.mapInArrow(
         _tokenised(vocabulary, size, window),
-        f"kind int, doc_id {id_sql}, start long, doc_tokens long, ids binary, terms array<int>, counts array<long>"), "pack-ids")
+        f"kind int, doc_id {id_sql}, start long, doc_tokens long, ids binary, t1 int, t2 int, "
+        "terms array<int>, counts array<long>"), "pack-ids", codec="zstd")
 
     # corpus statistics: at most one row per vocabulary entry reaches the driver
     stats = made.where("kind = 2")
@@ -286,13 +293,9 @@ def pack(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text: st
                     F.lit(0).cast("long").alias("offset")))
     if kind != "<u4":
         full = full.mapInArrow(_widened(kind), full.schema)
-    tails = made.where("kind = 0").select("doc_id", "start", "doc_tokens", "ids")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["t1", "t2", F.xxhash64("ids"), "doc_id", "start"]
-    keyed = (tails.withColumn("doc_id", F.col("doc_id").cast("string"))  # nullable numbers stay exact in pandas
-             .mapInPandas(_keyed(idf, mean, kind), "doc_id string, start long, doc_tokens long, ids binary, t1 int, t2 int")
-             .withColumn("doc_id", F.col("doc_id").cast(id_sql)))
-    laid = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    laid = made.where("kind = 0").repartitionByRange(parts, *order).sortWithinPartitions(*order)
     packed = laid.select("doc_id", "start", "doc_tokens", "ids").mapInArrow(
         _packed(idf, mean, window, kind, to_arrow_type(src.schema["doc_id"].dataType), shard_parts, shard_tokens), full.schema)
     return full.union(packed)
