@@ -35,9 +35,10 @@ def clean_title(title, keep_title_on_fail: bool = True) -> Column:
 
 
 def genre_array(genres) -> Column:
-    """"A|B|C" -> [A, B, C]; null or blank -> []."""
+    """"A|B|C" -> [A, B, C]; null or blank -> [], blank parts are left out."""
     g = _c(genres)
-    return F.when(g.isNull() | (F.trim(g) == ""), F.array().cast("array<string>")).otherwise(F.split(g, "\\|"))
+    return F.when(g.isNull(), F.array().cast("array<string>")).otherwise(
+        F.filter(F.split(g, "\\|"), lambda x: F.trim(x) != ""))
 
 
 def slot(arr, i: int) -> Column:
@@ -91,9 +92,10 @@ def uniform01(*parts) -> Column:
 
 # ---------------------------------------------------------------- vectors
 def parse_vector(text) -> Column:
-    """"f f f" -> array<float> (whitespace separated)."""
+    """"f f f" -> array<float> (whitespace separated); null for a field that is
+    no number."""
     t = F.trim(_c(text))
-    return F.transform(F.split(t, "\\s+"), lambda s: s.cast("float"))
+    return F.transform(F.split(t, "\\s+"), lambda s: s.try_cast("float"))
 
 
 def vector_text(arr) -> Column:
@@ -123,12 +125,6 @@ def cosine(a, b) -> Column:
     return F.when(valid, dot(a, b) / (F.sqrt(na) * F.sqrt(nb))).otherwise(F.lit(-1.0))
 
 
-def l2_distance(a, b) -> Column:
-    """Euclidean distance in double."""
-    d = F.zip_with(_c(a), _c(b), lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
-    return F.sqrt(_sum_double(d))
-
-
 # ---------------------------------------------------------------- genres
 def genre_similarity(a, b) -> Column:
     """same / (|a| + |b|) / 2 where same counts a's genres found in b;

@@ -2,16 +2,15 @@
 T4, R1-R5), in batch: seeds and users are tables, not single requests.
 
 Recall lists that are the same for every seed (global top-N by rating or
-year) have a size fixed by a parameter; they are fetched once (at most N
-rows, checked) and attached to each seed as a literal array, so a seed
-table of any size needs no join for them. Per-genre lists join on the genre
-key; adaptive execution broadcasts the per-genre table when its runtime size
-is small and splits a hot genre otherwise.
+year) have a size fixed by a parameter; they are aggregated to one bounded
+array, which a scalar subquery attaches to each seed. Per-genre lists are one
+bounded array per genre and join on the genre key; adaptive execution picks the
+join by their bytes at run time and splits a hot genre.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinerank.functions.columns import blend_score, cosine, genre_array, genre_similarity
@@ -19,13 +18,11 @@ from cinerank.operators.ranking import top_items, top_items_by_genre, top_k
 from cinerank.operators.vectors import pool_top_k
 
 
-def bounded_ids(df: DataFrame, col: str, limit: int) -> list:
-    """Fetch at most `limit` values of a result whose size is bounded by a
-    limit; refuses anything larger."""
-    rows = df.select(col).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"expected at most {limit} rows")
-    return [r[0] for r in rows]
+def bounded_list(df: DataFrame, *cols: str) -> Column:
+    """The rows of a result whose size is a parameter (a top-N list) as one
+    array, attached where it is used by a scalar subquery."""
+    row = F.struct(*cols) if len(cols) > 1 else F.col(cols[0])
+    return F.lit(df.agg(F.collect_list(row).alias("l")).scalar())
 
 
 def _genre_lists(items: DataFrame, per_genre: int, vectors: DataFrame | None = None) -> DataFrame:
@@ -47,27 +44,31 @@ def _seed_rows(seeds: DataFrame, items: DataFrame, vectors: DataFrame | None = N
 
 
 def candidates_by_genre(seeds: DataFrame, items: DataFrame, per_genre: int = 100,
-                        vectors: DataFrame | None = None, max_broadcast_rows: int = 1_000_000) -> DataFrame:
+                        vectors: DataFrame | None = None) -> DataFrame:
     """S1 + J8 + J10: union over the seed's genres of each genre's `per_genre`
     best-rated items, without the seed itself. One row per (seed, candidate)
-    pair matched by genre (duplicates when several genres match).
-
-    The per-genre lists hold at most `per_genre` rows per genre. That bound
-    (genres are counted on the catalogue alone: the rating aggregate is
-    pruned from that count) is checked and, up to `max_broadcast_rows`, the
-    lists are broadcast so the seeds are never shuffled by genre (a genre
-    holding a third of all items costs no single task). Beyond it the join
-    shuffles and adaptive execution splits a hot genre."""
+    pair matched by genre (duplicates when several genres match)."""
     s = _seed_rows(seeds, items, vectors)
     s = s.select("*", F.explode("seedGenres").alias("genre"))
-    lists = _genre_lists(items, per_genre, vectors)
-    n_genres = items.select(F.explode(F.split("genres", "\\|")).alias("g")).distinct().count()
-    if n_genres * per_genre <= max_broadcast_rows:
-        lists = F.broadcast(lists)
-    c = s.join(lists, "genre")
+    c = s.join(_genre_lists(items, per_genre, vectors), "genre")
     return c.filter(F.col("candidateId") != F.col("seedId")).drop("genre")
 
 
+def candidate_ids(seeds: DataFrame, items: DataFrame, per_genre: int = 100, more: Column | None = None) -> DataFrame:
+    """(seedId, candidateId) of S1 without repeats: the id lists of a seed's few
+    genres meet in one row, are united there (with the ids in `more`) and
+    exploded once."""
+    s = _seed_rows(seeds, items)
+    lists = top_items_by_genre(items, per_genre, "rating").groupBy("genre").agg(F.collect_list("movieId").alias("ids"))
+    by_genre = s.select("seedId", F.explode("seedGenres").alias("genre")).join(lists, "genre")
+    found = by_genre.groupBy("seedId").agg(F.flatten(F.collect_list("ids")).alias("ids"))
+    if more is not None:
+        found = s.select("seedId").join(found, "seedId", "left").select(
+            "seedId", F.concat(F.coalesce("ids", F.array().cast("array<bigint>")), more).alias("ids"))
+    return (found.select("seedId", F.explode(F.array_distinct("ids")).alias("candidateId"))
+            .filter(F.col("candidateId") != F.col("seedId")))
+
+
 def _rank_distinct(scored: DataFrame, size: int) -> DataFrame:
     """T4 on pairs that may repeat: dense_rank gives duplicates one rank, so
     the partial group limit still applies; duplicates are dropped after."""
@@ -94,14 +95,9 @@ def candidates_multi(seeds: DataFrame, items: DataFrame, per_genre: int = 20, by
                      by_year: int = 100) -> DataFrame:
     """Genre top `per_genre` U global top `by_rating` by rating U global
     top `by_year` by release year, de-duplicated, without the seed."""
-    genre_part = candidates_by_genre(seeds, items, per_genre).select("seedId", "candidateId")
-    fixed = bounded_ids(top_items(items, by_rating, "rating"), "movieId", by_rating) + \
-        bounded_ids(top_items(items, by_year, "releaseYear"), "movieId", by_year)
-    fixed = sorted(set(fixed))
-    seed_ids = items.join(seeds.select("movieId"), "movieId", "left_semi").select(F.col("movieId").alias("seedId"))
-    global_part = seed_ids.select("seedId", F.explode(F.array(*[F.lit(int(i)) for i in fixed])).alias("candidateId"))
-    both = genre_part.unionByName(global_part)
-    return both.filter(F.col("candidateId") != F.col("seedId")).dropDuplicates(["seedId", "candidateId"])
+    both = top_items(items, by_rating, "rating").select("movieId").union(
+        top_items(items, by_year, "releaseYear").select("movieId"))
+    return candidate_ids(seeds, items, per_genre, bounded_list(both, "movieId"))
 
 
 def candidates_by_embedding(seeds: DataFrame, items: DataFrame, vectors: DataFrame, size: int = 16,
@@ -112,7 +108,7 @@ def candidates_by_embedding(seeds: DataFrame, items: DataFrame, vectors: DataFra
     pool_items = top_items(items, pool, "rating").select("movieId")
     pool_vecs = pool_items.join(vectors, "movieId", "left")
     q = vectors.join(seeds.select("movieId"), "movieId", "left_semi")
-    r = pool_top_k(q, "movieId", "emb", pool_vecs, "movieId", "emb", size, "cosine", max_pool_rows=pool)
+    r = pool_top_k(q, "movieId", "emb", pool_vecs, "movieId", "emb", size, "cosine")
     return r.select(F.col("qid").alias("seedId"), F.col("cid").alias("candidateId"), "score", "rank")
 
 
@@ -128,16 +124,14 @@ def recommend_for_users(users: DataFrame, items: DataFrame, size: int = 32, mode
     if model == "emb":
         pv = pool_items.join(item_vectors, "movieId", "left")
         uv = u.join(user_vectors, "userId", "left")
-        r = pool_top_k(uv, "userId", "emb", pv, "movieId", "emb", size, "cosine", max_pool_rows=pool)
+        r = pool_top_k(uv, "userId", "emb", pv, "movieId", "emb", size, "cosine")
         return r.select(F.col("qid").alias("userId"), F.col("cid").alias("movieId"), "score", "rank")
     if model == "scores":
-        pool_ids = bounded_ids(pool_items, "movieId", pool)
-        s = scores.join(u, "userId", "left_semi").filter(F.col("movieId").isin(pool_ids))
+        s = scores.join(u, "userId", "left_semi").join(pool_items.select("movieId"), "movieId", "left_semi")
         return top_k(s, ["userId"], [F.col("score").desc(), F.col("movieId").asc()], size) \
             .select("userId", "movieId", "score", "rank")
     # default: the pool order itself, identical for every user
-    ids = bounded_ids(pool_items.orderBy("poolRank"), "movieId", pool)
-    n = len(ids)
-    head = [F.struct(F.lit(int(m)).cast("long").alias("movieId"), F.lit(float(n - i)).alias("score"), F.lit(i + 1).cast("long").alias("rank"))
-            for i, m in enumerate(ids[:size])]
-    return u.select("userId", F.explode(F.array(*head)).alias("r")).select("userId", "r.movieId", "r.score", "r.rank")
+    n = pool_items.agg(F.count(F.lit(1))).scalar()
+    head = bounded_list(pool_items.filter(F.col("poolRank") <= size), "movieId", "poolRank")
+    return u.select("userId", F.explode(head).alias("r")).select(
+        "userId", "r.movieId", (n - F.col("r.poolRank") + 1).cast("double").alias("score"), F.col("r.poolRank").alias("rank"))

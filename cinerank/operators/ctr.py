@@ -1,32 +1,29 @@
 """Click / rating models on Spark ML.
 
 The single-machine neural scripts are re-aimed at Spark ML estimators with
-the same inputs, roles and metrics: factorization machines for user x item
-(and for the first-order + pairwise model), multilayer perceptrons for the
-numeric + categorical models, logistic regression for the wide part. They
-are not numerically equal to the neural networks and do not claim to be.
-Spark ML has no embedding layer, so raw ids enter only the factorization
-machines (which handle sparse one-hot ids); the perceptrons use numeric
-features and genre indicators.
+the same inputs, roles and metrics; they are not numerically equal to the
+neural networks and do not claim to be. Spark ML has no embedding layer, so the
+learned user and item ids of the scripts are the factors of a distributed
+factorisation (ALS, rank 10) of the training labels: two tables, one row per
+user and item, that stay DataFrames. Perceptrons, logistic regressions and dot
+products take them as inputs like any other column.
 """
 
 from __future__ import annotations
 
-import numpy as np
+from dataclasses import dataclass
+
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import FMClassifier, LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import MinMaxScaler, OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.recommendation import ALS
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinerank.functions.columns import uniform_u32
-
-# The genre vocabulary of the reference models, in its order.
-REFERENCE_GENRES = ["Film-Noir", "Action", "Adventure", "Horror", "Romance", "War", "Comedy", "Western",
-                    "Documentary", "Sci-Fi", "Drama", "Thriller", "Crime", "Fantasy", "Animation", "IMAX",
-                    "Mystery", "Children", "Musical"]
+from cinerank.functions.columns import cosine, genre_array, uniform_u32
+from cinerank.operators.sequences import positions
 
 GENRE_COLS = ["userGenre1", "userGenre2", "userGenre3", "userGenre4", "userGenre5",
               "movieGenre1", "movieGenre2", "movieGenre3"]
@@ -48,23 +45,30 @@ def model_inputs(samples: DataFrame) -> DataFrame:
     return samples.select(*keep, *[text_number(c).alias(c) for c in NUMERIC_COLS], *extra)
 
 
-def encode_vocab(df: DataFrame, cols: list[str], vocab: list[str], suffix: str = "Idx") -> DataFrame:
-    """Text -> 0-based position in a fixed vocabulary; unknown or
-    missing -> -1."""
-    arr = F.array(*[F.lit(v) for v in vocab])
+def genre_vocabulary(movies: DataFrame) -> Column:
+    """The catalogue's genres in order, as one array from a scalar subquery (one
+    entry per distinct genre)."""
+    genres = movies.select(F.explode(genre_array("genres")).alias("g")).distinct()
+    return F.lit(genres.agg(F.sort_array(F.collect_list("g")).alias("v")).scalar())
+
+
+def encode_vocab(df: DataFrame, cols: list[str], vocab: list[str] | Column, suffix: str = "Idx") -> DataFrame:
+    """Text -> 0-based position in a vocabulary; unknown or missing -> -1."""
+    arr = vocab if isinstance(vocab, Column) else F.array(*[F.lit(v) for v in vocab])
     return df.select("*", *[(F.coalesce(F.array_position(arr, F.col(c)), F.lit(0)) - 1).cast("int")
                             .alias(c + suffix) for c in cols])
 
 
-def encode_identity(df: DataFrame, col: str, n: int, out_col: str | None = None) -> DataFrame:
-    """Id kept when 0 <= id < n, else null (count them with
-    `out_of_range`)."""
-    c = F.col(col)
-    return df.withColumn(out_col or col + "Idx", F.when((c >= 0) & (c < n), c.cast("int")))
+def id_range(df: DataFrame, col: str) -> Column:
+    """One more than the largest id of a column."""
+    return F.lit(df.agg((F.max(col) + 1).alias("n")).scalar())
 
 
-def out_of_range(df: DataFrame, col: str, n: int) -> DataFrame:
-    return df.agg(F.sum(F.when((F.col(col) < 0) | (F.col(col) >= n), 1).otherwise(0)).alias("outOfRange"))
+def encode_identity(df: DataFrame, col: str, n: int | Column, out_col: str | None = None) -> DataFrame:
+    """Id kept when 0 <= id < n, else null; take n from the data
+    (`id_range`) or from where it is fixed."""
+    c = F.col(col)
+    return df.withColumn(out_col or col + "Idx", F.when((c >= 0) & (c < n), c.cast("int")))
 
 
 def cross_hash(a, b, n: int = 10000) -> Column:
@@ -73,24 +77,20 @@ def cross_hash(a, b, n: int = 10000) -> Column:
                               F.coalesce(F.col(b).cast("string"), F.lit(""))), F.lit(n)).cast("int")
 
 
-def indicator(df: DataFrame, cols: list[str]) -> DataFrame:
-    """C4: one-hot vectors for integer-coded columns (<col>Vec); values not
-    seen at fit time get their own slot."""
+def indicator(df: DataFrame, cols: list[str], largest: DataFrame | None = None) -> DataFrame:
+    """C4: one-hot vectors for integer-coded columns (<col>Vec). Their sizes come
+    from `largest` (a row with the largest code of each column) if given, else
+    from the data; larger codes, met later, share one more slot."""
     enc = OneHotEncoder(inputCols=cols, outputCols=[c + "Vec" for c in cols], handleInvalid="keep",
                         dropLast=False)
-    return enc.fit(df).transform(df)
-
+    return enc.fit(df if largest is None else largest).transform(df)
 
-def _genre_stage_cols() -> list[str]:
-    return [c + "Idx" for c in GENRE_COLS]
 
-
-def _with_genre_codes(df: DataFrame, vocab: list[str]) -> DataFrame:
-    # -1 (unknown) -> slot len(vocab): an explicit "other" indicator
-    d = encode_vocab(df, GENRE_COLS, vocab)
-    for c in GENRE_COLS:
-        d = d.withColumn(c + "Idx", F.when(F.col(c + "Idx") < 0, len(vocab)).otherwise(F.col(c + "Idx")))
-    return d
+def genre_codes(df: DataFrame, cols: list[str], vocab: list[str] | Column) -> DataFrame:
+    """Genre columns as codes (<col>Idx): 0 for an unknown or missing genre, the
+    place in the vocabulary plus one for the others."""
+    d = encode_vocab(df, cols, vocab)
+    return d.withColumns({c + "Idx": F.col(c + "Idx") + 1 for c in cols})
 
 
 def _vector_width(df: DataFrame, col: str) -> int:
@@ -100,132 +100,165 @@ def _vector_width(df: DataFrame, col: str) -> int:
     return int(df.select(F.size(vector_to_array(col))).first()[0])
 
 
+def _indicators(cols: list[str]) -> OneHotEncoder:
+    return OneHotEncoder(inputCols=[c + "Idx" for c in cols], outputCols=[c + "Vec" for c in cols], dropLast=False,
+                         handleInvalid="keep")
+
+
 def _fit_mlp(d: DataFrame, feature_stages: list, hidden, max_iter: int, seed: int) -> PipelineModel:
     """Fit feature stages, size the input layer from the assembled vector,
     then fit the perceptron; one PipelineModel with all stages."""
     feats = Pipeline(stages=feature_stages).fit(d)
-    td = feats.transform(d)
+    td = feats.transform(d).select("label", "features").persist()  # a perceptron passes over it again and again
     mlp = MultilayerPerceptronClassifier(layers=[_vector_width(td, "features"), *hidden, 2], maxIter=max_iter,
-                                         seed=seed, labelCol="label", featuresCol="features").fit(td)
+                                         solver="l-bfgs", seed=seed, labelCol="label", featuresCol="features").fit(td)
+    td.unpersist()
     return PipelineModel(stages=[*feats.stages, mlp])
 
 
-def mlp_model(train: DataFrame, vocab: list[str], hidden=(128, 128), max_iter: int = 20, seed: int = 42):
-    """Numeric + genre indicators -> perceptron with `hidden` layers."""
-    d = _with_genre_codes(train, vocab)
-    idx = _genre_stage_cols()
-    onehot = OneHotEncoder(inputCols=idx, outputCols=[c + "Vec" for c in idx], dropLast=False, handleInvalid="keep")
-    num = VectorAssembler(inputCols=NUMERIC_COLS, outputCol="numRaw", handleInvalid="keep")
-    scale = MinMaxScaler(inputCol="numRaw", outputCol="numScaled")
-    feats = VectorAssembler(inputCols=["numScaled"] + [c + "Vec" for c in idx], outputCol="features")
-    return _fit_mlp(d, [onehot, num, scale, feats], hidden, max_iter, seed)
+def probability(col: str = "probability") -> Column:
+    return F.get(vector_to_array(col), 1)
 
 
-def predict(model: PipelineModel, df: DataFrame, vocab: list[str] | None = None) -> DataFrame:
+def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Apply a fitted pipeline; adds `score` = probability of label 1."""
-    d = _with_genre_codes(df, vocab) if vocab is not None else df
-    out = model.transform(d)
-    return out.withColumn("score", F.get(vector_to_array("probability"), 1))
-
-
-def pair_model(train: DataFrame, n_users: int, n_items: int, factor_size: int = 10, max_iter: int = 10,
-               seed: int = 42) -> PipelineModel:
-    """User x item factorization machine on one-hot ids (two towers of
-    width `factor_size`, pairwise dot as the interaction)."""
-    d = pair_inputs(train, n_users, n_items)
-    enc = OneHotEncoder(inputCols=["userIdIdx", "movieIdIdx"], outputCols=["uVec", "iVec"], dropLast=False,
-                        handleInvalid="keep")
-    feats = VectorAssembler(inputCols=["uVec", "iVec"], outputCol="features")
-    fm = FMClassifier(factorSize=factor_size, maxIter=max_iter, seed=seed, labelCol="label",
-                      featuresCol="features", stepSize=0.1)
-    return Pipeline(stages=[enc, feats, fm]).fit(d)
-
-
-def pair_inputs(df: DataFrame, n_users: int, n_items: int) -> DataFrame:
-    """Ids for the one-hot encoders; out-of-range ids share slot n."""
-    d = encode_identity(encode_identity(df, "userId", n_users), "movieId", n_items)
-    return (d.withColumn("userIdIdx", F.coalesce("userIdIdx", F.lit(n_users)))
-            .withColumn("movieIdIdx", F.coalesce("movieIdIdx", F.lit(n_items))))
-
-
-def fm_pair_tables(model: PipelineModel, users: DataFrame, items: DataFrame, n_users: int, n_items: int):
-    """User and item tables whose inner product is the pair model's logit
-    minus its intercept: user [v_u, w_u, 1], item [v_i, 1, w_i]. The
-    factors are the fitted model's own (driver-held) parameters."""
-    enc, fm = model.stages[0], model.stages[-1]
-    sizes = list(enc.categorySizes)
-    u_width = sizes[0] + 1  # handleInvalid="keep" adds one slot
-    factors = fm.factors.toArray()
-    linear = fm.linear.toArray()
-    spark = users.sparkSession
-
-    def table(ids_df, col, offset, n, size, user_side):
-        c = F.col(col)
-        j = F.least(F.coalesce(F.when((c >= 0) & (c < n), c.cast("int")), F.lit(n)), F.lit(size))
-        idx = ids_df.select(col).distinct().select(col, j.alias("_j"))
-        f = factors[offset:offset + size + 1].astype(np.float32)
-        w = linear[offset:offset + size + 1].astype(np.float32)[:, None]
-        one = np.ones_like(w)
-        vec = np.hstack([f, w, one] if user_side else [f, one, w])
-        rows = list(zip(range(size + 1), vec.tolist()))  # plain Python values: works with or without Arrow
-        params = spark.createDataFrame(rows, "_j int, vec array<float>")
-        return idx.join(params, "_j").select(col, "vec")
-
-    ut = table(users, "userId", 0, n_users, sizes[0], True)
-    it = table(items, "movieId", u_width, n_items, sizes[1], False)
-    return ut, it, float(fm.intercept)
-
-
-def wide_deep_model(train: DataFrame, vocab: list[str], deep: PipelineModel, n_cross: int = 10000,
-                    max_iter: int = 20) -> PipelineModel:
-    """The deep model's probability plus the hashed item x first-history
-    cross (one-hot, `n_cross` buckets) -> logistic regression."""
-    d = predict(deep, train, vocab).select(*train.columns, F.col("score").alias("deepScore"))
-    d = d.withColumn("crossIdx", cross_hash("movieId", "userRatedMovie1", n_cross))
+    return model.transform(df).withColumn("score", probability())
+
+
+# ------------------------------------------------------------------ id factors
+@dataclass
+class Factors:
+    """Learned ids: one row per user and item of the training rows."""
+    users: DataFrame  # userId, uf array<float>
+    items: DataFrame  # movieId, vf array<float>
+    rank: int
+
+
+def id_factors(train: DataFrame, rank: int = 10, max_iter: int = 10, reg: float = 0.1, seed: int = 42) -> Factors:
+    """Distributed factorisation of the labels (mean label per pair) by
+    alternating least squares. Ids of any size are numbered densely for it."""
+    pairs = train.groupBy("userId", "movieId").agg(F.avg("label").alias("y"))
+    u = positions(train.select("userId").distinct(), [], ["userId"], "u")
+    v = positions(train.select("movieId").distinct(), [], ["movieId"], "v")
+    rows = pairs.join(u, "userId").join(v, "movieId").select(F.col("u").cast("int"), F.col("v").cast("int"), F.col("y").cast("float"))
+    m = ALS(rank=rank, maxIter=max_iter, regParam=reg, userCol="u", itemCol="v", ratingCol="y", seed=seed).fit(rows)
+    users = m.userFactors.join(u, F.col("id") == F.col("u")).select("userId", F.col("features").alias("uf"))
+    items = m.itemFactors.join(v, F.col("id") == F.col("v")).select("movieId", F.col("features").alias("vf"))
+    return Factors(users.checkpoint(eager=True), items.checkpoint(eager=True), rank)
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x * y).cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def with_factors(df: DataFrame, f: Factors) -> DataFrame:
+    """Rows with the factors of their user and item (`uf`, `vf`; zeros for ids
+    that were not trained) and their dot product `pairDot`."""
+    zeros = F.array_repeat(F.lit(0.0).cast("float"), f.rank)
+    d = df.join(f.users, "userId", "left").join(f.items, "movieId", "left")
+    d = d.withColumns({"uf": F.coalesce("uf", zeros), "vf": F.coalesce("vf", zeros)})
+    return d.withColumns({"pairDot": dot(F.col("uf"), F.col("vf")), "ufVec": array_to_vector("uf"), "vfVec": array_to_vector("vf")})
+
+
+def _logistic(d: DataFrame, cols: list[str], stages: list | None = None, max_iter: int = 50, reg: float = 0.0) -> PipelineModel:
+    feats = VectorAssembler(inputCols=cols, outputCol="features")
+    lr = LogisticRegression(featuresCol="features", labelCol="label", maxIter=max_iter, regParam=reg)
+    return Pipeline(stages=[*(stages or []), feats, lr]).fit(d)
+
+
+def pair_model(train: DataFrame, head: str = "dot", hidden=(10, 10), max_iter: int = 20, seed: int = 42) -> tuple[PipelineModel, Factors]:
+    """User x item model on learned ids (two towers of width 10). head="dot":
+    a logistic function of the dot product; head="mlp": a perceptron over both
+    factors. `train` is factorised first; rows to score need `with_factors`."""
+    f = id_factors(train, seed=seed)
+    d = with_factors(train, f)
+    if head == "dot":
+        return _logistic(d, ["pairDot"]), f
+    feats = VectorAssembler(inputCols=["ufVec", "vfVec"], outputCol="features")
+    return _fit_mlp(d, [feats], hidden, max_iter, seed), f
+
+
+def _scaled_numbers() -> list:
+    return [VectorAssembler(inputCols=NUMERIC_COLS, outputCol="numRaw", handleInvalid="keep"),
+            MinMaxScaler(inputCol="numRaw", outputCol="numScaled")]
+
+
+def mlp_model(train: DataFrame, hidden=(128, 128), max_iter: int = 20, seed: int = 42) -> PipelineModel:
+    """Numeric columns + genre indicators + learned user and item ids ->
+    perceptron. Rows come from `genre_codes` and `with_factors`."""
+    feats = VectorAssembler(inputCols=["numScaled", "ufVec", "vfVec"] + [c + "Vec" for c in GENRE_COLS], outputCol="features")
+    return _fit_mlp(train, [_indicators(GENRE_COLS), *_scaled_numbers(), feats], hidden, max_iter, seed)
+
+
+def with_deep_score(deep: PipelineModel, df: DataFrame) -> DataFrame:
+    """Rows with the deep model's probability, written once."""
+    return (deep.transform(df).select(*df.columns, probability().alias("deepScore")).checkpoint(eager=True))
+
+
+def wide_deep_model(scored: DataFrame, n_cross: int = 10000, max_iter: int = 20) -> PipelineModel:
+    """The deep model's probability (`with_deep_score`) plus the hashed item
+    x first-history cross (one-hot, `n_cross` buckets) -> logistic regression."""
+    d = scored.withColumn("crossIdx", cross_hash("movieId", "userRatedMovie1", n_cross))
     enc = OneHotEncoder(inputCols=["crossIdx"], outputCols=["crossVec"], dropLast=False, handleInvalid="keep")
-    feats = VectorAssembler(inputCols=["deepScore", "crossVec"], outputCol="wdFeatures")
-    lr = LogisticRegression(featuresCol="wdFeatures", labelCol="label", maxIter=max_iter,
-                            probabilityCol="wdProbability", rawPredictionCol="wdRaw", predictionCol="wdPrediction")
-    return Pipeline(stages=[enc, feats, lr]).fit(d)
-
-
-def predict_wide_deep(wd: PipelineModel, deep: PipelineModel, df: DataFrame, vocab: list[str],
-                      n_cross: int = 10000) -> DataFrame:
-    d = predict(deep, df, vocab).select(*df.columns, F.col("score").alias("deepScore"))
-    d = d.withColumn("crossIdx", cross_hash("movieId", "userRatedMovie1", n_cross))
-    out = wd.transform(d)
-    return out.withColumn("score", F.get(vector_to_array("wdProbability"), 1))
-
-
-def fm_model(train: DataFrame, vocab: list[str], n_users: int, n_items: int, factor_size: int = 10,
-             max_iter: int = 10, seed: int = 42) -> PipelineModel:
-    """First-order indicators (item, user, genres) + scaled numerics,
-    pairwise factor interactions (FM with a linear part)."""
-    d = pair_inputs(_with_genre_codes(train, vocab), n_users, n_items)
-    idx = ["userIdIdx", "movieIdIdx"] + _genre_stage_cols()
-    enc = OneHotEncoder(inputCols=idx, outputCols=[c + "Vec" for c in idx], dropLast=False, handleInvalid="keep")
-    num = VectorAssembler(inputCols=NUMERIC_COLS, outputCol="numRaw", handleInvalid="keep")
-    scale = MinMaxScaler(inputCol="numRaw", outputCol="numScaled")
-    feats = VectorAssembler(inputCols=["numScaled"] + [c + "Vec" for c in idx], outputCol="features")
-    fm = FMClassifier(factorSize=factor_size, fitLinear=True, maxIter=max_iter, seed=seed, labelCol="label",
-                      featuresCol="features", stepSize=0.1)
-    return Pipeline(stages=[enc, num, scale, feats, fm]).fit(d)
-
-
-def interest_vector(samples: DataFrame, item_vectors: DataFrame, n: int = 5, weighted: bool = False) -> DataFrame:
+    return _logistic(d, ["deepScore", "crossVec"], [enc], max_iter, reg=0.01)
+
+
+def predict_wide_deep(wd: PipelineModel, scored: DataFrame, n_cross: int = 10000) -> DataFrame:
+    return predict(wd, scored.withColumn("crossIdx", cross_hash("movieId", "userRatedMovie1", n_cross)))
+
+
+FM_GENRES = ["userGenre1", "movieGenre1"]
+FM_DOTS = ["idDot", "genreDot", "genreUserDot", "genreItemDot"]
+
+
+def genre_factors(movies: DataFrame, f: Factors) -> DataFrame:
+    """(genre, gf): a genre's vector is the mean factor of its items."""
+    g = movies.select("movieId", F.explode(genre_array("genres")).alias("genre")).join(f.items, "movieId")
+    mean = g.select("genre", F.posexplode("vf").alias("i", "x")).groupBy("genre", "i").agg(F.avg("x").alias("x"))
+    return mean.groupBy("genre").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("l")).select(
+        "genre", F.transform("l", lambda e: e["x"].cast("float")).alias("gf"))
+
+
+def with_products(df: DataFrame, genres: DataFrame, rank: int) -> DataFrame:
+    """The four named dot products of user, item, first user genre and first
+    item genre (rows from `with_factors`)."""
+    zeros = F.array_repeat(F.lit(0.0).cast("float"), rank)
+    d = df
+    for col, name in (("userGenre1", "ug"), ("movieGenre1", "ig")):
+        d = d.join(genres.select(F.col("genre").alias(col), F.col("gf").alias(name)), col, "left").withColumn(
+            name, F.coalesce(name, zeros))
+    return d.withColumns({"idDot": F.col("pairDot"), "genreDot": dot(F.col("ug"), F.col("ig")),
+                          "genreUserDot": dot(F.col("ig"), F.col("uf")), "genreItemDot": dot(F.col("ug"), F.col("vf"))})
+
+
+def deep_fm_model(train: DataFrame, hidden=(64, 64), max_iter: int = 20, seed: int = 42) -> tuple[PipelineModel, PipelineModel]:
+    """First-order genre indicators, the four dot products and a deep part of
+    two layers over ids, genres and numbers, joined by a logistic regression.
+    Returns (deep part, joint model); rows come from `with_products`."""
+    feats = VectorAssembler(inputCols=["numScaled", "ufVec", "vfVec"] + [c + "Vec" for c in FM_GENRES], outputCol="features")
+    deep = _fit_mlp(train, [_indicators(FM_GENRES), *_scaled_numbers(), feats], hidden, max_iter, seed)
+    joint = _logistic(with_deep_score(deep, train), ["deepScore", *FM_DOTS] + [c + "Vec" for c in FM_GENRES],
+                      [_indicators(FM_GENRES)], reg=0.001)
+    return deep, joint
+
+
+def interest_vector(samples: DataFrame, item_vectors: DataFrame, key: list[str], n: int = 5, weighted: bool = False) -> DataFrame:
     """For each sample, sum over its history slots (userRatedMovie1..n,
     empty or vector-less slots skipped) of concat(h - c, h, c, h * c), where
     h is the slot item's vector and c the candidate item's; `weighted`
-    scales each slot by cosine(h, c). Adds `interest` array<double> and
-    `nSlots`; samples whose candidate has no vector get null."""
+    scales each slot by cosine(h, c). Adds `interest` array<double>, `nSlots`
+    and `candidate` (c); samples whose candidate has no vector get null. `key`
+    makes samples unique. Empty slots are left out before the vectors are joined,
+    so no null key gathers rows, and a sample's at most n vectors meet again by
+    its key."""
     v = item_vectors.select("movieId", "emb")
-    d = samples.join(v.withColumnRenamed("emb", "_c"), "movieId", "left")
-    for i in range(1, n + 1):
-        d = d.join(v.select(F.col("movieId").alias(f"userRatedMovie{i}"), F.col("emb").alias(f"_h{i}")),
-                   f"userRatedMovie{i}", "left")
-    hs = F.filter(F.array(*[F.col(f"_h{i}") for i in range(1, n + 1)]),
-                  lambda h: h.isNotNull() & (F.size(h) == F.size(F.col("_c"))))
-    d = d.withColumn("_hs", hs)
+    slots = samples.select(*key, F.posexplode(F.array(*[F.col(f"userRatedMovie{i}") for i in range(1, n + 1)])).alias("_i", "_m"))
+    found = (slots.filter(F.col("_m").isNotNull()).join(v.select(F.col("movieId").alias("_m"), F.col("emb").alias("_h")), "_m")
+             .filter(F.col("_h").isNotNull()))
+    hist = found.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_i", "_h"))).alias("_l"))
+    d = samples.join(hist, key, "left").join(v.withColumnRenamed("emb", "_c"), "movieId", "left")
+    d = d.withColumn("_hs", F.coalesce(F.filter(F.transform("_l", lambda e: e["_h"]), lambda h: F.size(h) == F.size(F.col("_c"))),
+                                       F.array().cast("array<array<float>>")))
 
     def block(h):
         c = F.col("_c")
@@ -234,23 +267,28 @@ def interest_vector(samples: DataFrame, item_vectors: DataFrame, n: int = 5, wei
 
     zero = F.transform(F.sequence(F.lit(1), F.size("_c") * 4), lambda i: F.lit(0.0))
     if weighted:
-        from cinerank.functions.columns import cosine
         d = d.withColumn("_hs", F.transform("_hs", lambda h: F.struct(h.alias("h"), cosine(h, F.col("_c")).alias("w"))))
         acc = F.aggregate("_hs", zero, lambda a, e: F.zip_with(a, block(e["h"]), lambda x, y: x + y * e["w"]))
     else:
         acc = F.aggregate("_hs", zero, lambda a, h: F.zip_with(a, block(h), lambda x, y: x + y))
-    out = d.withColumn("interest", F.when(F.col("_c").isNotNull(), acc)).withColumn("nSlots", F.size("_hs"))
-    return out.drop("_c", "_hs", *[f"_h{i}" for i in range(1, n + 1)])
+    known = F.col("_c").isNotNull()
+    return d.withColumns({"interest": F.when(known, acc), "nSlots": F.when(known, F.size("_hs")), "candidate": F.col("_c")}).drop("_c", "_hs", "_l")
+
+
+def interest_inputs(df: DataFrame) -> DataFrame:
+    """Rows with a candidate vector, their vectors ready for the model."""
+    return df.filter(F.col("interest").isNotNull()).withColumns(
+        {"interestVec": array_to_vector("interest"), "candidateVec": array_to_vector(F.col("candidate").cast("array<double>"))})
 
 
 def interest_model(train: DataFrame, hidden=(128, 64), max_iter: int = 10, seed: int = 42) -> PipelineModel:
-    """Interest vector + user profile + candidate context -> perceptron."""
-    d = train.filter(F.col("interest").isNotNull()).withColumn("interestVec", array_to_vector("interest"))
-    cols = ["interestVec", "userRatingCount", "userAvgRating", "userRatingStddev", "releaseYear",
-            "movieRatingCount", "movieAvgRating", "movieRatingStddev"]
-    raw = VectorAssembler(inputCols=cols, outputCol="raw")  # inputs are never null here
-    scale = MinMaxScaler(inputCol="raw", outputCol="features")
-    return _fit_mlp(d, [raw, scale], hidden, max_iter, seed)
+    """Interest vector + user profile (learned id, first genre, rating
+    statistics) + candidate vector and genre + context -> perceptron. Rows come
+    from `genre_codes` and `interest_inputs`, with factors."""
+    raw = VectorAssembler(inputCols=["interestVec", "candidateVec", "ufVec", *NUMERIC_COLS], outputCol="raw")  # never null here
+    scale = MinMaxScaler(inputCol="raw", outputCol="scaled")
+    feats = VectorAssembler(inputCols=["scaled"] + [c + "Vec" for c in FM_GENRES], outputCol="features")
+    return _fit_mlp(train, [_indicators(FM_GENRES), raw, scale, feats], hidden, max_iter, seed)
 
 
 def binary_metrics(df: DataFrame, label: str = "label", score: str = "score", eps: float = 1e-7) -> DataFrame:
@@ -276,10 +314,14 @@ def prediction_report(preds: DataFrame, order_cols: list[str], k: int = 12) -> D
                       F.when(F.col("label") == 1, F.lit("Good Rating")).otherwise(F.lit("Bad Rating")).alias("actual"))
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    """C14: persist a fitted pipeline."""
-    model.write().overwrite().save(path)
+def save_model(model: PipelineModel, factors: Factors, path: str) -> None:
+    """C14: persist a fitted pipeline and its learned ids."""
+    model.write().overwrite().save(f"{path}/model")
+    factors.users.write.mode("overwrite").parquet(f"{path}/users")
+    factors.items.write.mode("overwrite").parquet(f"{path}/items")
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, Factors]:
+    users, items = spark.read.parquet(f"{path}/users"), spark.read.parquet(f"{path}/items")
+    rank = users.select(F.size("uf")).first()[0]
+    return PipelineModel.load(f"{path}/model"), Factors(users, items, rank)

@@ -1,8 +1,8 @@
 """Categorical and numeric feature encoders (M1-M5, A8-A10, V6, V7, V9,
 V10), on Spark ML where it has the encoder.
 
-Exact quantile buckets come from a distributed global rank (skew-safe
-positions) instead of a zero-error quantile summary, which would merge all
+Exact quantile buckets come from the counts of distinct values and their
+running sum instead of a zero-error quantile summary, which would merge all
 values on the driver; only the <= n cut values are fetched.
 """
 
@@ -16,15 +16,14 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinerank.functions.columns import multi_hot_array, sample_var
-from cinerank.operators.sequences import positions
+from cinerank.functions.columns import genre_array, multi_hot_array, sample_var
+from cinerank.operators.sequences import running_sum
 
-VECTOR_STRUCT = "v struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
-
-
-def vector_parts(vec_col: str) -> Column:
-    """A vector column as struct(type, size, indices, values), JVM side."""
-    return F.from_json(F.to_json(F.struct(F.col(vec_col).alias("v"))), VECTOR_STRUCT)["v"]
+def hot_index(vec_col: str) -> Column:
+    """Place of the 1 in a one-hot vector (null for an all-zero one)."""
+    v = vector_to_array(vec_col)
+    at = F.array_position(v, F.lit(1.0)).cast("int") - 1
+    return F.when(at >= 0, at)
 
 
 def one_hot(df: DataFrame, col: str, out_col: str = "vec", drop_last: bool = False) -> DataFrame:
@@ -35,8 +34,8 @@ def one_hot(df: DataFrame, col: str, out_col: str = "vec", drop_last: bool = Fal
 
 
 def explode_genres(movies: DataFrame) -> DataFrame:
-    """V9: one row per (movie, genre)."""
-    return movies.select("movieId", "title", F.explode(F.split("genres", "\\|")).alias("genre"))
+    """V9: one row per (movie, genre); blank genres have none."""
+    return movies.select("movieId", "title", F.explode(genre_array("genres")).alias("genre"))
 
 
 def label_index(df: DataFrame, col: str, out_col: str) -> DataFrame:
@@ -67,12 +66,13 @@ def exact_splits(df: DataFrame, col: str, num_buckets: int) -> list[float]:
     n_rows = vals.count()
     if n_rows == 0:
         return [-math.inf, math.inf]
-    ranks = sorted({_rank_cut(i / num_buckets, n_rows) for i in range(1, num_buckets)})
-    ranked = positions(vals, [], ["_v"])
-    cut_rows = ranked.filter((F.col("pos") + 1).isin(ranks)).select("pos", "_v").collect()  # <= n rows
-    by_rank = {r["pos"] + 1: r["_v"] for r in cut_rows}
-    inner = [by_rank[_rank_cut(i / num_buckets, n_rows)] for i in range(1, num_buckets)]
-    splits = [-math.inf] + [0.0 if x == 0 else x for x in inner] + [math.inf]
+    ranks = [_rank_cut(i / num_buckets, n_rows) for i in range(1, num_buckets)]
+    # ranks (lo, hi] belong to a value; ties cost one row however many there are
+    counts = running_sum(vals.groupBy("_v").agg(F.count(F.lit(1)).alias("_n")), [], ["_v"], "_n", "_lo")
+    want = F.array(*[F.lit(r).cast("long") for r in sorted(set(ranks))])
+    cuts = counts.select("_v", F.explode(F.filter(want, lambda r: (r > F.col("_lo")) & (r <= F.col("_lo") + F.col("_n")))).alias("r"))
+    by_rank = {x["r"]: x["_v"] for x in cuts.collect()}  # at most num_buckets rows
+    splits = [-math.inf] + [0.0 if by_rank[r] == 0 else by_rank[r] for r in ranks] + [math.inf]
     return list(dict.fromkeys(splits))
 
 

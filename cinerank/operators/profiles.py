@@ -7,7 +7,7 @@ map partition, never a whole-group task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinerank.functions.columns import clean_title, release_year, sample_var
@@ -25,9 +25,10 @@ def positive_ratings(ratings: DataFrame, threshold: float = 3.5) -> DataFrame:
 
 
 def rating_distribution(ratings: DataFrame) -> DataFrame:
-    """A1 + T5: count and share of each rating value, ordered by value."""
-    total = ratings.agg(F.count(F.lit(1)).alias("n")).scalar()
+    """A1 + T5: count and share of each rating value, ordered by value. The
+    total is the sum over the few distinct values, so ratings are read once."""
     counts = ratings.groupBy("rating").agg(F.count(F.lit(1)).alias("count"))
+    total = F.sum("count").over(Window.partitionBy(F.lit(1)))
     return counts.withColumn("percentage", F.col("count") / total).orderBy("rating")
 
 
@@ -77,24 +78,22 @@ def top_ratings(ratings: DataFrame, movies: DataFrame, order_cols: list[str], k:
 
 
 def load_counts(ratings: DataFrame, movies: DataFrame, links: DataFrame) -> DataFrame:
-    """Rows per source and rows that found their item."""
-    ids = movies.select("movieId")
-    parts = [
-        movies.agg(F.count(F.lit(1)).alias("rows")).select(F.lit("movies").alias("source"), "rows"),
-        links.join(ids, "movieId", "left_semi").agg(F.count(F.lit(1)).alias("rows"))
-        .select(F.lit("links_matched").alias("source"), "rows"),
-        ratings.agg(F.count(F.lit(1)).alias("rows")).select(F.lit("ratings").alias("source"), "rows"),
-        ratings.join(ids, "movieId", "left_semi").agg(F.count(F.lit(1)).alias("rows"))
-        .select(F.lit("ratings_matched").alias("source"), "rows"),
-        ratings.select("userId").distinct().agg(F.count(F.lit(1)).alias("rows"))
-        .select(F.lit("users").alias("source"), "rows"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def item_by_id(items: DataFrame, ids: DataFrame, key: str = "movieId") -> DataFrame:
-    """PF10: point lookup for a table of ids (semi join; unknown ids vanish)."""
-    return items.join(ids.select(key), key, "left_semi")
+    """Rows per source and rows that found their item. Every source is
+    pre-aggregated per item id, so each is read once for all counts."""
+    per_item = (movies.select("movieId", F.lit("movies").alias("s")).unionByName(links.select("movieId", F.lit("links").alias("s")))
+                .unionByName(ratings.select("movieId", F.lit("ratings").alias("s")))
+                .groupBy("movieId").agg(*[F.count(F.when(F.col("s") == s, 1)).alias(s) for s in ("movies", "links", "ratings")]))
+    known = (F.col("movies") > 0) & F.col("movieId").isNotNull()
+    counts = per_item.agg(
+        F.sum("movies").alias("movies"), F.sum(F.when(known, F.col("links"))).alias("links_matched"),
+        F.sum("ratings").alias("ratings"), F.sum(F.when(known, F.col("ratings"))).alias("ratings_matched"))
+    rows = counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("source"), F.coalesce(c, F.lit(0)).cast("long").alias("rows"))
+                                             for c in counts.columns])).alias("r")).select("r.*")
+    users = ratings.agg(F.count_distinct("userId").alias("rows")).select(F.lit("users").alias("source"), "rows")
+    return rows.unionByName(users)
+
+
+def rows_by_id(profiles: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """PF10: point lookup of item or user profiles for a table of ids (unknown
+    ids vanish, repeated ids give one row)."""
+    return profiles.join(ids.select(key), key, "left_semi")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cinerank.functions.columns import genre_array
+
 SORT_KEYS = {"rating": "averageRating", "releaseYear": "releaseYear"}
 
 
@@ -34,8 +36,9 @@ def top_items(items: DataFrame, size: int = 100, sort_by: str = "rating") -> Dat
 
 
 def genre_items(items: DataFrame) -> DataFrame:
-    """Genre -> item rows (the inverted index as a table)."""
-    return items.select(F.explode(F.split("genres", "\\|")).alias("genre"), *items.columns)
+    """Genre -> item rows (the inverted index as a table; blank genres
+    have no entry)."""
+    return items.select(F.explode(genre_array("genres")).alias("genre"), *items.columns)
 
 
 def top_items_by_genre(items: DataFrame, size: int = 100, sort_by: str = "rating",
@@ -46,9 +49,3 @@ def top_items_by_genre(items: DataFrame, size: int = 100, sort_by: str = "rating
     if genres is not None:
         g = g.join(genres.select("genre").distinct(), "genre", "left_semi")
     return top_k(g, ["genre"], item_order(sort_by), size)
-
-
-def rank_scored(scored: DataFrame, query_col: str, size: int, score_col: str = "score",
-                id_col: str = "movieId") -> DataFrame:
-    """T4: per query, score desc then id asc, first `size`."""
-    return top_k(scored, [query_col], [F.col(score_col).desc(), F.col(id_col).asc()], size)

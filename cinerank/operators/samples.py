@@ -14,10 +14,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinerank.functions.columns import (add_ranked_genres, release_year, round_text, sample_stddev, slot,
-                                        uniform01, var_from_sums)
+                                        sample_var, uniform01, var_from_sums)
 from cinerank.operators.profiles import add_label
+from cinerank.operators.ranking import top_k
 from cinerank.operators.sequences import DEFAULT_CHUNK_ROWS, positions, with_preceding_halo
 
+# The feature columns of a sample, in their order.
 USER_FEATURES = ["userRatedMovie1", "userRatedMovie2", "userRatedMovie3", "userRatedMovie4", "userRatedMovie5",
                  "userRatingCount", "userAvgReleaseYear", "userReleaseYearStddev", "userAvgRating",
                  "userRatingStddev", "userGenre1", "userGenre2", "userGenre3", "userGenre4", "userGenre5"]
@@ -35,14 +37,22 @@ def item_rating_features(samples: DataFrame) -> DataFrame:
         round_text(F.coalesce(sample_stddev("rating"), F.lit(0.0)), 2).alias("movieRatingStddev"))
 
 
-def add_item_features(samples: DataFrame, movies: DataFrame, fallback_year: int = 1990) -> DataFrame:
-    """J1 + PF3 + PF5 + A2 + J2: attach item year, three genre slots and the
-    item's rating statistics; keeps `genres` for the user windows."""
-    s = samples.join(movies.select("movieId", "title", "genres"), "movieId", "left")
-    s = s.withColumn("releaseYear", release_year("title", fallback_year)).drop("title")
+def item_columns(movies: DataFrame, fallback_year: int = 1990) -> DataFrame:
+    """PF3 + PF5: (movieId, releaseYear, genres, movieGenre1..3) of the catalogue."""
     parts = F.split(F.col("genres"), "\\|")
-    s = s.select("*", *[slot(parts, i).alias(f"movieGenre{i + 1}") for i in range(3)])
-    return s.join(item_rating_features(s), "movieId", "left")
+    return movies.select("movieId", release_year("title", fallback_year).alias("releaseYear"), "genres",
+                         *[slot(parts, i).alias(f"movieGenre{i + 1}") for i in range(3)])
+
+
+def add_item_features(samples: DataFrame, movies: DataFrame, ratings: DataFrame | None = None,
+                      fallback_year: int = 1990) -> DataFrame:
+    """J1 + PF3 + PF5 + A2 + J2: attach item year, three genre slots and the
+    item's rating statistics (taken from `ratings`, else from the samples);
+    keeps `genres` for the user windows. An item that is not in the catalogue
+    gets the fallback year."""
+    s = samples.join(item_columns(movies, fallback_year), "movieId", "left")
+    s = s.withColumn("releaseYear", F.coalesce("releaseYear", F.lit(fallback_year)))
+    return s.join(item_rating_features(ratings if ratings is not None else samples), "movieId", "left")
 
 
 def add_user_features(samples: DataFrame, order_cols: list[str], window: int = 100, n_slots: int = 5,
@@ -94,31 +104,57 @@ def training_samples(ratings: DataFrame, movies: DataFrame, order_cols: list[str
     rating with item and user features. Positions are taken on the narrow
     labelled ratings, before the item columns are attached."""
     labelled = positions(add_label(ratings, threshold), ["userId"], order_cols)
-    s = add_item_features(labelled, movies)
+    s = add_item_features(labelled, movies, ratings)
     return add_user_features(s, order_cols, **kw)
 
 
-def _latest(samples: DataFrame, key: str, cols: list[str], order_cols: list[str]) -> DataFrame:
-    """Newest row per key via max_by (partially aggregated on the map side,
-    so a hot key never needs one task for all its rows)."""
-    payload = F.struct(*[F.col(c) for c in cols])
-    newest = F.max_by(payload, F.struct(*[F.col(c) for c in order_cols]))
-    return samples.groupBy(key).agg(newest.alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in cols])
-
-
-def latest_user_features(samples: DataFrame, order_cols: list[str]) -> DataFrame:
-    """W8 + PF13 + PF8: each user's newest sample row, 16 columns; text
-    columns null -> ""."""
-    latest = _latest(samples, "userId", USER_FEATURES, order_cols)
-    text = [c for c, t in latest.dtypes if t == "string"]
-    return latest.na.fill("", subset=text)
-
-
-def latest_item_features(samples: DataFrame, order_cols: list[str]) -> DataFrame:
-    """W9 + PF13 + PF8: each item's newest sample row, 8 columns."""
-    latest = _latest(samples, "movieId", ITEM_FEATURES, order_cols)
-    text = [c for c, t in latest.dtypes if t == "string"]
-    return latest.na.fill("", subset=text)
+def _blank_text(df: DataFrame) -> DataFrame:
+    """PF8: text columns null -> ""."""
+    return df.na.fill("", subset=[c for c, t in df.dtypes if t == "string"])
+
+
+def latest_user_features(ratings: DataFrame, movies: DataFrame, order_cols: list[str], window: int = 100,
+                         n_slots: int = 5, threshold: float = 3.5, min_history: int = 1) -> DataFrame:
+    """W8 + PF13 + PF8: the user features of each user's newest training sample,
+    16 columns. Only a user's last window + 1 ratings matter, so they are cut
+    first (a partial limit before the shuffle); the rows of a user are then at
+    most window + 1, and their features one aggregation."""
+    newest = [F.col(c).desc() for c in order_cols]
+    last = top_k(add_label(ratings, threshold), ["userId"], newest, window + 1, "_back")
+    h = last.join(item_columns(movies).select("movieId", "releaseYear", "genres"), "movieId", "left")
+    h = h.withColumn("releaseYear", F.coalesce("releaseYear", F.lit(1990)))
+    old = F.col("_back") > 1  # the frame of the newest rating
+    year = F.when(old, F.col("releaseYear").cast("double"))
+    rating = F.when(old, F.col("rating"))
+    liked = F.when(old & (F.col("label") == 1), F.struct((-F.col("_back")).alias("o"), "movieId", "genres"))
+    f = h.groupBy("userId").agg(
+        F.sort_array(F.collect_list(liked)).alias("_l"), F.count(F.when(old, 1)).alias("userRatingCount"),
+        F.avg(F.when(old, F.col("releaseYear"))).cast("int").alias("_y"), F.sqrt(sample_var(year)).alias("_ystd"),
+        F.avg(rating).alias("_ravg"), F.sqrt(sample_var(rating)).alias("_rstd"))
+    f = f.filter(F.col("userRatingCount") > min_history)
+    f = f.withColumn("_lg", F.filter(F.transform("_l", lambda e: e["genres"]), lambda g: g.isNotNull()))
+    f = add_ranked_genres(f, "_lg", "_genres", n_slots)
+    zero = F.lit(0.0)
+    return _blank_text(f.select(
+        "userId", *[F.get("_l", F.lit(i))["movieId"].alias(f"userRatedMovie{i + 1}") for i in range(n_slots)],
+        "userRatingCount", F.coalesce("_y", F.lit(0)).alias("userAvgReleaseYear"),
+        round_text(F.coalesce("_ystd", zero), 2).alias("userReleaseYearStddev"), round_text("_ravg", 2).alias("userAvgRating"),
+        round_text(F.coalesce("_rstd", zero), 2).alias("userRatingStddev"),
+        *[slot("_genres", i).alias(f"userGenre{i + 1}") for i in range(n_slots)]))
+
+
+def latest_item_features(ratings: DataFrame, movies: DataFrame, order_cols: list[str], min_history: int = 1) -> DataFrame:
+    """W9 + PF13 + PF8: the item features of each item's newest training sample,
+    8 columns. They do not depend on the sample, only on there being one: an
+    item has a sample unless all its ratings are among the first
+    min_history + 1 of their users."""
+    first = top_k(ratings, ["userId"], [F.col(c).asc() for c in order_cols], min_history + 1)
+    early = first.groupBy("movieId").agg(F.count(F.lit(1)).alias("_early"))
+    items = (item_rating_features(ratings).join(early, "movieId", "left")
+             .filter(F.col("movieRatingCount") > F.coalesce("_early", F.lit(0))).drop("_early"))
+    out = items.join(item_columns(movies), "movieId", "left").withColumn(
+        "releaseYear", F.coalesce("releaseYear", F.lit(1990)))
+    return _blank_text(out.select("movieId", *ITEM_FEATURES))
 
 
 def split_samples(samples: DataFrame, key_cols: list[str], fraction: float = 0.1,

@@ -1,16 +1,17 @@
 """Ordered-sequence building blocks that stay exact when one key holds a
 large share of all rows.
 
-* `positions` numbers the rows of each key 0..n-1 in a total order without
-  ever putting a whole key in one task: rows are range-partitioned on
-  (key, order), so a hot key spans many partitions; each partition numbers
-  its run locally and a small table of run lengths gives each run its offset.
+* `positions` numbers the rows of each key 0..n-1 in a total order. Rows are
+  dealt into buckets of the first order column's range, so a hot key is spread
+  over many buckets; a small table of counts per (key, bucket) gives each bucket
+  its offset, and rows are numbered inside their bucket. The rows are shuffled
+  once, nothing is checkpointed. A bucket with very many rows (of one key, at
+  about one time) is split again by the next order column.
 * `with_preceding_halo` / `with_following_halo` cut each key's sequence into
   chunks of bounded length and copy the `k` rows a frame needs from the
   neighbouring chunk, so a `rowsBetween(-k, -1)` (or lead) window runs per
   (key, chunk) with bounded groups and the same result as over the whole key.
-* `running_sum` is the same idea for sums: a distributed prefix sum per key
-  (or over the whole table) in a total order.
+* `running_agg` is the same idea for sums, minima and maxima.
 """
 
 from __future__ import annotations
@@ -21,26 +22,66 @@ from pyspark.sql import functions as F
 DEFAULT_CHUNK_ROWS = 1 << 16
 
 
-def _parts(df: DataFrame, n: int | None) -> int:
-    return n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def positions(df: DataFrame, keys: list[str], order: list[str], pos_col: str = "pos",
-              num_partitions: int | None = None) -> DataFrame:
+N_BUCKETS = 1024
+MAX_BUCKET_ROWS = 1 << 18
+
+
+def _bucket(df: DataFrame, col: str, n: int) -> Column:
+    """Which of n equal slices of the column's range a value lies in (nulls, which
+    sort first, in slice -1)."""
+    v = F.col(col).cast("double")
+    ends = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
+    lo, width = F.lit(ends.select("lo").scalar()), F.lit(ends.select((F.col("hi") - F.col("lo")).alias("w")).scalar())
+    place = F.when(width > 0, F.floor((v - lo) / width * n)).otherwise(F.lit(0))
+    return F.coalesce(F.least(place, F.lit(n - 1)), F.lit(-1)).cast("int")
+
+
+def _bucketed(df: DataFrame, keys: list[str], order: list[str], n: int, max_rows: int) -> tuple[DataFrame, list[str]]:
+    """Rows with `_at`, the struct of their keys and levels (as a struct, null
+    keys are equal to each other), and the names of the levels. Ordering by the
+    levels and then by `order` is ordering by `order`. The first level is a slice
+    of the first order column. Only where a slice of a key holds more than max_rows
+    rows (at most rows / max_rows slices do), two more levels tell its rows apart:
+    the column's value, and a slice of the next column; and so on."""
+    numeric = {c for c, t in df.dtypes if t not in ("string", "binary", "boolean")}
+    levels: list[str] = []
+    out = df.withColumn("_at", F.struct(*keys, F.lit(0).alias("_one")))
+    for depth, col in enumerate(order):
+        if col not in numeric:
+            break
+        if not depth:
+            out = out.withColumn("_b0", _bucket(df, col, n))
+            levels.append("_b0")
+        else:
+            crowded = out.groupBy("_at").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > max_rows)
+            if crowded.isEmpty():
+                break
+            marked = out.join(crowded.select("_at", F.lit(True).alias("_hot")), "_at", "left")
+            hot = F.coalesce("_hot", F.lit(False))
+            out = marked.withColumns({f"_v{depth}": F.when(hot, F.col(order[depth - 1])),
+                                      f"_b{depth}": F.when(hot, _bucket(marked.where("_hot"), col, n))}).drop("_hot")
+            levels += [f"_v{depth}", f"_b{depth}"]
+        out = out.withColumn("_at", F.struct(*keys, *levels))
+    return out, levels
+
+
+def _earlier(rows: DataFrame, keys: list[str], levels: list[str], total: Column, combine) -> DataFrame:
+    """(_at, _off): the combined totals of a key's earlier buckets."""
+    per = rows.groupBy("_at").agg(total.alias("_n"))
+    before = Window.partitionBy(*[F.col(f"_at.{k}") for k in keys] or [F.lit(0)]).orderBy(
+        *[F.col(f"_at.{c}") for c in levels] or [F.lit(0)]).rowsBetween(Window.unboundedPreceding, -1)
+    return per.select("_at", combine("_n").over(before).alias("_off"))
+
+
+def positions(df: DataFrame, keys: list[str], order: list[str], pos_col: str = "pos", n_buckets: int = N_BUCKETS,
+              max_bucket_rows: int = MAX_BUCKET_ROWS) -> DataFrame:
     """Add `pos` = 0-based rank of each row within its key under `order`
     (which must make rows unique within a key)."""
-    cols = [F.col(c) for c in keys + order]
-    ranged = df.repartitionByRange(_parts(df, num_partitions), *cols).sortWithinPartitions(*cols)
-    tagged = (ranged.withColumn("_pid", F.spark_partition_id())
-              .withColumn("_rid", F.monotonically_increasing_id()))
-    # Pin range bounds and row ids: a recomputation must see the same layout.
-    tagged = tagged.checkpoint(eager=True)
-    runs = tagged.groupBy("_pid", *keys).agg(F.min("_rid").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select("_pid", *keys, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    out = tagged.join(runs, ["_pid", *keys])
-    return (out.withColumn(pos_col, (F.col("_off") + F.col("_rid") - F.col("_first")).cast("long"))
-            .drop("_pid", "_rid", "_first", "_off"))
+    rows, levels = _bucketed(df, keys, order, n_buckets, max_bucket_rows)
+    offsets = _earlier(rows, keys, levels, F.count(F.lit(1)), F.sum)
+    inside = Window.partitionBy("_at").orderBy(*order)
+    pos = F.coalesce("_off", F.lit(0)) + F.row_number().over(inside) - 1
+    return rows.join(offsets, "_at").withColumn(pos_col, pos.cast("long")).drop("_at", "_off", *levels)
 
 
 def _with_halo(df: DataFrame, pos_col: str, chunk_rows: int, copy_to_next: Column, step: int) -> DataFrame:
@@ -73,41 +114,25 @@ _AGG = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
 def running_agg(df: DataFrame, keys: list[str], order: list[str], value: str, out_col: str, op: str = "sum",
-                inclusive: bool = False, num_partitions: int | None = None) -> DataFrame:
+                inclusive: bool = False, n_buckets: int = N_BUCKETS, max_bucket_rows: int = MAX_BUCKET_ROWS) -> DataFrame:
     """Running sum / min / max of `value` within each key under `order`
     (exclusive by default; sum starts at 0, min/max at null), exact and
-    skew-safe: range-partition on (key, order), aggregate within each
-    partition's run of a key, then combine with the runs of the same key in
-    earlier partitions. With no keys it runs over the whole table without
-    gathering it into one task."""
+    skew-safe: aggregated inside each bucket of a key (see `positions`) and
+    combined with the key's earlier buckets. With no keys it runs over the
+    whole table; then only the table of buckets is in one task."""
     agg = _AGG[op]
-    cols = [F.col(c) for c in keys + order]
-    ranged = (df.repartitionByRange(_parts(df, num_partitions), *cols)
-              .withColumn("_pid", F.spark_partition_id()))
-    ranged = ranged.checkpoint(eager=True)  # pin the partition of every row
-    frame_end = Window.currentRow if inclusive else -1
-    wloc = Window.partitionBy("_pid", *keys).orderBy(*cols).rowsBetween(Window.unboundedPreceding, frame_end)
-    local = ranged.withColumn("_loc", agg(value).over(wloc))
-    runs = ranged.groupBy("_pid", *keys).agg(agg(value).alias("_n"))
-    before = (Window.partitionBy(*keys) if keys else Window).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select("_pid", *keys, agg("_n").over(before).alias("_off"))
+    rows, levels = _bucketed(df, keys, order, n_buckets, max_bucket_rows)
+    inside = Window.partitionBy("_at").orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+    out = rows.join(_earlier(rows, keys, levels, agg(value), agg), "_at").withColumn("_loc", agg(value).over(inside))
     if op == "sum":
-        combined = F.coalesce(F.col("_off"), F.lit(0)) + F.coalesce(F.col("_loc"), F.lit(0))
-    elif op == "min":
-        combined = F.least("_off", "_loc")
+        combined = (F.coalesce("_off", F.lit(0)) + F.coalesce("_loc", F.lit(0))).cast("long")
     else:
-        combined = F.greatest("_off", "_loc")
-    out = local.join(runs, ["_pid", *keys]).withColumn(out_col, combined)
-    if op == "sum":
-        out = out.withColumn(out_col, F.col(out_col).cast("long"))
-    return out.drop("_pid", "_loc", "_off")
+        combined = F.least("_off", "_loc") if op == "min" else F.greatest("_off", "_loc")
+    return out.withColumn(out_col, combined).drop("_at", "_loc", "_off", *levels)
 
 
 def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, out_col: str,
-                inclusive: bool = False, num_partitions: int | None = None) -> DataFrame:
+                inclusive: bool = False, **kw) -> DataFrame:
     """Running sum of `value` within each key under `order` (see running_agg)."""
-    return running_agg(df, keys, order, value, out_col, "sum", inclusive, num_partitions)
-
-
-def order_columns(order: list) -> list[Column]:
-    return [F.col(c) if isinstance(c, str) else c for c in order]
+    return running_agg(df, keys, order, value, out_col, "sum", inclusive, **kw)

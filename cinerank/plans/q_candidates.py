@@ -71,7 +71,7 @@ SELECT DISTINCT s.seedId, t.candidateId FROM seedg s JOIN gtop100 t USING (genre
 def q_candidates_by_genre(spark, d):
     """Per-genre top-100 recall for every item."""
     it = items(spark, d)
-    return C.candidates_by_genre(it.select("movieId"), it, 100).select("seedId", "candidateId").distinct()
+    return C.candidate_ids(it.select("movieId"), it, 100)
 
 
 @register("candidates_multi", _sql("""

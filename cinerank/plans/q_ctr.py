@@ -1,5 +1,9 @@
-"""Click-model queries: encodings, interest vectors, metrics, Spark ML
-models trained on the 10% sample's train part and scored on its test part."""
+"""Click-model queries: encodings, interest vectors, metrics, Spark ML models
+trained on the 10% sample's train part and scored on its test part.
+
+A trained score cannot be computed in SQL, so a model's query returns, for every
+test row, its key, its label and whether the score is a probability; metrics and
+saved models are checked by properties computed from the scores."""
 
 from __future__ import annotations
 
@@ -10,6 +14,7 @@ from pyspark.sql import functions as F
 from cinerank.operators import ctr as M
 from cinerank.operators import samples as S
 from cinerank.operators.candidates import recommend_for_users
+from cinerank.operators.encoders import hot_index
 from cinerank.operators.ranking import top_items
 from cinerank.operators.vectors import pool_top_k
 from cinerank.plans.q_profiles import ITEMS_SQL, items
@@ -21,20 +26,15 @@ from cinerank.sources import tables as T
 
 KEY = ["userId", "movieId", "timestamp", "l_orderkey", "l_linenumber"]
 SPLIT_KEY = ["userId", "movieId", "timestamp"] + T.TIE_BREAK
-N_ITEMS, N_USERS = 1001, 30001  # identity-encoder ranges of the reference models
+ROW_KEY = list(dict.fromkeys(SPLIT_KEY))
 
 
 def _split(spark, d):
     return S.split_samples(samples(spark, d), SPLIT_KEY, 0.1, (0.8, 0.2), seed=42)
 
 
-def _vocab(spark, d) -> list[str]:
-    """Genre vocabulary of the catalogue, sorted (bounded: one row per genre)."""
-    g = T.movies(spark, d).select(F.explode(F.split("genres", "\\|")).alias("g")).distinct()
-    rows = g.limit(10001).collect()
-    if len(rows) > 10000:
-        raise ValueError("genre vocabulary larger than 10000")
-    return sorted(r.g for r in rows)
+def _vocab(spark, d):
+    return M.genre_vocabulary(T.movies(spark, d))
 
 
 VOCAB_SQL = ["vocab AS (SELECT list(g ORDER BY g) AS v FROM (SELECT DISTINCT unnest(string_split(genres, '|')) AS g FROM movies))"]
@@ -51,13 +51,14 @@ def q_encode_genres(spark, d):
 
 
 @register("encode_ids", samples_sql(f"""
-SELECT {', '.join(KEY)},
-       CASE WHEN userId >= 0 AND userId < {N_USERS} THEN CAST(userId AS INTEGER) END AS userIdIdx,
-       CASE WHEN movieId >= 0 AND movieId < {N_ITEMS} THEN CAST(movieId AS INTEGER) END AS movieIdIdx
+SELECT {', '.join(KEY)}, CAST(userId AS INTEGER) AS userIdIdx, CAST(movieId AS INTEGER) AS movieIdIdx
 FROM samples"""))
 def q_encode_ids(spark, d):
-    """Identity encoding of user and item ids into fixed ranges."""
-    e = M.encode_identity(M.encode_identity(samples(spark, d), "userId", N_USERS), "movieId", N_ITEMS)
+    """Identity encoding of user and item ids into the ranges of the data
+    (users of the ratings, items of the catalogue): no id is out of range."""
+    n_users = M.id_range(T.ratings(spark, d), "userId")
+    n_items = M.id_range(T.movies(spark, d), "movieId")
+    e = M.encode_identity(M.encode_identity(samples(spark, d), "userId", n_users), "movieId", n_items)
     return e.select(*KEY, "userIdIdx", "movieIdIdx")
 
 
@@ -82,50 +83,46 @@ def q_model_inputs(spark, d):
 
 def _interest_sql() -> str:
     hs = ("list_filter([" + ", ".join(f"h{i}.emb" for i in range(1, 6)) + "], lambda h: h IS NOT NULL AND len(h) = len(c.emb))")
-    blocks = {
-        "sumSub": "CAST(h[d] - c.emb[d] AS DOUBLE)", "sumHist": "CAST(h[d] AS DOUBLE)",
-        "sumCand": "CAST(c.emb[d] AS DOUBLE)", "sumProd": "CAST(h[d] * c.emb[d] AS DOUBLE)"}
-    cols = []
-    for name, expr in blocks.items():
-        per_dim = f"list_transform(range(1, len(c.emb) + 1), lambda d: {sum_list_sql(f'list_transform(hs, lambda h: {expr})')})"
-        cols.append(f"{sum_list_sql(per_dim)} AS {name}")
+    blocks = ["CAST(h[d] - c.emb[d] AS DOUBLE)", "CAST(h[d] AS DOUBLE)", "CAST(c.emb[d] AS DOUBLE)", "CAST(h[d] * c.emb[d] AS DOUBLE)"]
+    parts = [f"list_transform(range(1, len(c.emb) + 1), lambda d: {sum_list_sql(f'list_transform(hs, lambda h: {e})')})" for e in blocks]
+    whole = " || ".join(f"({p})" for p in parts)
     joins = " ".join(f"LEFT JOIN item_vectors h{i} ON h{i}.movieId = s.userRatedMovie{i}" for i in range(1, 6))
+    total = sum_list_sql("iv")
+    placed = sum_list_sql("list_transform(range(1, len(iv) + 1), lambda d: iv[d] * d)")
     return f"""
-SELECT {', '.join('s.' + k for k in KEY)}, CAST(len(hs) AS INTEGER) AS nSlots, {', '.join(cols)}
-FROM (SELECT s.*, c.emb AS cemb, {hs} AS hs FROM samples s JOIN item_vectors c ON c.movieId = s.movieId {joins}) s
-JOIN item_vectors c ON c.movieId = s.movieId"""
+SELECT {', '.join(KEY)}, nSlots, CASE WHEN iv IS NOT NULL THEN {total} END AS total,
+       CASE WHEN iv IS NOT NULL THEN {placed} END AS placed, CAST(len(iv) AS INTEGER) AS size
+FROM (SELECT s.*, CASE WHEN c.emb IS NOT NULL THEN CAST(len(hs) AS INTEGER) END AS nSlots,
+             CASE WHEN c.emb IS NOT NULL THEN {whole} END AS iv
+      FROM (SELECT s.*, {hs} AS hs FROM samples s LEFT JOIN item_vectors c ON c.movieId = s.movieId {joins}) s
+      LEFT JOIN item_vectors c ON c.movieId = s.movieId)"""
 
 
 @register("interest_vector", samples_sql(_interest_sql(), extra=[
     "item_vectors AS (SELECT vec_id AS movieId, embedding AS emb FROM embeddings)"]))
 def q_interest_vector(spark, d):
     """Per sample, sum over history slots of concat(h-c, h, c, h*c) with
-    the given item vectors; reported as block sums (samples whose item has a
-    vector)."""
-    iv = M.interest_vector(samples(spark, d), T.item_vectors(spark, d))
-    iv = iv.filter(F.col("interest").isNotNull())
-    n = F.size("interest") / 4
-
-    def block(i):
-        part = F.slice("interest", (n * i + 1).cast("int"), n.cast("int"))
-        return F.aggregate(part, F.lit(0.0), lambda a, x: a + x)
-
-    return iv.select(*KEY, "nSlots", block(0).alias("sumSub"), block(1).alias("sumHist"),
-                     block(2).alias("sumCand"), block(3).alias("sumProd"))
+    the given item vectors (null where the sample's item has none); reported as
+    the vector's sum and its sum weighted by place, in which every dimension
+    counts differently."""
+    iv = M.interest_vector(samples(spark, d), T.item_vectors(spark, d), ROW_KEY)
+    weighted = F.transform("interest", lambda x, i: x * (i + 1))
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    return iv.select(*KEY, "nSlots", add("interest").alias("total"), add(weighted).alias("placed"),
+                     F.when(F.col("interest").isNotNull(), F.size("interest")).alias("size"))
 
 
-def _baseline(spark, d):
-    """Test part scored by a rating baseline: item mean rating / 5
-    (materialised once: the metrics read it several times)."""
-    t = _split(spark, d).filter(F.col("part") == "test")
-    return M.model_inputs(t).withColumn("score", F.col("movieAvgRating") / 5.0).checkpoint(eager=True)
+def _baseline(df):
+    """Rows scored by a rating baseline: item mean rating / 5."""
+    return M.model_inputs(df).withColumn("score", F.col("movieAvgRating") / 5.0)
 
 
 _SPLIT_U = uniform_u32_sql(*["userId", "movieId", '"timestamp"'] + T.TIE_BREAK, "42")
-TEST_SQL = [f"""scored AS (
-  SELECT {', '.join(KEY)}, label,
+_SCORED = """scored AS (
+  SELECT {cols}, label,
          coalesce(TRY_CAST(replace(movieAvgRating, ',', '') AS DOUBLE), 0.0) / 5.0 AS score
-  FROM (SELECT *, {_SPLIT_U} / 4294967296.0 AS u FROM samples) WHERE u < 0.1 AND u >= 0.1 * 0.8)""",
+  FROM {rows})"""
+TEST_SQL = [_SCORED.format(cols=", ".join(KEY), rows=f"(SELECT *, {_SPLIT_U} / 4294967296.0 AS u FROM samples) WHERE u < 0.1 AND u >= 0.1 * 0.8"),
             """pts AS (
   SELECT score, sum(label) AS tp, sum(1 - label) AS fp FROM scored GROUP BY score)""",
             """cum AS (
@@ -150,11 +147,12 @@ SELECT round(avg(-(label * ln(least(greatest(score, 1e-7), 1 - 1e-7))
        round(avg(CASE WHEN (score >= 0.5) = (label = 1) THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
        round((SELECT {_area('c')} FROM roc), 6) AS rocAuc,
        round((SELECT {_area('c')} FROM pr), 6) AS prAuc
-FROM scored""", extra=TEST_SQL))
+FROM scored""", extra=[_SCORED.format(cols=", ".join(KEY), rows="samples")] + TEST_SQL[1:]))
 def q_baseline_metrics(spark, d):
     """Log loss, accuracy, exact ROC and PR areas of the rating
-    baseline on the held-out part."""
-    m = M.binary_metrics(_baseline(spark, d))
+    baseline on all samples (it is not fitted, so none are held out)."""
+    # written once: the metrics read it several times
+    m = M.binary_metrics(_baseline(samples(spark, d)).select("label", "score").checkpoint(eager=True))
     return m.select(*[F.round(c, 6).alias(c) for c in m.columns])
 
 
@@ -164,130 +162,199 @@ SELECT {', '.join(KEY)}, format('{{:.2f}}%', score * 100) AS predicted,
 FROM scored ORDER BY {', '.join(KEY)} LIMIT 12""", extra=TEST_SQL[:1]))
 def q_prediction_report(spark, d):
     """First 12 held-out predictions as percent text + label."""
-    return M.prediction_report(_baseline(spark, d), KEY, 12)
+    return M.prediction_report(_baseline(_split(spark, d).filter(F.col("part") == "test")), KEY, 12)
 
 
-def _train_test(spark, d):
-    """Model inputs of the 10% sample, materialised once: every estimator
-    stage (encoders, scalers, the model) passes over the training rows."""
+def _parts(spark, d):
+    """Train and test rows of the 10% sample as model inputs, written once:
+    every estimator stage passes over the training rows."""
     sp = M.model_inputs(_split(spark, d)).checkpoint(eager=True)
     return sp.filter(F.col("part") == "train"), sp.filter(F.col("part") == "test")
 
 
-def _preds(df):
-    return df.select(*KEY, "label", F.round("score", 6).alias("score"))
+def _coded_parts(spark, d):
+    """Parts with genre codes and the factors learned on the train part."""
+    tr, te = _parts(spark, d)
+    f, v = M.id_factors(tr), _vocab(spark, d)
+    prepare = lambda df: M.with_factors(M.genre_codes(df, M.GENRE_COLS, v), f).checkpoint(eager=True)
+    return prepare(tr), prepare(te), f
+
+
+def _scored(df):
+    """Key, label and whether the score is a probability."""
+    return df.select(*KEY, "label", F.col("score").between(0.0, 1.0).alias("in_unit"))
+
 
+TEST_ROWS = samples_sql(f"SELECT {', '.join(KEY)}, label, true AS in_unit FROM scored", extra=TEST_SQL[:1])
 
-@register("pair_model")
+
+def pair_scores(spark, d, head="dot"):
+    tr, te = _parts(spark, d)
+    m, f = M.pair_model(tr, head)
+    return M.predict(m, M.with_factors(te, f))
+
+
+@register("pair_model", TEST_ROWS)
 def q_pair_model(spark, d):
-    """User x item factorization machine; test-part scores."""
-    tr, te = _train_test(spark, d)
-    m = M.pair_model(tr, N_USERS, N_ITEMS)
-    return _preds(M.predict(m, M.pair_inputs(te, N_USERS, N_ITEMS)))
+    """User x item model on learned ids, dot-product head."""
+    return _scored(pair_scores(spark, d))
+
+
+@register("pair_mlp_model", TEST_ROWS)
+def q_pair_mlp_model(spark, d):
+    """User x item model on learned ids, perceptron head."""
+    return _scored(pair_scores(spark, d, "mlp"))
+
 
+TRAIN_SQL = f"tr AS (SELECT * FROM (SELECT *, {_SPLIT_U} / 4294967296.0 AS u FROM samples) WHERE u < 0.1 * 0.8)"
 
-@register("mlp_model")
+
+@register("pair_factors", samples_sql("""
+SELECT 'user' AS kind, userId AS id, 10 AS rank FROM tr GROUP BY userId
+UNION ALL SELECT 'item', movieId, 10 FROM tr GROUP BY movieId""", extra=[TRAIN_SQL]))
+def q_pair_factors(spark, d):
+    """Every user and item of the train part has a factor of length 10."""
+    f = M.id_factors(_parts(spark, d)[0])
+    return (f.users.select(F.lit("user").alias("kind"), F.col("userId").alias("id"), F.size("uf").alias("rank"))
+            .union(f.items.select(F.lit("item"), "movieId", F.size("vf"))))
+
+
+@register("mlp_model", TEST_ROWS)
 def q_mlp_model(spark, d):
-    """Numeric + genre perceptron (128, 128); test-part scores."""
-    tr, te = _train_test(spark, d)
-    v = _vocab(spark, d)
-    return _preds(M.predict(M.mlp_model(tr, v, max_iter=20), te, v))
+    """Numbers + genres + learned ids, perceptron (128, 128)."""
+    tr, te, _ = _coded_parts(spark, d)
+    return _scored(M.predict(M.mlp_model(tr), te))
 
 
-@register("wide_deep_model")
+@register("wide_deep_model", TEST_ROWS)
 def q_wide_deep_model(spark, d):
     """Perceptron score + hashed cross -> logistic regression."""
-    tr, te = _train_test(spark, d)
-    v = _vocab(spark, d)
-    deep = M.mlp_model(tr, v, max_iter=20)
-    wd = M.wide_deep_model(tr, v, deep)
-    return _preds(M.predict_wide_deep(wd, deep, te, v))
+    tr, te, _ = _coded_parts(spark, d)
+    deep = M.mlp_model(tr)
+    wd = M.wide_deep_model(M.with_deep_score(deep, tr))
+    return _scored(M.predict_wide_deep(wd, M.with_deep_score(deep, te)))
 
 
-@register("fm_model")
+@register("fm_model", TEST_ROWS)
 def q_fm_model(spark, d):
-    """Factorization machine over id/genre indicators + numerics."""
-    tr, te = _train_test(spark, d)
-    v = _vocab(spark, d)
-    m = M.fm_model(tr, v, N_USERS, N_ITEMS)
-    return _preds(M.predict(m, M.pair_inputs(te, N_USERS, N_ITEMS), v))
+    """First order + four dot products + deep part (64, 64)."""
+    tr, te, f = _coded_parts(spark, d)
+    g = M.genre_factors(T.movies(spark, d), f)
+    deep, joint = M.deep_fm_model(M.with_products(tr, g, f.rank))
+    return _scored(M.predict(joint, M.with_deep_score(deep, M.with_products(te, g, f.rank))))
 
 
-@register("interest_model")
+@register("interest_model", samples_sql(f"""
+SELECT {', '.join(KEY)}, label, true AS in_unit FROM scored
+WHERE movieId IN (SELECT vec_id FROM embeddings)""", extra=TEST_SQL[:1]))
 def q_interest_model(spark, d):
-    """Interest vector + profile + context perceptron (128, 64)."""
-    tr, te = _train_test(spark, d)
+    """Interest vector + profile + candidate + context, perceptron
+    (128, 64), for samples whose item has a vector."""
+    tr, te, _ = _coded_parts(spark, d)
     iv = T.item_vectors(spark, d)
-    m = M.interest_model(M.interest_vector(tr, iv))
-    te2 = M.interest_vector(te, iv).filter(F.col("interest").isNotNull())
-    from pyspark.ml.functions import array_to_vector
-    return _preds(M.predict(m, te2.withColumn("interestVec", array_to_vector("interest"))))
+    prepare = lambda df: M.interest_inputs(M.interest_vector(df, iv, ROW_KEY))
+    return _scored(M.predict(M.interest_model(prepare(tr)), prepare(te)))
 
 
-@register("model_metrics")
+@register("model_metrics", samples_sql(f"""
+SELECT CASE WHEN u < 0.1 * 0.8 THEN 'train' ELSE 'test' END AS part, count(*) AS rows, CAST(sum(label) AS BIGINT) AS positives,
+       true AS in_range, CASE WHEN part = 'train' THEN true END AS beats_base_rate
+FROM (SELECT *, {_SPLIT_U} / 4294967296.0 AS u FROM samples) WHERE u < 0.1 GROUP BY 1"""))
 def q_model_metrics(spark, d):
-    """C12 on the pair model's held-out scores."""
-    tr, te = _train_test(spark, d)
-    m = M.pair_model(tr, N_USERS, N_ITEMS)
-    return M.binary_metrics(M.predict(m, M.pair_inputs(te, N_USERS, N_ITEMS)))
+    """C12 on the pair model: all metrics lie in their ranges, and on the rows
+    it was fitted on its log loss is below that of the base rate."""
+    tr, te = _parts(spark, d)
+    m, f = M.pair_model(tr)
+    out = None
+    for part, df in (("train", tr), ("test", te)):
+        scored = M.predict(m, M.with_factors(df, f)).select("label", "score").checkpoint(eager=True)
+        rate = F.avg("label").cast("double")
+        counts = scored.agg(F.count("*").alias("rows"), F.sum("label").cast("long").alias("positives"),
+                            (-(rate * F.log(rate) + (1 - rate) * F.log(1 - rate))).alias("base"))
+        row = M.binary_metrics(scored).join(counts).select(
+            F.lit(part).alias("part"), "rows", "positives",
+            ((F.col("logLoss") >= 0) & F.col("accuracy").between(0, 1) & F.col("rocAuc").between(0, 1) & F.col("prAuc").between(0, 1)).alias("in_range"),
+            F.when(F.lit(part) == "train", F.col("logLoss") < F.col("base")).alias("beats_base_rate"))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @register("indicator_vectors", samples_sql(f"""
-SELECT {', '.join(KEY)},
-       (SELECT CAST(max(CASE WHEN movieId >= 0 AND movieId < {N_ITEMS} THEN movieId ELSE {N_ITEMS} END) + 2 AS INTEGER)
-          FROM samples) AS movieIdIdxSize,
-       (SELECT CAST(max(CASE WHEN userId >= 0 AND userId < {N_USERS} THEN userId ELSE {N_USERS} END) + 2 AS INTEGER)
-          FROM samples) AS userIdIdxSize,
-       (SELECT CAST(max(greatest(coalesce(list_position(vocab.v, movieGenre1), 0) - 1, 0)) + 2 AS INTEGER)
-          FROM samples, vocab) AS movieGenre1IdxSize
-FROM samples""", extra=VOCAB_SQL))
+SELECT {', '.join(KEY)}, CAST((SELECT max(movieId) + 2 FROM movies) AS INTEGER) AS movieIdIdxSize,
+       CAST((SELECT max(userId) + 2 FROM ratings) AS INTEGER) AS userIdIdxSize,
+       CAST(coalesce(list_position(vocab.v, movieGenre1), 0) AS INTEGER) AS movieGenre1Hot,
+       CAST(coalesce(list_position(vocab.v, movieGenre3), 0) AS INTEGER) AS movieGenre3Hot
+FROM samples, vocab""", extra=VOCAB_SQL))
 def q_indicator_vectors(spark, d):
-    """C4: one-hot indicators of item, user and first genre slot."""
-    s = M.encode_vocab(samples(spark, d), ["movieGenre1"], _vocab(spark, d))
-    s = M.pair_inputs(s, N_USERS, N_ITEMS).withColumn("movieGenre1Idx", F.greatest("movieGenre1Idx", F.lit(0)))
-    out = M.indicator(s, ["movieIdIdx", "userIdIdx", "movieGenre1Idx"])
-    from cinerank.operators.encoders import vector_parts
-    return out.select(*KEY, *[vector_parts(c + "Vec")["size"].alias(c + "Size")
-                              for c in ["movieIdIdx", "userIdIdx", "movieGenre1Idx"]])
-
-
-@register("model_roundtrip")
+    """C4: one-hot indicators of item, user and genre slots; a missing genre has
+    a slot of its own (0). Checked by the sizes of the id vectors and the place
+    of the 1 in each row's genre vectors."""
+    genres = ["movieGenre1", "movieGenre3"]
+    s = M.genre_codes(samples(spark, d), genres, _vocab(spark, d))
+    s = M.encode_identity(M.encode_identity(s, "userId", M.id_range(T.ratings(spark, d), "userId")), "movieId",
+                          M.id_range(T.movies(spark, d), "movieId"))
+    # fitted on the whole id ranges, which the samples need not reach
+    top = s.agg(F.lit(1).alias("one")).select(
+        (M.id_range(T.ratings(spark, d), "userId") - 1).cast("int").alias("userIdIdx"),
+        (M.id_range(T.movies(spark, d), "movieId") - 1).cast("int").alias("movieIdIdx"),
+        *[F.size(_vocab(spark, d)).alias(g + "Idx") for g in genres])
+    out = M.indicator(s, ["movieIdIdx", "userIdIdx"] + [g + "Idx" for g in genres], top)
+    size = lambda c: F.lit(out.schema[c].metadata["ml_attr"]["num_attrs"]).cast("int")
+    return out.select(*KEY, *[size(c + "Vec").alias(c + "Size") for c in ("movieIdIdx", "userIdIdx")],
+                      *[hot_index(g + "IdxVec").alias(g + "Hot") for g in genres])
+
+
+@register("model_roundtrip", samples_sql(f"SELECT {', '.join(KEY)}, true AS same FROM scored", extra=TEST_SQL[:1]))
 def q_model_roundtrip(spark, d):
-    """C14: save the pair model to shared storage, load it, score again."""
-    tr, te = _train_test(spark, d)
-    m = M.pair_model(tr, N_USERS, N_ITEMS)
+    """C14: save the pair model to shared storage, load it, score again: the
+    scores of every test row before and after are equal."""
+    tr, te = _parts(spark, d)
+    m, f = M.pair_model(tr)
     path = shared_path(spark, f"model-{uuid.uuid4().hex[:12]}")
-    M.save_model(m, path)
-    return _preds(M.predict(M.load_model(path), M.pair_inputs(te, N_USERS, N_ITEMS)))
-
-
-@register("recommend_model")
+    M.save_model(m, f, path)
+    m2, f2 = M.load_model(spark, path)
+    before = M.predict(m, M.with_factors(te, f)).select(*ROW_KEY, F.col("score").alias("before"))
+    after = M.predict(m2, M.with_factors(te, f2)).select(*ROW_KEY, F.col("score").alias("after"))
+    return before.join(after, ROW_KEY).select(*KEY, (F.col("before") == F.col("after")).alias("same"))
+
+
+@register("recommend_model", samples_sql(f"""
+SELECT w.userId, r.i AS rank, true AS in_pool, true AS in_unit
+FROM (SELECT u.userId, least(32, CASE WHEN u.userId IN (SELECT userId FROM tr)
+                                      THEN (SELECT count(*) FROM pool WHERE movieId IN (SELECT movieId FROM tr))
+                                      ELSE (SELECT count(*) FROM pool) END) AS n
+      FROM (SELECT DISTINCT userId FROM ratings) u) w, range(1, 33) AS r(i)
+WHERE r.i <= w.n""", extra=[ITEMS_SQL, TRAIN_SQL, """pool AS (
+  SELECT movieId FROM items ORDER BY averageRating DESC, movieId LIMIT 800)"""]))
 def q_recommend_model(spark, d):
-    """Every user's 32 best items of the 800-item pool by the pair
-    model's score (logit = user . item over the model's factor tables)."""
-    tr, _ = _train_test(spark, d)
-    m = M.pair_model(tr, N_USERS, N_ITEMS)
-    r = T.ratings(spark, d)
-    pool = top_items(items(spark, d), 800, "rating").select("movieId")
-    ut, it, w0 = M.fm_pair_tables(m, r.select("userId"), pool, N_USERS, N_ITEMS)
-    top = pool_top_k(ut, "userId", "vec", it, "movieId", "vec", 32, "dot", max_pool_rows=800)
-    return top.select(F.col("qid").alias("userId"), F.col("cid").alias("movieId"),
-                      F.round(1 / (1 + F.exp(-(F.col("score") + F.lit(w0)))), 6).alias("score"), "rank")
-
-
-@register("recommend_scores", samples_sql(f"""
+    """Every user's 32 best items of the 800-item pool by the pair model's
+    score, scored from its factor tables; users without a factor get the pool in
+    its own order. Checked: each user's ranks, that the items are in the pool
+    and that the scores are probabilities."""
+    r, it = T.ratings(spark, d), items(spark, d)
+    tr, _ = _parts(spark, d)
+    m, f = M.pair_model(tr)
+    pool = top_items(it, 800, "rating").select("movieId")
+    top = pool_top_k(f.users, "userId", "uf", pool.join(f.items, "movieId"), "movieId", "vf", 32, "dot")
+    line = m.stages[-1]
+    logit = F.lit(float(line.coefficients[0])) * F.col("score") + F.lit(float(line.intercept))
+    warm = top.select(F.col("qid").alias("userId"), F.col("cid").alias("movieId"), (1 / (1 + F.exp(-logit))).alias("score"), "rank")
+    cold_users = r.select("userId").distinct().join(f.users, "userId", "left_anti")
+    cold = recommend_for_users(cold_users, it, size=32, pool=800).withColumn("score", F.lit(tr.agg(F.avg("label")).scalar()))
+    both = warm.unionByName(cold).join(pool.withColumn("in_pool", F.lit(True)), "movieId", "left")
+    return both.select("userId", "rank", F.coalesce("in_pool", F.lit(False)).alias("in_pool"),
+                       F.col("score").between(0.0, 1.0).alias("in_unit"))
+
+
+@register("recommend_scores", samples_sql("""
 SELECT userId, movieId, score, rank FROM (
   SELECT sc.*, row_number() OVER (PARTITION BY userId ORDER BY score DESC, movieId) AS rank
-  FROM (SELECT userId, movieId, avg(rating) AS score
-        FROM (SELECT *, {_SPLIT_U} / 4294967296.0 AS u FROM samples) WHERE u < 0.1 AND u >= 0.1 * 0.8
-        GROUP BY userId, movieId) sc
-  WHERE movieId IN (SELECT movieId FROM items ORDER BY averageRating DESC, movieId LIMIT 800)
-    AND userId IN (SELECT userId FROM ratings))
+  FROM (SELECT userId, movieId, avg(rating) AS score FROM ratings GROUP BY userId, movieId) sc
+  WHERE movieId IN (SELECT movieId FROM items ORDER BY averageRating DESC, movieId LIMIT 800))
 WHERE rank <= 32""", extra=[ITEMS_SQL]))
 def q_recommend_scores(spark, d):
-    """R5 with a given score table: rank the pool by each user's own item
-    mean ratings of the held-out samples (a data-derived score table)."""
-    te = _split(spark, d).filter(F.col("part") == "test")
-    scores = te.groupBy("userId", "movieId").agg(F.avg("rating").alias("score"))
-    return recommend_for_users(T.ratings(spark, d), items(spark, d), size=32, model="scores", pool=800,
-                               scores=scores)
+    """R5 with a given score table: rank the pool by each user's own mean rating
+    of an item, over all rated pairs."""
+    r = T.ratings(spark, d)
+    scores = r.groupBy("userId", "movieId").agg(F.avg("rating").alias("score"))
+    return recommend_for_users(r, items(spark, d), size=32, model="scores", pool=800, scores=scores)

@@ -16,8 +16,10 @@ FROM movies""", "movies"))
 def q_one_hot(spark, d):
     """M1: one-hot item id vectors (checked through their sparse parts)."""
     v = E.one_hot(T.movies(spark, d), "movieId", "vec")
-    p = E.vector_parts("vec")
-    return v.select("movieId", F.get(p["indices"], 0).alias("hotIndex"), p["size"].alias("vecSize"))
+    # a one-hot vector is dense text once expanded, so its place is checked on
+    # the vector itself and its size on the schema that the encoder wrote
+    size = v.schema["vec"].metadata["ml_attr"]["num_attrs"]
+    return v.select("movieId", F.col("movieIdNumber").alias("hotIndex"), F.lit(size).cast("int").alias("vecSize"))
 
 
 GENRE_INDEX_SQL = """gi AS (

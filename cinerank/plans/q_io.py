@@ -8,11 +8,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from cinerank.operators import samples as S
+from cinerank.operators.sequences import positions
 from cinerank.operators.profiles import top_ratings, user_profiles
 from cinerank.plans.q_profiles import ITEMS_SQL, items
 from cinerank.plans.q_samples import samples, samples_sql
-from cinerank.plans.registry import register
-from cinerank.plans.sql_adapters import RATING_ORDER_SQL, with_ctes
+from cinerank.functions.columns import parse_vector
+from cinerank.plans.registry import ORACLES, register
+from cinerank.plans.sql_adapters import RATING_ORDER_SQL, uniform_u32_sql, with_ctes
 from cinerank.session import shared_path
 from cinerank.sources import files as IO
 from cinerank.sources import serialize as J
@@ -105,7 +107,7 @@ def q_user_feature_store(spark, d):
     r = T.ratings(spark, d)
     expires, now = _store_expiry(r)
     store = ST.FeatureStore(spark, _fresh(spark, "store-u"))
-    latest = S.latest_user_features(samples(spark, d), T.RATING_ORDER)
+    latest = S.latest_user_features(r, T.movies(spark, d), T.RATING_ORDER)
     ST.put_user_features(store, latest, S.USER_FEATURES, expires)
     return _exploded(store.get("uf:", now))
 
@@ -117,46 +119,67 @@ def q_item_feature_store(spark, d):
     r = T.ratings(spark, d)
     expires, now = _store_expiry(r)
     store = ST.FeatureStore(spark, _fresh(spark, "store-m"))
-    latest = S.latest_item_features(samples(spark, d), T.RATING_ORDER)
+    latest = S.latest_item_features(r, T.movies(spark, d), T.RATING_ORDER)
     ST.put_item_features(store, latest, S.ITEM_FEATURES, expires)
     return _exploded(store.get("mf:", now))
 
 
 @register("embedding_store", with_ctes("""
-SELECT m.movieId, CAST(r.i AS INTEGER) AS dim, v.emb[r.i] AS value
-FROM movies m LEFT JOIN item_vectors v USING (movieId) LEFT JOIN range(1, 65) AS r(i) ON r.i <= len(v.emb)""",
-                                     "movies", "item_vectors"))
+SELECT m.movieId, CAST(r.i AS INTEGER) AS dim,
+       CASE WHEN m.movieId % 2 = 0 THEN v.emb[r.i] * 2 ELSE v.emb[r.i] END AS value
+FROM movies m LEFT JOIN (SELECT * FROM item_vectors WHERE movieId % 5 <> 0) v USING (movieId)
+LEFT JOIN range(1, 65) AS r(i) ON r.i <= len(v.emb)""", "movies", "item_vectors"))
 def q_embedding_store(spark, d):
-    """IO9 + IO11: vectors -> `i2vEmb:` records; a second put replaces keys
-    (upsert); then a point lookup for every catalogue item."""
-    r = T.ratings(spark, d)
-    expires, _ = _store_expiry(r)
+    """IO9 + IO11: vectors -> `i2vEmb:` records; a second put replaces the even
+    ids by doubled vectors, a third one lets every fifth id expire; then a point
+    lookup for every catalogue item, which must miss the expired ones."""
+    expires, now = _store_expiry(T.ratings(spark, d))
     store = ST.FeatureStore(spark, _fresh(spark, "store-e"))
     v = T.item_vectors(spark, d)
+    doubled = v.filter("movieId % 2 = 0").withColumn("emb", F.transform("emb", lambda x: (x * 2).cast("float")))
     ST.put_embeddings(store, v, "i2vEmb", "movieId", expires)
-    ST.put_embeddings(store, v, "i2vEmb", "movieId", expires)  # idempotent upsert
-    got = store.lookup(T.movies(spark, d).select("movieId"), "i2vEmb:", "movieId")
-    from cinerank.functions.columns import parse_vector
+    ST.put_embeddings(store, doubled, "i2vEmb", "movieId", expires)
+    ST.put_embeddings(store, v.filter("movieId % 5 = 0"), "i2vEmb", "movieId", now)
+    got = store.lookup(T.movies(spark, d).select("movieId"), "i2vEmb:", "movieId", now)
     parsed = got.select("movieId", parse_vector(F.col("fields")["emb"]).alias("emb"))
     return parsed.select("movieId", F.posexplode_outer("emb").alias("pos", "value")).select(
         "movieId", (F.col("pos") + 1).cast("int").alias("dim"), "value")
 
 
-@register("samples_csv", samples_sql("""
-SELECT part, count(*) AS rows FROM (
-  SELECT CASE WHEN u < 0.1 * 0.8 THEN 'train' ELSE 'test' END AS part
-  FROM (SELECT *, CAST(('0x' || substr(md5(CAST(userId AS VARCHAR) || '|' || CAST(movieId AS VARCHAR) || '|' ||
-        CAST("timestamp" AS VARCHAR) || '|' || CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR)
-        || '|' || CAST(movieId AS VARCHAR) || '|' || CAST(l_suppkey AS VARCHAR) || '|' || CAST(l_quantity AS VARCHAR)
-        || '|' || CAST(l_extendedprice AS VARCHAR) || '|42'), 1, 8)) AS BIGINT) / 4294967296.0 AS u FROM samples)
-  WHERE u < 0.1) GROUP BY part"""))
+@register("recommend_emb_store", ORACLES["recommend_emb"])
+def q_recommend_emb_store(spark, d):
+    """R4 + IO9 + IO11: user vectors are kept as `uEmb:` and item vectors as
+    `i2vEmb:` records; the for-you list reads both back by point lookup."""
+    r, it = T.ratings(spark, d), items(spark, d)
+    expires, now = _store_expiry(r)
+    store = ST.FeatureStore(spark, _fresh(spark, "store-r4"))
+    ST.put_embeddings(store, T.user_vectors(spark, d), "uEmb", "userId", expires)
+    ST.put_embeddings(store, T.item_vectors(spark, d), "i2vEmb", "movieId", expires)
+
+    def vectors(ids, prefix, key):
+        got = store.lookup(ids.select(key).distinct(), prefix, key, now)
+        return got.select(key, parse_vector(F.col("fields")["emb"]).alias("emb"))
+
+    out = C.recommend_for_users(r, it, size=32, model="emb", pool=800, user_vectors=vectors(r, "uEmb:", "userId"),
+                                item_vectors=vectors(it, "i2vEmb:", "movieId"))
+    return out.select("userId", "movieId", "score", "rank")
+
+
+_SPLIT_KEY = ["userId", "movieId", "timestamp"] + T.TIE_BREAK
+_SPLIT_SQL = uniform_u32_sql("userId", "movieId", '"timestamp"', *T.TIE_BREAK, "42")
+_CSV_COLS = ["userId", "movieId", "label", "userRatingCount", "movieAvgRating", "userGenre1", "userRatedMovie1"]
+
+
+@register("samples_csv", samples_sql(f"""
+SELECT CASE WHEN u < 0.1 * 0.8 THEN 'train' ELSE 'test' END AS part, l_orderkey, l_linenumber, {", ".join(_CSV_COLS)}
+FROM (SELECT *, {_SPLIT_SQL} / 4294967296.0 AS u FROM samples) WHERE u < 0.1"""))
 def q_samples_csv(spark, d):
-    """IO6: train/test split written as CSV folders, read back, counted."""
+    """IO6: train/test split written as CSV folders and read back."""
     path = _fresh(spark, "samples-csv")
-    key = ["userId", "movieId", "timestamp"] + T.TIE_BREAK
-    IO.write_samples(S.split_samples(samples(spark, d), key, 0.1, (0.8, 0.2), seed=42), path)
-    back = spark.read.option("header", True).csv(path)
-    return back.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
+    written = S.split_samples(samples(spark, d), _SPLIT_KEY, 0.1, (0.8, 0.2), seed=42)
+    IO.write_samples(written, path)
+    back = spark.read.schema(written.schema).option("header", True).csv(path)
+    return back.select("part", "l_orderkey", "l_linenumber", *_CSV_COLS)
 
 
 _RATING_JSON = "{'rating': {'movieId': movieId, 'userId': userId, 'score': CAST(rating AS FLOAT), 'timestamp': \"timestamp\"}}"
@@ -179,7 +202,8 @@ def q_item_json(spark, d):
 
 @register("user_json", with_ctes(f"""
 SELECT p.userId, p.page, to_json({{'userId': p.userId, 'averageRating': u.averageRating, 'highestRating': u.highestRating,
-                                   'lowestRating': u.lowestRating, 'ratingCount': u.ratingCount, 'ratings': p.l}})::VARCHAR AS json
+                                   'lowestRating': u.lowestRating, 'ratingCount': u.ratingCount, 'page': p.page,
+                                   'pages': CAST(ceil(u.ratingCount / 1000) AS BIGINT), 'ratings': p.l}})::VARCHAR AS json
 FROM (SELECT userId, CAST(pos // 1000 AS BIGINT) AS page, list({_RATING_JSON} ORDER BY pos) AS l
       FROM (SELECT r.*, row_number() OVER (PARTITION BY userId ORDER BY {RATING_ORDER_SQL}) - 1 AS pos FROM ratings r)
       GROUP BY userId, pos // 1000) p
@@ -189,7 +213,6 @@ JOIN (SELECT userId, avg(rating) AS averageRating, greatest(0.0, max(rating)) AS
 def q_user_json(spark, d):
     """IO13: user documents with ratings in time order, paged."""
     r = T.ratings(spark, d)
-    from cinerank.operators.sequences import positions
     rated = positions(r, ["userId"], T.RATING_ORDER)
     return J.user_json(user_profiles(r), rated)
 
@@ -220,7 +243,7 @@ def q_items_with_features(spark, d):
     r = T.ratings(spark, d)
     expires, now = _store_expiry(r)
     store = ST.FeatureStore(spark, _fresh(spark, "store-j6"))
-    ST.put_item_features(store, S.latest_item_features(samples(spark, d), T.RATING_ORDER), S.ITEM_FEATURES, expires)
+    ST.put_item_features(store, S.latest_item_features(r, T.movies(spark, d), T.RATING_ORDER), S.ITEM_FEATURES, expires)
     j = ST.attach_features(items(spark, d).select("movieId", "title"), store, "mf:", "movieId", now)
     return j.select("movieId", "title", F.col("fields")["movieAvgRating"].alias("movieAvgRating"),
                     F.col("fields")["movieRatingCount"].alias("movieRatingCount"))
@@ -233,6 +256,29 @@ FROM ratings""", "ratings"))
 def q_rating_lists(spark, d):
     """Every user's ratings in time order as (userId, pos) rows; the
     list form is built from bounded pages (see user_json)."""
-    from cinerank.operators.sequences import positions
     p = positions(T.ratings(spark, d), ["userId"], T.RATING_ORDER)
     return p.select("userId", "pos", "movieId", "rating", "timestamp")
+
+
+@register("item_rating_lists", with_ctes(f"""
+SELECT movieId, row_number() OVER (PARTITION BY movieId ORDER BY {RATING_ORDER_SQL}) - 1 AS pos,
+       userId, rating, "timestamp"
+FROM ratings WHERE movieId IN (SELECT movieId FROM movies)""", "ratings", "movies"))
+def q_item_rating_lists(spark, d):
+    """A7, item side: every catalogue item's ratings in time order as
+    (movieId, pos) rows."""
+    known = T.ratings(spark, d).join(T.movies(spark, d).select("movieId"), "movieId", "left_semi")
+    p = positions(known, ["movieId"], T.RATING_ORDER)
+    return p.select("movieId", "pos", "userId", "rating", "timestamp")
+
+
+@register("csv_rejects", with_ctes("""
+SELECT CAST(userId AS VARCHAR) || ',' || CAST(movieId AS VARCHAR) || ',x,' || CAST("timestamp" AS VARCHAR) AS line
+FROM ratings WHERE l_linenumber = 1""", "ratings"))
+def q_csv_rejects(spark, d):
+    """IO1: lines with a rating that is no number are left out of the ratings
+    and come back from the quarantine reader."""
+    path = _fresh(spark, "ratings-bad")
+    r = T.ratings(spark, d).filter("l_linenumber = 1")
+    IO.write_csv(r.select("userId", "movieId", F.lit("x").alias("rating"), "timestamp"), path)
+    return IO.csv_rejects(spark, path, IO.RATINGS_SCHEMA)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cinerank.functions.columns import display_rating
+from cinerank.functions.columns import display_rating, genre_array
 from cinerank.operators import profiles as P
 from cinerank.operators import ranking as R
 from cinerank.plans.registry import register
@@ -40,6 +40,42 @@ def q_genre_shelves(spark, d):
     return shelf.select("genre", "rank", "movieId", "title", "releaseYear", "ratingNumber", "averageRating")
 
 
+# The genres of the home page's six shelves, as a table: here the catalogue's
+# genre words in capitals (there are six of them).
+SHELF_SQL = """shelf AS (
+  SELECT DISTINCT g.genre FROM movies, unnest(string_split(genres, '|')) AS g(genre)
+  WHERE regexp_full_match(g.genre, '[A-Z]+'))"""
+
+
+@register("home_shelves", with_ctes("""
+SELECT genre, rank, movieId, averageRating AS averageRating
+FROM (SELECT g.genre, i.*, row_number() OVER (PARTITION BY g.genre ORDER BY i.averageRating DESC, i.movieId) AS rank
+      FROM items i, unnest(string_split(i.genres, '|')) AS g(genre) WHERE g.genre IN (SELECT genre FROM shelf))
+WHERE rank <= 8""", "ratings", "movies", "links", extra=[ITEMS_SQL, SHELF_SQL]))
+def q_home_shelves(spark, d):
+    """The shelves of a table of genres (one column `genre`), 8 items each."""
+    genres = T.movies(spark, d).select(F.explode(genre_array("genres")).alias("genre")).filter(F.col("genre").rlike("^[A-Z]+$"))
+    shelf = R.top_items_by_genre(items(spark, d), size=8, sort_by="rating", genres=genres)
+    return shelf.select("genre", "rank", "movieId", "averageRating")
+
+
+@register("profiles_by_id", items_sql("""
+SELECT 'item' AS kind, movieId AS id, ratingNumber AS ratings, averageRating AS average FROM items WHERE movieId % 7 = 0
+UNION ALL
+SELECT 'user', userId, count(*), avg(rating) FROM ratings WHERE userId % 7 = 0 GROUP BY userId"""))
+def q_profiles_by_id(spark, d):
+    """PF10: point lookups of item and user profiles for a table of ids (here
+    every number divisible by 7 up to the largest id; unknown ids vanish)."""
+    it, us = items(spark, d), P.user_profiles(T.ratings(spark, d))
+    most = F.greatest(it.agg(F.max("movieId")).scalar(), us.agg(F.max("userId")).scalar())
+    ids = spark.range(1).select(F.explode(F.sequence(F.lit(0).cast("long"), most, F.lit(7).cast("long"))).alias("id"))
+    a = P.rows_by_id(it, ids.withColumnRenamed("id", "movieId"), "movieId").select(
+        F.lit("item").alias("kind"), F.col("movieId").alias("id"), F.col("ratingNumber").alias("ratings"), F.col("averageRating").alias("average"))
+    b = P.rows_by_id(us, ids.withColumnRenamed("id", "userId"), "userId").select(
+        F.lit("user").alias("kind"), F.col("userId").alias("id"), F.col("ratingCount").alias("ratings"), F.col("averageRating").alias("average"))
+    return a.unionByName(b)
+
+
 @register("genre_page_by_year", items_sql("""
 SELECT genre, rank, movieId, releaseYear
 FROM (SELECT g.genre, i.*, row_number() OVER (PARTITION BY g.genre ORDER BY i.releaseYear DESC, i.movieId) AS rank

@@ -73,7 +73,7 @@ SELECT userId, {', '.join(f"coalesce(CAST({c} AS VARCHAR), '')" + f' AS {c}' if
 FROM samples QUALIFY row_number() OVER (PARTITION BY userId ORDER BY {RATING_ORDER_SQL.replace(',', ' DESC,')} DESC) = 1"""))
 def q_latest_user_features(spark, d):
     """Each user's newest sample row (user feature export)."""
-    return S.latest_user_features(samples(spark, d), T.RATING_ORDER)
+    return S.latest_user_features(T.ratings(spark, d), T.movies(spark, d), T.RATING_ORDER)
 
 
 @register("latest_item_features", samples_sql(f"""
@@ -82,7 +82,7 @@ SELECT movieId, releaseYear, coalesce(movieGenre1, '') AS movieGenre1, coalesce(
 FROM samples QUALIFY row_number() OVER (PARTITION BY movieId ORDER BY {RATING_ORDER_SQL.replace(',', ' DESC,')} DESC) = 1"""))
 def q_latest_item_features(spark, d):
     """Each item's newest sample row (item feature export)."""
-    return S.latest_item_features(samples(spark, d), T.RATING_ORDER)
+    return S.latest_item_features(T.ratings(spark, d), T.movies(spark, d), T.RATING_ORDER)
 
 
 _KEY = ["userId", "movieId", "timestamp"] + T.TIE_BREAK

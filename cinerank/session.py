@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import atexit
+import re
 
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
 # Settings every job relies on: UTC wall clock, ANSI semantics, adaptive
@@ -18,6 +19,7 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -36,10 +38,11 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder.
+    """Return the shared checkpoint folder, as ``spark.checkpoint.dir`` names it.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is. Only when it is unset (local tests) a scratch folder is created.
+    Where that is unset, a local session (one JVM, as in tests) gets a folder of
+    its own application; on a cluster it must be set, as no machine's temporary
+    folder is seen by the others.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
@@ -47,17 +50,35 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not d and not current.isEmpty():
         return current.get()
     if not d:
-        d = tempfile.mkdtemp(prefix="cinerank-ckpt-")  # local runs only: nothing configured
-        try:
-            spark.conf.set("spark.checkpoint.dir", d)
-        except Exception:  # some sessions refuse core settings at runtime
-            pass
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        d = f"{sc._jvm.java.lang.System.getProperty('java.io.tmpdir')}/cinerank-{sc.applicationId}"
     if current.isEmpty():
         sc.setCheckpointDir(d)
     return d
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder for intermediate tables."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, name)
+    """A path for an intermediate table: in the shared folder, below a folder of
+    this application, which `drop_intermediate` removes."""
+    return f"{_own_folder(spark)}/{name}"
+
+
+def _own_folder(spark: SparkSession) -> str:
+    folder = f"{ensure_checkpoint_dir(spark)}/run-{spark.sparkContext.applicationId}"
+    if folder not in _OWN:
+        _OWN.add(folder)
+        atexit.register(drop_intermediate, spark, folder)
+    return folder
+
+
+_OWN: set[str] = set()
+
+
+def drop_intermediate(spark: SparkSession, folder: str | None = None) -> None:
+    """Delete the intermediate tables of this application; runs when the driver
+    process ends, and may be called as soon as no result is read any more."""
+    jvm = SparkContext._jvm
+    if jvm is not None:
+        path = jvm.org.apache.hadoop.fs.Path(folder or _own_folder(spark))
+        path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)

@@ -2,7 +2,8 @@
 `id:f f f` embedding text format, and sample folders.
 
 All readers take an explicit StructType (no inference, no all-string
-columns); malformed rows are dropped by default instead of failing the job.
+columns). A malformed row never fails the job: readers leave it out, whatever
+columns are read, and `csv_rejects` / `embedding_rejects` return such lines.
 """
 
 from __future__ import annotations
@@ -24,8 +25,30 @@ LINKS_SCHEMA = T.StructType([
     T.StructField("tmdbId", T.StringType())])
 
 
-def _csv(spark: SparkSession, path: str, schema: T.StructType, mode: str = "DROPMALFORMED") -> DataFrame:
-    return spark.read.schema(schema).option("header", True).option("mode", mode).csv(path)
+REJECT = "_corrupt_record"
+
+
+def _parsed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    full = T.StructType(list(schema.fields) + [T.StructField(REJECT, T.StringType())])
+    return (spark.read.schema(full).option("header", True).option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", REJECT).csv(path))
+
+
+def _read_columns(schema: T.StructType):
+    """Always true, but reads all columns, so that a row is parsed whole and the
+    same rows are well-formed whatever columns a query needs."""
+    return F.length(F.concat_ws("", *[F.col(c).cast("string") for c in schema.fieldNames()])) >= 0
+
+
+def _csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Well-formed rows; which they are does not depend on the columns read."""
+    return _parsed(spark, path, schema).filter(F.col(REJECT).isNull() & _read_columns(schema)).drop(REJECT)
+
+
+def csv_rejects(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The malformed lines of a CSV source, for a quarantine output."""
+    return _parsed(spark, path, schema).filter(F.col(REJECT).isNotNull() & _read_columns(schema)).select(
+        F.col(REJECT).alias("line"))
 
 
 def read_ratings(spark: SparkSession, path: str, schema: T.StructType = RATINGS_SCHEMA) -> DataFrame:
@@ -62,13 +85,27 @@ def read_links(spark: SparkSession, path: str, strict_columns: bool = False) ->
                      F.trim(F.get("p", 2)).alias("tmdbId")).filter(F.col("movieId").isNotNull()))
 
 
+def _embedding_fields(spark: SparkSession, path: str):
+    """Lines of a vector file with their parsed id and vector, null where a
+    line has not exactly one ':', no numeric id, or a field that is no number."""
+    p = F.split("value", ":")
+    two = F.size(p) == 2
+    emb = F.when(two, parse_vector(F.get(p, 1)))
+    return spark.read.text(path).select(
+        "value", F.when(two, F.trim(F.get(p, 0)).try_cast("long")).alias("id"),
+        F.when(~F.exists(emb, lambda x: x.isNull()), emb).alias("emb"))
+
+
 def read_embeddings(spark: SparkSession, path: str, id_col: str = "movieId") -> DataFrame:
-    """IO4: `id:f f f` lines -> (id, array<float>); lines without exactly one
-    ':' or with a non-numeric id are skipped."""
-    lines = spark.read.text(path).select(F.split("value", ":").alias("p"))
-    ok = lines.filter(F.size("p") == 2)
-    return (ok.select(F.trim(F.get("p", 0)).try_cast("long").alias(id_col), parse_vector(F.get("p", 1)).alias("emb"))
-            .filter(F.col(id_col).isNotNull()))
+    """IO4: `id:f f f` lines -> (id, array<float>); other lines are left out."""
+    return (_embedding_fields(spark, path).filter(F.col("id").isNotNull() & F.col("emb").isNotNull())
+            .select(F.col("id").alias(id_col), "emb"))
+
+
+def embedding_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """The lines that `read_embeddings` leaves out."""
+    return (_embedding_fields(spark, path).filter(F.col("id").isNull() | F.col("emb").isNull())
+            .select(F.col("value").alias("line")))
 
 
 def embedding_lines(vectors: DataFrame, id_col: str = "movieId") -> DataFrame:

@@ -29,15 +29,17 @@ def item_json(items: DataFrame, top: DataFrame) -> DataFrame:
 
 
 def user_json(users: DataFrame, rated: DataFrame, page_size: int = 1000) -> DataFrame:
-    """IO13: user -> JSON pages: profile fields plus up to `page_size`
-    ratings per page in time order (`pos` from skew-safe positions), so a
-    very active user becomes several bounded rows."""
+    """IO13: user -> JSON pages: profile fields, the page's number and the
+    user's number of pages, and up to `page_size` ratings in time order (`pos`
+    from skew-safe positions), so a very active user becomes several bounded
+    rows that name each other."""
     r = rated.withColumn("page", F.floor(F.col("pos") / page_size).cast("long"))
     pages = r.groupBy("userId", "page").agg(F.sort_array(F.collect_list(F.struct(
         F.col("pos").alias("k"), _rating_entry().alias("r")))).alias("_l"))
     pages = pages.select("userId", "page", F.transform("_l", lambda e: e["r"]).alias("ratings"))
-    j = users.join(pages, "userId")
-    doc = F.struct("userId", "averageRating", "highestRating", "lowestRating", "ratingCount", "ratings")
+    n_pages = F.ceil(F.col("ratingCount") / page_size).cast("long")
+    j = users.withColumn("pages", n_pages).join(pages, "userId")
+    doc = F.struct("userId", "averageRating", "highestRating", "lowestRating", "ratingCount", "page", "pages", "ratings")
     return j.select("userId", "page", F.to_json(doc, JSON_OPTS).alias("json"))
 
 

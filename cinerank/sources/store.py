@@ -1,22 +1,14 @@
 """Keyed feature table (IO7-IO11): the batch stand-in for a key-value
 serving store. Rows are (key string, fields map<string,string>,
 expires_at timestamp), stored as parquet under one base folder in shared
-storage:
-
-* `v=<n>/` full versions. `put` writes version n+1 = current rows whose key
-  is not being replaced + the new rows (anti-join + union).
-* `d=<n>/b=<k>/` deltas on top of version n. `append` writes only the given
-  records (cost grows with the update, not with the store), which is what a
-  streaming micro-batch does; readers take the newest record per key
-  (`max_by` over the delta number, partially aggregated), and `compact`
-  folds the deltas into a new full version.
-
-Nothing is ever written over a folder being read, so a failed or repeated
-write leaves the store readable."""
+storage. `put` writes a whole new table = current rows whose key is not being
+replaced + the new rows (anti-join + union) into a folder of its own; the newest
+finished folder is the store. Nothing is ever written over a folder being read,
+and a failed write leaves an unfinished folder that nothing reads."""
 
 from __future__ import annotations
 
-import os
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,70 +39,34 @@ class FeatureStore:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def _complete(self, folder: str, prefix: str) -> list[int]:
-        """Numbers of finished `<prefix><n>` sub-folders (with _SUCCESS)."""
-        fs, path = self._fs_path(folder)
-        if not fs.exists(path):
-            return []
-        jvm = self.spark.sparkContext._jvm
-        out = []
-        for st in fs.listStatus(path):
-            name = st.getPath().getName()
-            if name.startswith(prefix) and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-                out.append(int(name[len(prefix):]))
-        return sorted(out)
-
-    def _version(self) -> int:
-        v = self._complete(self.base, "v=")
-        return v[-1] if v else 0
-
-    def _base(self, n: int) -> DataFrame:
-        if n == 0:
-            return self.spark.createDataFrame([], STORE_SCHEMA)
-        return self.spark.read.parquet(os.path.join(self.base, f"v={n:06d}"))
-
-    def _delta_dir(self, n: int) -> str:
-        return os.path.join(self.base, f"d={n:06d}")
+    def _newest(self) -> tuple[int, str | None]:
+        """Number and path of the newest finished table."""
+        fs, path = self._fs_path(self.base)
+        done = [(0, None)]
+        if fs.exists(path):
+            jvm = self.spark.sparkContext._jvm
+            for st in fs.listStatus(path):
+                name = st.getPath().getName()
+                if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+                    done.append((int(name[2:].split("-")[0]), f"{self.base}/{name}"))
+        return max(done, key=lambda d: (d[0], d[1] or ""))
 
     def current(self) -> DataFrame:
-        """Live view: the latest full version plus its deltas, newest record
-        per key."""
-        n = self._version()
-        base = self._base(n)
-        deltas = self._complete(self._delta_dir(n), "b=")
-        if not deltas:
-            return base
-        parts = [base.withColumn("_b", F.lit(-1))] + [
-            self.spark.read.parquet(os.path.join(self._delta_dir(n), f"b={k:06d}")).withColumn("_b", F.lit(k))
-            for k in deltas]
-        allr = parts[0]
-        for p in parts[1:]:
-            allr = allr.unionByName(p)
-        newest = F.max_by(F.struct("fields", "expires_at"), F.col("_b"))
-        return allr.groupBy("key").agg(newest.alias("_r")).select("key", "_r.fields", "_r.expires_at")
+        """All records, expired ones too."""
+        _, path = self._newest()
+        if path is None:
+            return self.spark.createDataFrame([], STORE_SCHEMA)
+        return self.spark.read.schema(STORE_SCHEMA).parquet(path)
 
     def put(self, records: DataFrame) -> int:
-        """Upsert records (key, fields, expires_at) into a new full version
-        (deltas included); returns the version number."""
-        nxt = self._version() + 1
+        """Upsert records (key, fields, expires_at); returns the number of the
+        new table. Every attempt has its own folder, so an earlier failed one
+        is in nobody's way."""
+        number, _ = self._newest()
         kept = self.current().join(records.select("key"), "key", "left_anti")
-        kept.unionByName(records.select("key", "fields", "expires_at")) \
-            .write.mode("errorifexists").parquet(os.path.join(self.base, f"v={nxt:06d}"))
-        return nxt
-
-    def append(self, records: DataFrame) -> int:
-        """Upsert by writing only `records` as the next delta; returns its
-        number."""
-        n = self._version()
-        done = self._complete(self._delta_dir(n), "b=")
-        k = (done[-1] + 1) if done else 0
-        records.select("key", "fields", "expires_at").write.mode("errorifexists") \
-            .parquet(os.path.join(self._delta_dir(n), f"b={k:06d}"))
-        return k
-
-    def compact(self) -> int:
-        """Fold the deltas into a new full version."""
-        return self.put(self.spark.createDataFrame([], STORE_SCHEMA))
+        kept.unionByName(records.select("key", "fields", "expires_at")).write.parquet(
+            f"{self.base}/v={number + 1:06d}-{uuid.uuid4().hex}")
+        return number + 1
 
     def get(self, prefix: str, now: Column | None = None) -> DataFrame:
         """IO10: records under a key prefix that have not expired, with the
@@ -119,10 +75,12 @@ class FeatureStore:
         cur = self.current().filter(F.col("key").startswith(prefix) & (F.col("expires_at") > now))
         return cur.withColumn("id", F.get(F.split("key", ":"), 1))
 
-    def lookup(self, ids: DataFrame, prefix: str, id_col: str) -> DataFrame:
-        """IO11: point gets for a table of ids (left join; misses -> null)."""
+    def lookup(self, ids: DataFrame, prefix: str, id_col: str, now: Column | None = None) -> DataFrame:
+        """IO11: point gets for a table of ids (left join; misses and expired
+        records -> null)."""
+        now = now if now is not None else F.current_timestamp()
         keys = ids.select(F.col(id_col), F.concat(F.lit(prefix), F.col(id_col).cast("string")).alias("key"))
-        return keys.join(self.current(), "key", "left")
+        return keys.join(self.current().filter(F.col("expires_at") > now), "key", "left")
 
 
 def put_user_features(store: FeatureStore, latest_users: DataFrame, cols: list[str], expires_at: Column) -> int:

@@ -4,9 +4,7 @@ The online side of a recommender updates item and user profiles one rating
 at a time as ratings arrive. Here that is a streaming aggregation: rating
 files appear in a folder, a stateful groupBy keeps per-user (or per-item)
 sums, extremes and counts in the state store, and every micro-batch upserts
-the changed profiles into the feature store (foreachBatch, update mode) as
-a delta of just those rows, so a micro-batch costs what it changes, not the
-size of the store.
+the changed profiles into the feature store (foreachBatch, update mode).
 State, checkpoints and the store live in shared storage, so a restarted
 query resumes where it stopped.
 """
@@ -20,7 +18,6 @@ from cinerank.sources.files import RATINGS_SCHEMA
 from cinerank.sources.store import FeatureStore, keyed
 
 USER_FIELDS = ["averageRating", "highestRating", "lowestRating", "ratingCount"]
-ITEM_FIELDS = ["ratingNumber", "averageRating"]
 
 
 def rating_stream(spark: SparkSession, folder: str, max_files_per_trigger: int = 1) -> DataFrame:
@@ -39,22 +36,14 @@ def user_profile_updates(ratings: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("ratingCount"))
 
 
-def item_profile_updates(ratings: DataFrame) -> DataFrame:
-    """Streaming A4 statistics: per-item count and running mean."""
-    return ratings.groupBy("movieId").agg(
-        F.count(F.lit(1)).alias("ratingNumber"),
-        (F.sum("rating") / F.count(F.lit(1))).alias("averageRating"))
-
-
 def start_profile_sink(updates: DataFrame, store: FeatureStore, prefix: str, id_col: str, fields: list[str],
                        checkpoint: str, expires_at=None, available_now: bool = True):
-    """Append every micro-batch's changed profiles to the store as a delta
-    (re-running a batch after a failure writes the same records again, which
-    the newest-record view absorbs)."""
+    """Upsert every micro-batch's changed profiles (re-running a batch after a
+    failure puts the same records again)."""
     exp = expires_at if expires_at is not None else F.lit("9999-12-31").cast("timestamp")
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        store.append(keyed(batch, prefix, id_col, fields, exp))
+        store.put(keyed(batch, prefix, id_col, fields, exp))
 
     w = updates.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(upsert)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")

@@ -3,23 +3,27 @@
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from cinerank.operators import ctr as M
 
+# The genre vocabulary of the reference models, in its order.
+REFERENCE_GENRES = ["Film-Noir", "Action", "Adventure", "Horror", "Romance", "War", "Comedy", "Western",
+                    "Documentary", "Sci-Fi", "Drama", "Thriller", "Crime", "Fantasy", "Animation", "IMAX",
+                    "Mystery", "Children", "Musical"]
+
 
 def test_interest_vector_sums_slots_and_skips_missing(spark):
     vec = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 0.0]), (9, [1.0, 1.0])], "movieId long, emb array<float>")
     rows = [(7, 9, 1, 2, None, 5, None)]  # slot 4 has an item without a vector, slots 3 and 5 are empty
     s = spark.createDataFrame(rows, "userId long, movieId long, userRatedMovie1 long, userRatedMovie2 long, "
                                     "userRatedMovie3 long, userRatedMovie4 long, userRatedMovie5 long")
-    out = M.interest_vector(s, vec).first()
+    out = M.interest_vector(s, vec, ["userId", "movieId"]).first()
     c = [1.0, 1.0]
     hs = [[1.0, 2.0], [3.0, 0.0]]
     expect = [sum(h[i] - c[i] for h in hs) for i in range(2)] + [sum(h[i] for h in hs) for i in range(2)] \
         + [2 * c[i] for i in range(2)] + [sum(h[i] * c[i] for h in hs) for i in range(2)]
     assert out.nSlots == 2 and list(out.interest) == pytest.approx(expect)
-    w = M.interest_vector(s, vec, weighted=True).first()
+    w = M.interest_vector(s, vec, ["userId", "movieId"], weighted=True).first()
     assert w.nSlots == 2 and len(w.interest) == 8
 
 
@@ -28,15 +32,23 @@ def test_candidate_without_vector_gives_null(spark):
     s = spark.createDataFrame([(7, 5, 1, None, None, None, None)],
                               "userId long, movieId long, userRatedMovie1 long, userRatedMovie2 long, "
                               "userRatedMovie3 long, userRatedMovie4 long, userRatedMovie5 long")
-    assert M.interest_vector(s, vec).first().interest is None
+    assert M.interest_vector(s, vec, ["userId", "movieId"]).first().interest is None
 
 
 def test_vocab_and_identity_encoding(spark):
     df = spark.createDataFrame([("War", 5), ("Nope", 2000), (None, -1)], "g string, id long")
-    out = M.encode_identity(M.encode_vocab(df, ["g"], M.REFERENCE_GENRES), "id", 1001).collect()
+    out = M.encode_identity(M.encode_vocab(df, ["g"], REFERENCE_GENRES), "id", 1001).collect()
     assert [r.gIdx for r in out] == [5, -1, -1]
     assert [r.idIdx for r in out] == [5, None, None]
-    assert M.out_of_range(df, "id", 1001).first().outOfRange == 2
+    whole = M.encode_identity(df.filter("id >= 0"), "id", M.id_range(df, "id")).collect()
+    assert [r.idIdx for r in whole] == [5, 2000]  # a range from the data leaves no id out
+
+
+def test_missing_genre_has_its_own_code(spark):
+    movies = spark.createDataFrame([(1, "B|A"), (2, "C||B"), (3, " "), (4, None)], "movieId long, genres string")
+    df = spark.createDataFrame([("A",), ("C",), (None,), ("Z",)], "g string")
+    out = M.genre_codes(df, ["g"], M.genre_vocabulary(movies)).collect()
+    assert [r.gIdx for r in out] == [1, 3, 0, 0]  # the first genre is not the missing one
 
 
 def test_binary_metrics_perfect_ranking(spark):
@@ -47,27 +59,33 @@ def test_binary_metrics_perfect_ranking(spark):
     assert m.logLoss == pytest.approx(-(math.log(0.9) + math.log(0.8) + math.log(0.8) + math.log(0.9)) / 4)
 
 
-def test_fm_pair_tables_reproduce_model_scores(spark):
-    rows = [(u, i, 1 if (u + i) % 3 else 0) for u in range(12) for i in range(9)]
-    df = spark.createDataFrame(rows, "userId long, movieId long, label int")
-    m = M.pair_model(df, 20, 20, factor_size=3, max_iter=5)
-    pred = {(r.userId, r.movieId): r.score for r in M.predict(m, M.pair_inputs(df, 20, 20)).collect()}
-    ut, it, w0 = M.fm_pair_tables(m, df.select("userId"), df.select("movieId"), 20, 20)
-    u = {r.userId: r.vec for r in ut.collect()}
-    v = {r.movieId: r.vec for r in it.collect()}
-    for (a, b), p in list(pred.items())[:20]:
-        logit = w0 + sum(x * y for x, y in zip(u[a], v[b]))
-        assert 1 / (1 + math.exp(-logit)) == pytest.approx(p, rel=1e-5, abs=1e-6)
-
-
-def test_fm_pair_tables_without_arrow(spark):
-    rows = [(u, i, (u + i) % 2) for u in range(4) for i in range(3)]
-    df = spark.createDataFrame(rows, "userId long, movieId long, label int")
-    m = M.pair_model(df, 10, 10, factor_size=2, max_iter=2)
-    old = spark.conf.get("spark.sql.execution.arrow.pyspark.enabled")
-    try:
-        spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "false")
-        ut, it, _ = M.fm_pair_tables(m, df.select("userId"), df.select("movieId"), 10, 10)
-        assert ut.count() == 4 and it.count() == 3
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", old)
+@pytest.fixture(scope="module")
+def ratings(spark):
+    rows = [(u * 10**11, i, 1 if (u + i) % 3 else 0) for u in range(30) for i in range(20)]
+    return spark.createDataFrame(rows, "userId long, movieId long, label int")
+
+
+def test_factors_cover_all_train_ids_of_any_size(spark, ratings):
+    f = M.id_factors(ratings, rank=3)
+    assert {r.userId for r in f.users.collect()} == {u * 10**11 for u in range(30)}
+    assert {r.movieId for r in f.items.collect()} == set(range(20))
+    assert all(len(r.uf) == 3 for r in f.users.collect())
+
+
+@pytest.mark.parametrize("head", ["dot", "mlp"])
+def test_pair_model_learns_and_scores_unknown_ids(spark, ratings, head):
+    m, f = M.pair_model(ratings, head, max_iter=100)
+    rows = ratings.unionByName(spark.createDataFrame([(7, 999, 1)], ratings.schema))
+    got = M.predict(m, M.with_factors(rows, f)).collect()
+    assert len(got) == 601 and all(0 <= r.score <= 1 for r in got)
+    known = [r for r in got if r.userId != 7]
+    assert sum((r.score >= 0.5) == (r.label == 1) for r in known) / len(known) > 0.8
+
+
+def test_model_round_trip(spark, ratings, tmp_path):
+    m, f = M.pair_model(ratings)
+    M.save_model(m, f, str(tmp_path))
+    m2, f2 = M.load_model(spark, str(tmp_path))
+    a = {(r.userId, r.movieId): r.score for r in M.predict(m, M.with_factors(ratings, f)).collect()}
+    b = {(r.userId, r.movieId): r.score for r in M.predict(m2, M.with_factors(ratings, f2)).collect()}
+    assert a == b

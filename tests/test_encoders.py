@@ -19,8 +19,7 @@ def test_min_max_scaler_fixture(spark):
 
 def test_one_hot_size_is_max_plus_one(spark):
     df = spark.createDataFrame([(0,), (3,)], "movieId long")
-    p = E.vector_parts("vec")
-    out = E.one_hot(df, "movieId").select("movieId", p["size"].alias("n"), F.get(p["indices"], 0).alias("i"))
+    out = E.one_hot(df, "movieId").select("movieId", F.size(vector_to_array("vec")).alias("n"), E.hot_index("vec").alias("i"))
     assert sorted(map(tuple, out.collect())) == [(0, 4, 0), (3, 4, 3)]
 
 

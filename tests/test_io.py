@@ -53,23 +53,40 @@ def test_store_upsert_expiry_and_lookup(spark):
     assert live == {"1": {"g": "a", "n": "10"}}  # user 2's new record expired at 500
     allr = {r.id: dict(r.fields) for r in st.get("uf:", F.timestamp_seconds(F.lit(0))).collect()}
     assert allr["2"] == {"g": "c", "n": "21"}
-    look = {r.userId: r.fields for r in st.lookup(spark.createDataFrame([(1,), (9,)], "userId long"), "uf:", "userId").collect()}
+    look = {r.userId: r.fields for r in st.lookup(spark.createDataFrame([(1,), (9,)], "userId long"), "uf:", "userId",
+                                                  F.timestamp_seconds(F.lit(600))).collect()}
     assert look[9] is None and dict(look[1]) == {"g": "a", "n": "10"}
 
 
-def test_store_deltas_and_compaction(spark):
-    base = tempfile.mkdtemp(prefix="cinerank-store-")
-    st = ST.FeatureStore(spark, os.path.join(base, "s"))
+def test_store_survives_a_failed_write(spark):
+    base = os.path.join(tempfile.mkdtemp(prefix="cinerank-store-"), "s")
+    st = ST.FeatureStore(spark, base)
     exp = F.timestamp_seconds(F.lit(1000))
-    d1 = spark.createDataFrame([(1, "a"), (2, "b")], "userId long, g string")
-    assert st.append(ST.keyed(d1, "uf:", "userId", ["g"], exp)) == 0  # delta on an empty store
-    d2 = spark.createDataFrame([(2, "c"), (3, "d")], "userId long, g string")
-    assert st.append(ST.keyed(d2, "uf:", "userId", ["g"], exp)) == 1
-    view = {r.key: r.fields["g"] for r in st.current().collect()}
-    assert view == {"uf:1": "a", "uf:2": "c", "uf:3": "d"}  # newest delta wins
-    v = st.compact()
-    assert v == 1
-    assert {r.key: r.fields["g"] for r in st.current().collect()} == view
-    d3 = spark.createDataFrame([(1, "z")], "userId long, g string")
-    st.append(ST.keyed(d3, "uf:", "userId", ["g"], exp))  # delta on top of version 1
-    assert {r.key: r.fields["g"] for r in st.current().collect()}["uf:1"] == "z"
+    put = lambda rows: st.put(ST.keyed(spark.createDataFrame(rows, "userId long, g string"), "uf:", "userId", ["g"], exp))
+    put([(1, "a"), (2, "b")])
+    os.makedirs(os.path.join(base, "v=000002-dead", "_temporary"))  # what a killed write leaves
+    assert put([(2, "c"), (3, "d")]) == 2
+    assert {r.key: r.fields["g"] for r in st.current().collect()} == {"uf:1": "a", "uf:2": "c", "uf:3": "d"}
+
+
+def test_lookup_misses_expired_records(spark):
+    st = ST.FeatureStore(spark, os.path.join(tempfile.mkdtemp(prefix="cinerank-store-"), "s"))
+    df = spark.createDataFrame([(1, "a")], "userId long, g string")
+    ST.put_user_features(st, df, ["g"], F.timestamp_seconds(F.lit(1000)))
+    ids = df.select("userId")
+    assert st.lookup(ids, "uf:", "userId", F.timestamp_seconds(F.lit(999))).first().fields == {"g": "a"}
+    assert st.lookup(ids, "uf:", "userId", F.timestamp_seconds(F.lit(1000))).first().fields is None
+    assert st.lookup(ids, "uf:", "userId").first().fields is None  # expired in 1970
+
+
+def test_malformed_csv_rows_are_the_same_for_every_projection(spark):
+    p = _write("userId,movieId,rating,timestamp\n1,2,3.5,100\n1,x,3.5,100\n1,2,3.5,when\n")
+    r = IO.read_ratings(spark, p)
+    assert r.count() == len(r.collect()) == len(r.select("userId", "rating").collect()) == len(r.select("timestamp").collect()) == 1
+    assert {x.line for x in IO.csv_rejects(spark, p, IO.RATINGS_SCHEMA).collect()} == {"1,x,3.5,100", "1,2,3.5,when"}
+
+
+def test_bad_number_in_a_vector_file(spark):
+    p = _write("1:0.5 oops\n2:1 2\nx:1\n")
+    assert [(r.movieId, list(r.emb)) for r in IO.read_embeddings(spark, p).collect()] == [(2, [1.0, 2.0])]
+    assert {r.line for r in IO.embedding_rejects(spark, p).collect()} == {"1:0.5 oops", "x:1"}

@@ -8,30 +8,45 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as E  # noqa: E402
+from cinerank.plans.catalog import QUERIES  # noqa: E402
 
 from conftest import SF  # noqa: E402
 
-MODEL_QUERIES = {"pair_model", "mlp_model", "wide_deep_model", "fm_model", "interest_model", "model_metrics",
-                 "model_roundtrip", "recommend_model", "item2vec", "graph_embedding", "item2vec_neighbors"}
+MODEL_QUERIES = {"pair_model", "pair_mlp_model", "pair_factors", "mlp_model", "wide_deep_model", "fm_model", "interest_model",
+                 "model_metrics", "model_roundtrip", "recommend_model", "item2vec", "graph_embedding", "item2vec_neighbors"}
 
 
 def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - MODEL_QUERIES))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - MODEL_QUERIES))
 def test_no_cross_join(spark, name):
-    plan = _plan(E.queries()[name](spark, SF))
+    plan = _plan(QUERIES[name](spark, SF))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
 
 
 @pytest.mark.parametrize("name", ["top_ratings", "genre_shelves", "genre_page_by_year", "similar_items_default"])
 def test_top_k_uses_partial_group_limit(spark, name):
-    plan = _plan(E.queries()[name](spark, SF))
+    plan = _plan(QUERIES[name](spark, SF))
     assert "WindowGroupLimit" in plan, name
 
 
 def test_scans_read_only_needed_columns(spark):
-    plan = _plan(E.queries()["user_profiles"](spark, SF))
+    plan = _plan(QUERIES["user_profiles"](spark, SF))
     assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
+
+
+def test_training_samples_shuffle_whole_rows_few_times(spark):
+    plan = _plan(QUERIES["training_samples"](spark, SF))
+    assert "Scan ExistingRDD" not in plan
+
+
+def test_no_query_replicates_all_against_all(spark):
+    """Only bounded probe tables and pools are dealt to blocks: a search for all
+    vectors compares bucket by bucket."""
+    from cinerank.operators import vectors as V
+    from cinerank.sources import tables as T
+    v = T.item_vectors(spark, SF)
+    plan = _plan(V.approx_neighbors(v, v.select("movieId"), 5))
+    assert "bucket" in plan.split("FlatMapCoGroupsInPandas")[1][:400]

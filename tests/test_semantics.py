@@ -7,6 +7,7 @@ from cinerank.functions.columns import add_ranked_genres, blend_score, clean_tit
 from cinerank.operators import candidates as C
 from cinerank.operators import graph as G
 from cinerank.operators import profiles as P
+from cinerank.operators import ranking as R
 from cinerank.operators import samples as S
 from cinerank.sources import tables as T
 
@@ -96,11 +97,48 @@ def test_split_parts_disjoint_and_cover(spark):
     assert 0.4 * r.count() < sampled < 0.6 * r.count()
 
 
-def test_genre_recall_same_with_and_without_broadcast(spark):
+def test_candidate_ids_are_the_distinct_genre_pairs(spark):
     r, m, l = T.ratings(spark, SF), T.movies(spark, SF), T.links(spark, SF)
     items = P.item_profiles(m, l, r)
     seeds = items.select("movieId")
-    a = C.candidates_by_genre(seeds, items, 20).select("seedId", "candidateId")
-    b = C.candidates_by_genre(seeds, items, 20, max_broadcast_rows=0).select("seedId", "candidateId")
+    a = C.candidates_by_genre(seeds, items, 20).select("seedId", "candidateId").distinct()
+    b = C.candidate_ids(seeds, items, 20).select("seedId", "candidateId")
     assert a.count() == b.count() > 0
     assert a.exceptAll(b).count() == 0
+
+
+def test_blank_genres_have_no_shelf(spark):
+    items = spark.createDataFrame([(1, "A||B", 4.0, 2000), (2, "", 3.0, 2001), (3, None, 5.0, 2002), (4, " ", 5.0, 2002)],
+                                  "movieId long, genres string, averageRating double, releaseYear int")
+    assert {x.genre for x in R.genre_items(items).collect()} == {"A", "B"}
+    shelf = R.top_items_by_genre(items, 5, genres=spark.createDataFrame([("B",), ("Z",)], "genre string")).collect()
+    assert [(x.genre, x.movieId) for x in shelf] == [("B", 1)]
+
+
+def test_latest_features_are_those_of_the_newest_sample(spark):
+    r, m = T.ratings(spark, SF), T.movies(spark, SF)
+    s = S.training_samples(r, m, T.RATING_ORDER)
+    for key, cols, got in (("userId", S.USER_FEATURES, S.latest_user_features(r, m, T.RATING_ORDER)),
+                           ("movieId", S.ITEM_FEATURES, S.latest_item_features(r, m, T.RATING_ORDER))):
+        newest = s.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(*T.RATING_ORDER)).alias("x")).select(key, "x.*")
+        want = newest.na.fill("", subset=[c for c, t in newest.dtypes if t == "string"])
+        assert sorted(map(str, got.select(key, *cols).collect())) == sorted(map(str, want.collect()))
+
+
+def test_load_counts_with_unknown_and_missing_ids(spark):
+    r = spark.createDataFrame([(1, 5), (2, 5), (1, 9), (3, None)], "userId long, movieId long")
+    m = spark.createDataFrame([(5,), (6,)], "movieId long")
+    l = spark.createDataFrame([(5,), (7,)], "movieId long")
+    assert {x.source: x.rows for x in P.load_counts(r, m, l).collect()} == {
+        "movies": 2, "links_matched": 1, "ratings": 4, "ratings_matched": 2, "users": 3}
+
+
+def test_cluster_sessions_must_name_the_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from cinerank import session
+    unset = SimpleNamespace(isEmpty=lambda: True)
+    sc = SimpleNamespace(master="spark://host:7077", getConf=lambda: {}, applicationId="a",
+                         _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: unset)))
+    with pytest.raises(ValueError):
+        session.ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf={}))

@@ -15,7 +15,7 @@ def test_positions_with_one_hot_key(spark):
     df = spark.range(0, 5000).select(
         F.when(F.col("id") % 10 < 8, F.lit(1)).otherwise(F.col("id") % 7).alias("k"),
         (F.col("id") * 7919 % 5003).alias("t"), F.col("id"))
-    got = positions(df, ["k"], ["t", "id"], num_partitions=6)
+    got = positions(df, ["k"], ["t", "id"], n_buckets=6)
     w = Window.partitionBy("k").orderBy("t", "id")
     ref = df.withColumn("pos", F.row_number().over(w) - 1)
     diff = got.select("k", "t", "id", "pos").exceptAll(ref.select("k", "t", "id", "pos"))
@@ -26,7 +26,7 @@ def test_positions_with_one_hot_key(spark):
 def test_halo_window_equals_plain_window(spark):
     df = spark.range(0, 3000).select((F.col("id") % 3).alias("k"), F.col("id").alias("t"),
                                      (F.col("id") * 31 % 17).alias("v"))
-    p = positions(df, ["k"], ["t"], num_partitions=5)
+    p = positions(df, ["k"], ["t"], n_buckets=5)
     framed = with_preceding_halo(p, "pos", 4, chunk_rows=9)
     w = Window.partitionBy("k", "_chunk").orderBy("pos").rowsBetween(-4, -1)
     got = framed.select("k", "t", F.sum("v").over(w).alias("s"), "_halo").filter(~F.col("_halo")).drop("_halo")
@@ -46,11 +46,11 @@ def test_training_samples_independent_of_chunking(spark):
 def test_running_sum_global_and_keyed(spark):
     df = spark.range(0, 1000).select(F.col("id").alias("key"), (F.col("id") % 5).alias("v"),
                                      F.when(F.col("id") < 900, F.lit(0)).otherwise(F.col("id") % 3).alias("g"))
-    got = running_sum(df, [], ["key"], "v", "offset", num_partitions=7)
+    got = running_sum(df, [], ["key"], "v", "offset", n_buckets=7)
     w = Window.orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
     ref = df.withColumn("offset", F.coalesce(F.sum("v").over(w), F.lit(0)))
     assert got.select("key", "offset").exceptAll(ref.select("key", "offset")).count() == 0
-    got2 = running_sum(df, ["g"], ["key"], "v", "cum", inclusive=True, num_partitions=7)
+    got2 = running_sum(df, ["g"], ["key"], "v", "cum", inclusive=True, n_buckets=7)
     w2 = Window.partitionBy("g").orderBy("key")
     ref2 = df.withColumn("cum", F.sum("v").over(w2))
     assert got2.select("g", "key", "cum").exceptAll(ref2.select("g", "key", "cum")).count() == 0
@@ -67,3 +67,18 @@ def test_one_rating_user_has_no_sample_and_text_stats(spark):
     assert row.userRatingCount == 2 and row.userRatedMovie1 == 10 and row.userRatedMovie2 is None
     assert row.userAvgRating == "3.50" and row.userGenre1 == "Drama" and row.userGenre2 == "War"
     assert row.releaseYear == 2001 and row.movieRatingStddev == "0.00"
+
+
+def test_positions_split_crowded_buckets_and_keep_null_keys(spark):
+    # one key has most rows at one time: the bucket is split by the next column
+    df = spark.range(0, 3000).select(F.when(F.col("id") % 10 > 0, F.lit(1)).when(F.col("id") % 20 == 0, F.lit(2)).alias("k"),
+                                     F.when(F.col("id") % 7 > 0, F.lit(5)).otherwise(F.col("id")).alias("t"),
+                                     F.col("id") % 3, F.col("id"))
+    df = df.toDF("k", "t", "u", "id")
+    got = positions(df, ["k"], ["t", "u", "id"], n_buckets=8, max_bucket_rows=50)
+    w = Window.partitionBy("k").orderBy("t", "u", "id")
+    ref = df.withColumn("pos", (F.row_number().over(w) - 1).cast("long"))
+    cols = ["k", "t", "u", "id", "pos"]
+    assert got.select(cols).exceptAll(ref.select(cols)).count() == 0 and got.count() == 3000
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Scan ExistingRDD" not in plan  # nothing is checkpointed
