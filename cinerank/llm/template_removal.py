@@ -31,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinerank.llm.common import add_columns
+from cinerank.llm.common import add_columns, materialise
 from cinerank.llm.host_reputation import url_host
 
-MIN_PAGES, MIN_SHARE = 5, 0.2
+MIN_PAGES, MIN_SHARE, SALTS = 5, 0.2, 64
 
 # Fixed values of the markup language.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -257,16 +257,21 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     seen = pages.select("host", "html").mapInArrow(_subtrees, "host string, page long, hash long")
     # two steps, so that a host with very many pages is pre-aggregated by subtree
     counts = seen.distinct().groupBy("host", "hash").agg(F.count("*").alias("n"))
+    counts = materialise(counts.where((F.col("hash") == 0) | (F.col("n") >= min_pages)), "subtrees")
     total = counts.where("hash = 0").select("host", F.col("n").alias("pages"))
-    return (counts.where(F.col("hash") != 0).where(F.col("n") >= min_pages).join(total, "host")
+    return (counts.where("hash <> 0").join(total, "host")
             .where(F.col("n") >= min_share * F.col("pages")).select("host", "hash"))
 
 
 def main_text(pages: DataFrame, html: str = "html", url: str = "url", **options) -> DataFrame:
-    """All rows and columns but the html, plus text and n_chars."""
+    """All rows and columns but the html, plus text and n_chars. A host has at
+    most 1 / min_share times as many templates as its pages have subtrees on
+    average, so its list is short; it is copied to SALTS places, over which the
+    pages of the host are spread."""
     src = pages.withColumn("_host", url_host(F.col(f"`{url}`")))
     found = templates(src.select(F.col("_host").alias("host"), F.col(f"`{html}`").alias("html")), **options)
-    per_host = found.groupBy(F.col("host").alias("_host")).agg(F.collect_set("hash").alias("_templates"))
+    per_host = found.groupBy(F.col("host").alias("_host")).agg(F.collect_set("hash").alias("_templates")).withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
     def make():
         def run(sources):
@@ -276,6 +281,7 @@ def main_text(pages: DataFrame, html: str = "html", url: str = "url", **options)
 
     cut = add_columns(src, make, [html], {"_blocks": "array<struct<t:string,path:array<long>>>"}, drop=(html,))
     kept = F.filter("_blocks", lambda b: ~F.arrays_overlap(b["path"], F.coalesce("_templates", F.array().cast("array<long>"))))
-    out = cut.join(per_host, "_host", "left").withColumn(
+    spread = cut.withColumn("_salt", F.pmod(F.xxhash64("_blocks"), F.lit(SALTS)).cast("int"))
+    out = spread.join(per_host, ["_host", "_salt"], "left").withColumn(
         "text", F.array_join(F.transform(kept, lambda b: b["t"]), " "))
-    return out.withColumn("n_chars", F.length("text").cast("long")).drop("_blocks", "_templates", "_host")
+    return out.withColumn("n_chars", F.length("text").cast("long")).drop("_blocks", "_templates", "_host", "_salt")
