@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cinerank.llm.common import materialise
+
 WORST, Z = 0.35, 1.645
 FIRST_RATE = 0.1  # the corpus rate's own prior, worth one page
 LEAST_RHO, MOST_RHO = 0.001, 0.5
@@ -84,6 +86,7 @@ def host_posteriors(outcomes: DataFrame) -> DataFrame:
     `outcomes` gets a row, with or without outcomes."""
     hosts = (outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
              .withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", suffix(F.col("host"))))
+    hosts = materialise(hosts, "hosts")  # every level above is summed from this table
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     corpus = suffixes.agg(((F.coalesce(F.sum("k"), F.lit(0)) + FIRST_RATE) / (F.coalesce(F.sum("n"), F.lit(0)) + 1)).alias("r")).scalar()
