@@ -18,13 +18,14 @@ from cinerank.session import shared_path
 
 # One white-space class for every operator that needs it: space, \t \n \v \f \r.
 WHITE = r"[\x20\x09-\x0D]+"
+SLICE = 1024  # rows per call of a batch function
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write `df` once into the shared checkpoint folder and read it back.
 
     Cuts the lineage without losing anything when an executor goes: the table
@@ -33,7 +34,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_path(spark, f"llm-{name}-{uuid.uuid4().hex}")
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     release(spark)
@@ -176,9 +177,11 @@ def add_columns(df: DataFrame, make: Callable[[], Callable], inputs: list[str],
         fn = make()
         types = [to_arrow_type(f.dataType) for f in new.fields]
         for b in batches:
-            out = fn(*[b.column(b.schema.get_field_index(c)).to_pylist() for c in inputs])
-            yield pa.RecordBatch.from_arrays(
-                [b.column(b.schema.get_field_index(c)) for c in keep]
-                + [pa.array(v, t) for v, t in zip(out, types)], names=schema.names)
+            for at in range(0, max(b.num_rows, 1), SLICE):  # bounds the Python objects alive at once
+                part = b.slice(at, SLICE)
+                col = lambda c: part.column(part.schema.get_field_index(c))
+                out = fn(*[col(c).to_pylist() for c in inputs])
+                yield pa.RecordBatch.from_arrays([col(c) for c in keep] + [pa.array(v, t) for v, t in zip(out, types)],
+                                                 names=schema.names)
 
     return src.mapInArrow(run, schema)

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinerank.llm.common import connected_components, key_groups, materialise, release
+from cinerank.llm.common import connected_components, key_groups, least_labels, materialise, release
 
 PASSES, BITS, WINDOW, TILE, SEED = 8, 32, 24, 512, 20240
 
@@ -91,8 +91,8 @@ def _windowed(x: np.ndarray, window: int, least: float) -> tuple[np.ndarray, np.
 
 
 def _pass_links(window: int, least: float):
-    """Verified pairs within a sorted partition (a, b), and its first and last
-    `window` rows marked with the border they stand at."""
+    """Spanning forests (a, b) of the verified pairs within a sorted partition, and
+    its first and last `window` rows marked with the border they stand at."""
     cols = ["a", "b", "border", "side", "seq", "grp", "vec"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,7 +115,9 @@ def _pass_links(window: int, least: float):
                 i, j = _windowed(x, window, least)
                 new = ix[j] >= fresh if len(j) else np.zeros(0, bool)
                 n = both["node"].to_numpy()[ix]
-                yield pd.DataFrame({"a": n[i[new]], "b": n[j[new]], "border": -1, "side": 0, "seq": 0, "grp": "", "vec": b""})[cols]
+                label = least_labels(len(n), i[new], j[new])  # a spanning forest says as much as all pairs
+                child = np.flatnonzero(label != np.arange(len(n)))
+                yield pd.DataFrame({"a": n[child], "b": n[label[child]], "border": -1, "side": 0, "seq": 0, "grp": "", "vec": b""})[cols]
             tail = both.iloc[-window:]
         if tail is not None:
             yield pd.DataFrame({"a": tail["node"], "b": -1, "border": part + 1, "side": 0,
