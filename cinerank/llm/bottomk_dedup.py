@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinerank.llm.common import (Cache, add_columns, connected_components, key_groups, least_labels, materialise,
+from cinerank.llm.common import (add_columns, connected_components, key_groups, least_labels, materialise,
                                  mix64, release)
 
 SHINGLE, K, CELL = 3, 128, 512
@@ -52,8 +52,6 @@ MISS = 1e-8  # chance of sharing no list key at exactly the threshold
 FILTER_BITS = 26  # 8 MB; selective up to some ten million wanted documents
 SURE = 5.0  # standard deviations below the threshold at which the estimate excludes a pair
 
-_WORDS = Cache(xxhash.xxh3_64_intdigest)
-
 
 def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles of `text` (A-Z lower-
@@ -62,7 +60,7 @@ def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
     n = len(words)
     if not n:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, n)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
     size_ = min(size, n)
     acc = mix64(h[:n - size_ + 1] + np.uint64(size_))
     for i in range(1, size_):

@@ -27,10 +27,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinerank.llm.common import Cache, add_columns, mix64
+from cinerank.llm.common import add_columns, mix64
 
 BITS, MAX_ROWS, MAX_FEATURES = 18, 10_000, 25_000_000
-_WORDS = Cache(xxhash.xxh3_64_intdigest)
 
 
 def indicators(text: str | None, bits: int, mark: np.ndarray) -> np.ndarray:
@@ -40,7 +39,7 @@ def indicators(text: str | None, bits: int, mark: np.ndarray) -> np.ndarray:
     words = data.split()
     shift = np.uint64(64 - bits)
     if words:
-        h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
         mark[mix64(h) >> shift] = True
         mark[mix64(mix64(h[:-1]) + h[1:]) >> shift] = True
     if len(data) > 2:
@@ -59,17 +58,15 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int, smooth: float = 1
     for f, y in zip(rows, labels):
         (pos if y else neg)[f] += 1
     ratio = np.log(pos / pos.sum()) - np.log(neg / neg.sum())
-    unit = []
-    for f in rows:
-        v = ratio[f]
-        unit.append(v / max(math.sqrt(float(v @ v)), 1e-12))
+    scale = np.array([1 / max(math.sqrt(float(ratio[f] @ ratio[f])), 1e-12) for f in rows])
     y = np.where(labels, 1.0, -1.0)
     w, bias, alpha = np.zeros(n), 0.0, np.zeros(len(rows))
     rng = np.random.default_rng(seed)
     for _ in range(passes):
         worst = 0.0
         for i in rng.permutation(len(rows)):
-            f, v = rows[i], unit[i]
+            f = rows[i]
+            v = ratio[f] * scale[i]
             q = float(v @ v) + 1.0  # the bias is one more feature of value 1
             g = y[i] * (float(w[f] @ v) + bias) - 1
             new = min(max(alpha[i] - g / q, 0.0), cost)
@@ -87,13 +84,15 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int, smooth: float = 1
 def _fit_partition(bits: int, max_features: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mark, rows, labels, held = np.zeros(1 << bits, bool), [], [], 0
+        store = np.empty(max_features + (1 << bits), np.int32)  # one block, given back whole
         for pdf in batches:
             for text, label in zip(pdf["text"], pdf["label"]):
                 if held < max_features:
-                    f = indicators(text, bits, mark).astype(np.int32)
-                    held += len(f)
-                    rows.append(f)
+                    f = indicators(text, bits, mark)
+                    store[held:held + len(f)] = f
+                    rows.append(store[held:held + len(f)])
                     labels.append(label)
+                    held += len(f)
         y = np.array(labels, bool)
         if not len(y) or y.all() or not y.any():
             flat = np.zeros(1 << bits, np.float32).tobytes()

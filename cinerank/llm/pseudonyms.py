@@ -246,7 +246,7 @@ def pseudonym(kind: str, value: str, key: bytes, inverse: bool = False) -> str |
 
 def replacer(key: bytes) -> Callable[[str | None], tuple[str | None, list[int]]]:
     """text -> (text with pseudonyms, number of values by kind)."""
-    memo = Cache(lambda kv: pseudonym(*kv, key))
+    memo = Cache(lambda kv: pseudonym(*kv, key), 100_000)
 
     def run(text: str | None):
         found = [0] * len(KINDS)

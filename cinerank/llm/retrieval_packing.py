@@ -24,6 +24,7 @@ columns are ignored; an empty table gives no pieces.
 from __future__ import annotations
 
 import base64
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from tokenizers import Tokenizer
 
-from cinerank.llm.common import materialise
+from cinerank.llm.common import SLICE, materialise
 
 WINDOW, SHARD_PARTS, SHARD_TOKENS = 2048, 768, 1 << 19
 K1, B = 1.2, 0.75
@@ -51,10 +52,10 @@ class Vocabulary:
     end_id: int = 1
 
 
-_ENCODERS: dict[Vocabulary, Callable[[str], bytes]] = {}
+_ENCODERS: dict[Vocabulary, Callable[[str], bytes]] = {}  # per worker
 
 
-def encoder(v: Vocabulary) -> Callable[[str], bytes]:
+def encoder(v: Vocabulary, kind: str) -> Callable[[str], bytes]:
     """text -> its ids as little-endian 16-bit numbers (32-bit for vocabularies
     over 65536), without the end id.
 
@@ -64,21 +65,26 @@ def encoder(v: Vocabulary) -> Callable[[str], bytes]:
     other, the split pattern needs no look-ahead, which makes it much faster.
     """
     if v not in _ENCODERS:
-        slow = Tokenizer.from_file(v.json_path)
-        special = [t.content for t in slow.get_added_tokens_decoder().values()]
+        slow: list[Tokenizer] = []  # loaded by the first text that needs it
+        with open(v.json_path, encoding="utf-8") as f:
+            special = [t["content"] for t in json.load(f)["added_tokens"]]
         with open(v.ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         split = lambda name, pattern: tiktoken.Encoding(
             name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         whole, plain = split("whole", v.pattern), split("plain", v.pattern.replace(r"|\s+(?!\S)", ""))
-        kind = id_type(v)
+
+        def library(text: str) -> list[int]:
+            if not slow:
+                slow.append(Tokenizer.from_file(v.json_path))
+            return slow[0].encode(text, add_special_tokens=False).ids
 
         def run(text: str) -> bytes:
             odd = any(s in text for s in special) or any(
                 " " not in text[i:i + _STRETCH] or text[i:i + _STRETCH].isspace()
                 for i in range(0, len(text) - _STRETCH + 1, _STRETCH))
             if odd:
-                ids = slow.encode(text, add_special_tokens=False).ids
+                ids = library(text)
             else:
                 runs = any(p in text for p in _PAIRS) or any(c in text for c in _OTHER)
                 ids = whole(text) if runs else plain(text)
@@ -93,11 +99,7 @@ _OTHER = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in "
 _STRETCH = 1000  # a stretch of twice this length has one of the aligned slices inside
 
 
-def id_type(v: Vocabulary) -> str:
-    return "<u2" if Tokenizer.from_file(v.json_path).get_vocab_size() <= 65536 else "<u4"
-
-
-def _tokenised(v: Vocabulary, size: int, window: int):
+def _tokenised(v: Vocabulary, size: int, kind: str, window: int):
     """Windows and remainders of documents (these with their lexical key), and
     one row of document frequencies per task."""
     names = ["kind", "doc_id", "start", "doc_tokens", "ids", "t1", "t2", "terms", "counts"]
@@ -105,7 +107,7 @@ def _tokenised(v: Vocabulary, size: int, window: int):
              pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, kind = encoder(v), id_type(v)
+        encode = encoder(v, kind)
         wide = np.dtype(kind).itemsize
         end = np.array([v.end_id], kind).tobytes()
         freq, n_docs, n_tokens, id_kind = np.zeros(size, np.int64), 0, 0, pa.int64()
@@ -118,7 +120,8 @@ def _tokenised(v: Vocabulary, size: int, window: int):
         for b in batches:
             id_kind = b.column(0).type
             rows, held = [], 0
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            slices = (b.slice(k, SLICE) for k in range(0, b.num_rows, SLICE))
+            for doc, text in ((d, t) for x in slices for d, t in zip(x.column(0).to_pylist(), x.column(1).to_pylist())):
                 data = encode(text or "") + end
                 ids = np.frombuffer(data, kind)
                 n = len(ids)
@@ -270,11 +273,11 @@ def pack(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text: st
     unsigned 32-bit numbers), sequence_id, offset."""
     spark = df.sparkSession
     size = Tokenizer.from_file(vocabulary.json_path).get_vocab_size()
-    kind = id_type(vocabulary)
+    kind = "<u2" if size <= 65536 else "<u4"
     src = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     id_sql = src.schema["doc_id"].dataType.simpleString()
     made = materialise(src.mapInArrow(
-        _tokenised(vocabulary, size, window),
+        _tokenised(vocabulary, size, kind, window),
         f"kind int, doc_id {id_sql}, start long, doc_tokens long, ids binary, t1 int, t2 int, "
         "terms array<int>, counts array<long>"), "pack-ids", codec="zstd")
 
