@@ -2,7 +2,11 @@
 
 Each pass concatenates the signs of random projections to one code; sorted
 lexicographically by (pass, label, length, code), near vectors come to stand
-near each other. Every vector is compared, in double precision, with the next
+near each other. The more vectors a label has, the more leading signs a pair must
+share to stand within one window, so the number of passes follows from the
+rows of the largest label and the accepted chance of missing a pair at exactly
+the threshold (`passes_for`; it takes signs to be as spread as those of vectors
+without a common direction). Every vector is compared, in double precision, with the next
 `window` vectors of its label in that order; verified pairs of all passes are
 united to components. A dense group is larger than any window, so in the end
 the links of a component are counted whole: its vectors are dealt into tiles
@@ -21,6 +25,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +34,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinerank.llm.common import connected_components, key_groups, least_labels, materialise, release
+from cinerank.llm.common import SLICE, connected_components, key_groups, least_labels, materialise, release
 
-PASSES, BITS, WINDOW, TILE, SEED = 8, 32, 24, 512, 20240
+BITS, WINDOW, TILE, SEED = 32, 24, 512, 20240
+LEAST_PASSES = 8
+MISS = 1e-4  # chance that no pass brings two vectors at exactly the threshold together
+
+
+def passes_for(rows: int, least: float, window: int = WINDOW, miss: float = MISS) -> int:
+    """Number of passes after which a pair at cosine `least`, in a label of `rows`
+    vectors, has stood within `window` places of each other but for the chance
+    `miss`: a sign agrees with chance 1 - angle / pi, and a pass needs about
+    log2(rows / window) leading signs to agree."""
+    agree = 1 - math.acos(max(-1.0, min(1.0, least))) / math.pi
+    once = agree ** math.log2(max(rows / window, 1.0))
+    if once >= 1:
+        return LEAST_PASSES
+    return max(LEAST_PASSES, math.ceil(math.log(miss) / math.log1p(-once)))
 
 
 def projections(dim: int, passes: int, bits: int, seed: int) -> np.ndarray:
@@ -70,10 +89,11 @@ def _valid(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _coded(passes: int, bits: int, seed: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for _, g in pdf.groupby("dim"):
-                c = codes(_stack(g["vec"]), passes, bits, seed)
-                yield pd.concat([g.assign(step=p, code=c[:, p]) for p in range(passes)])[
-                    ["step", "label", "dim", "code", "node", "vec"]]
+            for _, rows in pdf.groupby("dim"):
+                for g in (rows.iloc[k:k + SLICE] for k in range(0, len(rows), SLICE)):
+                    c = codes(_stack(g["vec"]), passes, bits, seed)
+                    for p in range(passes):
+                        yield g.assign(step=p, code=c[:, p])[["step", "label", "dim", "code", "node", "vec"]]
     return run
 
 
@@ -160,15 +180,19 @@ def _tile_counts(least: float):
 
 
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", label: str = "label",
-                 least: float = 0.93, passes: int = PASSES, bits: int = BITS, window: int = WINDOW,
-                 tile: int = TILE, seed: int = SEED) -> DataFrame:
-    """One row per input row: id, n_links, component_id, kept."""
+                 least: float = 0.93, passes: int | None = None, bits: int = BITS, window: int = WINDOW,
+                 tile: int = TILE, seed: int = SEED, miss: float = MISS) -> DataFrame:
+    """One row per input row: id, n_links, component_id, kept. `passes`, if not
+    given, are those that `passes_for` asks for the largest label."""
     spark = df.sparkSession
     rows = materialise(df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label}`").cast("string").alias("label"),
                                  F.col(f"`{vector}`").alias("vec"))
                        .withColumn("node", F.monotonically_increasing_id()), "proj-rows")
     good = materialise(rows.where("label is not null and vec is not null").select("node", "label", "vec")
                        .mapInPandas(_valid, "node long, label string, dim long, vec binary"), "proj-good")
+    if passes is None:
+        largest = good.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
+        passes = passes_for(largest, least, window, miss)
     coded = good.mapInPandas(_coded(passes, bits, seed),
                              "step int, label string, dim long, code long, node long, vec binary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -169,6 +169,33 @@ def test_near_vectors(spark):
     assert projection_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def _isolated_pairs(seed, n, pairs, dim=64, at=0.93):
+    """n unit vectors in one label; rows 2i and 2i + 1, i < pairs, at cosine `at`."""
+    r = np.random.default_rng(seed)
+    x = r.standard_normal((n, dim))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    a, b = x[0:2 * pairs:2], x[1:2 * pairs:2]
+    b -= (a * b).sum(1)[:, None] * a
+    b /= np.sqrt((b * b).sum(1))[:, None]
+    x[1:2 * pairs:2] = (at + 1e-9) * a + np.sqrt(1 - (at + 1e-9) ** 2) * b
+    return x
+
+
+def test_passes_follow_the_rows_of_a_label():
+    assert projection_dedup.passes_for(0, 0.93) == projection_dedup.passes_for(24, 0.93) == projection_dedup.LEAST_PASSES
+    got = [projection_dedup.passes_for(n, 0.93) for n in (1_000, 20_000, 200_000, 600_000)]
+    assert got == sorted(set(got)) and got[0] > 8
+    assert projection_dedup.passes_for(20_000, 0.93, miss=1e-6) > got[1] > projection_dedup.passes_for(20_000, 0.97)
+    assert projection_dedup.passes_for(20_000, 0.93, window=100) < got[1]
+
+
+def test_isolated_pairs_at_the_threshold_are_found(spark):
+    x = _isolated_pairs(11, 12_000, 300)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.component_id for r in projection_dedup.near_vectors(df).where("n_links > 0").collect()}
+    assert {i: got.get(2 * i + 1) for i in range(300)} == {i: 2 * i for i in range(300)}  # eight passes miss some
+
+
 # --- host reputation --------------------------------------------------------------
 
 @pytest.mark.parametrize("url, host, path, rule", [
