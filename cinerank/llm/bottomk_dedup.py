@@ -300,12 +300,17 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, size: int, bits: int) -> Data
     return full.where("sid is not null").join(wanted.select("sid", "node").hint("merge"), "sid").groupBy("node").agg(F.min("full").alias("full"))
 
 
-def near_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 85,
-                size: int = SHINGLE, k: int = K, cell: int = CELL, carry: tuple[str, ...] = (),
-                filter_bits: int = FILTER_BITS) -> DataFrame:
+def near_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (least id reachable
     over links of 100 * intersection >= percent * union), kept, and the (small)
     columns named in `carry`. percent is at least 80, k at least lead_for(percent)."""
+    return _grouped(df, id_col, text, **options).drop("_comp")
+
+
+def _grouped(df: DataFrame, id_col: str, text: str, percent: int = 85, size: int = SHINGLE, k: int = K, cell: int = CELL,
+             carry: tuple[str, ...] = (), filter_bits: int = FILTER_BITS) -> DataFrame:
+    """near_groups plus _comp, which is the same in the rows of one component and
+    in no others, whatever their ids; null where the text has no shingles."""
     if percent < 80 or k < lead_for(percent):
         raise ValueError("the list keys are complete from 80 percent on, and need a longer sketch below")
     spark = df.sparkSession
@@ -326,18 +331,23 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", perce
 
     label = reps.select("node", "sid", "rep").join(comp.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = label.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    of_set = label.join(least, "comp").select("sid", "component_id")
+    of_set = label.join(least, "comp").select("sid", "component_id", F.col("comp").alias("_comp"))
     return (signed.select("_id", "n", *carry, F.when(F.col("n") > 0, F.col("sid")).alias("sid")).join(of_set.hint("merge"), "sid", "left")
-            .select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), *carry,
+            .select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), *carry, "_comp",
                     F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"))
             .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id"))))
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of `df`, whole, that stay: one per component, that of the least
-    id (of different rows with this id, the one with the least text hash)."""
+    id (rows without id come last; of different rows with this id, the one with
+    the least text hash). Rows that only share an id, or have none, are not linked
+    by that; a text without shingles stays, once per id and text."""
     hashed = df.withColumn("_h", F.xxhash64(F.col(f"`{text}`")))
-    stay = (near_groups(hashed, id_col, text, carry=("_h",), **options).where("kept")
-            .groupBy("component_id").agg(F.min("_h").alias("_stay_h")))
-    rows = hashed.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col("component_id")) & (F.col("_h") == F.col("_stay_h")), "left_semi")
-    return rows.dropDuplicates([id_col, "_h"]).drop("_h")
+    rows = _grouped(hashed, id_col, text, carry=("_h",), **options)
+    first = F.min(F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.col("_h").alias("h")))
+    stay = (rows.where("_comp is not null").groupBy("_comp").agg(first.alias("s")).select("s.id", "s.h")
+            .union(rows.where("_comp is null").select(id_col, "_h")))
+    stay = stay.toDF("_stay_id", "_stay_h")
+    kept = hashed.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col("_stay_id")) & (F.col("_h") == F.col("_stay_h")), "left_semi")
+    return kept.dropDuplicates([id_col, "_h"]).drop("_h")

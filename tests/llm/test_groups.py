@@ -137,6 +137,15 @@ def test_near_rows_that_stay(spark):
     assert bottomk_dedup.near_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_near_rows_that_stay_are_told_apart_by_links_not_ids(spark):
+    t = "one two three four five six seven eight nine ten"
+    rows = [(1, "a b"), (1, "c"), (1, "c"), (None, "d e f"), (None, "unlike words"), (None, None), (5, ""), (5, " "),
+            (None, t), (3, t), (None, "seven of " + t), (8, "seven of " + t)]
+    kept = bottomk_dedup.keep_first(spark.createDataFrame(rows, "doc_id long, text string"), percent=80).collect()
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept))) == sorted(map(str, [
+        (1, "a b"), (1, "c"), (None, "d e f"), (None, "unlike words"), (None, None), (5, ""), (5, " "), (3, t)]))
+
+
 # --- near groups of vectors -----------------------------------------------------------
 
 def test_near_vectors(spark):

@@ -101,6 +101,14 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
             [("1", 1), ("2", 2), ("None", 3)] if data else []), got
 
 
+def test_near_stage_keeps_unlinked_rows_that_share_an_id_or_have_none(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, "a b", "en", "s", 3), (1, "c", "en", "s", 1), (None, "y z", "en", "s", 3), (None, "other", "en", "s", 5)]
+    df = spark.createDataFrame(rows, schema)
+    got = P.near(spark, P.exact(spark, df, SF), SF).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, rows))
+
+
 def test_every_operator_is_registered():
     names = E.queries()
     assert [sum(k.startswith(f"op{n}_") for k in names) for n in range(1, 11)] == [1] * 10
