@@ -1,16 +1,18 @@
 """Format-preserving pseudonyms for personal data by keyed Feistel networks.
 
-Values are found by pattern and validated (Luhn digit, calendar, octets, number
-plan), turned into a number of their format's domain, permuted there by a keyed
+Values are found by pattern and validated (Luhn digit, calendar, octets), turned into a number of their format's domain, permuted there by a keyed
 Feistel network with cycle walking, and written back in the same format: a card
 number stays a valid card number with its separators, a date a valid date in
 its field order, an address an address. Each permutation is a bijection, so
 equal values stay linked across all documents and different ones stay apart;
 whoever has the key can undo it.
 
-Kinds: email, card (13-19 digits, Luhn), phone (North American plan), ssn,
-ipv4, date (1900-2099; Y-M-D, M/D/Y or D/M/Y, D.M.Y), access key (AKIA...),
-secret (the value assigned to a password, token or key name).
+Kinds: email, card (13-19 digits, Luhn), phone (ten separated digits, with or
+without 1; numbers of the North American plan stay in it, those with an area code
+or exchange on 0 or 1 stay such), ssn, ipv4, date (1900-2099; Y-M-D, M/D/Y or
+D/M/Y, D.M.Y; a time may follow), access key (AKIA...), secret (the value of any
+length assigned to a password, token or key name, up to white space, a quote, a
+bracket or one of , ; : & = | or a character that is not ASCII).
 
 Cases: null text stays null; text without such values is returned unchanged,
 character by character; a number that does not validate is left alone; a value
@@ -93,10 +95,17 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+_FIFTH = re.compile(r"(\d{4}([ -])\d{4}\2\d{4}\2\d{4})(\2\d{1,3})\Z", re.A)
+
+
 def _card(s: str, key: bytes, inv: bool) -> str | None:
     d = _only(s)
     if not 13 <= len(d) <= 19 or not luhn(d) or len(set(d)) == 1:
-        return None
+        four = _FIFTH.match(s)  # a number may follow a card in four groups
+        out = _card(four[1], key, inv) if four else None
+        while out and luhn(_only(out + four[3])):
+            out = _card(out, key, inv)
+        return out and out + four[3]
     n = len(d) - 1
     lead = d[0]  # the first digit says what kind of card it is
     body = walk(int(d[1:-1]), 10 ** (n - 1), key, f"card{lead}{n}", inverse=inv)
@@ -104,13 +113,19 @@ def _card(s: str, key: bytes, inv: bool) -> str | None:
     return _spread(head + next(c for c in _D if luhn(head + c)), s)
 
 
+def _in_plan(v: int) -> bool:
+    """Whether neither area code nor exchange starts with 0 or 1."""
+    return v >= 2 * 10**9 and v // 10**6 % 10 >= 2
+
+
 def _phone(s: str, key: bytes, inv: bool) -> str | None:
     d = _only(s)
     lead, d = d[:-10], d[-10:]
-    if len(d) < 10 or lead not in ("", "1") or d[0] < "2" or d[3] < "2":
+    if len(d) < 10 or lead not in ("", "1"):
         return None
-    out = walk(int(d), 10**10, key, "phone", lambda v: v >= 2 * 10**9 and v // 10**6 % 10 >= 2, inv)
-    return _spread(lead + str(out), s)
+    kind = _in_plan(int(d))  # numbers of the plan stay in it, others stay what they are
+    out = walk(int(d), 10**10, key, "phone", lambda v: _in_plan(v) == kind, inv)
+    return _spread(lead + str(out).zfill(10), s)
 
 
 def _ssn_ok(v: int) -> bool:
@@ -204,34 +219,44 @@ def _access_key(s: str, key: bytes, inv: bool) -> str | None:
     return s[:4] + _string(s[4:].lower(), key, inv, "access", (_A + _D,)).upper()
 
 
-_VALUE = re.compile(r"[A-Za-z0-9+/_-]+\Z")
+_NAME = r"""(?:(?i:password|passwd|pwd|secret|token|api[_-]?key)["']?[ ]{0,2}[=:][ ]{0,2}["']?)"""
+_NAMED = re.compile(_NAME)
+_BLOCK = 256  # letters and digits permuted as one number
 
 
 def _secret(s: str, key: bytes, inv: bool) -> str | None:
     """The value assigned to a password, token or key name: hexadecimal digits
-    stay hexadecimal, other letters and digits stay letters and digits."""
-    at = _VALUE.search(s).start()
+    stay hexadecimal, other letters and digits stay letters and digits. A long
+    value goes block by block, each under a key that depends on those before."""
+    at = _NAMED.match(s).end()
     name, value = s[:at], s[at:]
     if not any(c in _D for c in value):
         return None  # a word, as in "password: required"
-    if set(value) <= set(_D + "abcdef"):
-        return name + _string(value, key, inv, "hex", (_D + "abcdef",))
-    return name + _string(value, key, inv, "secret")
-
-
-_FIND = re.compile(r"""
+    how = ("hex", (_D + "abcdef",)) if set(value) <= set(_D + "abcdef") else ("secret",)
+    out, chain = [], key
+    for lo in range(0, len(value), _BLOCK):
+        part = value[lo:lo + _BLOCK]
+        out.append(_string(part, chain, inv, *how))
+        chain = hashlib.blake2b((out[-1] if inv else part).encode(), key=chain, digest_size=32).digest()
+    return name + "".join(out)
+
+
+# in the value of a secret; it ends on another one, or on . ! ? at the end of a sentence
+_CHAR = r"[A-Za-z0-9+/_.~!@\#$%^*?-]"
+_FIND = re.compile(rf"""
     (?P<email>[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?
-        @(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,})
-  | (?P<access_key>(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9]))
-  | (?P<secret>(?<![A-Za-z])(?:(?i:password|passwd|pwd|secret|token|api[_-]?key)["']?[ ]{0,2}[=:][ ]{0,2}["']?)
-        [A-Za-z0-9+/_-]{8,256})
-  | (?P<ipv4>(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d))
-  | (?P<date>(?<![\w./-])(?:\d{4}(?P<s1>[-/.])\d{1,2}(?P=s1)\d{1,2}
-        |\d{1,2}(?P<s2>[-/.])\d{1,2}(?P=s2)\d{4})(?!\w|[./-]\d))
-  | (?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?!\w|-\d))
-  | (?P<phone>(?<![\w+])(?:\+?1[ .-]?)?(?:\(\d{3}\)[ ]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w|-\d))
-  | (?P<card>(?<![\w-])(?<!\d\.)(?:\d{13,19}|\d{4}(?P<s3>[ -])\d{4}(?P=s3)\d{4}(?P=s3)\d{1,7}
-        |\d{4}(?P<s4>[ -])\d{6}(?P=s4)\d{5})(?!\w|[.-]\d))
+        @(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{{2,}})
+  | (?P<access_key>(?<![A-Za-z0-9])AKIA[A-Z0-9]{{16}}(?![A-Za-z0-9]))
+  | (?P<secret>(?<![A-Za-z]){_NAME}
+        (?![A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]|\d{{1,3}}(?:\.\d{{1,3}}){{3}}(?![\w.]))(?={_CHAR}*\d)
+        {_CHAR}{{8,}}(?<![.!?]))
+  | (?P<ipv4>(?<![\w.])\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}(?!\w|\.\d))
+  | (?P<date>(?<![\w./-])(?:\d{{4}}(?P<s1>[-/.])\d{{1,2}}(?P=s1)\d{{1,2}}
+        |\d{{1,2}}(?P<s2>[-/.])\d{{1,2}}(?P=s2)\d{{4}})(?!(?![Tt]\d\d)\w|[./-]\d))
+  | (?P<ssn>(?<![\w-])\d{{3}}-\d{{2}}-\d{{4}}(?!\w|-\d))
+  | (?P<phone>(?<![\w+])(?:\+?1[ .-]?)?(?:\(\d{{3}}\)[ ]?|\d{{3}}[ .-])\d{{3}}[ .-]\d{{4}}(?!\w|-\d))
+  | (?P<card>(?<![\w-])(?<!\d\.)(?:\d{{13,19}}|\d{{4}}(?P<s3>[ -])\d{{4}}(?P=s3)\d{{4}}(?P=s3)(?:\d{{4}}(?P=s3)\d{{1,3}}|\d{{1,7}})
+        |\d{{4}}(?P<s4>[ -])\d{{6}}(?P=s4)\d{{5}})(?!\w|[.-]\d))
 """, re.X | re.A)
 _MAYBE = re.compile(r"[0-9@]|AKIA")
 _MAKE = {"email": _email, "card": _card, "phone": _phone, "ssn": _ssn, "ipv4": _ipv4, "date": _date,

@@ -213,6 +213,33 @@ def test_pseudonyms_keep_the_format_and_can_be_undone(kind, value):
         assert pseudonyms.luhn(re.sub(r"\D", "", new))
 
 
+@pytest.mark.parametrize("kind, value", [
+    ("phone", "+1 (017) 555-7713"), ("phone", "+1 (132) 555-1352"), ("phone", "502-055-3200"), ("phone", "017 555 7713"),
+    ("card", "4111-1111-1111-1111-110"), ("card", "4111 1111 1111 1111 123"),
+    ("secret", "token: eyJhbGciOi1.eyJzdWIiOiI5.sig-x_9zz"), ("secret", "password=" + "aB3x-9" * 100), ("secret", "secret=" + "0f9e" * 2000)])
+def test_whole_values_are_replaced(kind, value):
+    new = pseudonyms.pseudonym(kind, value, KEY)
+    assert pseudonyms._FIND.fullmatch(value).lastgroup == pseudonyms._FIND.fullmatch(new).lastgroup == kind
+    assert new != value and pseudonyms._MAKE[kind](new, KEY, True) == value
+    if kind == "phone":  # numbers outside the plan stay outside
+        assert not pseudonyms._in_plan(int(re.sub(r"\D", "", new)[-10:])) and len(new) == len(value)
+    if kind == "secret":  # no tail is left
+        assert all(new[k:k + 12] != value[k:k + 12] for k in range(9, len(value) - 12))
+
+
+def test_phones_outside_the_plan_are_permuted_one_to_one():
+    new = [pseudonyms.pseudonym("phone", f"+1 (0{i:02d}) 555-{i:04d}", KEY) for i in range(100)]
+    assert len(set(new)) == 100
+
+
+def test_values_next_to_other_text():
+    one = pseudonyms.replacer(KEY)
+    text, found = one("2021-03-04T10:00:00Z 2021-03-04x 4111 1111 1111 1111 123 apples, password=aB3-xyz99q. token: john.smith85@example.com")
+    assert [found[pseudonyms.KINDS.index(k)] for k in ("date", "card", "secret", "email")] == [1, 1, 1, 1] and sum(found) == 4
+    assert re.fullmatch(r"\d{4}-\d\d-\d\dT10:00:00Z 2021-03-04x \d{4} \d{4} \d{4} \d{4} 123 apples, password=\w{3}-\w{6}\. token: \S+@\w+\.com", text)
+    assert not text.startswith("2021-03-04") and "4111 1111" not in text
+
+
 def test_equal_values_stay_linked_and_clean_text_stays(spark):
     texts = ["mail kee.85@mail6.example.com, again kee.85@mail6.example.com.", "other: kee.85@mail6.example.com 4111111111111111",
              "4111-1111-1111-1111 and 4111111111111112 (not valid) 1.2.3 v1.2.3.4.5 2024-13-40 999.1.1.1", None, "", "clean — text\n "]
