@@ -62,7 +62,8 @@ _SURE = re.compile(rf"(?:^|\s){_WORDS}(?:[_-](?:{_WORDS}|{_PLAIN}))*(?=$|\s)")
 _PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "article", "main", "body", "html"}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)"
                     r"((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+# one attribute: its name, then its whole value
+_ATTR = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?")
 _SPACE = re.compile(r"\s+")
 
 
@@ -74,14 +75,18 @@ class Node:
         self.name, self.role, self.hidden = "", "", False
         self.size, self.holds, self.title = 0, False, tag == "h1"
         if attrs:
+            seen = set()
             for k, a, b, c in _ATTR.findall(attrs):
                 k, v = k.lower(), (a or b or c).lower()
+                if k in seen:  # the first one of a name counts
+                    continue
+                seen.add(k)
                 if k == "role":
                     self.role = v
                 elif k in ("class", "id"):
                     self.name += f" {v}"
-                else:
-                    self.hidden |= k == "hidden" or v == "true"
+                elif k == "hidden" or (k == "aria-hidden" and v == "true"):
+                    self.hidden = True
 
 
 def parse(source: str) -> Node:

@@ -166,6 +166,20 @@ def test_main_text_of_one_page(source, text):
     assert " ".join(t for t, _ in template_removal.blocks(source)) == text
 
 
+@pytest.mark.parametrize("attrs", ['style="overflow:hidden"', 'title="hidden gems"', 'href="/hidden-lake"', "title='a hidden b'", 'data-id="menu"',
+                                   'href="?id=related"', 'data-hidden="true"', 'data-role="navigation"', 'data-class=footer',
+                                   'title="x" data-x = "id=menu hidden"', 'aria-hidden="false"'])
+def test_attribute_values_and_longer_names_are_not_believed(attrs):
+    for source in (f"<body><div {attrs}><article><p>Story.</p></article></div>", f"<article><div {attrs}>Story.</div></article>"):
+        assert [t for t, _ in template_removal.blocks(source)] == ["Story."]
+
+
+@pytest.mark.parametrize("attrs", ["hidden", 'HIDDEN=""', "title='x' hidden", 'aria-hidden="true"', "aria-hidden=true", 'id="menu"', "class = 'menu'",
+                                   "role=navigation", 'title="a=b"id=menu'])
+def test_attributes_that_name_boilerplate(attrs):
+    assert [t for t, _ in template_removal.blocks(f"<article><div {attrs}>Gone.</div>Story.</article>")] == ["Story."]
+
+
 def test_templates_recurring_on_a_host_are_deleted(spark):
     def page(host, i, extra=""):
         return (i, f"http://{host}/{i}", f"<body><div><span>Buy our book</span>{extra}</div><div><p>Own words {i}.</p></div></body>")
