@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinerank.llm import (block_naming, bottomk_dedup, host_reputation, nbsvm, piece_lattice, projection_dedup, pseudonyms,
-                          retrieval_packing, template_removal, token_count)
+                          retrieval_packing, source_mix, template_removal, token_count)
 from cinerank.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +152,28 @@ def op10_bottomk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register(op10_bottomk_dedup, "op10_bottomk_dedup")
+
+
+def op12_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.taken_words(*source_mix.mix(documents(spark, sf_dir)))
+
+
+register(op12_source_schedule, "op12_source_schedule", r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+                  ('0x' || substr(md5(concat_ws('|', 'mix', coalesce(doc_id::VARCHAR, ''), coalesce(text, ''))), 1, 15))::BIGINT AS key
+           FROM documents),
+g AS (SELECT source, sum(size)::BIGINT AS words FROM d GROUP BY source),
+w AS (SELECT source, words, ([5, 2, 1])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM g),
+-- by words per weight: if the earlier ones are at their limit, the others share the rest
+f AS (SELECT *, (150 * (SELECT sum(words) FROM g)::BIGINT - 200 * coalesce(sum(words) OVER before, 0)::BIGINT)::DOUBLE
+                / (100 * sum(weight) OVER rest) AS share
+      FROM w WINDOW before AS (ORDER BY words / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+                    rest AS (ORDER BY words / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+l AS (SELECT max(share) AS share FROM f),  -- the share grows up to the right number of them, then falls
+t AS (SELECT source, words, CASE WHEN 2 * words < weight * l.share THEN (2 * words)::DOUBLE ELSE weight * l.share END AS target FROM w, l),
+s AS (SELECT *, CASE WHEN words > 0 THEN floor(target)::BIGINT // words ELSE 0 END AS passes,
+             CASE WHEN words > 0 THEN floor(target)::BIGINT % words ELSE 0 END AS rest FROM t),
+p AS (SELECT *, (sum(size) OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS pos FROM d)
+SELECT doc_id, size::BIGINT AS size, words AS source_size, target,
+       (passes * size + greatest(0, least(pos + size, rest) - pos))::BIGINT AS taken
+FROM p JOIN s ON p.source IS NOT DISTINCT FROM s.source""")
