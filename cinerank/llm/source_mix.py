@@ -43,7 +43,7 @@ WEIGHTS = (5, 2, 1)
 PERCENT = 150  # words of the mix, of all words
 REPEATS = 2  # a target is at most so many times its source
 BLOCK = 1024  # words of a block
-ROWS_PER_RANGE = 65536  # documents whose positions one sorted group counts
+ROWS_PER_RANGE = 8192  # documents whose positions one sorted group counts
 CHUNK = 4096  # slots made from one row
 
 
@@ -161,7 +161,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str =
         F.explode(F.sequence(F.floor(F.col("pos") / block), F.floor((end - 1) / block))).alias("block"))
     begin = F.greatest(F.col("pos"), F.col("block") * block)
     length = F.least(F.col("end"), (F.col("block") + 1) * block, F.col("upto")) - begin
-    mixed = (pieces.join(schedule(sources, bits), ["no", "block"]).where(length > 0)
+    # merge: the planner takes the slots for as small as the sources they are made from
+    mixed = (pieces.join(schedule(sources, bits).hint("merge"), ["no", "block"]).where(length > 0)
              .select("slot", begin.alias("at"), "pass", "no", "range", "nth", "doc", "source",
                      (begin - F.col("pos")).alias("begin"), length.alias("length")))
     return docs, mixed
