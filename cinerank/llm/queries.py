@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinerank.llm import (block_naming, bottomk_dedup, host_reputation, nbsvm, piece_lattice, projection_dedup, pseudonyms,
-                          retrieval_packing, source_mix, template_removal, token_count)
+                          retrieval_packing, source_divergence, source_mix, template_removal, token_count)
 from cinerank.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,3 +177,33 @@ p AS (SELECT *, (sum(size) OVER (PARTITION BY source ORDER BY key, doc_id NULLS
 SELECT doc_id, size::BIGINT AS size, words AS source_size, target,
        (passes * size + greatest(0, least(pos + size, rest) - pos))::BIGINT AS taken
 FROM p JOIN s ON p.source IS NOT DISTINCT FROM s.source""")
+
+
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(documents(spark, sf_dir).select("text", "lang", "source"))
+
+
+register(op11_source_divergence, "op11_source_divergence", r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+o AS (SELECT id, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM o GROUP BY lang, term HAVING count(DISTINCT id) >= 10),
+c AS (SELECT lang, source, term, count(*) AS n FROM o SEMI JOIN k USING (lang, term) GROUP BY ALL),
+l AS (SELECT lang, count(*) AS v, sum(n)::BIGINT AS total FROM k GROUP BY lang),
+g AS (SELECT d.lang, d.source, coalesce(any_value(l.v), 0) AS v,
+             coalesce((SELECT sum(n) FROM c WHERE c.lang = d.lang AND c.source = d.source), 0)::BIGINT AS total
+      FROM (SELECT DISTINCT lang, source FROM d) d LEFT JOIN l USING (lang) GROUP BY d.lang, d.source),
+m AS (SELECT g.lang, g.source, k.term, k.n AS lang_n, coalesce(c.n, 0) AS n,
+             1 + 1000000000 * (coalesce(c.n, 0) + 2) // (g.total + 2 * g.v) AS p
+      FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+pair AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::BIGINT AS value
+         FROM m a JOIN m b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pair.value, 0) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source),
+q AS (SELECT m.*, 1 + 1000000000 * (lang_n + 2) // (l.total + 2 * l.v) AS q FROM m JOIN l USING (lang) WHERE n > 0),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM q WHERE p > q)
+SELECT lang, source, part, item, value, rank FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+WHERE part = 'pair' OR rank <= 10""")
