@@ -72,11 +72,10 @@ def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i in range(b.num_rows):
             n, docs = total.setdefault((b.column(0)[i].as_py(), b.column(1)[i].as_py()), [Counter(), Counter()])
-            text = b.column(2)[i].as_buffer()
-            words = Counter(find(text.to_pybytes().lower())) if text is not None else {}
+            words = find(b.column(2)[i].as_buffer().to_pybytes().lower())
             held -= len(n)
             n.update(words)
-            docs.update(words.keys())
+            docs.update(set(words))
             held += len(n)
             if held > FLUSH:
                 yield from flush()
@@ -136,7 +135,8 @@ def traverse(tree: Quadtree, first: np.ndarray, second: np.ndarray) -> tuple[np.
         found = np.zeros((tree.bits[level].shape[0],) * 2, np.int64)
         np.add.at(found, (a[~some], b[~some]), tree.width(level, c[~some]))
         step = K ** level
-        empty += np.repeat(np.repeat(found, step, 0), step, 1)[:rows, :rows]
+        at = np.arange(rows) // step
+        empty += found[at[:, None], at]
         a, b, c = a[some], b[some], c[some]
         if level == 1:
             return empty, (a, b, c)
