@@ -180,7 +180,7 @@ FROM p JOIN s ON p.source IS NOT DISTINCT FROM s.source""")
 
 
 def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_divergence.audit(documents(spark, sf_dir).select("text", "lang", "source"))
+    return source_divergence.audit(documents(spark, sf_dir))
 
 
 register(op11_source_divergence, "op11_source_divergence", r"""

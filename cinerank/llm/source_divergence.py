@@ -22,7 +22,8 @@ quadrants are large. All arithmetic is in integers.
 Cases: null text, lang or source count as ''; documents without terms make their
 group occur; a lang without kept terms prices every pair 0; a lang with one source
 has no pairs; equal rows each count; an empty table gives an empty result; a very
-long text is counted whole; columns are read by name, others are ignored; ties rank
+long text is counted whole; columns are read by name, others are ignored; ids only
+spread the rows; ties rank
 by the item's UTF-8 bytes. Rates are exact up to totals of 9 * 10**15 words a group.
 """
 
@@ -233,10 +234,15 @@ def price_square(square: pa.Table, top: int) -> pa.Table:
     return pa.Table.from_pydict(out, schema=PRICED)
 
 
-def kept_cells(df: DataFrame, least_docs: int, text: str, lang: str, source: str) -> tuple[DataFrame, DataFrame]:
-    """(cells, groups): (lang, source, term, n, lang_n) of kept terms, and all (lang, source)."""
+def kept_cells(df: DataFrame, least_docs: int, id_col: str, text: str, lang: str, source: str) -> tuple[DataFrame, DataFrame]:
+    """(cells, groups): (lang, source, term, n, lang_n) of kept terms, and all (lang, source).
+
+    Texts are first dealt by ranges of (lang, source, id hash): a task then counts
+    the terms of few groups and adds up what would else be partial counts of every
+    group in every task; a hot group takes several ranges."""
     read = df.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(a)
-                       for c, a in ((lang, "lang"), (source, "source"), (text, "text"))])
+                       for c, a in ((lang, "lang"), (source, "source"), (text, "text"))], F.xxhash64(F.col(f"`{id_col}`")).alias("spread"))
+    read = read.repartitionByRange("lang", "source", "spread").drop("spread")
     counted = read.mapInArrow(count_terms, "lang string, source string, term string, n long, docs long")
     counted = materialise(counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")),
                           "divergence-counts")
@@ -247,11 +253,11 @@ def kept_cells(df: DataFrame, least_docs: int, text: str, lang: str, source: str
     return materialise(cells, "divergence-cells"), counted.where("term is null").select("lang", "source")
 
 
-def audit(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least_docs: int = LEAST_DOCS,
+def audit(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", least_docs: int = LEAST_DOCS,
           top: int = TOP, band: int = BAND, width: int = WIDTH) -> DataFrame:
     """(lang, source, part, item, value, rank): `pair` rows for every other source
     of the lang, `term` rows for the `top` terms a source has more of than its lang."""
-    cells, groups = kept_cells(df, least_docs, text, lang, source)
+    cells, groups = kept_cells(df, least_docs, id_col, text, lang, source)
     langs = (cells.dropDuplicates(["lang", "term"]).groupBy("lang")
              .agg(F.count("*").alias("kept"), F.sum("lang_n").alias("lang_total")))
     heads = (groups.join(cells.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left")

@@ -60,7 +60,8 @@ def run(df, **options):
 
 def test_audit_by_hand(spark):
     rows = sample()
-    df = spark.createDataFrame(rows, SCHEMA).withColumn("Term", F.lit("x")).withColumn("n", F.lit(1))
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("Term", F.lit("x")).withColumn("n", F.lit(1)).withColumn(
+        "doc_id", F.when(F.rand(1) < 0.8, F.lit(7)))
     for options in ({"least_docs": 5}, {"least_docs": 5, "band": 2, "width": 16}, {"least_docs": 2, "band": 3, "width": 5, "top": 3}):
         assert run(df, **options) == by_hand(rows, options["least_docs"], options.get("top", 10))
     assert run(df, least_docs=10**6) == by_hand(rows, 10**6)
@@ -71,7 +72,7 @@ def test_counts_are_handed_on_in_parts(monkeypatch, spark):
     import pyarrow as pa
     monkeypatch.setattr(sd, "FLUSH", 5)
     batch = pa.RecordBatch.from_pydict({"lang": ["a"] * 4, "source": ["s", "s", "t", "s"],
-                                        "text": ["b b c d e f g", "B", None, "b h i j k l m"]})
+                                        "text": ["b b c d e f g", "B", "", "b h i j k l m"]})
     total, docs = Counter(), Counter()
     parts = list(sd.count_terms(iter([batch, batch])))
     assert len(parts) > 2
