@@ -118,8 +118,15 @@ FROM p JOIN h ON p.host = h.host LEFT JOIN fit ON fit.i = 1 AND fit.host = p.hos
 register(op4_host_reputation, "op4_host_reputation", _op4_sql())
 
 
+SAMPLE_KEY = "development key, replace it"  # for the sample tables only: whoever reads this can undo it
+
+
+def pii_key(spark: SparkSession) -> str:
+    return spark.conf.get(pseudonyms.KEY_SETTING, SAMPLE_KEY)
+
+
 def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.pseudonymise(documents(spark, sf_dir))
+    return pseudonyms.pseudonymise(documents(spark, sf_dir), key=pii_key(spark))
 
 
 register(op5_feistel_pseudonyms, "op5_feistel_pseudonyms")

@@ -4,9 +4,10 @@ Every page is parsed to a tree (unclosed, stray and implied tags as browsers
 treat the common ones); each element's subtree gets a hash of its tag, class,
 id, text and children. Spark counts on how many pages of its host each subtree
 occurs; subtrees recurring on many pages of the host are deleted. What elements
-say about themselves is used first: scripts, styles, menus, headers, footers,
-sidebars, notices, adverts, forms and comment sections go by tag, role, class
-or id, and where a page has an article or main element its text lies there.
+say about themselves is used besides, for boilerplate that differs from page to
+page or stands on few: scripts, styles, menus, headers, footers, sidebars, notices,
+adverts, forms and comment sections go by tag, role, class or id, and where a page
+has an article or main element its text lies there.
 Inside that element a recurring subtree is deleted only if it is no heading or
 paragraph, as articles may quote the same passage.
 
@@ -14,7 +15,10 @@ The text: character references decoded, white space inside a block turned into
 one space, blocks joined in page order by one space.
 
 Cases: null or empty html gives an empty text, plain text without markup is
-itself; a page cut off in the middle of a tag ends there; pages without host
+itself; a page cut off in the middle of a tag ends there; a quote in a tag opens a
+value only after an equals sign; a page of very many elements takes time in
+proportion to them (to their number times depth where blocks are deeply nested); an
+empty table gives an empty result; pages without host
 form one group; equal rows are one page for the counts, so copies of one page
 do not make its text a template; extra columns pass through; added columns
 replace columns of the same name.
@@ -38,7 +42,7 @@ MIN_PAGES, MIN_SHARE, SALTS = 5, 0.2, 64
 
 # Fixed values of the markup language.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
+RAW = set("script style textarea title xmp iframe noembed noframes noscript".split())
 BLOCK = set("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption "
             "figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p "
             "pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -61,7 +65,7 @@ _HINT = re.compile(rf"(?:^|[\s_-]){_WORDS}(?=$|[\s_-])")  # as a part of a class
 _SURE = re.compile(rf"(?:^|\s){_WORDS}(?:[_-](?:{_WORDS}|{_PLAIN}))*(?=$|\s)")  # as a whole one
 _PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "article", "main", "body", "html"}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)"
-                    r"((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+                    r"((?:[^>=]+|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))?)*)(?:>|\Z)", re.S)  # a quote opens a value after = only
 # one attribute: its name, then its whole value
 _ATTR = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?")
 _SPACE = re.compile(r"\s+")
@@ -187,23 +191,31 @@ def _main(root: Node) -> list[Node]:
         found, todo = [], [root]
         while todo:
             x = todo.pop()
+            if (x.tag in want or x.role == want[0]) and not boilerplate(x, False, root.size):
+                found.append(x)
+                continue
             for c in reversed(x.children):
                 if not isinstance(c, str) and (c.tag in want or c.role == want[0] or not boilerplate(c, False, root.size)):
                     todo.append(c)
-            if (x.tag in want or x.role == want[0]) and not boilerplate(x, False, root.size):
-                found.append(x)
-                todo = [t for t in todo if t not in x.children]
         if found:
             return found
     return [root]
 
 
+def tree(source: str | None) -> Node:
+    root = parse(source or "")
+    _measure(root)
+    return root
+
+
 def blocks(source: str | None) -> list[tuple[str, list[int]]]:
+    return blocks_of(tree(source))
+
+
+def blocks_of(root: Node) -> list[tuple[str, list[int]]]:
     """(text, hashes of the deletable elements around it) per block of the main
     content, in page order. A block ends where a block element starts or ends,
     and where the set of deletable elements changes."""
-    root = parse(source or "")
-    _measure(root)
     mains = _main(root)
     inside = mains[0] is not root
     out: list[tuple[str, list[int]]] = []
@@ -242,12 +254,28 @@ def blocks(source: str | None) -> list[tuple[str, list[int]]]:
     return out
 
 
+def named_parts(root: Node) -> list[int]:
+    """Hashes of the outermost elements with text that say of themselves that they are boilerplate."""
+    out, todo = [], [(root, False)]
+    while todo:
+        x, inside = todo.pop()
+        inside = inside or x.tag in ("article", "main")
+        for c in x.children:
+            if not isinstance(c, str) and c.size:
+                if boilerplate(c, inside, root.size):
+                    out.append(c.hash)
+                else:
+                    todo.append((c, inside))
+    return out
+
+
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         hosts, copies, hashes = [], [], []
         for host, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             page = int.from_bytes(blake2b((source or "").encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
-            found = {h for _, path in blocks(source) for h in path} | {0}
+            root = tree(source)
+            found = {h for _, path in blocks_of(root) for h in path} | {0, *named_parts(root)}
             hosts += [host] * len(found)
             copies += [page] * len(found)
             hashes += found
@@ -269,7 +297,9 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
 
 
 def main_text(pages: DataFrame, html: str = "html", url: str = "url", **options) -> DataFrame:
-    """All rows and columns but the html, plus text and n_chars. A host has at
+    """All rows and columns but the html, plus text, n_chars, n_templates (elements
+    of the page that recur on its host) and n_by_name (those that only their name
+    tells from the article). A host has at
     most 1 / min_share times as many templates as its pages have subtrees on
     average, so its list is short; it is copied to SALTS places, over which the
     pages of the host are spread."""
@@ -280,13 +310,18 @@ def main_text(pages: DataFrame, html: str = "html", url: str = "url", **options)
 
     def make():
         def run(sources):
-            got = [blocks(s) for s in sources]
-            return ([[{"t": t, "path": p} for t, p in g] for g in got],)
+            trees = [tree(s) for s in sources]
+            return ([[{"t": t, "path": p} for t, p in blocks_of(x)] for x in trees], [named_parts(x) for x in trees])
         return run
 
-    cut = add_columns(src, make, [html], {"_blocks": "array<struct<t:string,path:array<long>>>"}, drop=(html,))
-    kept = F.filter("_blocks", lambda b: ~F.arrays_overlap(b["path"], F.coalesce("_templates", F.array().cast("array<long>"))))
+    cut = add_columns(src, make, [html], {"_blocks": "array<struct<t:string,path:array<long>>>", "_named": "array<long>"}, drop=(html,))
+    known = F.coalesce("_templates", F.array().cast("array<long>"))
+    kept = F.filter("_blocks", lambda b: ~F.arrays_overlap(b["path"], known))
+    elements = F.array_union(F.flatten(F.transform("_blocks", lambda b: b["path"])), "_named")
     spread = cut.withColumn("_salt", F.pmod(F.xxhash64("_blocks"), F.lit(SALTS)).cast("int"))
     out = spread.join(per_host, ["_host", "_salt"], "left").withColumn(
         "text", F.array_join(F.transform(kept, lambda b: b["t"]), " "))
-    return out.withColumn("n_chars", F.length("text").cast("long")).drop("_blocks", "_templates", "_host", "_salt")
+    out = out.withColumn("n_chars", F.length("text").cast("long")).withColumn(
+        "n_templates", F.size(F.array_intersect(elements, known)).cast("long")).withColumn(
+        "n_by_name", F.size(F.array_except("_named", known)).cast("long"))
+    return out.drop("_blocks", "_named", "_templates", "_host", "_salt")

@@ -180,6 +180,29 @@ def test_attributes_that_name_boilerplate(attrs):
     assert [t for t, _ in template_removal.blocks(f"<article><div {attrs}>Gone.</div>Story.</article>")] == ["Story."]
 
 
+@pytest.mark.parametrize("source, text", [
+    ("<p don't>Hello</p><p>more</p>", "Hello more"), ("<a href=it's.html>link</a> after", "link after"), ('<p 5">x</p>y', "x y"),
+    ("<p title = 'a > b' class=x>q</p>", "q"), ('<p title="it\'s > that">q</p>', "q"), ("<a x==>y</a>z", "yz"),
+    ("<div><svg><svg><text>in</text></svg><path d='M0'/> leak</svg>out</div>", "out"), ("<template><p>t</p></template>out", "out"),
+    ("<div>a<svg>b</div><p>c</p>", "a c"), ("<math><mi>x</mi></math>y", "y")])
+def test_quotes_in_tags_and_nested_graphics(source, text):
+    assert " ".join(t for t, _ in template_removal.blocks(source)) == text
+
+
+def test_wide_pages_take_linear_time():
+    import time
+    t = time.time()
+    got = template_removal.blocks("<main><article>" + "<p>word</p>" * 100_000 + "</article></main>")
+    assert len(got) == 100_000 and time.time() - t < 10
+
+
+def test_templates_are_counted_besides_names(spark):
+    body = "<nav>Home About</nav><div class='menu'>One</div><article><p>Story {i}.</p></article><footer>By {i}</footer>"
+    rows = [(i, f"http://a.com/{i}", body.replace("{i}", str(i))) for i in range(10)]
+    got = template_removal.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r.text == f"Story {r.page_id}." and r.n_templates == 2 and r.n_by_name == 1 for r in got)
+
+
 def test_templates_recurring_on_a_host_are_deleted(spark):
     def page(host, i, extra=""):
         return (i, f"http://{host}/{i}", f"<body><div><span>Buy our book</span>{extra}</div><div><p>Own words {i}.</p></div></body>")
@@ -257,7 +280,7 @@ def test_values_next_to_other_text():
 def test_equal_values_stay_linked_and_clean_text_stays(spark):
     texts = ["mail kee.85@mail6.example.com, again kee.85@mail6.example.com.", "other: kee.85@mail6.example.com 4111111111111111",
              "4111-1111-1111-1111 and 4111111111111112 (not valid) 1.2.3 v1.2.3.4.5 2024-13-40 999.1.1.1", None, "", "clean — text\n "]
-    rows = {r.doc_id: r for r in pseudonyms.pseudonymise(docs(spark, texts).withColumn("n_values", F.lit("clash"))).collect()}
+    rows = {r.doc_id: r for r in pseudonyms.pseudonymise(docs(spark, texts).withColumn("n_values", F.lit("clash")), key="k").collect()}
     mails = [re.search(r"\S+@[\w.]*\w", rows[i].text)[0] for i in (0, 1)]
     assert mails[0] == mails[1] != "kee.85@mail6.example.com" and rows[0].n_email == 2
     card = re.search(r"\d{16}", rows[1].text)[0]
@@ -266,6 +289,33 @@ def test_equal_values_stay_linked_and_clean_text_stays(spark):
     assert [rows[i].text for i in (3, 4, 5)] == texts[3:] and rows[5].n_values == 0
 
 
+def test_no_key_no_pseudonyms(spark):
+    with pytest.raises(ValueError):
+        pseudonyms.pseudonymise(docs(spark, ["x"]))
+    assert pseudonyms.pseudonymise(docs(spark, ["x"]).limit(0), key="k").count() == 0
+
+
+def test_found_values_equal_one_pattern(spark):
+    """The linear search against the plain pattern, on sample documents and dense noise."""
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.text]
+    parts = ["a.b", "@", ".", "x9", "mail.org", " ", "-", "+", "_", "password=", "a1B2c3D4", "1.2.3.4", "2021-03-04", "AKIA" + "Q" * 16,
+             "555-123-4567", "token: ", "4111111111111111", "b@c.de", "@@", "é", "%", "k@l-m.no.p"]
+    r = random.Random(8)
+    texts += ["".join(r.choice(parts) for _ in range(r.randint(1, 14))) for _ in range(6000)]
+    for t in texts:
+        want = [(m.lastgroup, m.start(), m.end()) for m in pseudonyms._FIND.finditer(t)]
+        assert list(pseudonyms.find_values(t)) == want, t
+
+
+def test_a_megabyte_without_space_takes_a_second():
+    import time
+    one = pseudonyms.replacer(KEY)
+    for text in ("a1" * 500_000, "a1." * 330_000 + "@", "a@b" * 330_000, "password=" + "aB3" * 330_000, "x9@" + "a." * 500_000):
+        t = time.time()
+        one(text)
+        assert time.time() - t < 5  # seconds on a loaded machine; about a tenth on a free one
+
+
 # --- quality classifier ------------------------------------------------------------
 
 def test_quality_scores_on_held_out_rows(spark):
