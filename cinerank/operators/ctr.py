@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from cinerank.functions.columns import cosine, genre_array, uniform_u32
 from cinerank.operators.sequences import positions
 
+# Input columns of the reference models.
 GENRE_COLS = ["userGenre1", "userGenre2", "userGenre3", "userGenre4", "userGenre5",
               "movieGenre1", "movieGenre2", "movieGenre3"]
 NUMERIC_COLS = ["releaseYear", "movieRatingCount", "movieAvgRating", "movieRatingStddev",
@@ -160,9 +161,10 @@ def with_factors(df: DataFrame, f: Factors) -> DataFrame:
     return d.withColumns({"pairDot": dot(F.col("uf"), F.col("vf")), "ufVec": array_to_vector("uf"), "vfVec": array_to_vector("vf")})
 
 
-def _logistic(d: DataFrame, cols: list[str], stages: list | None = None, max_iter: int = 50, reg: float = 0.0) -> PipelineModel:
+def _logistic(d: DataFrame, cols: list[str], stages: list | None = None, max_iter: int = 50, reg: float = 0.0,
+              standardize: bool = True) -> PipelineModel:
     feats = VectorAssembler(inputCols=cols, outputCol="features")
-    lr = LogisticRegression(featuresCol="features", labelCol="label", maxIter=max_iter, regParam=reg)
+    lr = LogisticRegression(featuresCol="features", labelCol="label", maxIter=max_iter, regParam=reg, standardization=standardize)
     return Pipeline(stages=[*(stages or []), feats, lr]).fit(d)
 
 
@@ -174,8 +176,13 @@ def pair_model(train: DataFrame, head: str = "dot", hidden=(10, 10), max_iter: i
     d = with_factors(train, f)
     if head == "dot":
         return _logistic(d, ["pairDot"]), f
+    return pair_perceptron(d, hidden, max_iter, seed), f
+
+
+def pair_perceptron(d: DataFrame, hidden=(10, 10), max_iter: int = 20, seed: int = 42) -> PipelineModel:
+    """The perceptron over both factors of rows from `with_factors`."""
     feats = VectorAssembler(inputCols=["ufVec", "vfVec"], outputCol="features")
-    return _fit_mlp(d, [feats], hidden, max_iter, seed), f
+    return _fit_mlp(d, [feats], hidden, max_iter, seed)
 
 
 def _scaled_numbers() -> list:
@@ -200,7 +207,8 @@ def wide_deep_model(scored: DataFrame, n_cross: int = 10000, max_iter: int = 20)
     x first-history cross (one-hot, `n_cross` buckets) -> logistic regression."""
     d = scored.withColumn("crossIdx", cross_hash("movieId", "userRatedMovie1", n_cross))
     enc = OneHotEncoder(inputCols=["crossIdx"], outputCols=["crossVec"], dropLast=False, handleInvalid="keep")
-    return _logistic(d, ["deepScore", "crossVec"], [enc], max_iter, reg=0.01)
+    # unscaled, the penalty holds a bucket with few rows near 0
+    return _logistic(d, ["deepScore", "crossVec"], [enc], max_iter, reg=0.02, standardize=False)
 
 
 def predict_wide_deep(wd: PipelineModel, scored: DataFrame, n_cross: int = 10000) -> DataFrame:
@@ -208,45 +216,15 @@ def predict_wide_deep(wd: PipelineModel, scored: DataFrame, n_cross: int = 10000
 
 
 FM_GENRES = ["userGenre1", "movieGenre1"]
-FM_DOTS = ["idDot", "genreDot", "genreUserDot", "genreItemDot"]
-
-
-def genre_factors(movies: DataFrame, f: Factors) -> DataFrame:
-    """(genre, gf): a genre's vector is the mean factor of its items."""
-    g = movies.select("movieId", F.explode(genre_array("genres")).alias("genre")).join(f.items, "movieId")
-    mean = g.select("genre", F.posexplode("vf").alias("i", "x")).groupBy("genre", "i").agg(F.avg("x").alias("x"))
-    return mean.groupBy("genre").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("l")).select(
-        "genre", F.transform("l", lambda e: e["x"].cast("float")).alias("gf"))
-
-
-def with_products(df: DataFrame, genres: DataFrame, rank: int) -> DataFrame:
-    """The four named dot products of user, item, first user genre and first
-    item genre (rows from `with_factors`)."""
-    zeros = F.array_repeat(F.lit(0.0).cast("float"), rank)
-    d = df
-    for col, name in (("userGenre1", "ug"), ("movieGenre1", "ig")):
-        d = d.join(genres.select(F.col("genre").alias(col), F.col("gf").alias(name)), col, "left").withColumn(
-            name, F.coalesce(name, zeros))
-    return d.withColumns({"idDot": F.col("pairDot"), "genreDot": dot(F.col("ug"), F.col("ig")),
-                          "genreUserDot": dot(F.col("ig"), F.col("uf")), "genreItemDot": dot(F.col("ug"), F.col("vf"))})
-
-
-def deep_fm_model(train: DataFrame, hidden=(64, 64), max_iter: int = 20, seed: int = 42) -> tuple[PipelineModel, PipelineModel]:
-    """First-order genre indicators, the four dot products and a deep part of
-    two layers over ids, genres and numbers, joined by a logistic regression.
-    Returns (deep part, joint model); rows come from `with_products`."""
-    feats = VectorAssembler(inputCols=["numScaled", "ufVec", "vfVec"] + [c + "Vec" for c in FM_GENRES], outputCol="features")
-    deep = _fit_mlp(train, [_indicators(FM_GENRES), *_scaled_numbers(), feats], hidden, max_iter, seed)
-    joint = _logistic(with_deep_score(deep, train), ["deepScore", *FM_DOTS] + [c + "Vec" for c in FM_GENRES],
-                      [_indicators(FM_GENRES)], reg=0.001)
-    return deep, joint
 
 
-def interest_vector(samples: DataFrame, item_vectors: DataFrame, key: list[str], n: int = 5, weighted: bool = False) -> DataFrame:
+def interest_vector(samples: DataFrame, item_vectors: DataFrame, key: list[str], n: int = 5, weighted: bool = False,
+                    weights: DataFrame | None = None) -> DataFrame:
     """For each sample, sum over its history slots (userRatedMovie1..n,
     empty or vector-less slots skipped) of concat(h - c, h, c, h * c), where
     h is the slot item's vector and c the candidate item's; `weighted`
-    scales each slot by cosine(h, c). Adds `interest` array<double>, `nSlots`
+    scales each slot by cosine(h, c), `weights` (key, slot from 0, weight) by a
+    given weight (`click_models.slot_weights`). Adds `interest` array<double>, `nSlots`
     and `candidate` (c); samples whose candidate has no vector get null. `key`
     makes samples unique. Empty slots are left out before the vectors are joined,
     so no null key gathers rows, and a sample's at most n vectors meet again by
@@ -255,10 +233,15 @@ def interest_vector(samples: DataFrame, item_vectors: DataFrame, key: list[str],
     slots = samples.select(*key, F.posexplode(F.array(*[F.col(f"userRatedMovie{i}") for i in range(1, n + 1)])).alias("_i", "_m"))
     found = (slots.filter(F.col("_m").isNotNull()).join(v.select(F.col("movieId").alias("_m"), F.col("emb").alias("_h")), "_m")
              .filter(F.col("_h").isNotNull()))
-    hist = found.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_i", "_h"))).alias("_l"))
+    given = F.lit(1.0)
+    if weights is not None:
+        found = found.join(weights.withColumnRenamed("slot", "_i"), [*key, "_i"], "left")
+        given = F.coalesce("weight", F.lit(0.0))
+    hist = found.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_i", "_h", given.alias("_w")))).alias("_l"))
     d = samples.join(hist, key, "left").join(v.withColumnRenamed("emb", "_c"), "movieId", "left")
-    d = d.withColumn("_hs", F.coalesce(F.filter(F.transform("_l", lambda e: e["_h"]), lambda h: F.size(h) == F.size(F.col("_c"))),
-                                       F.array().cast("array<array<float>>")))
+    d = d.withColumn("_hs", F.coalesce(
+        F.filter(F.transform("_l", lambda e: F.struct(e["_h"].alias("h"), e["_w"].alias("w"))), lambda e: F.size(e["h"]) == F.size(F.col("_c"))),
+        F.array().cast("array<struct<h:array<float>,w:double>>")))
 
     def block(h):
         c = F.col("_c")
@@ -267,10 +250,11 @@ def interest_vector(samples: DataFrame, item_vectors: DataFrame, key: list[str],
 
     zero = F.transform(F.sequence(F.lit(1), F.size("_c") * 4), lambda i: F.lit(0.0))
     if weighted:
-        d = d.withColumn("_hs", F.transform("_hs", lambda h: F.struct(h.alias("h"), cosine(h, F.col("_c")).alias("w"))))
+        d = d.withColumn("_hs", F.transform("_hs", lambda e: F.struct(e["h"].alias("h"), cosine(e["h"], F.col("_c")).alias("w"))))
+    if weighted or weights is not None:
         acc = F.aggregate("_hs", zero, lambda a, e: F.zip_with(a, block(e["h"]), lambda x, y: x + y * e["w"]))
     else:
-        acc = F.aggregate("_hs", zero, lambda a, h: F.zip_with(a, block(h), lambda x, y: x + y))
+        acc = F.aggregate("_hs", zero, lambda a, e: F.zip_with(a, block(e["h"]), lambda x, y: x + y))
     known = F.col("_c").isNotNull()
     return d.withColumns({"interest": F.when(known, acc), "nSlots": F.when(known, F.size("_hs")), "candidate": F.col("_c")}).drop("_c", "_hs", "_l")
 

@@ -2,8 +2,9 @@
 trained on the 10% sample's train part and scored on its test part.
 
 A trained score cannot be computed in SQL, so a model's query returns, for every
-test row, its key, its label and whether the score is a probability; metrics and
-saved models are checked by properties computed from the scores."""
+test row, its key, its label, whether the score is a probability, and whether the
+log loss over all test rows is below that of the base rate; metrics and saved models
+are checked by properties computed from the scores."""
 
 from __future__ import annotations
 
@@ -11,6 +12,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from cinerank.operators import click_models as C
 from cinerank.operators import ctr as M
 from cinerank.operators import samples as S
 from cinerank.operators.candidates import recommend_for_users
@@ -180,30 +182,42 @@ def _coded_parts(spark, d):
     return prepare(tr), prepare(te), f
 
 
-def _scored(df):
-    """Key, label and whether the score is a probability."""
-    return df.select(*KEY, "label", F.col("score").between(0.0, 1.0).alias("in_unit"))
+def _loss_over_base(df):
+    """The log loss of all rows less that of their base rate (one row)."""
+    p = F.least(F.greatest("score", F.lit(1e-7)), F.lit(1 - 1e-7))
+    y, rate = F.col("label").cast("double"), F.avg("label").cast("double")
+    loss = F.avg(-(y * F.log(p) + (1 - y) * F.log(1 - p)))
+    return df.agg((loss + rate * F.log(rate) + (1 - rate) * F.log(1 - rate)).alias("over"))
 
 
-TEST_ROWS = samples_sql(f"SELECT {', '.join(KEY)}, label, true AS in_unit FROM scored", extra=TEST_SQL[:1])
+def _scored(df, margin=0.0):
+    """Key, label, whether the score is a probability, and whether the held-out
+    log loss is below the base rate's plus `margin`."""
+    df = df.select(*KEY, "label", "score").checkpoint(eager=True)
+    below = (_loss_over_base(df).select(F.col("over") < margin)).scalar()
+    return df.select(*KEY, "label", F.col("score").between(0.0, 1.0).alias("in_unit"), below.alias("loss_ok"))
 
 
-def pair_scores(spark, d, head="dot"):
-    tr, te = _parts(spark, d)
-    m, f = M.pair_model(tr, head)
-    return M.predict(m, M.with_factors(te, f))
+TEST_ROWS = samples_sql(f"SELECT {', '.join(KEY)}, label, true AS in_unit, true AS loss_ok FROM scored", extra=TEST_SQL[:1])
 
 
 @register("pair_model", TEST_ROWS)
 def q_pair_model(spark, d):
-    """User x item model on learned ids, dot-product head."""
-    return _scored(pair_scores(spark, d))
+    """User x item model, ids learned jointly with the click loss, dot-product
+    head. In the stand-in data ratings do not depend on who rates what, so the ids
+    alone cannot beat the base rate; the loss must stay within 0.01 of it."""
+    tr, te = _parts(spark, d)
+    return _scored(C.score_pair(C.fit_pair(tr), te), margin=0.01)
 
 
 @register("pair_mlp_model", TEST_ROWS)
 def q_pair_mlp_model(spark, d):
-    """User x item model on learned ids, perceptron head."""
-    return _scored(pair_scores(spark, d, "mlp"))
+    """User x item model, perceptron over factorised ids with a head on unseen
+    rows; the loss must stay within 0.01 of the base rate, as for `pair_model`."""
+    tr, te = _parts(spark, d)
+    f = M.id_factors(C.head_rows(tr)[0])
+    rows = lambda df: M.with_factors(df, f)
+    return _scored(C.score_deep(C.fit_deep(rows(tr), M.pair_perceptron), rows(te)), margin=0.01)
 
 
 TRAIN_SQL = f"tr AS (SELECT * FROM (SELECT *, {_SPLIT_U} / 4294967296.0 AS u FROM samples) WHERE u < 0.1 * 0.8)"
@@ -223,37 +237,45 @@ def q_pair_factors(spark, d):
 def q_mlp_model(spark, d):
     """Numbers + genres + learned ids, perceptron (128, 128)."""
     tr, te, _ = _coded_parts(spark, d)
-    return _scored(M.predict(M.mlp_model(tr), te))
+    return _scored(C.score_deep(C.fit_deep(tr, M.mlp_model, numbers=True), te))
 
 
 @register("wide_deep_model", TEST_ROWS)
 def q_wide_deep_model(spark, d):
-    """Perceptron score + hashed cross -> logistic regression."""
+    """Perceptron score + hashed cross -> logistic regression, which is
+    fitted on rows that the perceptron has not seen."""
     tr, te, _ = _coded_parts(spark, d)
-    deep = M.mlp_model(tr)
-    wd = M.wide_deep_model(M.with_deep_score(deep, tr))
-    return _scored(M.predict_wide_deep(wd, M.with_deep_score(deep, te)))
+    fit, held = C.head_rows(tr)
+    deep = M.mlp_model(fit)
+    wd = M.wide_deep_model(M.with_deep_score(deep, held))
+    return _scored(M.predict_wide_deep(wd, M.with_deep_score(deep, te)), margin=0.01)
 
 
 @register("fm_model", TEST_ROWS)
 def q_fm_model(spark, d):
-    """First order + four dot products + deep part (64, 64)."""
-    tr, te, f = _coded_parts(spark, d)
-    g = M.genre_factors(T.movies(spark, d), f)
-    deep, joint = M.deep_fm_model(M.with_products(tr, g, f.rank))
-    return _scored(M.predict(joint, M.with_deep_score(deep, M.with_products(te, g, f.rank))))
+    """A factorisation machine over user, item, first user genre and first item
+    genre (first order and all products, learned jointly) beside a deep part (64, 64)
+    over numbers and genres, joined by a logistic head."""
+    v = _vocab(spark, d)
+    tr, te = (M.genre_codes(df, M.GENRE_COLS, v) for df in _parts(spark, d))
+    return _scored(C.score_deep(C.fit_deep(tr, C.genre_part, C.PAIR_AND_GENRE_IDS, numbers=True), te))
 
 
 @register("interest_model", samples_sql(f"""
-SELECT {', '.join(KEY)}, label, true AS in_unit FROM scored
+SELECT {', '.join(KEY)}, label, true AS in_unit, true AS loss_ok, true AS attends FROM scored
 WHERE movieId IN (SELECT vec_id FROM embeddings)""", extra=TEST_SQL[:1]))
 def q_interest_model(spark, d):
-    """Interest vector + profile + candidate + context, perceptron
-    (128, 64), for samples whose item has a vector."""
+    """Interest vector + profile + candidate + context, perceptron (128, 64),
+    for samples whose item has a vector. A learned activation unit (32) weighs each
+    history slot by its item and the candidate; `attends`: its weights differ."""
     tr, te, _ = _coded_parts(spark, d)
     iv = T.item_vectors(spark, d)
-    prepare = lambda df: M.interest_inputs(M.interest_vector(df, iv, ROW_KEY))
-    return _scored(M.predict(M.interest_model(prepare(tr)), prepare(te)))
+    unit = C.attention_unit(C.head_rows(tr)[0], iv, ROW_KEY)
+    weights = C.slot_weights(unit, te, iv, ROW_KEY).checkpoint(eager=True)
+    prepare = lambda df, w: M.interest_inputs(M.interest_vector(df, iv, ROW_KEY, weights=w)).checkpoint(eager=True)
+    train = prepare(tr, C.slot_weights(unit, tr, iv, ROW_KEY))
+    out = _scored(C.score_deep(C.fit_deep(train, M.interest_model, numbers=True), prepare(te, weights)), margin=0.01)
+    return out.withColumn("attends", weights.agg((F.stddev("weight") > 0.001) & F.min("weight").between(0, 1)).scalar())
 
 
 @register("model_metrics", samples_sql(f"""

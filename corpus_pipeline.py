@@ -45,8 +45,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with pseudonyms in place of personal data; n_chars follows the text."""
-    return (pseudonyms.pseudonymise(docs).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
-            .select(*docs.columns))
+    done = pseudonyms.pseudonymise(docs, key=queries.pii_key(spark))
+    return done.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
