@@ -1,12 +1,13 @@
 """Ordered-sequence building blocks that stay exact when one key holds a
 large share of all rows.
 
-* `positions` numbers the rows of each key 0..n-1 in a total order. Rows are
-  dealt into buckets of the first order column's range, so a hot key is spread
-  over many buckets; a small table of counts per (key, bucket) gives each bucket
-  its offset, and rows are numbered inside their bucket. The rows are shuffled
-  once, nothing is checkpointed. A bucket with very many rows (of one key, at
-  about one time) is split again by the next order column.
+* `positions` numbers the rows of each key 0..n-1 in a total order. The rows are
+  written once to shared storage, so that their sources are read once; bounds, counts
+  and rows come from there. They are dealt into buckets of the first order column's
+  range, so a hot key is spread over many buckets; a small table of counts per (key,
+  bucket) gives each bucket its offset, and rows are numbered inside their bucket. The
+  rows are shuffled once. A bucket with very many rows (of one key, at about one time)
+  is split again by the next order column.
 * `with_preceding_halo` / `with_following_halo` cut each key's sequence into
   chunks of bounded length and copy the `k` rows a frame needs from the
   neighbouring chunk, so a `rowsBetween(-k, -1)` (or lead) window runs per
@@ -19,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cinerank.session import write_once
+
 DEFAULT_CHUNK_ROWS = 1 << 16
 
 
@@ -30,9 +33,10 @@ def _bucket(df: DataFrame, col: str, n: int) -> Column:
     """Which of n equal slices of the column's range a value lies in (nulls, which
     sort first, in slice -1)."""
     v = F.col(col).cast("double")
-    ends = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
-    lo, width = F.lit(ends.select("lo").scalar()), F.lit(ends.select((F.col("hi") - F.col("lo")).alias("w")).scalar())
-    place = F.when(width > 0, F.floor((v - lo) / width * n)).otherwise(F.lit(0))
+    lo, hi = df.agg(F.min(v), F.max(v)).first()
+    if lo is None or not hi > lo:
+        return F.when(v.isNull(), -1).otherwise(0).cast("int")
+    place = F.floor((v - F.lit(lo)) / F.lit(hi - lo) * n)
     return F.coalesce(F.least(place, F.lit(n - 1)), F.lit(-1)).cast("int")
 
 
@@ -43,6 +47,7 @@ def _bucketed(df: DataFrame, keys: list[str], order: list[str], n: int, max_rows
     of the first order column. Only where a slice of a key holds more than max_rows
     rows (at most rows / max_rows slices do), two more levels tell its rows apart:
     the column's value, and a slice of the next column; and so on."""
+    df = write_once(df, "positions")
     numeric = {c for c, t in df.dtypes if t not in ("string", "binary", "boolean")}
     levels: list[str] = []
     out = df.withColumn("_at", F.struct(*keys, F.lit(0).alias("_one")))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import atexit
 import re
+import uuid
 
 from pyspark import SparkContext
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on: UTC wall clock, ANSI semantics, adaptive
 # execution (partition coalescing, skew-join splitting, runtime broadcast).
@@ -73,12 +74,30 @@ def _own_folder(spark: SparkSession) -> str:
 
 
 _OWN: set[str] = set()
+_TABLES: set[str] = set()
+
+
+def write_once(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` into the shared folder and read it back: what is planned on the
+    result reads these rows, however often, and no longer their sources."""
+    path = shared_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def own_table(name: str) -> str:
+    """Have `drop_intermediate` drop this table's catalogue entry, too."""
+    _TABLES.add(name)
+    return name
 
 
 def drop_intermediate(spark: SparkSession, folder: str | None = None) -> None:
     """Delete the intermediate tables of this application; runs when the driver
     process ends, and may be called as soon as no result is read any more."""
     jvm = SparkContext._jvm
+    if SparkContext._active_spark_context is not None:
+        while _TABLES:
+            spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
     if jvm is not None:
         path = jvm.org.apache.hadoop.fs.Path(folder or _own_folder(spark))
         path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)

@@ -1,18 +1,20 @@
 """Keyed feature table (IO7-IO11): the batch stand-in for a key-value
 serving store. Rows are (key string, fields map<string,string>,
 expires_at timestamp), stored as parquet under one base folder in shared
-storage. `put` writes a whole new table = current rows whose key is not being
-replaced + the new rows (anti-join + union) into a folder of its own; the newest
-finished folder is the store. Nothing is ever written over a folder being read,
-and a failed write leaves an unfinished folder that nothing reads."""
+storage, partitioned by a hash of the key. `put` rewrites only the parts its keys
+lie in (dynamic partition overwrite): the merged rows are first written elsewhere,
+then take the place of these parts, so nothing is read while it is replaced, and a
+put that failed is put again. Puts to different parts do not see each other; one
+writer at a time per part. A table read before a put is to be read anew after it."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cinerank.session import write_once
+
+PARTS = 64
 STORE_SCHEMA = "key string, fields map<string,string>, expires_at timestamp"
 
 
@@ -31,42 +33,31 @@ def keyed(df: DataFrame, prefix: str, id_col: str, value_cols: list[str], expire
 
 
 class FeatureStore:
-    def __init__(self, spark: SparkSession, base: str):
-        self.spark, self.base = spark, base
-
-    def _fs_path(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
-
-    def _newest(self) -> tuple[int, str | None]:
-        """Number and path of the newest finished table."""
-        fs, path = self._fs_path(self.base)
-        done = [(0, None)]
-        if fs.exists(path):
-            jvm = self.spark.sparkContext._jvm
-            for st in fs.listStatus(path):
-                name = st.getPath().getName()
-                if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-                    done.append((int(name[2:].split("-")[0]), f"{self.base}/{name}"))
-        return max(done, key=lambda d: (d[0], d[1] or ""))
+    def __init__(self, spark: SparkSession, base: str, parts: int = PARTS):
+        self.spark, self.base, self.parts = spark, base, parts
+
+    def _rows(self) -> DataFrame:
+        """All records with the part they lie in."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.base)
+        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], f"{STORE_SCHEMA}, part int")
+        return self.spark.read.schema(f"{STORE_SCHEMA}, part int").parquet(self.base)
 
     def current(self) -> DataFrame:
         """All records, expired ones too."""
-        _, path = self._newest()
-        if path is None:
-            return self.spark.createDataFrame([], STORE_SCHEMA)
-        return self.spark.read.schema(STORE_SCHEMA).parquet(path)
+        return self._rows().drop("part")
 
     def put(self, records: DataFrame) -> int:
-        """Upsert records (key, fields, expires_at); returns the number of the
-        new table. Every attempt has its own folder, so an earlier failed one
-        is in nobody's way."""
-        number, _ = self._newest()
-        kept = self.current().join(records.select("key"), "key", "left_anti")
-        kept.unionByName(records.select("key", "fields", "expires_at")).write.parquet(
-            f"{self.base}/v={number + 1:06d}-{uuid.uuid4().hex}")
-        return number + 1
+        """Upsert records (key, fields, expires_at); returns how many parts were rewritten."""
+        new = write_once(records.select("key", "fields", "expires_at",
+                                        F.pmod(F.xxhash64("key"), F.lit(self.parts)).cast("int").alias("part")), "store-new")
+        touched = [r.part for r in new.select("part").distinct().collect()]  # self.parts at most
+        if touched:
+            kept = self._rows().where(F.col("part").isin(touched)).join(new.select("key"), "key", "left_anti")
+            merged = write_once(kept.unionByName(new), "store-merged")
+            (merged.hint("rebalance", "part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("part").parquet(self.base))
+        return len(touched)
 
     def get(self, prefix: str, now: Column | None = None) -> DataFrame:
         """IO10: records under a key prefix that have not expired, with the

@@ -48,7 +48,7 @@ def test_store_upsert_expiry_and_lookup(spark):
     ST.put_user_features(st, df, ["g", "n"], F.timestamp_seconds(F.lit(1000)))
     df2 = spark.createDataFrame([(2, "c", 21)], "userId long, g string, n long")
     v = ST.put_user_features(st, df2, ["g", "n"], F.timestamp_seconds(F.lit(500)))
-    assert v == 2
+    assert v == 1  # one key lies in one part
     live = {r.id: dict(r.fields) for r in st.get("uf:", F.timestamp_seconds(F.lit(600))).collect()}
     assert live == {"1": {"g": "a", "n": "10"}}  # user 2's new record expired at 500
     allr = {r.id: dict(r.fields) for r in st.get("uf:", F.timestamp_seconds(F.lit(0))).collect()}
@@ -58,15 +58,36 @@ def test_store_upsert_expiry_and_lookup(spark):
     assert look[9] is None and dict(look[1]) == {"g": "a", "n": "10"}
 
 
-def test_store_survives_a_failed_write(spark):
+def test_a_put_rewrites_only_its_parts(spark):
     base = os.path.join(tempfile.mkdtemp(prefix="cinerank-store-"), "s")
-    st = ST.FeatureStore(spark, base)
+    st = ST.FeatureStore(spark, base, parts=8)
     exp = F.timestamp_seconds(F.lit(1000))
     put = lambda rows: st.put(ST.keyed(spark.createDataFrame(rows, "userId long, g string"), "uf:", "userId", ["g"], exp))
-    put([(1, "a"), (2, "b")])
-    os.makedirs(os.path.join(base, "v=000002-dead", "_temporary"))  # what a killed write leaves
-    assert put([(2, "c"), (3, "d")]) == 2
-    assert {r.key: r.fields["g"] for r in st.current().collect()} == {"uf:1": "a", "uf:2": "c", "uf:3": "d"}
+    files = lambda: {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(base) for f in fs
+                     if f.endswith(".parquet") and "staging" not in d}
+    assert put([(i, "a") for i in range(100)]) == 8
+    before = files()
+    os.makedirs(os.path.join(base, ".spark-staging-dead", "part=1"))  # what a killed write leaves
+    assert put([(2, "c")]) == 1 and put([]) == 0
+    after = files()
+    gone = {f.split("part=")[1][0] for f in before if f not in after}
+    assert len(gone) == 1 and all(after[f] == t for f, t in before.items() if f in after)
+    assert {r.key: r.fields["g"] for r in st.current().collect()} == {f"uf:{i}": "c" if i == 2 else "a" for i in range(100)}
+
+
+def test_two_puts_at_once_to_different_parts(spark):
+    import threading
+    base = os.path.join(tempfile.mkdtemp(prefix="cinerank-store-"), "s")
+    st = ST.FeatureStore(spark, base, parts=8)
+    exp = F.timestamp_seconds(F.lit(1000))
+    recs = ST.keyed(spark.createDataFrame([(i, "a") for i in range(60)], "userId long, g string"), "uf:", "userId", ["g"], exp)
+    part = F.pmod(F.xxhash64("key"), F.lit(8))
+    threads = [threading.Thread(target=st.put, args=(recs.where(c),)) for c in (part < 4, part >= 4)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert st.current().select("key").distinct().count() == 60 == st.current().count()
 
 
 def test_lookup_misses_expired_records(spark):

@@ -43,10 +43,17 @@ def test_training_samples_shuffle_whole_rows_few_times(spark):
 
 
 def test_no_query_replicates_all_against_all(spark):
-    """Only bounded probe tables and pools are dealt to blocks: a search for all
-    vectors compares bucket by bucket."""
+    """A search for all vectors compares cell by cell."""
     from cinerank.operators import vectors as V
     from cinerank.sources import tables as T
     v = T.item_vectors(spark, SF)
     plan = _plan(V.approx_neighbors(v, v.select("movieId"), 5))
-    assert "bucket" in plan.split("FlatMapCoGroupsInPandas")[1][:400]
+    assert "cell" in plan.split("FlatMapCoGroupsInPandas")[1][:400]
+
+
+@pytest.mark.parametrize("name, most", [("user_sequences", 0), ("adjacent_pairs", 0), ("item_distribution", 0), ("training_samples", 1)])
+def test_ordered_rows_are_read_from_their_sources_once(spark, name, most):
+    """One scan wrote the positions' rows when the plan was made; what is left are the item statistics."""
+    plan = _plan(QUERIES[name](spark, SF))
+    scans = [line for line in plan.splitlines() if "FileScan parquet" in line and "ReadSchema: struct<l_orderkey" in line]
+    assert len(scans) <= most, name
