@@ -163,10 +163,3 @@ def add_ranked_genres(df, list_col: str, out_col: str, n: int | None = None):
     ranked = F.transform(F.sort_array(entries), lambda e: e["genre"])
     ranked = F.when(total == 0, empty_s).otherwise(F.slice(ranked, 1, n) if n else ranked)
     return df.withColumn(out_col, ranked).drop("_gsrt", "_gst")
-
-
-def multi_hot_array(indexes, size) -> Column:
-    """Sorted index list -> dense 0/1 array of length size."""
-    idx = _c(indexes)
-    return F.transform(F.sequence(F.lit(0), _c(size) - F.lit(1)),
-                       lambda i: F.when(F.array_contains(idx, i), F.lit(1.0)).otherwise(F.lit(0.0)))

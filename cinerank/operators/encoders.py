@@ -10,13 +10,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import (Bucketizer, MinMaxScaler, OneHotEncoder, QuantileDiscretizer, StringIndexer,
+from pyspark.ml.feature import (Bucketizer, CountVectorizerModel, MinMaxScaler, OneHotEncoder, QuantileDiscretizer, StringIndexer,
                                 VectorAssembler)
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinerank.functions.columns import genre_array, multi_hot_array, sample_var
+from cinerank.functions.columns import genre_array, sample_var
 from cinerank.operators.sequences import running_sum
 
 def hot_index(vec_col: str) -> Column:
@@ -38,20 +38,29 @@ def explode_genres(movies: DataFrame) -> DataFrame:
     return movies.select("movieId", "title", F.explode(genre_array("genres")).alias("genre"))
 
 
+def _indexer(df: DataFrame, col: str, out_col: str):
+    return StringIndexer(inputCol=col, outputCol=out_col + "_d", stringOrderType="frequencyDesc").fit(df)
+
+
 def label_index(df: DataFrame, col: str, out_col: str) -> DataFrame:
     """Value -> index by frequency desc, value asc, from 0 (StringIndexer)."""
-    model = StringIndexer(inputCol=col, outputCol=out_col + "_d", stringOrderType="frequencyDesc").fit(df)
-    return model.transform(df).withColumn(out_col, F.col(out_col + "_d").cast("int")).drop(out_col + "_d")
+    return _indexer(df, col, out_col).transform(df).withColumn(out_col, F.col(out_col + "_d").cast("int")).drop(out_col + "_d")
 
 
 def multi_hot(movies: DataFrame) -> DataFrame:
     """M2: V9 -> A8 -> A9 -> A10 -> V10 -> V6: per item its genre indexes,
-    the index size and a 0/1 vector over all genres."""
-    g = label_index(explode_genres(movies), "genre", "genreIndex")
+    the index size and a sparse 0/1 vector over all genres."""
+    g = explode_genres(movies)
+    model = _indexer(g, "genre", "genreIndex")
+    g = model.transform(g).withColumn("genreIndex", F.col("genreIndex_d").cast("int"))
     size = g.agg((F.max("genreIndex") + 1).alias("n")).scalar()            # A9, as a scalar subquery
-    per_item = g.groupBy("movieId").agg(F.sort_array(F.collect_list("genreIndex")).alias("genreIndexes"))  # A10
+    per_item = g.groupBy("movieId").agg(F.sort_array(F.collect_list("genreIndex")).alias("genreIndexes"),  # A10
+                                        F.collect_list("genre").alias("_genres"))
     per_item = per_item.withColumn("indexSize", size)                      # V10
-    return per_item.withColumn("vector", array_to_vector(multi_hot_array("genreIndexes", "indexSize")))  # V6
+    if not model.labels:
+        return per_item.withColumn("vector", array_to_vector(F.array().cast("array<double>"))).drop("_genres")
+    hot = CountVectorizerModel.from_vocabulary(list(model.labels), inputCol="_genres", outputCol="vector").setBinary(True)
+    return hot.transform(per_item).drop("_genres")                         # V6
 
 
 def _rank_cut(q: float, n_rows: int) -> int:

@@ -36,15 +36,17 @@ def q_genre_index(spark, d):
 
 @register("multi_hot_genres", with_ctes("""
 SELECT m.movieId, string_agg(CAST(gi.genreIndex AS VARCHAR), ',' ORDER BY gi.genreIndex) AS genreIndexes,
-       (SELECT max(genreIndex) + 1 FROM gi) AS indexSize, CAST(count(*) AS INTEGER) AS hot
+       (SELECT max(genreIndex) + 1 FROM gi) AS indexSize,
+       '(' || (SELECT max(genreIndex) + 1 FROM gi) || ',[' || string_agg(CAST(gi.genreIndex AS VARCHAR), ',' ORDER BY gi.genreIndex)
+           || '],[' || string_agg('1.0', ',') || '])' AS sparse
 FROM movies m, unnest(string_split(m.genres, '|')) AS g(genre) JOIN gi USING (genre)
 GROUP BY m.movieId""", "movies", extra=[GENRE_INDEX_SQL]))
 def q_multi_hot(spark, d):
-    """M2 + A9 + A10 + V6 + V10: multi-hot genre vectors per item."""
+    """M2 + A9 + A10 + V6 + V10: sparse multi-hot genre vectors per item, as
+    (size,[indices],[values])."""
     m = E.multi_hot(T.movies(spark, d))
-    hot = F.size(F.filter(E.vector_to_array("vector"), lambda x: x > 0))
     return m.select("movieId", F.array_join("genreIndexes", ",").alias("genreIndexes"), "indexSize",
-                    hot.alias("hot"))
+                    F.col("vector").cast("string").alias("sparse"))
 
 
 NUMERIC_SQL = f"""st AS (
