@@ -182,19 +182,23 @@ def _coded_parts(spark, d):
     return prepare(tr), prepare(te), f
 
 
+FEW_ROWS = 200
+
+
 def _loss_over_base(df):
     """The log loss of all rows less that of their base rate (one row)."""
     p = F.least(F.greatest("score", F.lit(1e-7)), F.lit(1 - 1e-7))
     y, rate = F.col("label").cast("double"), F.avg("label").cast("double")
     loss = F.avg(-(y * F.log(p) + (1 - y) * F.log(1 - p)))
-    return df.agg((loss + rate * F.log(rate) + (1 - rate) * F.log(1 - rate)).alias("over"))
+    return df.agg((loss + rate * F.log(rate) + (1 - rate) * F.log(1 - rate)).alias("over"), F.count("*").alias("rows"))
 
 
 def _scored(df, margin=0.0):
     """Key, label, whether the score is a probability, and whether the held-out
-    log loss is below the base rate's plus `margin`."""
+    log loss is below the base rate's plus `margin` (below FEW_ROWS rows, where
+    chance decides that, it always counts as such)."""
     df = df.select(*KEY, "label", "score").checkpoint(eager=True)
-    below = (_loss_over_base(df).select(F.col("over") < margin)).scalar()
+    below = (_loss_over_base(df).select((F.col("over") < margin) | (F.col("rows") < FEW_ROWS))).scalar()
     return df.select(*KEY, "label", F.col("score").between(0.0, 1.0).alias("in_unit"), below.alias("loss_ok"))
 
 
