@@ -116,11 +116,11 @@ def sq_norm(a) -> Column:
     return _sum_double(F.transform(_c(a), lambda x: (x * x).cast("double")))
 
 
-def cosine(a, b) -> Column:
+def cosine(a, b, na: Column | None = None, nb: Column | None = None) -> Column:
     """Cosine similarity; -1 when a vector is missing, lengths differ or a
-    norm is zero."""
+    norm is zero. `na`, `nb`: squared norms that are already there."""
     a, b = _c(a), _c(b)
-    na, nb = sq_norm(a), sq_norm(b)
+    na, nb = sq_norm(a) if na is None else na, sq_norm(b) if nb is None else nb
     valid = a.isNotNull() & b.isNotNull() & (F.size(a) == F.size(b)) & (na > 0) & (nb > 0)
     return F.when(valid, dot(a, b) / (F.sqrt(na) * F.sqrt(nb))).otherwise(F.lit(-1.0))
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinerank.functions.columns import blend_score, cosine, genre_array, genre_similarity
+from cinerank.functions.columns import blend_score, cosine, genre_array, genre_similarity, sq_norm
 from cinerank.operators.ranking import top_items, top_items_by_genre, top_k
 from cinerank.operators.vectors import pool_top_k
 
@@ -43,14 +43,13 @@ def _seed_rows(seeds: DataFrame, items: DataFrame, vectors: DataFrame | None = N
     return s
 
 
-def candidates_by_genre(seeds: DataFrame, items: DataFrame, per_genre: int = 100,
-                        vectors: DataFrame | None = None) -> DataFrame:
+def candidates_by_genre(seeds: DataFrame, items: DataFrame, per_genre: int = 100) -> DataFrame:
     """S1 + J8 + J10: union over the seed's genres of each genre's `per_genre`
     best-rated items, without the seed itself. One row per (seed, candidate)
     pair matched by genre (duplicates when several genres match)."""
-    s = _seed_rows(seeds, items, vectors)
+    s = _seed_rows(seeds, items)
     s = s.select("*", F.explode("seedGenres").alias("genre"))
-    c = s.join(_genre_lists(items, per_genre, vectors), "genre")
+    c = s.join(_genre_lists(items, per_genre), "genre")
     return c.filter(F.col("candidateId") != F.col("seedId")).drop("genre")
 
 
@@ -69,26 +68,54 @@ def candidate_ids(seeds: DataFrame, items: DataFrame, per_genre: int = 100, more
             .filter(F.col("candidateId") != F.col("seedId")))
 
 
-def _rank_distinct(scored: DataFrame, size: int) -> DataFrame:
-    """T4 on pairs that may repeat: dense_rank gives duplicates one rank, so
-    the partial group limit still applies; duplicates are dropped after."""
-    w = Window.partitionBy("seedId").orderBy(F.col("score").desc(), F.col("candidateId").asc())
-    ranked = scored.withColumn("rank", F.dense_rank().over(w)).filter(F.col("rank") <= size)
-    return ranked.dropDuplicates(["seedId", "candidateId"]).withColumn("rank", F.col("rank").cast("long"))
-
-
 def similar_items(seeds: DataFrame, items: DataFrame, size: int = 16, model: str = "default",
                   vectors: DataFrame | None = None, per_genre: int = 100) -> DataFrame:
-    """Rank genre candidates of each seed.
+    """The `size` best genre candidates of each seed (T4: score
+    descending, id ascending). Item ids are unique.
     default: 0.7 * genre overlap + 0.3 * average/5; emb: cosine of vectors
     (-1 when either is missing)."""
     if model == "emb":
-        c = candidates_by_genre(seeds, items, per_genre, vectors)
-        scored = c.withColumn("score", cosine("seedEmb", "candEmb"))
+        found = _by_vector(seeds, items, vectors, size, per_genre)
     else:
-        c = candidates_by_genre(seeds, items, per_genre)
-        scored = c.withColumn("score", blend_score(genre_similarity("seedGenres", "candGenres"), "candAvg"))
-    return _rank_distinct(scored.select("seedId", "candidateId", "score"), size)
+        found = _by_genre_set(seeds, items, size, per_genre)
+    return found.select("seedId", F.posexplode("best").alias("at", "c")).select(
+        "seedId", F.bitwise_not("c.last").alias("candidateId"), "c.score", (F.col("at") + 1).cast("long").alias("rank"))
+
+
+def _place(score: Column, candidate: Column) -> Column:
+    """A struct that sorts descending into the ranking's order."""
+    return F.struct(score.alias("score"), F.bitwise_not(candidate).alias("last"))
+
+
+def _by_genre_set(seeds: DataFrame, items: DataFrame, size: int, per_genre: int) -> DataFrame:
+    """(seedId, best): the blended score depends on the seed's list of genres
+    alone, so each list that occurs is ranked once, one place deeper than
+    asked for, and its seeds take the ranking without themselves."""
+    s = _seed_rows(seeds, items)
+    pairs = s.select("seedGenres").distinct().select("seedGenres", F.explode("seedGenres").alias("genre")).join(
+        _genre_lists(items, per_genre), "genre")
+    score = blend_score(genre_similarity("seedGenres", "candGenres"), "candAvg")
+    scored = pairs.select("seedGenres", _place(score, F.col("candidateId")).alias("c"))
+    # a candidate met by several genres has one rank, so the partial group limit still applies
+    w = Window.partitionBy("seedGenres").orderBy(F.col("c").desc())
+    best = (scored.withColumn("rank", F.dense_rank().over(w)).filter(F.col("rank") <= size + 1)
+            .groupBy("seedGenres").agg(F.sort_array(F.collect_set("c"), asc=False).alias("best")))
+    others = F.filter("best", lambda c: c["last"] != F.bitwise_not(F.col("seedId")))
+    return s.join(best, "seedGenres").select("seedId", F.slice(others, 1, size).alias("best"))
+
+
+def _by_vector(seeds: DataFrame, items: DataFrame, vectors: DataFrame, size: int, per_genre: int) -> DataFrame:
+    """(seedId, best): a seed meets each of its genres' lists as one row, which
+    is scored and cut to `size` where they meet; only ids and scores travel on."""
+    lists = _genre_lists(items, per_genre, vectors).groupBy("genre").agg(
+        F.collect_list(F.struct("candidateId", "candEmb", sq_norm("candEmb").alias("norm"))).alias("list"))
+    s = _seed_rows(seeds, items, vectors).withColumn("norm", sq_norm("seedEmb"))
+    met = s.select("seedId", "seedEmb", "norm", F.explode("seedGenres").alias("genre")).join(lists, "genre")
+    scored = F.transform(F.filter("list", lambda c: c["candidateId"] != F.col("seedId")), lambda c: _place(
+        cosine(F.col("seedEmb"), c["candEmb"], F.col("norm"), c["norm"]), c["candidateId"]))
+    cut = met.select("seedId", F.slice(F.sort_array(scored, asc=False), 1, size).alias("best"))
+    return cut.groupBy("seedId").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("best"))), asc=False),
+                                             1, size).alias("best"))
 
 
 def candidates_multi(seeds: DataFrame, items: DataFrame, per_genre: int = 20, by_rating: int = 100,

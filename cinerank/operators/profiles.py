@@ -7,7 +7,7 @@ map partition, never a whole-group task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinerank.functions.columns import clean_title, release_year, sample_var
@@ -78,19 +78,26 @@ def top_ratings(ratings: DataFrame, movies: DataFrame, order_cols: list[str], k:
 
 
 def load_counts(ratings: DataFrame, movies: DataFrame, links: DataFrame) -> DataFrame:
-    """Rows per source and rows that found their item. Every source is
-    pre-aggregated per item id, so each is read once for all counts."""
-    per_item = (movies.select("movieId", F.lit("movies").alias("s")).unionByName(links.select("movieId", F.lit("links").alias("s")))
-                .unionByName(ratings.select("movieId", F.lit("ratings").alias("s")))
-                .groupBy("movieId").agg(*[F.count(F.when(F.col("s") == s, 1)).alias(s) for s in ("movies", "links", "ratings")]))
-    known = (F.col("movies") > 0) & F.col("movieId").isNotNull()
-    counts = per_item.agg(
+    """Rows per source, rows that found their item, and users. A rating
+    counts for its item's and its user's key, so one aggregation over one read
+    of every source gives all counts."""
+    def keyed(df: DataFrame, source: str, *keys: Column) -> DataFrame:
+        return df.select(F.explode(F.array(*keys)).alias("k")).select("k.*", F.lit(source).alias("s"))
+
+    def key(kind: str, col: str) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.col(col).cast("long").alias("key"))
+
+    per_key = (keyed(movies, "movies", key("item", "movieId")).unionByName(keyed(links, "links", key("item", "movieId")))
+               .unionByName(keyed(ratings, "ratings", key("item", "movieId"), key("user", "userId")))
+               .groupBy("kind", "key").agg(*[F.count(F.when(F.col("s") == s, 1)).alias(s) for s in ("movies", "links", "ratings")]))
+    item = F.col("kind") == "item"
+    known = item & (F.col("movies") > 0) & F.col("key").isNotNull()
+    counts = per_key.agg(
         F.sum("movies").alias("movies"), F.sum(F.when(known, F.col("links"))).alias("links_matched"),
-        F.sum("ratings").alias("ratings"), F.sum(F.when(known, F.col("ratings"))).alias("ratings_matched"))
-    rows = counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("source"), F.coalesce(c, F.lit(0)).cast("long").alias("rows"))
+        F.sum(F.when(item, F.col("ratings"))).alias("ratings"), F.sum(F.when(known, F.col("ratings"))).alias("ratings_matched"),
+        F.count(F.when(~item, F.col("key"))).alias("users"))
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("source"), F.coalesce(c, F.lit(0)).cast("long").alias("rows"))
                                              for c in counts.columns])).alias("r")).select("r.*")
-    users = ratings.agg(F.count_distinct("userId").alias("rows")).select(F.lit("users").alias("source"), "rows")
-    return rows.unionByName(users)
 
 
 def rows_by_id(profiles: DataFrame, ids: DataFrame, key: str) -> DataFrame:

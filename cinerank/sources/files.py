@@ -8,7 +8,7 @@ columns are read, and `csv_rejects` / `embedding_rejects` return such lines.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -125,7 +125,10 @@ def write_csv(df: DataFrame, path: str, partition_by: list[str] | None = None) -
     w.csv(path)
 
 
-def write_samples(split: DataFrame, path: str) -> None:
-    """IO6: train/test CSV folders with header (`part=train`, `part=test`),
-    written in parallel; no single-task funnel."""
-    write_csv(split, path, ["part"])
+def write_samples(split: DataFrame, path: str) -> dict[str, int]:
+    """IO6 / A16: train/test CSV folders with header (`part=train`, `part=test`),
+    written in parallel; no single-task funnel. The rows of each part are
+    counted by the job that writes them."""
+    seen = Observation("samples")
+    write_csv(split.observe(seen, *[F.count(F.when(F.col("part") == p, 1)).alias(p) for p in ("train", "test")]), path, ["part"])
+    return seen.get

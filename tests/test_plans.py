@@ -57,3 +57,15 @@ def test_ordered_rows_are_read_from_their_sources_once(spark, name, most):
     plan = _plan(QUERIES[name](spark, SF))
     scans = [line for line in plan.splitlines() if "FileScan parquet" in line and "ReadSchema: struct<l_orderkey" in line]
     assert len(scans) <= most, name
+
+
+def test_similar_items_shuffle_no_scored_pairs_with_vectors(spark):
+    """Seeds meet a genre's list as one row; what is grouped by seed holds ids and scores only."""
+    plan = _plan(QUERIES["similar_items_emb"](spark, SF))
+    top = plan[:plan.index("Join")]
+    assert "collect_list(best" in top and "candEmb" not in top.split("Project")[0]
+
+
+def test_load_counts_read_every_source_once(spark):
+    plan = _plan(QUERIES["load_counts"](spark, SF))
+    assert sum("FileScan parquet" in line and "struct<l_" in line for line in plan.splitlines()) == 1

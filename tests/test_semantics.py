@@ -1,5 +1,6 @@
 """Decision-log fixtures: each test pins one semantic choice."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +143,47 @@ def test_cluster_sessions_must_name_the_shared_folder(spark):
                          _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: unset)))
     with pytest.raises(ValueError):
         session.ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf={}))
+
+
+@pytest.mark.parametrize("model", ["default", "emb"])
+def test_similar_items_are_the_best_of_all_genre_candidates(spark, model):
+    """Against every (seed, candidate) pair scored one by one."""
+    r, m, l = T.ratings(spark, SF), T.movies(spark, SF), T.links(spark, SF)
+    items = P.item_profiles(m, l, r).select("movieId", "genres", "averageRating", "releaseYear").cache()
+    vectors = spark.createDataFrame(  # missing, null, zero, shorter and equal vectors
+        [(x.movieId, [[1.0, 0.0], None, [0.0, 0.0], [2.0], [x.movieId / 7, 1.0]][x.movieId % 6]) for x in items.collect()
+         if x.movieId % 6 < 5], "movieId long, emb array<float>")
+    rows = {x.movieId: x for x in items.collect()}
+    emb = {x.movieId: x.emb for x in vectors.collect()}
+    shelf = {}
+    for i in sorted(rows, key=lambda i: (-rows[i].averageRating, i)):
+        for g in {g for g in (rows[i].genres or "").split("|") if g.strip()}:
+            shelf.setdefault(g, []).append(i)
+
+    def score(a, b):
+        if model == "default":
+            x, y = rows[a].genres.split("|"), rows[b].genres.split("|")
+            return sum(g in y for g in x) / (len(x) + len(y)) / 2 * 0.7 + 0.3 * (rows[b].averageRating / 5)
+        x, y = emb.get(a), emb.get(b)
+        if not x or not y or len(x) != len(y) or not any(x) or not any(y):
+            return -1.0
+        f = np.float32
+        dot = lambda p, q: sum(float(f(u) * f(v)) for u, v in zip(p, q))
+        return dot(x, y) / (dot(x, x) ** 0.5 * dot(y, y) ** 0.5)
+
+    want = set()
+    for i in rows:
+        near = {c for g in (rows[i].genres or "").split("|") for c in shelf.get(g, [])[:20]} - {i}
+        best = sorted(((-score(i, c), c) for c in near))[:6]
+        want |= {(i, c, k + 1, round(-s, 9)) for k, (s, c) in enumerate(best)}
+    got = C.similar_items(items.select("movieId"), items, 6, model, vectors, per_genre=20).collect()
+    assert {(x.seedId, x.candidateId, x["rank"], round(x.score, 9)) for x in got} == want
+    assert len(got) == len(want) > 100
+    items.unpersist()
+
+
+def test_written_samples_are_counted_by_their_own_job(spark, tmp_path):
+    from cinerank.sources import files
+    split = spark.createDataFrame([(1, "train"), (2, "train"), (3, "test"), (None, "train")], "userId long, part string")
+    assert files.write_samples(split, str(tmp_path / "s")) == {"train": 3, "test": 1}
+    assert files.write_samples(split.limit(0), str(tmp_path / "e")) == {"train": 0, "test": 0}
