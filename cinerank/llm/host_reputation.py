@@ -9,6 +9,12 @@ moments). A host is blocked when the lower bound of its posterior (mean less
 `z` standard deviations) lies above `worst`, so a host with few labelled pages
 is blocked only where its whole domain is bad.
 
+The registered domain is one label more than the longest suffix rule that fits
+(`SUFFIX_RULES`, a parameter: plain rules, "*." for any one label, "!" for an
+exception whose suffix is one label shorter); without one the suffix is the last
+label. User, port and a final dot are left out of the name; an address is its own
+domain, and all addresses share the empty suffix.
+
 A rule is a host and a path prefix, allow or block; it fits its host and all
 subdomains if the url's path starts with its path, and the longest one wins over
 the reputation.
@@ -16,7 +22,8 @@ the reputation.
 Cases: a null url, or one without "://", has empty host and path; the empty host
 is a host like any other; pages without outcome are judged, not counted; with
 no outcomes at all nothing is blocked; repeated page rows are each judged and
-each counted; a page with several outcomes counts by majority, bad on a tie.
+each counted; a page with several outcomes counts by majority, bad on a tie; no
+pages give no rows; extra columns of either table are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -47,12 +54,60 @@ def _after(url: Column) -> Column:
     return F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
 
 
-def registered_domain(host: Column) -> Column:
-    return F.substring_index(host, ".", -2)
+# Suffixes under which names are registered, as registries publish them.
+SUFFIX_RULES = tuple("""
+co.uk org.uk me.uk ltd.uk plc.uk net.uk ac.uk gov.uk sch.uk nhs.uk police.uk *.sch.uk
+com.au net.au org.au edu.au gov.au asn.au id.au
+co.nz net.nz org.nz ac.nz govt.nz school.nz geek.nz gen.nz
+co.jp ne.jp or.jp ac.jp ad.jp ed.jp go.jp gr.jp lg.jp *.kawasaki.jp !city.kawasaki.jp *.kobe.jp !city.kobe.jp
+co.kr ne.kr or.kr re.kr pe.kr go.kr ac.kr
+com.cn net.cn org.cn gov.cn edu.cn ac.cn com.hk org.hk edu.hk gov.hk com.tw org.tw edu.tw gov.tw com.sg org.sg edu.sg gov.sg
+co.in net.in org.in gen.in firm.in ind.in ac.in edu.in gov.in co.id or.id ac.id go.id com.my org.my gov.my co.th or.th ac.th go.th
+com.br net.br org.br gov.br edu.br com.ar org.ar gob.ar edu.ar com.mx org.mx gob.mx edu.mx com.co org.co gov.co edu.co
+com.pe com.ve com.ec com.uy com.tr org.tr gov.tr edu.tr co.il org.il ac.il gov.il com.sa com.eg com.pk com.ph com.vn com.ua
+co.za org.za ac.za gov.za net.za co.ke or.ke ac.ke com.ng org.ng com.gh com.pl net.pl org.pl edu.pl com.es org.es com.pt com.gr
+co.at or.at ac.at gv.at com.ru
+*.ck !www.ck *.er *.fk *.kh *.mm *.np *.pg *.bd *.jm
+github.io gitlab.io blogspot.com appspot.com herokuapp.com netlify.app vercel.app pages.dev web.app
+""".split())
+
+
+def site_name(host: Column) -> Column:
+    """The host without user, port and final dot."""
+    return F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r"\.?(:[0-9]*)?\z", "")
+
+
+def is_address(name: Column) -> Column:
+    return name.rlike(r"^([0-9]{1,3}(\.[0-9]{1,3}){3}|\[.*)$")
+
+
+def _last(name: Column, labels: Column) -> Column:
+    return F.call_function("substring_index", name, F.lit("."), -labels)
+
+
+def suffix_labels(name: Column, rules: tuple[str, ...] = SUFFIX_RULES) -> Column:
+    """How many labels at the end of a name are its suffix."""
+    n = F.size(F.split(name, r"\."))
+    found = F.lit(1)
+    by_length: dict[tuple[str, int], list[str]] = {}
+    for r in rules:
+        kind = r[0] if r[0] in "*!" else ""
+        tail = r[2:] if kind == "*" else r.lstrip("!")
+        by_length.setdefault((kind, r.count(".") + 1), []).append(tail)
+    for (kind, k), tails in sorted(by_length.items(), key=lambda x: (x[0][0] == "!", x[0][1])):  # longer ones go on top, exceptions last
+        tail = F.substring_index(name, ".", -(k - 1 if kind == "*" else k))
+        found = F.when((n >= k) & tail.isin(tails), k - 1 if kind == "!" else k).otherwise(found)
+    return found
+
+
+def registered_domain(host: Column, rules: tuple[str, ...] = SUFFIX_RULES) -> Column:
+    name = site_name(host)
+    return F.when(is_address(name), name).otherwise(_last(name, suffix_labels(name, rules) + 1))
 
 
-def suffix(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def suffix(host: Column, rules: tuple[str, ...] = SUFFIX_RULES) -> Column:
+    name = site_name(host)
+    return F.when(is_address(name), "").otherwise(_last(name, suffix_labels(name, rules)))
 
 
 def longest_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
@@ -81,11 +136,12 @@ def _shrink(units: DataFrame, prior: Column, level: str) -> DataFrame:
         f"{level}_mean", (F.col("k") + F.col(f"{level}_m") * F.col("mu")) / (F.col("n") + F.col(f"{level}_m"))).drop("mu")
 
 
-def host_posteriors(outcomes: DataFrame) -> DataFrame:
+def host_posteriors(outcomes: DataFrame, suffix_rules: tuple[str, ...] = SUFFIX_RULES) -> DataFrame:
     """host, n, k, mean, sd from rows (host, bad 0/1 or null). Every host of
     `outcomes` gets a row, with or without outcomes."""
     hosts = (outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
-             .withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", suffix(F.col("host"))))
+             .withColumn("domain", registered_domain(F.col("host"), suffix_rules))
+             .withColumn("suffix", suffix(F.col("host"), suffix_rules)))
     hosts = materialise(hosts, "hosts")  # every level above is summed from this table
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
@@ -99,13 +155,13 @@ def host_posteriors(outcomes: DataFrame) -> DataFrame:
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], worst: float = WORST,
-          z: float = Z) -> DataFrame:
+          z: float = Z, suffix_rules: tuple[str, ...] = SUFFIX_RULES) -> DataFrame:
     """One row per row of pages (page_id, url): page_id, host, path, rule,
     verdict, host_labelled, host_bad. outcomes: (page_id, bad 0/1)."""
     parts = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     one = outcomes.where("page_id is not null and bad is not null").groupBy("page_id").agg(
         (F.avg("bad") >= 0.5).cast("int").alias("bad"))
-    post = host_posteriors(parts.select("page_id", "host").join(one, "page_id", "left").select("host", "bad"))
+    post = host_posteriors(parts.select("page_id", "host").join(one, "page_id", "left").select("host", "bad"), suffix_rules)
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("mean") - z * F.col("sd") > worst, F.lit("block")).otherwise(F.lit("allow"))
     return parts.join(post, "host").select("page_id", "host", "path", rule.alias("rule"),

@@ -97,9 +97,20 @@ p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLM
              regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM raw),
 o AS (SELECT doc_id AS page_id, CAST(avg(b) >= 0.5 AS INT) AS bad
       FROM (SELECT doc_id, CAST(quality = 0 OR toxic = 1 AS INT) AS b FROM labels) WHERE doc_id IS NOT NULL AND b IS NOT NULL GROUP BY 1),
-hosts AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS k,
-                 array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix
-          FROM p LEFT JOIN o USING (page_id) GROUP BY host),
+counted AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS k FROM p LEFT JOIN o USING (page_id) GROUP BY host),
+names AS (SELECT host, n, k, name, string_split(name, '.') AS labels,
+                 regexp_matches(name, '^([0-9]{{1,3}}(\.[0-9]{{1,3}}){{3}}|\[.*)$') AS address
+          FROM (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), '\.?(:[0-9]*)?$', '') AS name FROM counted)),
+suffix_rules AS (SELECT unnest(string_split('{" ".join(host_reputation.SUFFIX_RULES)}', ' ')) AS rule),
+ends AS (SELECT host, len(labels) - i + 1 AS size, array_to_string(labels[i:], '.') AS tail,
+                '*.' || array_to_string(labels[i + 1:], '.') AS any_tail
+         FROM (SELECT host, labels, unnest(range(1, len(labels) + 1)) AS i FROM names)),
+-- an exception beats all other rules
+met AS (SELECT host, coalesce(max(CASE WHEN rule = '!' || tail THEN size - 1 END), max(size)) AS size
+        FROM ends JOIN suffix_rules ON rule IN (tail, any_tail, '!' || tail) GROUP BY host),
+hosts AS (SELECT host, n, k, CASE WHEN address THEN name ELSE array_to_string(labels[-(coalesce(size, 1) + 1):], '.') END AS domain,
+                 CASE WHEN address THEN '' ELSE array_to_string(labels[-coalesce(size, 1):], '.') END AS suffix
+          FROM names LEFT JOIN met USING (host)),
 domains AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY 1, 2),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY 1),
 {shrink("s", "suffixes", f"(SELECT (coalesce(sum(k), 0) + {host_reputation.FIRST_RATE}) / (coalesce(sum(n), 0) + 1) FROM suffixes)")},

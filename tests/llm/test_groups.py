@@ -239,3 +239,42 @@ def test_reputation_shrinks_small_hosts(spark):
     post = {r.host: r for r in host_reputation.host_posteriors(
         df.join(out, "page_id", "left").select(host_reputation.url_host(F.col("url")).alias("host"), "bad")).collect()}
     assert post["new.bad.org"].mean > post["b.good.org"].mean * 0.5 and post["one.bad.org"].sd > post["big.bad.org"].sd
+
+
+@pytest.mark.parametrize("host, domain, suffix", [
+    ("a.b.bbc.co.uk", "bbc.co.uk", "co.uk"), ("gov.uk", "gov.uk", "gov.uk"), ("www.tax.gov.uk:443", "tax.gov.uk", "gov.uk"),
+    ("x.y.example.com.", "example.com", "com"), ("me@x.example.com:80", "example.com", "com"), ("localhost", "localhost", "localhost"),
+    ("10.0.0.1:8080", "10.0.0.1", ""), ("10.0.0.1", "10.0.0.1", ""), ("[::1]:80", "[::1]", ""), ("", "", ""),
+    ("a.b.foo.ck", "b.foo.ck", "foo.ck"), ("a.www.ck", "www.ck", "ck"), ("ck", "ck", "ck"),
+    ("a.b.school.sch.uk", "b.school.sch.uk", "school.sch.uk"), ("x.city.kobe.jp", "city.kobe.jp", "kobe.jp"),
+    ("x.y.other.kobe.jp", "y.other.kobe.jp", "other.kobe.jp"), ("me.github.io", "me.github.io", "github.io")])
+def test_registered_domains(spark, host, domain, suffix):
+    df = spark.createDataFrame([(host,)], "h string")
+    r = df.select(host_reputation.registered_domain(F.col("h")).alias("d"), host_reputation.suffix(F.col("h")).alias("s")).first()
+    assert (r.d, r.s) == (domain, suffix)
+
+
+def test_host_query_agrees_with_its_sql_on_odd_hosts(spark, tmp_path):
+    import duckdb
+    hosts = ["a.bbc.co.uk", "gov.co.uk", "10.0.0.1:80", "10.0.0.1", "[::1]:80", "a.www.ck", "b.foo.ck", "x.example.com.", "u@x.example.com:1",
+             "localhost", "com", "me.github.io"]
+    pages = spark.createDataFrame([(i, None if i == 7 else f"https://{hosts[i % len(hosts)]}/{i}", i) for i in range(120)],
+                                  "page_id long, url string, host long")
+    labels = spark.createDataFrame([(i, int(i * 7 % 5 > i % 3), int(i % 11 == 0)) for i in range(0, 120, 2)],
+                                   "doc_id long, quality int, toxic int")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = queries.op4_host_reputation(spark, str(tmp_path))
+    want = con.sql(queries._op4_sql()).df()[got.columns].itertuples(index=False)
+    key = lambda r: tuple("" if x is None or x != x else str(x) for x in r)
+    assert sorted(map(key, got.collect())) == sorted(map(key, want))
+
+
+def test_host_reputation_of_empty_tables(spark):
+    none = spark.createDataFrame([], "page_id long, url string")
+    bad = spark.createDataFrame([], "page_id long, bad int")
+    assert host_reputation.judge(none, bad, queries.URL_RULES).count() == 0
+    assert [r.verdict for r in host_reputation.judge(spark.createDataFrame([(1, None), (1, None)], none.schema), bad, []).collect()] == ["allow"] * 2
