@@ -26,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinerank.llm.common import WHITE, materialise, release
+from cinerank.llm.common import WHITE, materialise, one_of_each, release, spare_name
 
 BLOCK_BYTES = 4096
 
@@ -111,10 +111,12 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", **op
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of `df`, whole, that stay: one per group of equal normalised
-    texts, the one with the least id."""
+    texts, the one with the least id (of several with this id, the first by its
+    other columns)."""
+    own, stay_id, stay_own = (spare_name(df, c) for c in ("_sha", "_stay_id", "_stay_sha"))
     stay = exact_groups(df, id_col, text, **options).where("kept").select(
-        F.col(id_col).alias("_stay_id"), F.col("text_sha256").alias("_stay_sha"))
+        F.col(id_col).alias(stay_id), F.col("text_sha256").alias(stay_own))
     sha = F.sha2(F.encode(normalised(F.col(f"`{text}`")), "UTF-8"), 256)
-    rows = df.withColumn("_sha", sha).join(
-        stay, F.col(f"`{id_col}`").eqNullSafe(F.col("_stay_id")) & (F.col("_sha") == F.col("_stay_sha")), "left_semi")
-    return rows.dropDuplicates([id_col, "_sha"]).drop("_sha")
+    rows = df.withColumn(own, sha).join(
+        stay, F.col(f"`{id_col}`").eqNullSafe(F.col(stay_id)) & (F.col(own) == F.col(stay_own)), "left_semi")
+    return one_of_each(rows, [id_col, own], text).drop(own)

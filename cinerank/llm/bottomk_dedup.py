@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinerank.llm.common import (add_columns, connected_components, key_groups, least_labels, materialise,
-                                 mix64, release)
+                                 mix64, one_of_each, release, spare_name, with_least)
 
 SHINGLE, K, CELL = 3, 128, 512
 MISS = 1e-8  # chance of sharing no list key at exactly the threshold
@@ -330,8 +330,8 @@ def _grouped(df: DataFrame, id_col: str, text: str, percent: int = 85, size: int
     release(spark, cells, wanted, sets)
 
     label = reps.select("node", "sid", "rep").join(comp.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = label.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    of_set = label.join(least, "comp").select("sid", "component_id", F.col("comp").alias("_comp"))
+    labelled, _ = with_least(label, "comp", "sid", "rep", "component_id")
+    of_set = labelled.select("sid", "component_id", F.col("comp").alias("_comp"))
     return (signed.select("_id", "n", *carry, F.when(F.col("n") > 0, F.col("sid")).alias("sid")).join(of_set.hint("merge"), "sid", "left")
             .select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), *carry, "_comp",
                     F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"))
@@ -342,12 +342,15 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text: str = "text", **opti
     """The rows of `df`, whole, that stay: one per component, that of the least
     id (rows without id come last; of different rows with this id, the one with
     the least text hash). Rows that only share an id, or have none, are not linked
-    by that; a text without shingles stays, once per id and text."""
-    hashed = df.withColumn("_h", F.xxhash64(F.col(f"`{text}`")))
-    rows = _grouped(hashed, id_col, text, carry=("_h",), **options)
-    first = F.min(F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.col("_h").alias("h")))
+    by that; a text without shingles stays, once per id and text. Of rows with one
+    id and text, the first by its other columns stays."""
+    own, stay_id, stay_own = (spare_name(df, c) for c in ("_h", "_stay_id", "_stay_h"))
+    hashed = df.withColumn(own, F.xxhash64(F.col(f"`{text}`")))
+    rows = _grouped(hashed.select(F.col(f"`{id_col}`").alias("_key"), F.col(f"`{text}`").alias("_text"), F.col(own).alias("_h")),
+                    "_key", "_text", carry=("_h",), **options)
+    first = F.min(F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("id"), F.col("_h").alias("h")))
     stay = (rows.where("_comp is not null").groupBy("_comp").agg(first.alias("s")).select("s.id", "s.h")
-            .union(rows.where("_comp is null").select(id_col, "_h")))
-    stay = stay.toDF("_stay_id", "_stay_h")
-    kept = hashed.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col("_stay_id")) & (F.col("_h") == F.col("_stay_h")), "left_semi")
-    return kept.dropDuplicates([id_col, "_h"]).drop("_h")
+            .union(rows.where("_comp is null").select("_key", "_h")))
+    stay = stay.toDF(stay_id, stay_own)
+    kept = hashed.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col(stay_id)) & (F.col(own) == F.col(stay_own)), "left_semi")
+    return one_of_each(kept, [id_col, own], text).drop(own)

@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
@@ -19,6 +19,7 @@ from cinerank.session import shared_path
 # One white-space class for every operator that needs it: space, \t \n \v \f \r.
 WHITE = r"[\x20\x09-\x0D]+"
 SLICE = 1024  # rows per call of a batch function
+SALTS = 64  # pieces in which the rows of one key are joined with what is known of the key
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,13 +108,40 @@ def least_labels(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         lab = new
 
 
+def with_least(df: DataFrame, key: str, by: str, value: str, out: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of `df` with the least `value` of their key as `out`, and that
+    least value per (key, piece). The rows of a key are cut into SALTS pieces by
+    their column `by`; pieces are reduced before they meet, so a key that holds a
+    third of all rows is many small tasks."""
+    cut = df.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    least = (cut.groupBy(key, "_salt").agg(F.min(value).alias(out))
+             .withColumn(out, F.min(out).over(Window.partitionBy(key))))
+    return cut.join(least, [key, "_salt"]).drop("_salt"), least
+
+
+def spare_name(df: DataFrame, name: str) -> str:
+    """`name`, longer by underscores until no column of `df` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def one_of_each(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """One row per value of `keys`: the first by its other columns (as JSON), then by `text`."""
+    other = F.to_json(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in df.columns if c not in (*keys, text)]))
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    first = F.min_by(row, F.struct(other.alias("o"), F.col(f"`{text}`").alias("t")))
+    return df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(first.alias("_first")).select("_first.*")
+
+
 def connected_components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
     """(node, comp): the least node id reachable over undirected edges (a, b).
 
     Alternating large-star / small-star rounds (every round hangs each node
-    under the least neighbour seen), each round a join written to shared
-    storage; a hub with very many edges is one hot join key, which adaptive
-    execution splits. Only nodes with an edge are returned.
+    under the least neighbour seen), each round joins of salted keys written to
+    shared storage, as a hub with very many edges would be one hot key. Only
+    nodes with an edge are returned.
     """
     spark = edges.sparkSession
     cur = materialise(edges.select(F.col("a").cast("long"), F.col("b").cast("long"))
@@ -121,11 +149,10 @@ def connected_components(edges: DataFrame, name: str, max_rounds: int = 60) -> D
     state = None
     for _ in range(max_rounds):
         both = cur.union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        low2 = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (large.join(low2, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-                 .union(low2.select("a", F.col("m").alias("b"))))
+        met, _low = with_least(both, "a", "b", "b", "m")
+        large = met.where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
+        met, low = with_least(large, "a", "b", "b", "m")
+        small = met.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", F.col("m").alias("b")))
         nxt = materialise(small.distinct(), f"{name}-r")
         now = nxt.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
         release(spark, cur)

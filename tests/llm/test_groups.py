@@ -278,3 +278,16 @@ def test_host_reputation_of_empty_tables(spark):
     bad = spark.createDataFrame([], "page_id long, bad int")
     assert host_reputation.judge(none, bad, queries.URL_RULES).count() == 0
     assert [r.verdict for r in host_reputation.judge(spark.createDataFrame([(1, None), (1, None)], none.schema), bad, []).collect()] == ["allow"] * 2
+
+
+def test_a_hub_is_joined_in_many_pieces(spark):
+    """One key with most rows: every piece of it is a group of its own, and the result is that of one group."""
+    df = spark.range(5000).select(F.when(F.col("id") % 5 < 4, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    rows, least = common.with_least(df, "k", "v", "v", "m")
+    assert rows.count() == 5000
+    assert {(r.k, r.m) for r in rows.collect()} == {(r.k, r.m) for r in df.groupBy("k").agg(F.min("v").alias("m")).collect()}
+    assert least.where("k = 7").count() == common.SALTS
+    star = spark.range(1, 4001).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    low = spark.range(4000).select(F.lit(9000).cast("long").alias("a"), (F.col("id") + 4500).alias("b"))  # the centre is the greatest
+    got = {r.node: r.comp for r in common.connected_components(star.union(low), "hub").collect()}
+    assert got == {**{i: 0 for i in range(4001)}, **{i: 4500 for i in [*range(4500, 8500), 9000]}}

@@ -124,6 +124,18 @@ def test_operator_matches_its_sql(spark, name):
 
 def test_extra_columns_with_clashing_names(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
-    clash = df.withColumns({"n_tokens": F.lit("x"), "_rid": F.lit(1), "node": F.lit(2), "score": F.lit("y")})
-    for _, stage in P.STAGES[1:4]:
-        assert stage(spark, clash, SF).dtypes == clash.dtypes
+    clash = df.withColumns({"n_tokens": F.lit("x"), "_rid": F.lit(1), "node": F.lit(2), "score": F.lit("y"),
+                           **{c: F.lit(c) for c in ("_h", "_sha", "_stay_id", "_stay_h", "_stay_sha", "_id", "_key", "_salt", "_score", "_first")}})
+    for _, stage in P.STAGES[:4]:
+        out = stage(spark, clash, SF)
+        assert out.dtypes == clash.dtypes
+        assert [tuple(r) for r in out.select("_h", "_sha", "_score", "_key").distinct().collect()] in ([], [("_h", "_sha", "_score", "_key")])
+
+
+def test_of_rows_with_one_id_and_text_the_same_one_stays(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(3)
+    both = docs.withColumn("source", F.lit("b")).union(docs.withColumn("source", F.lit("a"))).union(docs.withColumn("source", F.lit("c")))
+    for _, stage in P.STAGES[1:3]:
+        for parts in (1, 5):
+            got = stage(spark, both.repartition(parts, F.xxhash64("source", "doc_id")), SF).collect()
+            assert {r.source for r in got} == {"a"} and len(got) == len({r.doc_id for r in got})
