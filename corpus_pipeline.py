@@ -7,7 +7,8 @@ one. All stages but the last return the columns of documents; every document a
 stage keeps goes on whole.
 
 Cases: a document without id is judged and packed like any other; documents that
-share an id are told apart by their text; empty texts are equal to each other, so
+share an id are told apart by their text, of rows that share both the first by its
+other columns stays; extra columns go along, whatever their names; empty texts are equal to each other, so
 one of them stays; an empty table gives an empty result.
 """
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinerank.llm import block_naming, bottomk_dedup, nbsvm, pseudonyms, queries
-from cinerank.llm.common import documents
+from cinerank.llm.common import documents, spare_name
 from cinerank.session import shared_path
 
 
@@ -29,7 +30,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     usable = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 != 1, F.lit(False))
     model = nbsvm.train(docs, labels, usable)
-    return nbsvm.score(docs, model, column="_score").where("_score >= 0.5").select(*docs.columns)
+    score = spare_name(docs, "_score")
+    return nbsvm.score(docs, model, column=score).where(F.col(score) >= 0.5).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
