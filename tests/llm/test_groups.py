@@ -205,6 +205,30 @@ def test_isolated_pairs_at_the_threshold_are_found(spark):
     assert {i: got.get(2 * i + 1) for i in range(300)} == {i: 2 * i for i in range(300)}  # eight passes miss some
 
 
+def test_isolated_pairs_beside_a_common_direction_are_found(spark):
+    x = _isolated_pairs(12, 8_000, 300, at=0.86)
+    x -= np.outer(x[:, 0], np.eye(64)[0])
+    x = np.sqrt(0.5) * x / np.sqrt((x * x).sum(1))[:, None] + np.sqrt(0.5) * np.eye(64)[0]  # unrelated ones at 0.5 on average
+    near = [i for i in range(300) if x[2 * i] @ x[2 * i + 1] >= 0.93]
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r.component_id for r in projection_dedup.near_vectors(df).where("n_links > 0").collect()}
+    assert len(near) > 100 and sum(got.get(2 * i + 1) == 2 * i for i in near) >= 0.99 * len(near)
+
+
+def test_packed_vectors_bound_the_cosine():
+    import pandas as pd
+    r = np.random.default_rng(5)
+    u = projection_dedup.unit(r.standard_normal((400, 20)) + 1.5)
+    rows = pd.DataFrame({"step": 0, "grp": 7, "vec": [v.tobytes() for v in projection_dedup.packed(u)]})
+    i, j, sure = projection_dedup._windowed(rows, 400, 0.7)
+    got = dict(zip(zip(i.tolist(), j.tolist()), sure.tolist()))
+    want = {(a, b) for a in range(400) for b in range(a + 1, 400) if u[a] @ u[b] >= 0.7}
+    assert want <= set(got) and {p for p, s in got.items() if s} <= want
+    assert len(got) - sum(got.values()) < 0.1 * 400 * 399 / 2  # few pairs are left in doubt
+    rows["grp"] = np.arange(400)
+    assert not len(projection_dedup._windowed(rows, 400, 0.7)[0])
+
+
 # --- host reputation --------------------------------------------------------------
 
 @pytest.mark.parametrize("url, host, path, rule", [
