@@ -10,6 +10,8 @@ join by their bytes at run time and splits a hot genre.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,3 +164,16 @@ def recommend_for_users(users: DataFrame, items: DataFrame, size: int = 32, mode
     head = bounded_list(pool_items.filter(F.col("poolRank") <= size), "movieId", "poolRank")
     return u.select("userId", F.explode(head).alias("r")).select(
         "userId", "r.movieId", (n - F.col("r.poolRank") + 1).cast("double").alias("score"), F.col("r.poolRank").alias("rank"))
+
+
+def recommend_by_model(users: DataFrame, items: DataFrame, score: Callable[[DataFrame], DataFrame], size: int = 32,
+                       pool: int = 800) -> DataFrame:
+    """R5 with any fitted model: every user meets the `pool` best-rated items,
+    `score` adds a column `score` to these (userId, movieId) rows, each user's
+    best `size` stay (score desc, movieId asc). The pool's size is a parameter, so
+    rows grow with the users alone; a user's rows are made where the user is, and
+    scored and ranked there."""
+    ids = bounded_list(top_items(items, pool, "rating").select("movieId"), "movieId")
+    pairs = users.select("userId").distinct().select("userId", F.explode(ids).alias("movieId"))
+    return top_k(score(pairs), ["userId"], [F.col("score").desc(), F.col("movieId").asc()], size) \
+        .select("userId", "movieId", "score", "rank")

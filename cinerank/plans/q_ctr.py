@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cinerank.operators import click_models as C
 from cinerank.operators import ctr as M
 from cinerank.operators import samples as S
-from cinerank.operators.candidates import recommend_for_users
+from cinerank.operators.candidates import recommend_by_model, recommend_for_users
 from cinerank.operators.encoders import hot_index
 from cinerank.operators.ranking import top_items
 from cinerank.operators.vectors import pool_top_k
@@ -372,6 +373,25 @@ def q_recommend_model(spark, d):
                        F.col("score").between(0.0, 1.0).alias("in_unit"))
 
 
+@register("recommend_clicks", samples_sql("""
+SELECT u.userId, r.i AS rank, true AS in_pool, true AS in_unit, true AS falling
+FROM (SELECT DISTINCT userId FROM ratings) u, range(1, 33) AS r(i)
+WHERE r.i <= least(32, (SELECT count(*) FROM pool))""", extra=[ITEMS_SQL, """pool AS (
+  SELECT movieId FROM items ORDER BY averageRating DESC, movieId LIMIT 800)"""]))
+def q_recommend_clicks(spark, d):
+    """R5 with a click model: the pool ranked for every user by the jointly learned
+    machine over user and item. Checked: each user's ranks, that the items are in the
+    pool, that scores are probabilities and fall with the rank."""
+    it = items(spark, d)
+    model = C.fit_pair(_parts(spark, d)[0])
+    top = recommend_by_model(T.ratings(spark, d), it, lambda pairs: C.score_pair(model, pairs))
+    before = F.lag("score").over(Window.partitionBy("userId").orderBy("rank"))
+    pool = top_items(it, 800, "rating").select("movieId", F.lit(True).alias("in_pool"))
+    return top.withColumn("before", before).join(pool, "movieId", "left").select(
+        "userId", "rank", F.coalesce("in_pool", F.lit(False)).alias("in_pool"), F.col("score").between(0.0, 1.0).alias("in_unit"),
+        (F.col("score") <= F.coalesce("before", F.lit(1.0))).alias("falling"))
+
+
 @register("recommend_scores", samples_sql("""
 SELECT userId, movieId, score, rank FROM (
   SELECT sc.*, row_number() OVER (PARTITION BY userId ORDER BY score DESC, movieId) AS rank

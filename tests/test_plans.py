@@ -13,7 +13,7 @@ from cinerank.plans.catalog import QUERIES  # noqa: E402
 from conftest import SF  # noqa: E402
 
 MODEL_QUERIES = {"pair_model", "pair_mlp_model", "pair_factors", "mlp_model", "wide_deep_model", "fm_model", "interest_model",
-                 "model_metrics", "model_roundtrip", "recommend_model", "item2vec", "graph_embedding", "item2vec_neighbors"}
+                 "model_metrics", "model_roundtrip", "recommend_model", "recommend_clicks", "item2vec", "graph_embedding", "item2vec_neighbors"}
 
 
 def _plan(df) -> str:
