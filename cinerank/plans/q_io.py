@@ -176,7 +176,7 @@ FROM (SELECT *, {_SPLIT_SQL} / 4294967296.0 AS u FROM samples) WHERE u < 0.1""")
 def q_samples_csv(spark, d):
     """IO6: train/test split written as CSV folders and read back."""
     path = _fresh(spark, "samples-csv")
-    written = S.split_samples(samples(spark, d), _SPLIT_KEY, 0.1, (0.8, 0.2), seed=42)
+    written = S.split_samples(samples(spark, d, S.in_sample(_SPLIT_KEY, 0.1, 42)), _SPLIT_KEY, 0.1, (0.8, 0.2), seed=42)
     IO.write_samples(written, path)
     back = spark.read.schema(written.schema).option("header", True).csv(path)
     return back.select("part", "l_orderkey", "l_linenumber", *_CSV_COLS)
