@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from cinerank.operators import samples as S
 from cinerank.operators.sequences import positions
-from cinerank.operators.profiles import top_ratings, user_profiles
+from cinerank.operators.profiles import item_profiles, top_ratings, user_profiles
 from cinerank.plans.q_profiles import ITEMS_SQL, items
 from cinerank.plans.q_samples import samples, samples_sql
 from cinerank.functions.columns import parse_vector
 from cinerank.plans.registry import ORACLES, register
 from cinerank.plans.sql_adapters import RATING_ORDER_SQL, uniform_u32_sql, with_ctes
-from cinerank.session import shared_path
+from cinerank.session import shared_path, write_once
 from cinerank.sources import files as IO
 from cinerank.sources import serialize as J
 from cinerank.sources import store as ST
@@ -240,11 +240,12 @@ FROM items i LEFT JOIN (
                                             extra=[ITEMS_SQL]))
 def q_items_with_features(spark, d):
     """J6 + IO8: catalogue items joined to their stored `mf:` features."""
-    r = T.ratings(spark, d)
+    r = write_once(T.ratings(spark, d), "ratings")  # read by four aggregates
     expires, now = _store_expiry(r)
     store = ST.FeatureStore(spark, _fresh(spark, "store-j6"))
     ST.put_item_features(store, S.latest_item_features(r, T.movies(spark, d), T.RATING_ORDER), S.ITEM_FEATURES, expires)
-    j = ST.attach_features(items(spark, d).select("movieId", "title"), store, "mf:", "movieId", now)
+    it = item_profiles(T.movies(spark, d), T.links(spark, d), r)
+    j = ST.attach_features(it.select("movieId", "title"), store, "mf:", "movieId", now)
     return j.select("movieId", "title", F.col("fields")["movieAvgRating"].alias("movieAvgRating"),
                     F.col("fields")["movieRatingCount"].alias("movieRatingCount"))
 

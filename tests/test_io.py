@@ -111,3 +111,13 @@ def test_bad_number_in_a_vector_file(spark):
     p = _write("1:0.5 oops\n2:1 2\nx:1\n")
     assert [(r.movieId, list(r.emb)) for r in IO.read_embeddings(spark, p).collect()] == [(2, [1.0, 2.0])]
     assert {r.line for r in IO.embedding_rejects(spark, p).collect()} == {"1:0.5 oops", "x:1"}
+
+
+def test_features_of_items_read_the_ratings_once(spark, monkeypatch):
+    from cinerank.plans import q_io
+    from cinerank.sources import tables as T
+    asked = []
+    real = T.ratings
+    monkeypatch.setattr(T, "ratings", lambda *a: asked.append(1) or real(*a))
+    plan = q_io.q_items_with_features(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(asked) == 1 and "l_quantity" not in plan.replace("#", " ").split("Relation")[0] and "o_custkey" not in plan
