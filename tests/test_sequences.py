@@ -120,3 +120,11 @@ def test_user_history_by_running_totals_equals_plain_frames(spark):
                 else:
                     assert got[k] == v, k
             assert "-20, -1" not in s._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_null_times_keep_their_place_whatever_the_path(spark):
+    """Nulls of the first order column lie in its last slice, with and without crowded keys."""
+    df = spark.createDataFrame([(1, None if i % 5 == 0 else i, i) for i in range(40)], "k long, t long, id long")
+    small = {r.id: r.pos for r in positions(df, ["k"], ["t", "id"], n_buckets=4).collect()}
+    cut = {r.id: r.pos for r in positions(df, ["k"], ["t", "id"], n_buckets=4, max_bucket_rows=39).collect()}
+    assert small == cut and small[1] == 0 and small[39] == 39
