@@ -172,8 +172,12 @@ def recommend_by_model(users: DataFrame, items: DataFrame, score: Callable[[Data
     `score` adds a column `score` to these (userId, movieId) rows, each user's
     best `size` stay (score desc, movieId asc). The pool's size is a parameter, so
     rows grow with the users alone; a user's rows are made where the user is, and
-    scored and ranked there."""
-    ids = bounded_list(top_items(items, pool, "rating").select("movieId"), "movieId")
+    scored and ranked there. A score with a method `best` (users, pool, size) ranks
+    the pool itself (`click_models.PairScorer`: block by block)."""
+    chosen = top_items(items, pool, "rating").select("movieId")
+    if hasattr(score, "best"):
+        return score.best(users.select("userId").distinct(), chosen, size).select("userId", "movieId", "score", "rank")
+    ids = bounded_list(chosen, "movieId")
     pairs = users.select("userId").distinct().select("userId", F.explode(ids).alias("movieId"))
     return top_k(score(pairs), ["userId"], [F.col("score").desc(), F.col("movieId").asc()], size) \
         .select("userId", "movieId", "score", "rank")
